@@ -14,6 +14,11 @@ LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 LINE_PREFIX = rf"(?md)^{WS}*\p{{Nd}}+{WS}*\|{WS}?"
 
 
+def no_strings() -> Column:
+    """An empty list of strings."""
+    return F.array().cast("array<string>")
+
+
 def normalize_ws(text: Column) -> Column:
     """Runs of whitespace become one blank, both ends are stripped."""
     return F.trim(F.regexp_replace(text, WS + "+", " "))

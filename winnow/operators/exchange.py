@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions import variant as V
+from winnow.functions.text import no_strings
 from winnow.operators.context import is_degraded
 from winnow.schemas import (
     CALLED_FUNCTION,
@@ -14,7 +15,6 @@ from winnow.schemas import (
     FP_CATEGORIES,
     NEEDS_HUMAN_REVIEW,
     PROMPT_VERSION,
-    STRINGS,
     VERDICT,
     VERDICT_LABELS,
 )
@@ -35,8 +35,6 @@ DEFAULT_INSTRUCTIONS = (
     "review whenever the code alone does not settle the question."
 )
 
-NO_STRINGS = F.array().cast(STRINGS)
-
 
 def instructions(spark: SparkSession, text: str = DEFAULT_INSTRUCTIONS, version: str = PROMPT_VERSION) -> DataFrame:
     """The versioned instruction text as a one-row dimension."""
@@ -163,7 +161,7 @@ def parse_reply(replies: DataFrame) -> DataFrame:
 
     def strings(key: str) -> Column:
         value = V.child(r, f"$.{key}")
-        return F.when(V.is_absent(value) | (V.string(value) == ""), NO_STRINGS).when(
+        return F.when(V.is_absent(value) | (V.string(value) == ""), no_strings()).when(
             V.is_array(value) & F.forall(F.try_variant_get(value, "$", "array<variant>"), V.is_string),
             F.try_variant_get(value, "$", "array<string>"),
         )
@@ -205,9 +203,9 @@ def review_verdict(reasoning: Column, missing: str, action: Column) -> Column:
         F.lit(NEEDS_HUMAN_REVIEW).alias("verdict"),
         F.lit("low").alias("confidence"),
         reasoning.alias("reasoning"),
-        NO_STRINGS.alias("evidence_quotes"),
+        no_strings().alias("evidence_quotes"),
         F.array(F.lit(missing)).alias("missing_context"),
-        NO_STRINGS.alias("fp_categories"),
+        no_strings().alias("fp_categories"),
         action.alias("suggested_action"),
     ).cast(VERDICT)
 

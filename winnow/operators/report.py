@@ -280,15 +280,19 @@ def report_blocks(
     Blocks are separated by a blank line. A run's findings stay one row each and are never
     gathered; only its rule table, one line per rule, is a single block.
     """
+
+    def block(number: Column, markdown: Column) -> Column:
+        return F.struct(number.cast("long").alias("block_no"), markdown.alias("markdown"))
+
     after = F.col("total_findings")
     fixed = summary.select(
         "run_id",
         F.inline(
             F.array(
-                F.struct(F.lit(0).cast("long").alias("block_no"), header_text().alias("markdown")),
-                F.struct(F.lit(1).cast("long"), summary_text()),
-                F.struct(F.lit(2).cast("long"), F.when(after > 0, F.lit("## Findings"))),
-                F.struct(after + 4, footer_text()),
+                block(F.lit(0), header_text()),
+                block(F.lit(1), summary_text()),
+                block(F.lit(2), F.when(after > 0, F.lit("## Findings"))),
+                block(after + 4, footer_text()),
             )
         ),
     )

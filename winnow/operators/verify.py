@@ -10,9 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.text import normalize_ws, strip_line_prefixes
+from winnow.functions.text import no_strings, normalize_ws, strip_line_prefixes
 from winnow.functions.vocabulary import review_vocabulary
-from winnow.schemas import FALSE_POSITIVE, NEEDS_HUMAN_REVIEW, STRINGS, VERDICT
+from winnow.schemas import FALSE_POSITIVE, NEEDS_HUMAN_REVIEW, VERDICT
 
 _START = r"(?<![\p{L}\p{N}_])"
 _END = r"(?![\p{L}\p{N}_])"
@@ -33,8 +33,6 @@ NO_QUOTES = (
 )
 EMPTY_REASONING = "Reasoning field is empty."
 
-NO_STRINGS = F.array().cast(STRINGS)
-
 
 def haystack(finding: dict[str, Column], context: Column, code_only: bool = False) -> Column:
     """Everything the reviewer was shown, without line numbers.
@@ -143,7 +141,7 @@ def downgrade(verdict: Column, issues: Column) -> dict[str, Column]:
         verdict["reasoning"],
         verdict["evidence_quotes"],
         verdict["missing_context"],
-        NO_STRINGS,
+        no_strings(),
         verdict["suggested_action"],
     ).cast(VERDICT)
     return {
@@ -170,12 +168,12 @@ def verify_replies(
     issues = quote_issues(
         verdict["verdict"], verdict["evidence_quotes"], quote_statuses(verdict["evidence_quotes"], F.col("_hay"))
     )
-    checked = shown.withColumn("_issues", F.when(usable, issues).otherwise(NO_STRINGS)).withColumn(
+    checked = shown.withColumn("_issues", F.when(usable, issues).otherwise(no_strings())).withColumn(
         "_warnings",
         F.when(
             usable,
             grounding_issues(verdict["reasoning"], suspect_tokens(verdict["reasoning"], F.col("_hay"), vocabulary)),
-        ).otherwise(NO_STRINGS),
+        ).otherwise(no_strings()),
     )
     outcome = downgrade(verdict, F.col("_issues"))
     reason = F.col("synth_reason")
