@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,10 +26,21 @@ def normalize_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WS + "+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    A lambda of a higher-order function computes whatever it captures anew for each element, and
+    the optimizer moves single-use columns into lambdas; a lambda's own variable stays a value.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_lines(text: Column) -> Column:
     """The lines of a text; a final line break does not open another line."""
-    parts = F.split(text, LINE_BREAKS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(
+        F.split(text, LINE_BREAKS),
+        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
+    )
 
 
 def line_slice(lines: Column, start: Column, end: Column) -> Column:
@@ -37,14 +50,26 @@ def line_slice(lines: Column, start: Column, end: Column) -> Column:
 
 def numbered(lines: Column, start: Column) -> Column:
     """Lines with their right-aligned numbers in front: `` 9 | code``."""
-    shown = F.when(F.size(lines) == 0, F.array(F.lit(""))).otherwise(lines)
-    width = F.length((start + F.size(shown) - 1).cast("string"))
-    return F.array_join(
-        F.transform(
-            shown,
-            lambda line, i: F.concat(F.lpad((start + i).cast("string"), width, F.lit(" ")), F.lit(" | "), line),
+    shown = let(lines, lambda given: F.when(F.size(given) == 0, F.array(F.lit(""))).otherwise(given))
+    sized = let(
+        F.struct(shown.alias("lines"), start.alias("start")),
+        lambda s: F.struct(
+            s["lines"].alias("lines"),
+            s["start"].alias("start"),
+            F.length((s["start"] + F.size(s["lines"]) - 1).cast("string")).alias("width"),
+        ),
+    )
+    return let(
+        sized,
+        lambda s: F.array_join(
+            F.transform(
+                s["lines"],
+                lambda line, i: F.concat(
+                    F.lpad((s["start"] + i).cast("string"), s["width"], F.lit(" ")), F.lit(" | "), line
+                ),
+            ),
+            "\n",
         ),
-        "\n",
     )
 
 

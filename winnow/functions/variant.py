@@ -12,24 +12,39 @@ def child(value: Column, path: str) -> Column:
 
 
 def kind(value: Column) -> Column:
-    """Type name of a variant, ``VOID`` for absent values and JSON null."""
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    """Type name of a scalar variant; walks the whole value, so not for large ones."""
+    return F.schema_of_variant(value)
+
+
+def items(value: Column) -> Column:
+    """The list held by a variant, one level deep; NULL for every other type."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def members(value: Column) -> Column:
+    """The object held by a variant, one level deep; NULL for every other type."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def is_object(value: Column) -> Column:
-    return kind(value).startswith("OBJECT")
+    return members(value).isNotNull()
 
 
 def is_array(value: Column) -> Column:
-    return kind(value).startswith("ARRAY")
+    return items(value).isNotNull()
 
 
-def is_string(value: Column) -> Column:
-    return kind(value) == "STRING"
+def is_null(value: Column) -> Column:
+    """An explicit JSON null, as opposed to an absent value."""
+    return value.isNotNull() & F.is_variant_null(value)
 
 
 def is_absent(value: Column) -> Column:
-    return kind(value) == "VOID"
+    return value.isNull() | F.is_variant_null(value)
+
+
+def is_string(value: Column) -> Column:
+    return F.coalesce(kind(value) == "STRING", F.lit(False))
 
 
 def string(value: Column) -> Column:
@@ -53,10 +68,15 @@ def string_list(value: Column) -> Column:
 
 
 def display(value: Column) -> Column:
-    """Strings as they are, everything else as JSON text."""
-    return F.coalesce(string(value), F.to_json(value))
+    """Strings as they are, everything else as JSON text; NULL for null."""
+    return F.coalesce(string(value), F.when(~is_absent(value), F.to_json(value)))
 
 
 def is_truthy(value: Column) -> Column:
     """False for null, empty strings, lists and objects, zero and false."""
-    return ~is_absent(value) & ~F.to_json(value).isin('""', "[]", "{}", "0", "0.0", "false", "null")
+    return F.coalesce(
+        F.size(members(value)) > 0,
+        F.size(items(value)) > 0,
+        ~F.to_json(value).isin('""', "0", "0.0", "false", "null"),
+        F.lit(False),
+    )

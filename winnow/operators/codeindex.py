@@ -151,16 +151,12 @@ def mask_code(text: Column) -> Column:
 
 
 def file_lines(files: DataFrame) -> DataFrame:
-    """Per file the raw and the masked lines as arrays of equal length, partitioned by file."""
-    return (
-        files.filter((F.col("length") <= MAX_FILE_BYTES) & F.col("text").isNotNull())
-        .select(*FILE, "text")
-        .repartition(*FILE)
-        .select(
-            *FILE,
-            F.split("text", "\r?\n").alias("raw_lines"),
-            F.split(mask_code(F.col("text")), "\r?\n").alias("masked_lines"),
-        )
+    """Per file the raw and the masked lines as arrays of equal length."""
+    small = files.filter((F.col("length") <= MAX_FILE_BYTES) & F.col("text").isNotNull())
+    return small.select(
+        *FILE,
+        F.split("text", "\r?\n").alias("raw_lines"),
+        F.split(mask_code(F.col("text")), "\r?\n").alias("masked_lines"),
     )
 
 
@@ -172,33 +168,34 @@ def logical_lines(lines: DataFrame) -> DataFrame:
     whole file · ``kind``/``name`` for ``def`` and ``class`` headers · ``suspect`` the file's
     brackets do not balance.
     """
-    physical = lines.select(*FILE, F.posexplode("masked_lines").alias("pos", "line"))
-    line = F.rtrim(F.regexp_replace("line", OPEN, ""))
+    # Whole files are shuffled, once; the windows over their lines then stay in place.
+    physical = lines.select(*FILE, "masked_lines").repartition(*FILE).select(
+        *FILE, F.posexplode("masked_lines").alias("pos", "line")
+    )
     by_file = Window.partitionBy(*FILE)
     in_order = by_file.orderBy("ln")
     before = Window.unboundedPreceding, -1
-    code = (
-        physical.select(
-            *FILE,
-            (F.col("pos") + 1).alias("ln"),
-            line.alias("code"),
-            F.col("line").endswith(OPEN).alias("_open"),
-            # A def or class keyword cannot stand inside brackets: brackets left open above it
-            # are an error of that file, and counting starts afresh.
-            F.col("line").rlike(HEADER).cast("int").alias("_header"),
-            (F.length(F.regexp_replace("line", r"[^(\[{]", "")) - F.length(F.regexp_replace("line", r"[^)\]}]", "")))
-            .alias("_brackets"),
-        )
-        .withColumn("_in_string", F.coalesce(F.lag("_open").over(in_order), F.lit(False)))
-        .withColumn("_joined", F.coalesce(F.lag(F.col("code").endswith("\\")).over(in_order), F.lit(False)))
-        .withColumn("_section", F.sum("_header").over(in_order))
+    marked = physical.select(
+        *FILE,
+        (F.col("pos") + 1).alias("ln"),
+        F.rtrim(F.translate("line", OPEN, "")).alias("code"),
+        F.col("line").endswith(OPEN).alias("_open"),
+        # A def or class keyword cannot stand inside brackets: brackets left open above it are an
+        # error of that file, and counting starts afresh.
+        F.col("line").rlike(HEADER).cast("int").alias("_header"),
+        (F.length(F.translate("line", ")]}", "")) - F.length(F.translate("line", "([{", ""))).alias("_brackets"),
     )
-    in_section = Window.partitionBy(*FILE, "_section").orderBy("ln").rowsBetween(*before)
-    code = (
-        code.withColumn("_depth", F.coalesce(F.sum("_brackets").over(in_section), F.lit(0)))
+    linked = (
+        marked.withColumn("_in_string", F.coalesce(F.lag("_open").over(in_order), F.lit(False)))
+        .withColumn("_joined", F.coalesce(F.lag(F.col("code").endswith("\\")).over(in_order), F.lit(False)))
+        .withColumn("_section", F.sum("_header").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_is_code", F.length("code") > 0)
         .withColumn("_code_ln", F.when(F.col("_is_code") | F.col("_in_string"), F.col("ln")))
         .withColumn("prev_code_ln", F.max("_code_ln").over(in_order.rowsBetween(*before)))
+    )
+    in_section = Window.partitionBy(*FILE, "_section").orderBy("ln").rowsBetween(*before)
+    code = (
+        linked.withColumn("_depth", F.coalesce(F.sum("_brackets").over(in_section), F.lit(0)))
         .withColumn("last_code_ln", F.max("_code_ln").over(by_file))
         .withColumn(
             "suspect",

@@ -26,7 +26,7 @@ def scan_documents(docs: DataFrame, on_error: str = "quarantine") -> DataFrame:
     error = (
         F.when(F.col("doc").isNull(), F.lit("not valid JSON"))
         .when(~V.is_object(F.col("doc")), F.lit("not a JSON object"))
-        .when(F.try_variant_get("doc", "$.results", "variant").isNull(), F.lit("no top-level results"))
+        .when(V.child(F.col("doc"), "$.results").isNull(), F.lit("no top-level results"))
         .when(~V.is_array(V.child(F.col("doc"), "$.results")), F.lit("results is not a list"))
     )
     if on_error == "raise":
@@ -69,59 +69,82 @@ def scan_errors(parsed: DataFrame) -> DataFrame:
 def parse_results(results: DataFrame) -> DataFrame:
     """Map raw results to the finding columns; ``reject_reason`` is set where a result is malformed."""
     r = F.col("result")
-    extra, meta = V.child(r, "$.extra"), V.child(r, "$.extra.metadata")
-    start, end = V.child(r, "$.start"), V.child(r, "$.end")
-    trace = V.child(extra, "$.dataflow_trace")
-    severity = V.child(extra, "$.severity")
-    lines = {"start_line": V.child(start, "$.line"), "end_line": V.child(end, "$.line")}
-    columns = {"start_col": V.child(start, "$.col"), "end_col": V.child(end, "$.col")}
-    present = F.to_json(r)
-
-    def explicit_null(key: str) -> Column:
-        return F.get_json_object(present, f"$.{key}").isNull() & F.array_contains(
-            F.json_object_keys(present), key
+    parts = results.withColumns({"extra": V.child(r, "$.extra")} | {
+        name: V.child(r, path)
+        for name, path in (
+            ("check", "$.check_id"),
+            ("raw_path", "$.path"),
+            ("from_line", "$.start.line"),
+            ("from_col", "$.start.col"),
+            ("to_line", "$.end.line"),
+            ("to_col", "$.end.col"),
         )
-
+    }).withColumns(
+        {
+            name: V.child(F.col("extra"), f"$.{name}")
+            for name in ("metadata", "message", "severity", "lines", "dataflow_trace")
+        }
+    ).withColumns(
+        {name: V.child(F.col("metadata"), f"$.{name}") for name in ("cwe", "owasp", "confidence")}
+    )
+
+    def v(name: str) -> Column:
+        return F.col(name)
+
+    def not_object(name: str) -> Column:
+        return V.is_null(v(name)) | (v(name).isNotNull() & ~V.is_object(v(name)))
+
+    def not_string(name: str) -> Column:
+        return ~V.is_absent(v(name)) & ~V.is_string(v(name))
+
+    numbers = {"start_line": v("from_line"), "end_line": v("to_line"), "start_col": v("from_col"), "end_col": v("to_col")}
+    typed = parts.withColumns(
+        {
+            **{name: V.whole_number(value) for name, value in numbers.items()},
+            "rule_id": V.string(v("check")),
+            "file_path": normalize_path(V.string(v("raw_path"))),
+            "severity_text": V.string(v("severity")),
+        }
+    )
     checks: list[tuple[Column, str]] = [
         (~V.is_object(r), "result is not an object"),
-        (~V.is_string(V.child(r, "$.check_id")), "check_id missing or not a string"),
-        (~V.is_string(V.child(r, "$.path")), "path missing or not a string"),
-        (explicit_null("extra") | ~(V.is_absent(extra) | V.is_object(extra)), "extra is not an object"),
-        (~(V.is_absent(meta) | V.is_object(meta)), "metadata is not an object"),
-        *[(V.whole_number(value).isNull(), f"{name} missing or not a whole number") for name, value in lines.items()],
-        *[(V.whole_number(value) < 1, f"{name} below 1") for name, value in lines.items()],
+        (v("rule_id").isNull(), "check_id missing or not a string"),
+        (v("file_path").isNull(), "path missing or not a string"),
+        (not_object("extra"), "extra is not an object"),
+        (not_object("metadata"), "metadata is not an object"),
+        *[(v(name).isNull(), f"{name} missing or not a whole number") for name in ("start_line", "end_line")],
+        *[(v(name) < 1, f"{name} below 1") for name in ("start_line", "end_line")],
         *[
-            (~V.is_absent(value) & V.whole_number(value).isNull(), f"{name} not a whole number")
-            for name, value in columns.items()
+            (~V.is_absent(numbers[name]) & v(name).isNull(), f"{name} not a whole number")
+            for name in ("start_col", "end_col")
         ],
-        (~(V.is_absent(V.child(extra, "$.message")) | V.is_string(V.child(extra, "$.message"))), "message not a string"),
-        (V.is_array(severity) | V.is_object(severity), "severity not a string"),
-        (
-            ~(V.is_absent(V.child(meta, "$.confidence")) | V.is_string(V.child(meta, "$.confidence"))),
-            "confidence not a string",
-        ),
-        (V.is_truthy(trace) & ~V.is_object(trace), "dataflow_trace is not an object"),
+        (V.is_null(v("message")) | not_string("message"), "message not a string"),
+        (V.is_array(v("severity")) | V.is_object(v("severity")), "severity not a string"),
+        (not_string("confidence"), "confidence not a string"),
+        (V.is_truthy(v("dataflow_trace")) & ~V.is_object(v("dataflow_trace")), "dataflow_trace is not an object"),
     ]
     reject = F.coalesce(*[F.when(condition, F.lit(reason)) for condition, reason in checks])
-    severity_raw = F.coalesce(V.string(severity), F.when(~V.is_absent(severity), F.to_json(severity)))
-    return results.select(
+    return typed.withColumn("reject_reason", reject).select(
         "scan_id",
         "repo_id",
         "result_idx",
-        V.string(V.child(r, "$.check_id")).alias("rule_id"),
-        normalize_path(V.string(V.child(r, "$.path"))).alias("file_path"),
-        *[V.whole_number(value).alias(name) for name, value in {**lines, **columns}.items()],
-        F.coalesce(V.string(V.child(extra, "$.message")), F.lit("")).alias("message"),
-        F.when(V.string(severity).isin(SEVERITIES), V.string(severity)).otherwise(DEFAULT_SEVERITY).alias("severity"),
-        severity_raw.alias("severity_raw"),
-        V.string_list(V.child(meta, "$.cwe")).alias("cwe"),
-        V.string_list(V.child(meta, "$.owasp")).alias("owasp"),
-        V.string(V.child(extra, "$.lines")).alias("embedded_lines"),
-        (~V.is_absent(trace)).alias("has_dataflow_trace"),
-        summarize_trace(trace).alias("dataflow_trace_summary"),
-        V.string(V.child(meta, "$.confidence")).alias("scanner_confidence"),
-        reject.alias("reject_reason"),
-        F.when(reject.isNotNull(), present).alias("raw"),
+        "rule_id",
+        "file_path",
+        "start_line",
+        "end_line",
+        "start_col",
+        "end_col",
+        F.coalesce(V.string(v("message")), F.lit("")).alias("message"),
+        F.when(v("severity_text").isin(SEVERITIES), v("severity_text")).otherwise(DEFAULT_SEVERITY).alias("severity"),
+        F.coalesce("severity_text", F.when(~V.is_absent(v("severity")), F.to_json("severity"))).alias("severity_raw"),
+        V.string_list(v("cwe")).alias("cwe"),
+        V.string_list(v("owasp")).alias("owasp"),
+        V.string(v("lines")).alias("embedded_lines"),
+        (~V.is_absent(v("dataflow_trace"))).alias("has_dataflow_trace"),
+        summarize_trace(v("dataflow_trace")).alias("dataflow_trace_summary"),
+        V.string(v("confidence")).alias("scanner_confidence"),
+        "reject_reason",
+        F.when(v("reject_reason").isNotNull(), F.to_json(r)).alias("raw"),
     )
 
 
@@ -133,16 +156,14 @@ def summarize_trace(trace: Column) -> Column:
     """Source, sink and number of steps of a data-flow trace; NULL for an empty or absent trace."""
     source, sink = V.child(trace, "$.taint_source"), V.child(trace, "$.taint_sink")
     steps = V.child(trace, "$.intermediate_vars")
-    count = F.when(V.is_array(steps), F.size(F.try_variant_get(steps, "$", "array<variant>"))).when(
-        V.is_object(steps), F.size(F.json_object_keys(F.to_json(steps)))
-    ).otherwise(F.length(V.string(steps)))
+    count = F.coalesce(F.size(V.items(steps)), F.size(V.members(steps)), F.length(V.string(steps)))
     text = F.concat_ws(
         " | ",
         F.when(V.is_truthy(source), F.concat(F.lit("Source: "), V.display(source))),
         F.when(V.is_truthy(sink), F.concat(F.lit("Sink: "), V.display(sink))),
         F.when(V.is_truthy(steps), F.concat(F.lit("Intermediate steps: "), count.cast("string"))),
     )
-    return F.when(V.is_truthy(trace), F.when(text == "", F.lit(UNKNOWN_TRACE)).otherwise(text))
+    return F.when(V.is_truthy(trace), F.coalesce(F.nullif(text, F.lit("")), F.lit(UNKNOWN_TRACE)))
 
 
 def valid_findings(parsed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.text import no_strings, normalize_ws, strip_line_prefixes
+from winnow.functions.text import let, no_strings, normalize_ws, strip_line_prefixes
 from winnow.functions.vocabulary import review_vocabulary
 from winnow.schemas import FALSE_POSITIVE, NEEDS_HUMAN_REVIEW, VERDICT
 
@@ -61,15 +61,26 @@ def haystack(finding: dict[str, Column], context: Column, code_only: bool = Fals
 
 
 def quote_statuses(quotes: Column, hay: Column) -> Column:
-    """Per quote ``empty``, ``exact``, ``normalized`` or ``fabricated``."""
-    hay_normalized = normalize_ws(hay)
-    return F.transform(
-        quotes,
-        lambda quote: F.when(normalize_ws(quote) == "", F.lit("empty"))
-        .when(F.contains(hay, quote), F.lit("exact"))
-        .when(F.contains(hay_normalized, normalize_ws(quote)), F.lit("normalized"))
-        .otherwise(F.lit("fabricated")),
+    """Per quote ``empty``, ``exact``, ``normalized`` or ``fabricated``.
+
+    The text is normalized once, and only for findings that have quotes.
+    """
+
+    def status(text: Column, quote: Column) -> Column:
+        return let(
+            F.struct(quote.alias("raw"), normalize_ws(quote).alias("normalized")),
+            lambda q: F.when(q["normalized"] == "", F.lit("empty"))
+            .when(F.contains(text["raw"], q["raw"]), F.lit("exact"))
+            .when(F.contains(text["normalized"], q["normalized"]), F.lit("normalized"))
+            .otherwise(F.lit("fabricated")),
+        )
+
+    both = let(hay, lambda text: F.struct(text.alias("raw"), normalize_ws(text).alias("normalized")))
+    checked = let(
+        F.struct(quotes.alias("quotes"), both.alias("text")),
+        lambda s: F.transform(s["quotes"], lambda quote: status(s["text"], quote)),
     )
+    return F.when(F.size(quotes) > 0, checked).otherwise(no_strings())
 
 
 def quote_issues(label: Column, quotes: Column, statuses: Column) -> Column:
@@ -110,8 +121,11 @@ def token_appears(token: Column, hay: Column) -> Column:
 def suspect_tokens(reasoning: Column, hay: Column, vocabulary: Sequence[str] | None = None) -> Column:
     """Cited tokens that are neither vocabulary nor anywhere in the text shown."""
     words = review_vocabulary() if vocabulary is None else list(vocabulary)
-    return F.filter(
-        cited_tokens(reasoning), lambda token: ~F.lower(token).isin(words) & ~token_appears(token, hay)
+    return let(
+        F.struct(cited_tokens(reasoning).alias("tokens"), hay.alias("hay")),
+        lambda s: F.filter(
+            s["tokens"], lambda token: ~F.lower(token).isin(words) & ~token_appears(token, s["hay"])
+        ),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.text import numbered, text_lines
 from winnow.schemas import CALLED_FUNCTION, CONTEXT, NEEDS_HUMAN_REVIEW, STORED, STRINGS, VERDICT
+from winnow.session import spread
 
 REPO = "notes"
 
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their lines."""
-    return table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").withColumn("lines", F.split("text", "\n"))
 
 
 def extension(lang: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,22 @@ def build_session(app_name: str = "winnow", master: str | None = None, **extra:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that several branches of a plan read.
+    """Write a table that several branches of a plan read, and go on from the written copy.
 
-    The checkpoint goes to the shared folder the cluster names in ``spark.checkpoint.dir``. Where
-    none is named, a local session takes a scratch folder of its own and a cluster session keeps
-    the plan whole, because a folder on one machine does not survive the loss of an executor.
+    It goes below the shared folder the cluster names in ``spark.checkpoint.dir``, so it outlives
+    executors; being Parquet, each branch reads only the columns it needs and joins know its size.
+    Where no folder is named, a local session takes a scratch folder of its own and a cluster
+    session keeps the plan whole, because a folder on one machine is not shared.
     """
-    spark = df.sparkSession
+    folder = staging_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/winnow-stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staging_folder(spark: SparkSession) -> str | None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,6 +51,13 @@ def stage(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(shared)
         elif context.master.startswith("local"):
             context.setCheckpointDir(tempfile.mkdtemp(prefix="winnow-stage-"))
-        else:
-            return df
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a small input that a single file split would keep in one task.
+
+    Inputs that already have as many splits as the session has cores are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
