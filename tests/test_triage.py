@@ -1,3 +1,4 @@
+import glob
 import json
 
 import pytest
@@ -7,6 +8,9 @@ from pyspark.sql import functions as F
 from winnow.operators import report as P
 from winnow.operators import reuse as R
 from winnow.plans import triage as T
+from winnow.plans.publish import publish
+from winnow.sources.readers import read_replies
+from winnow.sources.sinks import write_requests
 
 REPLIES = "fingerprint string, reply string, error string, duration_seconds double, input_tokens long, output_tokens long"
 
@@ -139,3 +143,56 @@ def test_second_run_reuses_verdicts(spark, first_run, tmp_path):
 def test_limit(spark):
     prepared = T.prepare(docs(spark), source_files(spark), limit=1)
     assert sorted(r.result_idx for r in prepared.findings.collect()) == [0, 1]
+
+
+def test_publish(spark, first_run, tmp_path):
+    prepared, _, done = first_run
+    runs = spark.createDataFrame(
+        [(run, "0.1.0", "0.1.0", "reviewer-1", "/repos/shop", "/scans/one.json") for run in ("scan0", "empty")],
+        "run_id string, tool_version string, prompt_version string, model string, repo_path string, findings_path string",
+    ).withColumn("generated_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    path = str(tmp_path / "report")
+    publish(done, prepared.scan_errors, runs, path)
+
+    (part,) = glob.glob(path + "/markdown/run_id=scan0/part-*")
+    text = open(part, encoding="utf-8").read()
+    assert text.startswith("# Triage report\n\n_Generated 2024-01-02 03:04 UTC_\n\n## Summary\n\n| Metric | Value |\n")
+    assert "| Total findings | 6 |" in text and "| Cache | 0 hits, 2 misses (0% hit rate) |" in text
+    order = [line for line in text.splitlines() if line.startswith("### ")]
+    assert [line.split(" ", 2)[1] for line in order] == ["1.", "2.", "3.", "4.", "5.", "6."]
+    assert [line.rsplit("`", 2)[1] for line in order] == ["rule.a", "rule.html", "rule.net", "rule.wrap", "rule.a", "rule.a"]
+    assert "> ⚠️ LLM originally returned `likely_true_positive` — downgraded" in text
+    assert text.rstrip().endswith("_The scanner had 1 parse errors during the scan (not counted as findings)._")
+    assert text.index("## Findings") < text.index("### 1.") < text.index("## Per-rule statistics") < text.index("\n---\n")
+
+    (empty,) = glob.glob(path + "/markdown/run_id=empty/part-*")
+    assert "## Findings" not in open(empty, encoding="utf-8").read()
+    summary = {r.run_id: r for r in spark.read.json(path + "/json/summary").collect()}
+    assert summary["scan0"].total_findings == 6 and summary["empty"].total_findings == 0
+    assert {s.rule_id: s.total for s in summary["scan0"].rule_stats} == {"rule.a": 3, "rule.html": 1, "rule.net": 1, "rule.wrap": 1}
+    assert spark.read.json(path + "/json/findings").count() == 6
+
+
+def test_exchange_files(spark, first_run, tmp_path):
+    prepared, found, _ = first_run
+    write_requests(prepared.requests, str(tmp_path / "requests"))
+    sent = spark.read.json(str(tmp_path / "requests"))
+    assert sent.count() == 3 and set(sent.columns) == {"fingerprint", "prompt_version", "instructions", "request"}
+    (tmp_path / "replies.json").write_text(
+        json.dumps({"fingerprint": found[1].fingerprint, "reply": reply("eval(data)"), "input_tokens": 7})
+    )
+    done = T.conclude(prepared.findings, read_replies(spark, str(tmp_path / "replies.json")))
+    rows = {r.result_idx: r for r in done.collect()}
+    assert rows[1].verdict.verdict == "false_positive" and rows[1].input_tokens == 7
+    assert rows[2].synth_reason == "api_error: no reply"
+
+
+def test_fingerprint_options(spark, first_run):
+    prepared, found, _ = first_run
+    plain = {r.result_idx: r.fingerprint for r in R.add_fingerprint(prepared.findings).collect()}
+    numbered = {r.result_idx: r.fingerprint for r in R.add_fingerprint(prepared.findings, compat_line_prefix=True).collect()}
+    callees = {r.result_idx: r.fingerprint for r in R.add_fingerprint(prepared.findings, include_callees=True).collect()}
+    assert plain == {i: r.fingerprint for i, r in found.items()}
+    # Without an enclosing function nothing is numbered; without resolved calls nothing is added.
+    assert {i for i in plain if plain[i] != numbered[i]} == {1, 2, 4, 5}
+    assert {i for i in plain if plain[i] != callees[i]} == {2, 4}

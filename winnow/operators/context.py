@@ -234,16 +234,16 @@ class CodeIndex:
 def build_contexts(findings: DataFrame, files: DataFrame, follow_alias: bool = False) -> DataFrame:
     """Add ``context``, ``function_text`` and ``context_error`` to processable findings.
 
-    Findings are first reduced to distinct spans; all lookups work on spans, functions and names.
-    Texts are attached last, one join each, and only left joins follow the findings, so every
-    finding keeps exactly one row.
+    Findings are first reduced to distinct spans; all lookups work on spans, functions and names,
+    and texts are attached to those. The findings themselves take part in a single left join, so
+    they are shuffled once and each keeps exactly one row.
     """
     spans = findings.select("repo_id", F.col("file_path").alias("path"), "start_line", "end_line")
     index = CodeIndex(spans, files, follow_alias)
 
-    catalog = files.select(*FILE, "length").distinct()
     known = (
-        catalog.join(spans.select(*FILE).distinct(), FILE, "left_semi")
+        files.select(*FILE, "length")
+        .join(spans.select(*FILE).distinct(), FILE, "left_semi")
         .join(index.suspects().withColumn("_suspect", F.lit(True)), FILE, "left")
         .join(index.imports_text, FILE, "left")
     )
@@ -252,13 +252,13 @@ def build_contexts(findings: DataFrame, files: DataFrame, follow_alias: bool = F
         .join(index.called_functions(), FUNCTION, "left")
         .join(index.leaving_repository().withColumn("_leaves", F.lit(True)), FUNCTION, "left")
     )
-    per_span = index.spans.join(per_function, FUNCTION, "left")
-
-    out = (
-        findings.withColumn("path", F.col("file_path"))
+    per_span = (
+        index.spans.drop("function_end")
+        .join(per_function, FUNCTION, "left")
         .join(known, FILE, "left")
-        .join(per_span.drop("function_end"), [*FILE, "start_line", "end_line"], "left")
+        .withColumnRenamed("path", "file_path")
     )
+    out = findings.join(per_span, ["repo_id", "file_path", "start_line", "end_line"], "left")
     too_large = F.col("length") > MAX_FILE_BYTES
     readable = F.col("length").isNotNull() & ~too_large
     notes = F.concat(

@@ -40,25 +40,22 @@ def scan_file_rejects(parsed: DataFrame) -> DataFrame:
 
 
 def raw_results(parsed: DataFrame) -> DataFrame:
-    """One row per entry of ``results`` with its position."""
-    return parsed.filter("doc_error IS NULL").select(
-        "scan_id",
-        "repo_id",
-        F.posexplode(F.try_variant_get("doc", "$.results", "array<variant>")).alias("result_idx", "result"),
-    )
+    """One row per entry of ``results`` with its position.
+
+    Unusable documents have no list to explode. A filter on ``doc_error`` instead would be pushed
+    below the parse and parse every document twice.
+    """
+    usable = F.when(F.col("doc_error").isNull(), F.try_variant_get("doc", "$.results", "array<variant>"))
+    return parsed.select("scan_id", "repo_id", F.posexplode(usable).alias("result_idx", "result"))
 
 
 def scan_errors(parsed: DataFrame) -> DataFrame:
     """What the scanner could not read: ``path: first line of the message`` per error object."""
-    errors = (
-        parsed.filter(V.is_array(V.child(F.col("doc"), "$.errors")))
-        .select(
-            "scan_id",
-            "repo_id",
-            F.posexplode(F.try_variant_get("doc", "$.errors", "array<variant>")).alias("error_idx", "error"),
-        )
-        .filter(V.is_object(F.col("error")))
-    )
+    errors = parsed.select(
+        "scan_id",
+        "repo_id",
+        F.posexplode(F.try_variant_get("doc", "$.errors", "array<variant>")).alias("error_idx", "error"),
+    ).filter(V.is_object(F.col("error")))
     path = F.coalesce(V.display(V.child(F.col("error"), "$.path")), F.lit("<unknown>"))
     message = F.coalesce(V.display(V.child(F.col("error"), "$.message")), F.lit("Unknown error"))
     return errors.select(

@@ -63,22 +63,39 @@ def haystack(finding: dict[str, Column], context: Column, code_only: bool = Fals
 def quote_statuses(quotes: Column, hay: Column) -> Column:
     """Per quote ``empty``, ``exact``, ``normalized`` or ``fabricated``.
 
-    The text is normalized once, and only for findings that have quotes.
+    The text is normalized once, and only where some quote is not found as it stands.
     """
 
-    def status(text: Column, quote: Column) -> Column:
-        return let(
-            F.struct(quote.alias("raw"), normalize_ws(quote).alias("normalized")),
-            lambda q: F.when(q["normalized"] == "", F.lit("empty"))
-            .when(F.contains(text["raw"], q["raw"]), F.lit("exact"))
-            .when(F.contains(text["normalized"], q["normalized"]), F.lit("normalized"))
-            .otherwise(F.lit("fabricated")),
-        )
-
-    both = let(hay, lambda text: F.struct(text.alias("raw"), normalize_ws(text).alias("normalized")))
+    def literal(text: Column, quote: Column) -> Column:
+        return F.when(normalize_ws(quote) == "", F.lit("empty")).when(F.contains(text, quote), F.lit("exact"))
+
+    def by_words(normalized: Column, quote: Column) -> Column:
+        found = F.contains(normalized, normalize_ws(quote))
+        return F.when(found, F.lit("normalized")).otherwise(F.lit("fabricated"))
+
+    first = let(
+        F.struct(quotes.alias("quotes"), hay.alias("hay")),
+        lambda s: F.struct(
+            F.transform(
+                s["quotes"],
+                lambda quote: F.struct(quote.alias("quote"), literal(s["hay"], quote).alias("status")),
+            ).alias("quotes"),
+            s["hay"].alias("hay"),
+        ),
+    )
+    missed = let(
+        first,
+        lambda s: F.struct(
+            s["quotes"].alias("quotes"),
+            F.when(F.exists(s["quotes"], lambda q: q["status"].isNull()), normalize_ws(s["hay"])).alias("normalized"),
+        ),
+    )
     checked = let(
-        F.struct(quotes.alias("quotes"), both.alias("text")),
-        lambda s: F.transform(s["quotes"], lambda quote: status(s["text"], quote)),
+        missed,
+        lambda s: F.transform(
+            s["quotes"],
+            lambda q: F.when(q["status"].isNotNull(), q["status"]).otherwise(by_words(s["normalized"], q["quote"])),
+        ),
     )
     return F.when(F.size(quotes) > 0, checked).otherwise(no_strings())
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.text import numbered, text_lines
 from winnow.schemas import CALLED_FUNCTION, CONTEXT, NEEDS_HUMAN_REVIEW, STORED, STRINGS, VERDICT
-from winnow.session import spread
+from winnow.session import spread, stage
 
 REPO = "notes"
 
@@ -164,9 +164,11 @@ def code_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.replace(F.col("text"), F.lit("\n"), F.lit("\n    # ")), F.lit("\n    return text"),
         ).alias("text"),
     )
-    return modules.unionByName(checks).select(
+    tree = modules.unionByName(checks).select(
         F.lit(REPO).alias("repo_id"), "path", F.octet_length("text").cast("long").alias("length"), "text"
     )
+    # Written once, as a source tree is, so that readers of paths or lengths do not build texts.
+    return stage(tree)
 
 
 def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

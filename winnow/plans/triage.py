@@ -79,12 +79,11 @@ def prepare(
         looked_up = R.reuse_verdicts(keyed.filter(may_reuse), R.usable_entries(store))
         none = F.lit(None).cast(looked_up.schema["stored"].dataType)
         rest = keyed.filter(~may_reuse).withColumn("stored", none).withColumn("from_cache", F.lit(False))
-        findings = looked_up.unionByName(rest)
+        findings = stage(looked_up.unionByName(rest))
     else:
         payload = [f for f in STORED.fields if f.name not in ("fingerprint", "stored_at")]
         none = F.lit(None).cast("struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in payload) + ">")
         findings = keyed.withColumn("stored", none).withColumn("from_cache", F.lit(False))
-    findings = stage(findings)
 
     work = findings.filter("route = 'review' AND NOT from_cache")
     return Prepared(
