@@ -222,7 +222,7 @@ def blocks(logical: DataFrame) -> DataFrame:
     """Functions and classes: ``kind, name, start_line, end_line, indent, chain, scope``.
 
     A logical line with a smaller indent than the line before closes the blocks in between, one
-    close event per indent level. A block ends at the next close event of its own level, and its
+    close event per indent level at which the file has headers. A block ends at the next close event of its own level, and its
     ancestors are the latest still open headers of the lower levels, so both are a running window
     per level instead of a join of headers with lines.
 
@@ -237,10 +237,8 @@ def blocks(logical: DataFrame) -> DataFrame:
     stepped = (
         logical.withColumn("_body_indent", F.lead("indent").over(in_order))
         .withColumn("_top", F.when(above_header, above_indent).otherwise(above_indent - 1))
-        .withColumn(
-            "_closes",
-            F.when(F.col("_top") >= F.col("indent"), F.sequence("indent", "_top")).otherwise(F.array().cast("array<int>")),
-        )
+        .withColumn("levels", F.collect_set(F.when(is_header, F.col("indent"))).over(Window.partitionBy(*FILE)))
+        .withColumn("_closes", F.filter("levels", lambda level: level.between(F.col("indent"), F.col("_top"))))
     )
     closing = F.transform("_closes", lambda level: F.struct(level.alias("level"), F.lit(0).alias("opens")))
     opening = F.when(is_header, F.array(F.struct(F.col("indent").alias("level"), F.lit(1).alias("opens"))))
@@ -264,6 +262,7 @@ def blocks(logical: DataFrame) -> DataFrame:
             F.col("ln").alias("start_line"),
             F.coalesce("_end", "last_code_ln").alias("end_line"),
             "indent",
+            "levels",
             F.col("_body_indent").alias("body_indent"),
         )
     )
@@ -271,7 +270,7 @@ def blocks(logical: DataFrame) -> DataFrame:
     # Each header asks every lower level for its latest header, and answers at its own level.
     own = F.struct(F.col("indent").alias("level"), F.lit(1).alias("answers"))
     lower = F.transform(
-        F.when(F.col("indent") > 0, F.sequence(F.lit(0), F.col("indent") - 1)).otherwise(F.array().cast("array<int>")),
+        F.filter("levels", lambda level: level < F.col("indent")),
         lambda level: F.struct(level.alias("level"), F.lit(0).alias("answers")),
     )
     asked = ended.withColumn("ask", F.explode(F.concat(F.array(own), lower))).withColumn("level", F.col("ask.level"))

@@ -18,6 +18,7 @@ from winnow.operators.context import CodeIndex, build_contexts, enclosing_functi
 from winnow.plans import corpus as D
 from winnow.plans import triage as T
 from winnow.schemas import PROMPT_VERSION, REPLIES, STORED
+from winnow.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,7 +103,7 @@ def limit_per_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.table(spark, sf_dir, "documents")
+    docs = D.documents(spark, sf_dir)
     shown = text.numbered(text.text_lines(F.col("text")), F.col("n_chars").cast("int"))
     return docs.select("doc_id", shown.alias("numbered"), text.strip_line_prefixes(shown).alias("stripped"))
 
@@ -268,7 +269,7 @@ def evidence_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of a conversation as a quote from the document of the same number."""
     turns = D.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn", "text").agg(F.count("*").alias("copies"))
-    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("hay"))
+    docs = D.documents(spark, sf_dir).select("doc_id", F.col("text").alias("hay"))
     return turns.join(docs, F.col("conv_id") == F.col("doc_id")).select(
         "doc_id",
         "turn",
@@ -287,7 +288,7 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = D.table(spark, sf_dir, "pages").select(
         "page_id", F.regexp_replace("html", r"[^\x00-\x7f]", "e").alias("reasoning")
     )
-    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("hay"))
+    docs = D.documents(spark, sf_dir).select("doc_id", F.col("text").alias("hay"))
     found = pages.join(docs, F.col("page_id") == F.col("doc_id"))
     suspects = V.suspect_tokens(F.col("reasoning"), F.col("hay"))
     return found.select(
@@ -453,15 +454,17 @@ def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_chars")
-    return _checked(spark, sf_dir).withColumns(
+    """A finished run, written as one is: several report parts read it."""
+    usable = F.col("synth_reason").isNull()
+    rows = _checked(spark, sf_dir).withColumns(
         {
-            "from_cache": (F.col("lang") == "fr") & F.col("synth_reason").isNull(),
-            "input_tokens": F.when(F.col("synth_reason").isNull(), k),
-            "output_tokens": F.when(F.col("synth_reason").isNull(), F.size("lines").cast("long")),
+            "from_cache": (F.col("lang") == "fr") & usable,
+            "input_tokens": F.when(usable, F.col("n_chars")),
+            "output_tokens": F.when(usable, F.size("lines").cast("long")),
             "duration_seconds": F.lit(0.5),
         }
     )
+    return stage(rows.drop("text", "lines", "matched_code", "function_text", "context"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:

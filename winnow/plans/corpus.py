@@ -299,11 +299,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as an older verdict store, keyed by the fingerprint of the current text."""
+    """Labelled documents as a written verdict store, keyed by the fingerprint of their text."""
     from winnow.operators.reuse import add_fingerprint
 
     rows = add_fingerprint(labelled(spark, sf_dir).filter("has_label"))
-    return rows.select(
+    entries = rows.select(
         "fingerprint",
         "verdict",
         F.lit(True).alias("verification_passed"),
@@ -314,4 +314,5 @@ def stored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").alias("input_tokens"),
         F.size("lines").cast("long").alias("output_tokens"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("stored_at"),
-    ).select(*STORED.fieldNames())
+    )
+    return stage(entries.select(*STORED.fieldNames()))
