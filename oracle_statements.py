@@ -308,6 +308,11 @@ STATEMENTS["evidence_quotes"] = f"""
 WITH {LABELLED}
 SELECT doc_id, array_to_string(statuses, ';') AS statuses, array_to_string(issues, {NL}) AS issues FROM o"""
 
+STATEMENTS["quote_checks"] = f"""
+WITH {LABELLED}
+SELECT CAST(doc_id AS VARCHAR) AS finding_id, CAST(unnest(range(len(quotes))) + 1 AS INTEGER) AS quote_no,
+    unnest(quotes) AS quote, unnest(statuses) AS status FROM s"""
+
 STATEMENTS["quote_search"] = f"""
 WITH t AS (SELECT conv_id, turn, text, count(*) AS copies FROM conversations GROUP BY ALL)
 SELECT doc_id, turn, copies, {status('t.text', 'd.text', norm('d.text'))} AS turn_status,

@@ -99,14 +99,18 @@ def test_scan_errors(spark):
 
 
 def test_unusable_documents(spark):
-    docs = scan_docs(spark, "{broken", "[1]", "{}", {"results": 5}, {"results": [result("a.py", 1)]})
+    good = {"paths": {}, "results": [result("a.py", 1)], "errors": 7}
+    docs = scan_docs(spark, "{broken", "[1]", "{}", {"results": 5}, good, '{"results": [] } x', '{"results": [1,]}')
     parsed = I.scan_documents(docs)
     assert {r.scan_id: r.reason for r in I.scan_file_rejects(parsed).collect()} == {
         "scan0": "not valid JSON",
         "scan1": "not a JSON object",
         "scan2": "no top-level results",
         "scan3": "results is not a list",
+        "scan5": "not valid JSON",
+        "scan6": "not valid JSON",
     }
+    assert I.scan_errors(parsed).count() == 0
     assert I.raw_results(parsed).count() == 1
     with pytest.raises(Exception, match="scan scan[0-3]: not"):
         I.raw_results(I.scan_documents(docs.filter("scan_id < 'scan2'"), on_error="raise")).collect()
@@ -167,3 +171,8 @@ def test_readers(spark, tmp_path):
     }
     plan = files.filter(F.col("length") <= 8)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,8)" in plan
+
+
+def test_repeated_keys(spark):
+    docs = scan_docs(spark, '{"results": [{"check_id": "a", "check_id": "b", "path": "p", "start": {"line": 1}, "end": {"line": 1}}]}')
+    assert I.parse_results(I.raw_results(I.scan_documents(docs))).first().rule_id == "b"

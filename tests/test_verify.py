@@ -158,3 +158,17 @@ def test_reply_validation(spark, reply, error, reason):
     assert (row.input_tokens, row.output_tokens) == (5, 0)
     if reason is None:
         assert all(isinstance(row.verdict[name], list) for name in ("evidence_quotes", "missing_context", "fp_categories"))
+
+
+def test_route_fallbacks(spark):
+    routes = ["unsupported_language", "context_failure", "pipeline_failure", "degraded_context", "review"]
+    df = spark.createDataFrame([(r,) for r in routes], "route string")
+    verdict = X.route_fallback(F.col("route"), F.lit("a.js"), F.lit("ValueError"))
+    got = {r.route: r.v for r in df.select("route", verdict.alias("v")).collect()}
+    assert got.pop("review") is None
+    assert all((v.verdict, v.confidence) == ("needs_human_review", "low") for v in got.values())
+    assert [v.reasoning.split(":")[0].split(";")[0] for v in got.values()][:3] == [
+        "v0.1 supports Python files only",
+        "Extractor crashed before LLM call",
+        "Pipeline error",
+    ]

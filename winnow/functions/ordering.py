@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 100_000
@@ -26,37 +26,30 @@ def number_rows(
     sums go over those counts only: first chunks within a coarse key, then coarse keys in a group.
     """
     group, coarse = list(group), list(coarse)
-    keyed = df.withColumn("_chunk", F.floor(F.col(index) / F.lit(chunk_rows)).cast("long"))
-    chunk_key = [*group, *coarse, "_chunk"]
-    counts = keyed.groupBy(*chunk_key).agg(F.count("*").alias("_n"))
-
-    in_coarse = counts.withColumn("_skip_chunks", _sum_over(Window.partitionBy(*group, *coarse).orderBy("_chunk")))
-    totals = counts.groupBy(*group, *coarse).agg(F.sum("_n").alias("_n"))
-    in_group = totals.withColumn(
-        "_skip_keys", _sum_over(Window.partitionBy(*group).orderBy(*[F.col(c) for c in coarse]))
-    ).drop("_n")
-    offsets = (
-        _join_null_safe(in_coarse.drop("_n"), in_group, [*group, *coarse])
-        .withColumn("_offset", F.col("_skip_chunks") + F.col("_skip_keys"))
-        .drop("_skip_chunks", "_skip_keys")
+    chunk = F.floor(F.col(index) / F.lit(chunk_rows)).cast("long").alias("_chunk")
+    # Keys are compared as one struct, so missing values count as equal and the join below reuses
+    # the partitioning of the window.
+    keyed = df.withColumn("_key", F.struct(F.struct(*group, *coarse).alias("coarse"), chunk))
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n")).select("_key", "_key.*", "_n")
+
+    totals = counts.groupBy("coarse").agg(F.sum("_n").alias("_n"))
+    groups = [F.col("coarse")[c] for c in group]
+    order = [F.col("coarse")[c] for c in coarse]
+    in_group = totals.select("coarse", _sum_before(Window.partitionBy(*groups).orderBy(*order)).alias("_keys"))
+    in_coarse = counts.select(
+        "_key", "coarse", _sum_before(Window.partitionBy("coarse").orderBy("_chunk")).alias("_chunks")
     )
-    within = Window.partitionBy(*chunk_key).orderBy(index)
+    offsets = in_coarse.join(in_group, "coarse").select("_key", (F.col("_chunks") + F.col("_keys")).alias("_offset"))
+
+    within = Window.partitionBy("_key").orderBy(index)
     local = keyed.withColumn("_local", F.row_number().over(within))
     return (
-        _join_null_safe(local, offsets, chunk_key)
+        local.join(offsets, "_key")
         .withColumn(name, F.col("_offset") + F.col("_local"))
-        .drop("_chunk", "_local", "_offset")
+        .drop("_key", "_local", "_offset")
     )
 
 
-def _sum_over(window) -> Column:
+def _sum_before(window: WindowSpec) -> Column:
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum("_n").over(before), F.lit(0))
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
-    return left.join(renamed, condition, "inner").drop(*[f"_r_{k}" for k in keys])

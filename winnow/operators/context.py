@@ -153,7 +153,7 @@ class CodeIndex:
             *FUNCTION, "function_end", "function_name"
         ).distinct()
 
-        calls = call_sites(self.needed, self.lines)
+        calls = stage(call_sites(self.needed, self.lines))
         imported = C.imports_map(statements, follow_alias)
         # Only names that are called can lead to another file.
         called = imported.join(calls.select(*FILE, "name").distinct(), [*FILE, "name"], "left_semi")

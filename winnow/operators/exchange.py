@@ -232,44 +232,46 @@ def reply_note(synth_reason: Column) -> Column:
 def route_findings(findings: DataFrame) -> DataFrame:
     """Add ``route``: why a finding is not sent, or ``review`` for those that are.
 
-    Needs ``processable``, ``context`` and ``context_error``; the three fallbacks are
-    ``unsupported_language``, ``context_failure`` and ``degraded_context``.
+    Needs ``processable``, ``context`` and ``context_error``. The fallbacks are
+    ``unsupported_language``, ``context_failure``, ``degraded_context`` and, for findings that a
+    caller has given a ``pipeline_error``, ``pipeline_failure``.
     """
+    route = F.when(~F.col("processable"), F.lit("unsupported_language")).when(
+        F.col("context_error").isNotNull(), F.lit("context_failure")
+    )
+    if "pipeline_error" in findings.columns:
+        route = route.when(F.col("pipeline_error").isNotNull(), F.lit("pipeline_failure"))
     return findings.withColumn(
-        "route",
-        F.when(~F.col("processable"), F.lit("unsupported_language"))
-        .when(F.col("context_error").isNotNull(), F.lit("context_failure"))
-        .when(is_degraded(F.col("context")), F.lit("degraded_context"))
-        .otherwise(F.lit("review")),
+        "route", route.when(is_degraded(F.col("context")), F.lit("degraded_context")).otherwise(F.lit("review"))
     )
 
 
-def route_fallback(route: Column, file_path: Column, context_error: Column) -> Column:
+def route_fallback(route: Column, file_path: Column, error: Column) -> Column:
     """Verdict of a finding that is not sent to the reviewer; NULL for ``review``."""
-    reasoning = (
-        F.when(
-            route == "unsupported_language",
+    cause = F.coalesce(error, F.lit("Error"))
+    # Per route the reasoning and the suggested action.
+    texts = {
+        "unsupported_language": (
             F.concat(F.lit("v0.1 supports Python files only; "), file_path, F.lit(" requires manual review.")),
-        )
-        .when(
-            route == "context_failure",
-            F.concat(F.lit("Extractor crashed before LLM call: "), F.coalesce(context_error, F.lit("Error"))),
-        )
-        .when(
-            route == "degraded_context",
-            F.lit(
-                "Could not extract enough context (no containing function or called functions) to send to the LLM."
-            ),
-        )
-    )
-    action = (
-        F.when(
-            route == "unsupported_language",
-            F.lit("Review manually. Multi-language support is planned for v0.2."),
-        )
-        .when(route == "context_failure", F.lit("File a bug report with the rule_id and file_path."))
-        .otherwise(F.lit("Review manually; the file may be unreadable or use an unusual structure."))
-    )
+            "Review manually. Multi-language support is planned for v0.2.",
+        ),
+        "context_failure": (
+            F.concat(F.lit("Extractor crashed before LLM call: "), cause),
+            "File a bug report with the rule_id and file_path.",
+        ),
+        "pipeline_failure": (
+            F.concat(F.lit("Pipeline error: "), cause),
+            "Re-run with --no-cache, or file a bug report if reproducible.",
+        ),
+        "degraded_context": (
+            F.lit("Could not extract enough context (no containing function or called functions) to send to the LLM."),
+            "Review manually; the file may be unreadable or use an unusual structure.",
+        ),
+    }
+    reasoning, action = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (why, what) in texts.items():
+        reasoning = F.when(route == name, why).otherwise(reasoning)
+        action = F.when(route == name, F.lit(what)).otherwise(action)
     verdict = review_verdict(reasoning, "Verdict synthesized; LLM was not called.", action)
     return F.when(reasoning.isNotNull(), verdict)
 

@@ -15,24 +15,34 @@ REDACTED = "requires login"
 UNKNOWN_TRACE = "Dataflow trace present (structure unrecognized)"
 
 
+DOCUMENT = "results array<variant>, errors array<variant>, malformed string"
+
+
 def scan_documents(docs: DataFrame, on_error: str = "quarantine") -> DataFrame:
-    """Parse ``text`` into the variant ``doc``; ``doc_error`` tells why a document is unusable.
+    """Parse ``text`` into ``doc``, lists of loosely typed results and errors.
 
-    ``on_error='raise'`` fails the job at the first unusable document instead.
+    ``doc_error`` tells why a document is unusable; ``on_error='raise'`` fails the job at the first
+    such document instead. Only list elements become variants: a variant of a whole document would
+    end at 128 MiB and hold parts nobody reads.
     """
     if on_error not in ("quarantine", "raise"):
         raise ValueError(f"on_error must be 'quarantine' or 'raise', got {on_error!r}")
-    parsed = docs.select("scan_id", "repo_id", F.try_parse_json("text").alias("doc"))
-    error = (
-        F.when(F.col("doc").isNull(), F.lit("not valid JSON"))
-        .when(~V.is_object(F.col("doc")), F.lit("not a JSON object"))
-        .when(V.child(F.col("doc"), "$.results").isNull(), F.lit("no top-level results"))
-        .when(~V.is_array(V.child(F.col("doc"), "$.results")), F.lit("results is not a list"))
+    doc = F.from_json("text", DOCUMENT, {"columnNameOfCorruptRecord": "malformed"})
+    parsed = docs.select("scan_id", "repo_id", doc.alias("doc"), "text")
+    text = F.col("text")
+    whole = F.try_parse_json(text)
+    closed = F.rtrim(text, F.lit(" \t\r\n")).endswith("}")
+    why = (
+        F.when(whole.isNull(), F.lit("not valid JSON"))
+        .when(~V.is_object(whole), F.lit("not a JSON object"))
+        .when(V.child(whole, "$.results").isNull(), F.lit("no top-level results"))
+        .otherwise(F.lit("results is not a list"))
     )
+    error = F.when(F.col("doc.results").isNull(), why).when(~closed, F.lit("not valid JSON"))
     if on_error == "raise":
         message = F.concat(F.lit("scan "), F.col("scan_id"), F.lit(": "), error)
         error = F.when(error.isNotNull(), F.raise_error(message).cast("string"))
-    return parsed.withColumn("doc_error", error)
+    return parsed.withColumn("doc_error", error).drop("text")
 
 
 def scan_file_rejects(parsed: DataFrame) -> DataFrame:
@@ -45,16 +55,14 @@ def raw_results(parsed: DataFrame) -> DataFrame:
     Unusable documents have no list to explode. A filter on ``doc_error`` instead would be pushed
     below the parse and parse every document twice.
     """
-    usable = F.when(F.col("doc_error").isNull(), F.try_variant_get("doc", "$.results", "array<variant>"))
+    usable = F.when(F.col("doc_error").isNull(), F.col("doc.results"))
     return parsed.select("scan_id", "repo_id", F.posexplode(usable).alias("result_idx", "result"))
 
 
 def scan_errors(parsed: DataFrame) -> DataFrame:
     """What the scanner could not read: ``path: first line of the message`` per error object."""
     errors = parsed.select(
-        "scan_id",
-        "repo_id",
-        F.posexplode(F.try_variant_get("doc", "$.errors", "array<variant>")).alias("error_idx", "error"),
+        "scan_id", "repo_id", F.posexplode("doc.errors").alias("error_idx", "error")
     ).filter(V.is_object(F.col("error")))
     path = F.coalesce(V.display(V.child(F.col("error"), "$.path")), F.lit("<unknown>"))
     message = F.coalesce(V.display(V.child(F.col("error"), "$.message")), F.lit("Unknown error"))

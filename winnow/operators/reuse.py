@@ -108,8 +108,7 @@ def write_store(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     current = _partitioned_store(spark, path).join(touched, PREFIX, "left_semi")
     merged = latest_entries(current.unionByName(fresh).drop(PREFIX))
     (
-        stage(merged)
-        .withColumn(PREFIX, F.substring("fingerprint", 1, 2))
+        merged.withColumn(PREFIX, F.substring("fingerprint", 1, 2))
         .hint("rebalance", PREFIX)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

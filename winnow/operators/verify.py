@@ -100,6 +100,16 @@ def quote_statuses(quotes: Column, hay: Column) -> Column:
     return F.when(F.size(quotes) > 0, checked).otherwise(no_strings())
 
 
+def quote_checks(rows: DataFrame, code_only: bool = False) -> DataFrame:
+    """The evidence check quote by quote, for audits: ``finding_id, quote_no, quote, status``."""
+    finding = {name: F.col(name) for name in ("matched_code", "message", "rule_id", "file_path")}
+    quotes = F.col("verdict.evidence_quotes")
+    statuses = quote_statuses(quotes, haystack(finding, F.col("context"), code_only))
+    return rows.select(
+        "finding_id", F.posexplode(F.arrays_zip(quotes.alias("quote"), statuses.alias("status"))).alias("pos", "check")
+    ).select("finding_id", (F.col("pos") + 1).alias("quote_no"), "check.quote", "check.status")
+
+
 def quote_issues(label: Column, quotes: Column, statuses: Column) -> Column:
     """Issue texts of the evidence check; an empty list means it passed."""
     issue = F.zip_with(

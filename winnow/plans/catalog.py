@@ -266,6 +266,10 @@ def evidence_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.quote_checks(D.labelled(spark, sf_dir))
+
+
 def quote_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of a conversation as a quote from the document of the same number."""
     turns = D.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn", "text").agg(F.count("*").alias("copies"))
@@ -611,6 +615,7 @@ QUERIES: dict[str, Query] = {
         request_export,
         reply_validate,
         evidence_quotes,
+        quote_checks,
         quote_search,
         grounding,
         downgrade,

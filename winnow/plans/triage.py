@@ -125,7 +125,8 @@ def conclude(
 
     stored = F.col("stored")
     kept = findings.filter(~sent)
-    fallback = X.route_fallback(F.col("route"), F.col("file_path"), F.col("context_error"))
+    error = F.coalesce("pipeline_error", "context_error") if "pipeline_error" in findings.columns else F.col("context_error")
+    fallback = X.route_fallback(F.col("route"), F.col("file_path"), error)
     rest = kept.select(
         *[c for c in findings.columns if c != "stored"],
         F.coalesce(stored["verdict"], fallback).alias("verdict"),

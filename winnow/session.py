@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A repeated key in scan JSON is not an error: the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
