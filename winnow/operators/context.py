@@ -76,7 +76,8 @@ def module_candidates(path: Column, module: Column) -> dict[str, Column]:
 
 def resolve_modules(modules: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``target_path`` to distinct ``repo_id, path, module``: ``m.py``, else ``m/__init__.py``."""
-    catalog = files.select("repo_id", F.col("path").alias("_found")).distinct()
+    # Plain scans on this side: adaptive execution can then split the importers of a hot module.
+    catalog = files.select("repo_id", F.col("path").alias("_found"))
     candidates = module_candidates(F.col("path"), F.col("module"))
     out = modules
     for name, candidate in candidates.items():
@@ -96,7 +97,7 @@ def call_sites(functions: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def resolve_calls(
-    calls: DataFrame, same_file: DataFrame, imports: DataFrame, files: DataFrame, module_definitions: DataFrame
+    calls: DataFrame, same_file: DataFrame, imports: DataFrame, module_definitions: DataFrame
 ) -> DataFrame:
     """Where each called name is defined: in the same file, else one import away.
 
@@ -162,11 +163,8 @@ class CodeIndex:
         targets = self.imports.filter("target_path IS NOT NULL").select("repo_id", F.col("target_path").alias("path"))
         self.target_lines = stage(C.file_lines(files.join(targets.distinct(), FILE, "left_semi")))
         target_functions = C.functions(C.blocks(C.logical_lines(self.target_lines)))
-        self.calls = stage(
-            resolve_calls(
-                calls, C.definitions(self.functions), self.imports, files, C.definitions(target_functions)
-            )
-        )
+        elsewhere = stage(C.definitions(target_functions))
+        self.calls = stage(resolve_calls(calls, C.definitions(self.functions), self.imports, elsewhere))
 
     def suspects(self) -> DataFrame:
         return self.logical.filter("suspect").select(*FILE).distinct()

@@ -148,49 +148,53 @@ def build_requests(work: DataFrame, instruction_rows: DataFrame) -> DataFrame:
     )
 
 
+REPLY_TEXTS = ("verdict", "confidence", "reasoning", "suggested_action")
+REPLY_LISTS = ("evidence_quotes", "missing_context", "fp_categories")
+
+
 def parse_reply(replies: DataFrame) -> DataFrame:
     """Validate replies: ``verdict`` where usable, else ``synth_reason`` says why not.
 
-    Labels must come from the vocabularies, three fields must be strings, and the three lists may
-    be absent, null or ``''``, which stand for an empty list.
+    Labels must come from the vocabularies, four fields must be strings, and the three lists may
+    be absent, null or ``''``, which stand for an empty list. Each step is a column of its own, so
+    that a reply is parsed once.
     """
-    r = F.try_parse_json("reply")
 
-    def text(key: str) -> Column:
-        return V.string(V.child(r, f"$.{key}"))
-
-    def strings(key: str) -> Column:
-        value = V.child(r, f"$.{key}")
+    def strings(value: Column) -> Column:
+        items = V.items(value)
         return F.when(V.is_absent(value) | (V.string(value) == ""), no_strings()).when(
-            V.is_array(value) & F.forall(F.try_variant_get(value, "$", "array<variant>"), V.is_string),
-            F.try_variant_get(value, "$", "array<string>"),
+            items.isNotNull() & F.forall(items, V.is_string), F.try_variant_get(value, "$", "array<string>")
         )
 
-    lists = {key: strings(key) for key in ("evidence_quotes", "missing_context", "fp_categories")}
+    parsed = replies.withColumn("_reply", F.try_parse_json("reply"))
+    fields = parsed.withColumns({f"_{key}": V.child(F.col("_reply"), f"$.{key}") for key in REPLY_TEXTS + REPLY_LISTS})
+    typed = fields.withColumns(
+        {f"_text_{key}": V.string(F.col(f"_{key}")) for key in REPLY_TEXTS}
+        | {f"_list_{key}": strings(F.col(f"_{key}")) for key in REPLY_LISTS}
+    )
+    text = {key: F.col(f"_text_{key}") for key in REPLY_TEXTS}
+    lists = {key: F.col(f"_list_{key}") for key in REPLY_LISTS}
     valid = (
-        V.is_object(r)
-        & text("verdict").isin(VERDICT_LABELS)
-        & text("confidence").isin(CONFIDENCES)
-        & text("reasoning").isNotNull()
-        & text("suggested_action").isNotNull()
+        text["verdict"].isin(VERDICT_LABELS)
+        & text["confidence"].isin(CONFIDENCES)
+        & text["reasoning"].isNotNull()
+        & text["suggested_action"].isNotNull()
         & lists["evidence_quotes"].isNotNull()
         & lists["missing_context"].isNotNull()
         & F.forall(lists["fp_categories"], lambda category: category.isin(FP_CATEGORIES))
     )
     verdict = F.struct(
-        *[text(key).alias(key) for key in ("verdict", "confidence", "reasoning")],
-        *[value.alias(key) for key, value in lists.items()],
-        text("suggested_action").alias("suggested_action"),
+        *[(text | lists)[key].alias(key) for key in VERDICT.fieldNames()],
     ).cast(VERDICT)
     reason = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit("api_error: "), F.col("error")))
         .when(F.col("reply").isNull(), F.lit("no_tool_use"))
         .when(~F.coalesce(valid, F.lit(False)), F.lit("schema_validation_failed"))
     )
-    return replies.select(
+    return typed.withColumn("synth_reason", reason).select(
         "fingerprint",
-        F.when(reason.isNull(), verdict).alias("verdict"),
-        reason.alias("synth_reason"),
+        F.when(F.col("synth_reason").isNull(), verdict).alias("verdict"),
+        "synth_reason",
         "duration_seconds",
         F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"),
         F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"),

@@ -185,26 +185,25 @@ def scan_rejects(parsed: DataFrame) -> DataFrame:
 def resolve_matched_code(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``matched_code``: the embedded lines, or the file's lines where those are redacted.
 
-    Findings with embedded lines stay out of the join. Only files that some redacted finding names
-    take part, so no other file's text is shuffled.
+    Findings with embedded lines stay out of the join. The others are reduced to distinct spans
+    before they meet files, and only files that some span names take part, so a file with most of
+    the findings is cut up once per span.
     """
     embedded = F.col("embedded_lines")
     redacted = embedded.isNull() | embedded.isin("", REDACTED)
     as_given = findings.filter(~redacted).withColumn("matched_code", embedded)
     to_read = findings.filter(redacted)
 
-    wanted = to_read.select("repo_id", F.col("file_path").alias("path")).distinct()
-    texts = files.join(wanted, ["repo_id", "path"], "left_semi").select(
-        "repo_id", F.col("path").alias("file_path"), text_lines(F.col("text")).alias("_lines")
+    file, span = ["repo_id", "file_path"], ["repo_id", "file_path", "start_line", "end_line"]
+    spans = to_read.select(*span).distinct()
+    named = files.withColumnRenamed("path", "file_path")
+    texts = named.join(spans.select(*file).distinct(), file, "left_semi").select(
+        *file, text_lines(F.col("text")).alias("_lines")
     )
     found = F.array_join(line_slice(F.col("_lines"), F.col("start_line"), F.col("end_line")), "\n")
     unread = F.concat(F.lit("<could not read file: "), F.col("file_path"), F.lit(">"))
-    read = (
-        to_read.join(texts, ["repo_id", "file_path"], "left")
-        .withColumn("matched_code", F.coalesce(found, unread))
-        .drop("_lines")
-    )
-    return as_given.unionByName(read).drop("embedded_lines")
+    code = spans.join(texts, file, "left").select(*span, F.coalesce(found, unread).alias("matched_code"))
+    return as_given.unionByName(to_read.join(code, span, "left")).drop("embedded_lines")
 
 
 def mark_processable(findings: DataFrame) -> DataFrame:

@@ -336,7 +336,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reuse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = R.latest_entries(R.usable_entries(D.stored_docs(spark, sf_dir)))
+    store = stage(R.latest_entries(R.usable_entries(D.stored_docs(spark, sf_dir))))
     found = R.reuse_verdicts(_current(spark, sf_dir), store)
     return found.select(
         "doc_id",

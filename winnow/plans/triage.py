@@ -110,9 +110,12 @@ def conclude(
     sent = F.col("route").eqNullSafe("review") & ~F.col("from_cache")
     answered = X.parse_reply(replies).withColumnRenamed("verdict", "reply_verdict")
     first = findings.filter(sent).groupBy("fingerprint").agg(F.min("finding_id").alias("first_id"))
+    # Written first, so that both sides of the join below are plain scans: adaptive execution can
+    # then split a fingerprint that many findings share.
+    answers = stage(first.join(answered, "fingerprint", "left"))
     outgoing = (
         findings.filter(sent)
-        .join(first.join(answered, "fingerprint", "left"), "fingerprint", "left")
+        .join(answers, "fingerprint", "left")
         .withColumn("synth_reason", F.when(F.col("reply_verdict").isNull(), F.coalesce("synth_reason", F.lit("api_error: no reply"))))
         .withColumnRenamed("reply_verdict", "verdict")
         .withColumn("original_verdict", F.lit(None).cast("string"))
