@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, quality, simhash, substring_dedup, topk, toxicity
+from winnow.llm import chat, html_text, quality, simhash, substring_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_exact_topk": op5_exact_topk,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op10_html_text": op10_html_text,
 }
 
 OP1_SQL = r"""
