@@ -6,6 +6,7 @@ on one batch of rows at a time; temporary arrays are bounded by ``BLOCK`` bytes,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,6 +21,9 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES_LOWER = _BYTES.copy()
 _BYTES_LOWER[65:91] = _BYTES[97:123]
+_PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
+_BYTES_BARE = _BYTES_LOWER.copy()
+_BYTES_BARE[_PUNCTUATION] = 0
 _POWERS: list[np.ndarray] = []
 
 
@@ -71,8 +75,18 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def split(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """Words of every row, hashed; ``lower`` hashes A-Z as a-z."""
+def runs(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """A string column in runs of rows of at most ``size`` bytes, or of one larger text, with each run's first row."""
+    _, offsets = text_bytes(texts)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, side="right")) - 1)
+        yield low, texts.slice(low, high - low)
+        low = high
+
+
+def split(column: pa.Array | pa.ChunkedArray, lower: bool = False, bare: bool = False) -> Words:
+    """Words of every row, hashed; ``lower`` hashes A-Z as a-z, ``bare`` also ignores ASCII punctuation after a word."""
     data, offsets = text_bytes(column)
     inside = ~_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
@@ -83,7 +97,7 @@ def split(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     ends[:-1] &= ~inside[1:] | first[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
-    return Words(data, start, end, row, _hash(data, start, end, _BYTES_LOWER if lower else _BYTES))
+    return Words(data, start, end, row, _hash(data, start, end, _BYTES_BARE if bare else _BYTES_LOWER if lower else _BYTES))
 
 
 def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
