@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, class_lm, decontaminate, html_text, quality, simhash, substring_dedup, topk, toxicity
+from winnow.llm import chat, class_lm, decontaminate, html_text, mixing, quality, simhash, substring_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "epoch", "position")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +79,7 @@ QUERIES = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_exact_topk": op5_exact_topk,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
@@ -134,8 +139,63 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY rank <= 10
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE counted AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens,
+         md5(concat_ws(':', '0', doc_id::VARCHAR)) AS ord
+  FROM documents
+), sums AS (
+  SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS docs FROM counted GROUP BY source HAVING sum(n_tokens) > 0
+), shares AS (
+  SELECT list(tokens::DOUBLE / (SELECT sum(tokens) FROM sums) ORDER BY source) AS p, sum(tokens)::DOUBLE AS total FROM sums
+), target AS (
+  SELECT p, total, -list_sum([x * ln(x) FOR x IN p]) * 0.5 + 0.5 * ln(len(p)) AS h FROM shares
+), bisect AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, p, h FROM target
+  UNION ALL
+  SELECT step + 1, CASE WHEN met THEN low ELSE mid END, CASE WHEN met THEN mid ELSE high END, p, h
+  FROM (
+    SELECT *, (low + high) / 2 AS mid,
+           ln(list_sum([pow(x, (low + high) / 2) FOR x IN p]))
+             - (low + high) / 2 * list_sum([pow(x, (low + high) / 2) * ln(x) FOR x IN p])
+               / list_sum([pow(x, (low + high) / 2) FOR x IN p]) <= h
+           AND pow(list_min(p), (low + high) / 2 - 1) / list_sum([pow(x, (low + high) / 2) FOR x IN p]) <= 4.0 AS met
+    FROM bisect WHERE step < 50
+  )
+), chosen AS (
+  SELECT round(high, 9) AS a, list_sum([pow(x, round(high, 9)) FOR x IN p]) AS norm FROM bisect WHERE step = 50
+), parts AS (
+  SELECT s.source, s.tokens, pow(s.tokens / total, a) / norm AS w,
+         round(pow(s.tokens / total, a) / norm * total)::BIGINT AS quota, ceil(docs / 2048)::BIGINT AS blocks
+  FROM sums s, chosen, target
+), dealt AS (
+  SELECT c.*, p.tokens, p.w, p.quota, ('0x' || substr(ord, 1, 8))::BIGINT % p.blocks AS block
+  FROM counted c JOIN parts p ON c.source IS NOT DISTINCT FROM p.source WHERE p.quota > 0
+), sizes AS (
+  SELECT source, block, sum(n_tokens)::BIGINT AS size, any_value(tokens) AS tokens, any_value(quota) AS quota
+  FROM dealt GROUP BY source, block
+), passes AS (
+  SELECT *, unnest(range(0, (quota - 1) // tokens + 1)) AS epoch FROM sizes
+), starts AS (
+  SELECT source, block, epoch,
+         epoch * tokens + coalesce(sum(size) OVER (PARTITION BY source, epoch
+           ORDER BY md5(concat_ws(':', '0', epoch::VARCHAR, source, block::VARCHAR)), block
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM passes
+), inside AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, block ORDER BY ord, n_tokens
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM dealt
+)
+SELECT i.doc_id, i.source, i.n_tokens, round(i.w, 9) AS weight, s.epoch::BIGINT AS epoch,
+       round((s.start + i.before)::DOUBLE / i.quota, 9) AS position
+FROM inside i JOIN starts s ON i.source IS NOT DISTINCT FROM s.source AND i.block = s.block
+WHERE s.start + i.before < i.quota
+"""
+
 STATEMENTS = {
     "op1_substring_dedup": OP1_SQL,
     "op4_chat_formatting": OP4_SQL,
     "op5_exact_topk": OP5_SQL,
+    "op6_mixing": OP6_SQL,
 }
