@@ -1,7 +1,7 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of words and tags. Words score by where they stand (their block element and
-the section around it), tags by their name and never above a small loss; the weights are log odds of
+the section around it), tags by their name and section and never above a small loss; the weights are log odds of
 standing in the main text, counted over all labelled pages. One linear scan finds the contiguous
 region with the highest total, and what inside it belongs to menus, notices, adverts, forms,
 comments and the like is left out.
@@ -168,7 +168,7 @@ def region(tokens: list[Token], weights: Weights) -> tuple[int, int]:
         if total <= 0:
             total, start = 0.0, i
         if token.text is None:
-            total += min(weights.get(f"tag {token.tag}", 0.0), TAG_LOSS)
+            total += _tag_score(token, weights)
         elif n := len(token.text.split()):
             total += n * _word_score(token, weights)
         if total > best:
@@ -176,6 +176,10 @@ def region(tokens: list[Token], weights: Weights) -> tuple[int, int]:
     return span
 
 
+def _tag_score(token: Token, weights: Weights) -> float:
+    return min(weights.get(f"tag {token.tag}", 0.0) + weights.get(f"section {token.section}", 0.0), TAG_LOSS)
+
+
 def _word_score(token: Token, weights: Weights) -> float:
     block, section = weights.get(f"block {token.tag}"), weights.get(f"section {token.section}")
     if block is None and section is None:
