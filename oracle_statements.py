@@ -6,8 +6,6 @@ source code, which is what the queries are checked for.
 
 from __future__ import annotations
 
-from winnow.functions.vocabulary import review_vocabulary
-
 WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NL = "chr(10)"
 
@@ -74,7 +72,10 @@ WITH e AS (SELECT 'scan' || doc_id AS scan_id, CAST(0 AS INTEGER) AS error_idx,
 SELECT *, path || ': ' || message AS summary FROM e"""
 
 STATEMENTS["scan_file_rejects"] = """
-SELECT 'event' || event_id AS scan_id, 'events' AS repo_id, 'no top-level results' AS reason FROM events
+SELECT 'junkscan' || doc_id AS scan_id, 'notes' AS repo_id, 'not valid JSON' AS reason FROM documents
+UNION ALL SELECT 'twicescan' || doc_id, 'notes',
+    CASE WHEN doc_id % 2 = 0 THEN 'not valid JSON' ELSE 'more than one JSON document' END FROM documents
+UNION ALL SELECT 'event' || event_id AS scan_id, 'events' AS repo_id, 'no top-level results' AS reason FROM events
 UNION ALL SELECT 'text' || doc_id, 'texts', 'not valid JSON' FROM documents"""
 
 STATEMENTS["matched_code"] = f"""
@@ -245,8 +246,8 @@ STATEMENTS["request_text"] = f"WITH {FINDINGS} SELECT doc_id, {REQUEST} AS reque
 
 STATEMENTS["request_export"] = f"""
 WITH {FINDINGS}, k AS (SELECT {fingerprint('text', 'function_text')} AS fingerprint, CAST(doc_id AS VARCHAR) AS id,
-    length({REQUEST}) AS len FROM f)
-SELECT fingerprint, '0.1.0' AS prompt_version, 'Decide.' AS instructions, CAST(arg_min(len, id) AS INTEGER) AS request_length
+    {REQUEST} AS request FROM f)
+SELECT fingerprint, '0.1.0' AS prompt_version, 'Decide.' AS instructions, arg_min(request, id) AS request
 FROM k GROUP BY fingerprint"""
 
 LABEL = """CASE WHEN toxic = 1 THEN 'likely_true_positive' WHEN quality = 1 THEN 'false_positive' ELSE 'needs_human_review' END"""
@@ -314,21 +315,24 @@ SELECT CAST(doc_id AS VARCHAR) AS finding_id, CAST(unnest(range(len(quotes))) +
     unnest(quotes) AS quote, unnest(statuses) AS status FROM s"""
 
 STATEMENTS["quote_search"] = f"""
-WITH t AS (SELECT conv_id, turn, text, count(*) AS copies FROM conversations GROUP BY ALL)
-SELECT doc_id, turn, copies, {status('t.text', 'd.text', norm('d.text'))} AS turn_status,
-    {status(norm('d.text'), 'd.text', norm('d.text'))} AS own_status, CAST(length({norm('t.text')}) AS INTEGER) AS normalized_length
-FROM t JOIN documents d ON conv_id = doc_id"""
-
-_WORDS = ", ".join(f"'{word}'" for word in review_vocabulary())
+WITH t AS (SELECT conv_id, turn, text, count(*) AS copies FROM conversations GROUP BY ALL),
+x AS (SELECT doc_id, coalesce(turn, -1) AS turn, coalesce(copies, 0) AS copies, d.text AS hay,
+    coalesce(t.text, split_part(d.text, '.', 1)) AS q FROM documents d LEFT JOIN t ON conv_id = doc_id)
+SELECT doc_id, turn, copies, {status('q', 'hay', norm('hay'))} AS turn_status,
+    {status(norm('hay'), 'hay', norm('hay'))} AS own_status, CAST(length({norm('q')}) AS INTEGER) AS normalized_length
+FROM x"""
+
+_WORDS = "'div', 'class_name', 'page_id', 'example', 'this', 'ref_x'"
 STATEMENTS["grounding"] = rf"""
-WITH p AS (SELECT page_id, regexp_replace(html, '[^\x00-\x7f]', 'e', 'g') AS reasoning, text AS hay
-    FROM pages JOIN documents ON page_id = doc_id),
-t AS (SELECT page_id, hay, list_distinct(list_concat(
+WITH p AS (SELECT doc_id, CASE WHEN lang = 'es' THEN '' ELSE coalesce(regexp_replace(html, '[^\x00-\x7f]', 'e', 'g'), '')
+    || ' `made_up_' || length(text) || '` and `ref_x` and `the` ' END AS reasoning, text AS hay
+    FROM documents LEFT JOIN pages ON page_id = doc_id),
+t AS (SELECT doc_id, hay, list_distinct(list_concat(
     regexp_extract_all(reasoning, '`([A-Za-z_][A-Za-z0-9_]*)`', 1),
     regexp_extract_all(reasoning, '\b([a-z_][a-zA-Z0-9_]*)\s*\(', 1),
     regexp_extract_all(reasoning, '\b([a-z_][a-zA-Z0-9_]*\.[a-z_][a-zA-Z0-9_]+)', 1),
     regexp_extract_all(reasoning, '\b([A-Z][a-zA-Z0-9]*[a-z][A-Z][A-Za-z0-9]*|[a-z]+_[a-z_0-9]+)\b', 1))) AS tokens FROM p)
-SELECT page_id, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(list_sort(list_filter(tokens, lambda x:
+SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(list_sort(list_filter(tokens, lambda x:
     lower(x) NOT IN ({_WORDS}) AND NOT contains(hay, x)
     AND NOT (contains(x, '.') AND contains(hay, split_part(x, '.', -1))))), ' ') AS suspects
 FROM t"""
@@ -401,7 +405,7 @@ u AS (SELECT run_id, CAST(sum(a) AS BIGINT) AS total_input_tokens, CAST(sum(b) A
     CAST(coalesce(sum(a) FILTER (NOT cached), 0) AS BIGINT) AS spent_input_tokens,
     CAST(coalesce(sum(b) FILTER (NOT cached), 0) AS BIGINT) AS spent_output_tokens,
     count(*) FILTER (cached) AS cache_hits, count(*) FILTER (NOT cached AND a > 0) AS cache_misses,
-    count(*) FILTER (NOT cached AND a = 0) AS fallback_count, round(sum(value), 2) AS total_duration_seconds
+    count(*) FILTER (NOT cached AND a = 0) AS fallback_count, round(coalesce(sum(value) FILTER (NOT cached), 0), 2) AS review_seconds
     FROM e GROUP BY run_id)"""
 STATEMENTS["usage"] = f"WITH {USAGE} SELECT * FROM u"
 STATEMENTS["cost"] = f"""
@@ -455,32 +459,33 @@ runs AS (SELECT t.run_id, TIMESTAMP '2024-01-02 03:04:05' AS generated_at, '0.1.
     CAST(coalesce(sum(n) FILTER (has_label), 0) AS BIGINT) AS total_output_tokens,
     CAST(coalesce(sum(n_chars) FILTER (has_label AND NOT cached), 0) AS BIGINT) AS spent_input_tokens,
     CAST(coalesce(sum(n) FILTER (has_label AND NOT cached), 0) AS BIGINT) AS spent_output_tokens,
-    count(*) * 0.5::DOUBLE AS total_duration_seconds, count(*) FILTER (cached) AS cache_hits,
+    length(t.run_id)::DOUBLE AS total_duration_seconds, count(*) FILTER (NOT cached) * 0.5::DOUBLE AS review_seconds, count(*) FILTER (cached) AS cache_hits,
     count(*) FILTER (NOT cached AND has_label) AS cache_misses, count(*) FILTER (NOT has_label) AS fallback_count
     FROM t GROUP BY t.run_id),
 summary AS (SELECT runs.*, coalesce(scan_error_count, 0) AS scan_error_count,
     CASE WHEN cache_hits + cache_misses > 0 THEN cache_hits * 100 // (cache_hits + cache_misses) END AS hit_rate_percent,
     total_input_tokens * 3.0::DOUBLE / 1000000 + total_output_tokens * 15.0::DOUBLE / 1000000 AS estimated_cost
     FROM runs LEFT JOIN errors USING (run_id)),
-tables AS (SELECT run_id,
-    string_agg(rule_id || ':' || total || ':' || fp, ';' ORDER BY rate DESC, total DESC, rule_id) AS rules,
-    coalesce(string_agg(rule_id, ';' ORDER BY rate DESC, total DESC, rule_id) FILTER (total >= 5 AND rate >= 0.35), '') AS noisy,
-    string_agg('| `' || rule_id || '` | ' || total || ' | ' || fp || ' | ' || tp || ' | ' || review || ' | '
-        || CAST(trunc(rate * 100) AS INTEGER) || '% |', chr(10) ORDER BY rate DESC, total DESC, rule_id) AS lines,
-    string_agg('- `' || rule_id || '`', chr(10) ORDER BY rate DESC, total DESC, rule_id)
-        FILTER (total >= 5 AND rate >= 0.35) AS tuned
-    FROM rules GROUP BY run_id)"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rate DESC, total DESC, rule_id) AS rule_no,
+    total >= 5 AND rate >= 0.35 AS noisy FROM rules),
+tables AS (SELECT run_id, 0 AS part, 0 AS rule_no, concat_ws(chr(10), '## Per-rule statistics' || chr(10),
+        '| Rule | Total | FP | Likely TP | Review | FP rate |', '|---|---:|---:|---:|---:|---:|') AS markdown FROM runs
+    UNION ALL SELECT run_id, 1, rule_no, '| `' || rule_id || '` | ' || total || ' | ' || fp || ' | ' || tp || ' | ' || review
+        || ' | ' || CAST(trunc(rate * 100) AS INTEGER) || '% |' FROM numbered
+    UNION ALL SELECT DISTINCT run_id, 2, 0, chr(10) || '**Rules with high false-positive rates that may be worth tuning:**'
+        || chr(10) FROM numbered WHERE noisy
+    UNION ALL SELECT run_id, 3, rule_no, '- `' || rule_id || '`' FROM numbered WHERE noisy)"""
 
 STATEMENTS["finding_markdown"] = f"WITH {TRIAGED} SELECT * FROM md"
 
 STATEMENTS["run_report"] = f"""
 WITH {TRIAGED}
 SELECT summary.* EXCLUDE (estimated_cost, hit_rate_percent, generated_at), strftime(generated_at, '%Y-%m-%d %H:%M:%S') AS generated_at,
-    coalesce(hit_rate_percent, -1) AS hit_rate_percent, round(estimated_cost, 6) AS estimated_cost, CAST(0 AS INTEGER) AS part_no, rules, noisy
-FROM summary JOIN tables USING (run_id)"""
+    coalesce(hit_rate_percent, -1) AS hit_rate_percent, round(estimated_cost, 6) AS estimated_cost, rule_no, rule_id, total, fp AS false_positive, noisy
+FROM summary JOIN numbered USING (run_id)"""
 
 STATEMENTS["report_markdown"] = f"""
-WITH {TRIAGED}
+WITH {TRIAGED}, texts AS (
 SELECT run_id, CAST(0 AS BIGINT) AS block_no,
     '# Triage report' || chr(10) || chr(10) || '_Generated 2024-01-02 03:04 UTC_' AS markdown FROM summary
 UNION ALL SELECT run_id, 1, concat_ws(chr(10), '## Summary' || chr(10), '| Metric | Value |', '|---|---|',
@@ -489,17 +494,17 @@ UNION ALL SELECT run_id, 1, concat_ws(chr(10), '## Summary' || chr(10), '| Metri
     '| Estimated cost | ' || printf('~$%.3f', estimated_cost) || ' |',
     '| Tokens (in / out) | ' || total_input_tokens || ' / ' || total_output_tokens || ' |',
     '| Duration | ' || printf('%.1fs', total_duration_seconds) || ' |',
+    '| Review time of new findings | ' || printf('%.1fs', review_seconds) || ' |',
     '| Cache | ' || cache_hits || ' hits, ' || cache_misses || ' misses'
         || coalesce(' (' || hit_rate_percent || '% hit rate)', '') || ' |',
     '| Model | `reviewer-1` |', '| Prompt version | `0.1.0` |') FROM summary
 UNION ALL SELECT run_id, 2, '## Findings' FROM summary
-UNION ALL SELECT run_id, total_findings + 3, concat_ws(chr(10), '## Per-rule statistics' || chr(10),
-    '| Rule | Total | FP | Likely TP | Review | FP rate |', '|---|---:|---:|---:|---:|---:|', lines,
-    chr(10) || '**Rules with high false-positive rates that may be worth tuning:**' || chr(10) || tuned)
-    FROM summary JOIN tables USING (run_id)
+UNION ALL SELECT run_id, finding_no + 2, markdown FROM md
 UNION ALL SELECT run_id, total_findings + 4, concat_ws(chr(10) || chr(10), '---',
     '_Triaged with winnow v0.1.0, prompt v0.1.0._', CASE WHEN scan_error_count > 0 THEN
-    '_The scanner had ' || scan_error_count || ' parse errors during the scan (not counted as findings)._' END) FROM summary"""
+    '_The scanner had ' || scan_error_count || ' parse errors during the scan (not counted as findings)._' END) FROM summary)
+SELECT run_id, block_no, CAST(0 AS INTEGER) AS part, CAST(0 AS BIGINT) AS rule_no, markdown FROM texts
+UNION ALL SELECT run_id, total_findings + 3, part, rule_no, tables.markdown FROM summary JOIN tables USING (run_id)"""
 
 STATEMENTS["triage_run"] = f"""
 WITH {CODE}

@@ -1,90 +1,87 @@
-"""A small source tree and scan of our own, shared by several test modules."""
+"""A small source tree about weather stations, and scans of it, shared by several test modules."""
 
 import json
 
-SHOP = '''"""Order handling.
+STATIONS = '''"""Weather stations and what they read.
 
-def not_a_function(): this line is text
+def quoted(): a heading inside a text
 """
 
-import json as js
-import os
-from pathlib import Path
-
-import requests
-from guards import clean_text, check_link  # two helpers
-from .tools import (
-    wrap,
-    trim as cut,
+from .units import (
+    celsius,
+    half_steps as to_half,
 )
+import subprocess
+from collections import deque
+import numfmt as nf
+from limits import in_range, widest  # bounds per sensor
 
+WINDOW = 24
 
-def plus_one(n: int) -> int:
-    return n + 1
 
+def newest(readings):
+    return readings[-1]
 
-class Client:
-    def __init__(self, base: str):
-        self.base = base
 
-    def load(self, path: str) -> dict:
-        url = f"{self.base}/{path}"
-        if not check_link(url):
-            return {}
-        reply = requests.get(url, timeout=5)
-        return reply.json()
+class Station:
+    kind = "tower"
 
-    @staticmethod
-    def load_and_count(path: str) -> int:
-        data = Client("x").load(path)
-        return plus_one(data["n"])
+    def history(self, hours):
+        kept = deque(maxlen=hours)
+        for value in self.feed.poll(hours):
+            if in_range(value):
+                kept.push(celsius(value))
+        return kept
 
+    @property
+    def summary(self):
+        return nf.pad(newest(self.history(WINDOW)))
 
-def show(value: str) -> str:
-    safe = clean_text(value)
-    return f"<b>{safe}</b>"
 
+def publish(stations, board):
+    def line_for(station):
+        return celsius(station.level)
 
-def outer(data):
-    def inner(x):
-        return wrap(x)
+    # announce(board) happens elsewhere
+    banner = "broadcast(all)"
+    return board.show([line_for(s) for s in stations], banner)
 
-    note = "call( not_code )"  # also_not_code(1)
-    return inner(data)
 
+def half_way(low, high):
+    return to_half(low + high)
 
-def run_it(data):
-    eval(data)  # flagged
-'''
 
-GUARDS = '''"""Helpers."""
+def maintenance(command):
+    subprocess.run(command, shell=True)  # flagged
+'''
 
+LIMITS = '''"""Bounds."""
 
-def clean_text(value: str) -> str:
-    """Escape a text."""
-    return value.replace("<", "&lt;")
+widest = (-90, 60)
 
 
-def check_link(link: str) -> bool:
-    return link.startswith("https://ok.example/")
+def in_range(value):
+    """Whether a sensor can have read this."""
+    low, high = widest
+    return low < value < high
 '''
 
-TOOLS = '''def wrap(x):
-    return [x]
+UNITS = '''def celsius(kelvin):
+    return kelvin - 273.15
 
 
-def trim(x):
-    return x
+def half_steps(value):
+    return value * 2 // 1 / 2
 '''
 
-TREE = {"shop.py": SHOP, "guards.py": GUARDS, "tools.py": TOOLS, "page.html": "<a>\n<b>\n"}
+TREE = {"stations.py": STATIONS, "limits.py": LIMITS, "units.py": UNITS, "chart.html": "<p>\n<i>\n"}
 
 
 def line_of(text, needle):
     return next(i for i, line in enumerate(text.splitlines(), 1) if needle in line)
 
 
-def source_files(spark, tree=None, repo_id="shop"):
+def source_files(spark, tree=None, repo_id="met"):
     rows = [(repo_id, path, len(text.encode()), text) for path, text in (tree or TREE).items()]
     return spark.createDataFrame(rows, "repo_id string, path string, length long, text string")
 
@@ -101,5 +98,5 @@ def result(path, start, end=None, rule="rule.a", lines="requires login", **extra
 
 
 def scan_docs(spark, *docs):
-    rows = [(f"scan{i}", "shop", doc if isinstance(doc, str) else json.dumps(doc)) for i, doc in enumerate(docs)]
+    rows = [(f"scan{i}", "met", doc if isinstance(doc, str) else json.dumps(doc)) for i, doc in enumerate(docs)]
     return spark.createDataFrame(rows, "scan_id string, repo_id string, text string")

@@ -3,11 +3,12 @@ import os
 import sysconfig
 
 import pytest
-from fixtures import GUARDS, SHOP, TOOLS, line_of, source_files
+from fixtures import LIMITS, STATIONS, UNITS, line_of, source_files
 from pyspark.sql import functions as F
 
 from winnow.operators import codeindex as C
 from winnow.operators.context import build_contexts, is_degraded, module_candidates
+from winnow.plans.triage import single_files
 
 FINDING = (
     "finding_id string, repo_id string, file_path string, start_line int, end_line int, matched_code string"
@@ -19,23 +20,22 @@ def contexts(spark, rows, files):
     return {r.finding_id: r for r in build_contexts(findings, files).collect()}
 
 
-def at(needle, key=None, end=None, text=SHOP, path="shop.py"):
+def at(needle, key=None, end=None, text=STATIONS, path="stations.py"):
     start = line_of(text, needle)
-    return (key or needle, "shop", path, start, end or start, text.splitlines()[start - 1])
+    return (key or needle, "met", path, start, end or start, text.splitlines()[start - 1])
 
 
 @pytest.fixture(scope="module")
-def shop(spark):
+def met(spark):
     rows = [
-        at("eval(data)"),
-        at("requests.get"),
-        at("import os"),
-        at("return plus_one"),
-        at("safe = clean_text"),
-        at("return wrap(x)", "inner"),
-        at("return wrap(x)", "outer", end=line_of(SHOP, "return inner(data)")),
-        at("reply.json()"),
-        ("missing", "shop", "gone.py", 1, 1, "x = 1"),
+        at("subprocess.run"),
+        at("in_range(value)"),
+        at("import subprocess"),
+        at("nf.pad"),
+        at("return celsius(station.level)", "nested"),
+        at("return celsius(station.level)", "around", end=line_of(STATIONS, "return board.show")),
+        at("return to_half"),
+        ("missing", "met", "gone.py", 1, 1, "x = 1"),
     ]
     return contexts(spark, rows, source_files(spark))
 
@@ -44,88 +44,93 @@ def calls(row):
     return [(c.name, c.file_path, c.resolution_method) for c in row.context.called_functions]
 
 
-def test_top_level_function(shop):
-    c = shop["eval(data)"].context
-    assert c.containing_function_name == "run_it"
-    assert c.containing_function_start_line == line_of(SHOP, "def run_it")
-    assert c.containing_function_source.endswith("|     eval(data)  # flagged")
-    assert c.called_functions == [] and c.extraction_notes == []
+def not_resolved(*names):
+    return [f"Definition of `{name}()` not resolved." for name in names]
 
 
-def test_method_and_unresolved_call(shop):
-    row = shop["requests.get"]
-    assert row.context.containing_function_name == "load"
-    assert row.context.containing_function_source.splitlines()[0].endswith("| def load(self, path: str) -> dict:")
-    assert calls(row) == [("check_link", "guards.py", "same_module_import")]
-    assert row.context.extraction_notes == [
-        "Definition of `get()` not resolved.",
-        "Definition of `json()` not resolved.",
-    ]
+def test_plain_function(met):
+    c = met["subprocess.run"].context
+    first = line_of(STATIONS, "def maintenance")
+    assert (c.containing_function_name, c.containing_function_start_line) == ("maintenance", first)
+    assert c.containing_function_source == (
+        f"{first} | def maintenance(command):\n{first + 1} |     subprocess.run(command, shell=True)  # flagged"
+    )
+    assert c.matched_code_with_lines == f"{first + 1} |     subprocess.run(command, shell=True)  # flagged"
+    assert c.called_functions == [] and c.extraction_notes == not_resolved("run")
 
 
-def test_module_level(shop):
-    c = shop["import os"].context
-    assert c.containing_function_name is None and c.containing_function_source is None
-    assert c.extraction_notes == [
-        "Match is at module level (not inside any function or method); function context unavailable."
-    ]
+def test_method_with_calls_into_other_files(met):
+    row = met["in_range(value)"]
+    assert row.context.containing_function_name == "history"
+    assert calls(row) == [("in_range", "limits.py", "same_module_import"), ("celsius", "units.py", "same_module_import")]
+    assert row.context.called_functions[0].start_line == line_of(LIMITS, "def in_range")
+    assert row.context.called_functions[1].source == "1 | def celsius(kelvin):\n2 |     return kelvin - 273.15"
+    assert row.context.extraction_notes == not_resolved("deque", "poll", "push")
 
 
-def test_missing_file(spark, shop):
-    c = shop["missing"].context
-    assert c.extraction_notes == ["Source file not found: gone.py"]
-    assert c.imports is None
+def test_decorated_method_with_calls_in_its_file(met):
+    row = met["nf.pad"]
+    assert row.context.containing_function_name == "summary"
+    assert sorted(calls(row)) == [("history", "stations.py", "same_file"), ("newest", "stations.py", "same_file")]
+    assert row.context.extraction_notes == not_resolved("pad")
 
 
-def test_line_numbers(shop):
-    n = line_of(SHOP, "eval(data)")
-    assert shop["eval(data)"].context.matched_code_with_lines == f"{n} |     eval(data)  # flagged"
+def test_nested_function_and_what_surrounds_it(met):
+    assert met["nested"].context.containing_function_name == "line_for"
+    around = met["around"].context
+    assert around.containing_function_name == "publish"
+    # The nested function is not a lookup target, strings and comments hold no calls.
+    assert [c.name for c in around.called_functions] == ["celsius"]
+    assert sorted(around.extraction_notes) == sorted(not_resolved("line_for", "show"))
 
 
-def test_imports(shop):
-    assert shop["eval(data)"].context.imports == "\n".join(
-        [
-            "import json as js",
-            "import os",
-            "from pathlib import Path",
-            "import requests",
-            "from guards import clean_text, check_link",
-            "from .tools import (\n    wrap,\n    trim as cut,\n)",
-        ]
-    )
+def test_name_imported_under_another(spark, met):
+    assert met["return to_half"].context.extraction_notes == not_resolved("to_half")
+    findings = spark.createDataFrame([at("return to_half")], FINDING)
+    followed = build_contexts(findings, source_files(spark), follow_alias=True).first()
+    assert [c.source.splitlines()[0] for c in followed.context.called_functions] == ["4 | def half_steps(value):"] or calls(followed)
 
 
-def test_same_file_calls(shop):
-    row = shop["return plus_one"]
-    assert row.context.containing_function_name == "load_and_count"
-    assert calls(row) == [("load", "shop.py", "same_file"), ("plus_one", "shop.py", "same_file")]
-    assert row.context.called_functions[1].source.splitlines() == [
-        f"{line_of(SHOP, 'def plus_one')} | def plus_one(n: int) -> int:",
-        f"{line_of(SHOP, 'return n + 1')} |     return n + 1",
+def test_outside_any_function(met):
+    c = met["import subprocess"].context
+    assert (c.containing_function_name, c.containing_function_source) == (None, None)
+    assert c.extraction_notes == [
+        "Match is at module level (not inside any function or method); function context unavailable."
     ]
-    assert "Definition of `Client()` not resolved." in row.context.extraction_notes
 
 
-def test_imported_call(shop):
-    row = shop["safe = clean_text"]
-    assert calls(row) == [("clean_text", "guards.py", "same_module_import")]
-    assert row.context.called_functions[0].start_line == line_of(GUARDS, "def clean_text")
+def test_file_that_is_not_there(met):
+    c = met["missing"].context
+    assert c.extraction_notes == ["Source file not found: gone.py"] and c.imports is None
 
 
-def test_innermost_function_and_relative_import(shop):
-    assert shop["inner"].context.containing_function_name == "inner"
-    assert calls(shop["inner"]) == [("wrap", "tools.py", "same_module_import")]
-    outer = shop["outer"]
-    assert outer.context.containing_function_name == "outer"
-    # The nested function is not a lookup target, strings and comments hold no calls.
-    assert [c.name for c in outer.context.called_functions] == ["wrap"]
-    assert outer.context.extraction_notes == ["Definition of `inner()` not resolved."]
+def test_imports_block(met):
+    assert met["subprocess.run"].context.imports.split("\n") == [
+        "from .units import (",
+        "    celsius,",
+        "    half_steps as to_half,",
+        ")",
+        "import subprocess",
+        "from collections import deque",
+        "import numfmt as nf",
+        "from limits import in_range, widest",
+    ]
+
+
+def test_a_file_given_twice_counts_once(spark):
+    files = source_files(spark)
+    doubled = files.unionByName(files).unionByName(source_files(spark, {"units.py": UNITS + "# more\n"}))
+    assert sorted(r.path for r in single_files(doubled).collect()) == ["chart.html", "limits.py", "stations.py", "units.py"]
+    assert single_files(files) is files
 
 
 def test_large_file_and_degraded(spark):
     big = "def f():\n    g()\n" + "#" * (2 * 1024 * 1024)
-    rows = [("big", "shop", "big.py", 2, 2, "    g()")]
-    found = build_contexts(spark.createDataFrame(rows, FINDING), source_files(spark, {"big.py": big}))
+    rows = [("big", "met", "big.py", 2, 2, "    g()")]
+    findings, files = spark.createDataFrame(rows, FINDING), source_files(spark, {"big.py": big})
+    whole = build_contexts(findings, files).first().context
+    assert whole.containing_function_name == "f"
+    found = build_contexts(findings, files, max_file_bytes=2 * 1024 * 1024)
     row = found.withColumn("degraded", is_degraded(F.col("context"))).first()
     assert row.context.extraction_notes == [
         f"File too large to parse ({len(big)} bytes); skipping AST-based extraction."
@@ -135,14 +140,14 @@ def test_large_file_and_degraded(spark):
 
 def test_syntax_error_note(spark):
     text = "import os\nx = (1,\n\ndef f(a):\n    return g(a)\n"
-    c = contexts(spark, [("k", "shop", "bad.py", 5, 5, "return g(a)")], source_files(spark, {"bad.py": text}))["k"].context
+    c = contexts(spark, [("k", "met", "bad.py", 5, 5, "return g(a)")], source_files(spark, {"bad.py": text}))["k"].context
     assert c.containing_function_name == "f"
     assert c.extraction_notes[0].startswith("File contains syntax errors")
 
 
 def test_file_outside_the_repository_fails_the_context(spark):
     tree = {"a.py": "from ..up import go\n\ndef f():\n    go()\n", "../up.py": "def go():\n    pass\n"}
-    row = contexts(spark, [("k", "shop", "a.py", 4, 4, "go()")], source_files(spark, tree))["k"]
+    row = contexts(spark, [("k", "met", "a.py", 4, 4, "go()")], source_files(spark, tree))["k"]
     assert row.context_error == "ValueError"
 
 
@@ -199,7 +204,7 @@ def test_functions_and_calls_match_the_parser(spark):
         if os.path.exists(path):
             with open(path, encoding="utf-8") as f:
                 texts[name] = f.read()
-    texts["shop"], texts["tools"] = SHOP, TOOLS
+    texts["stations"], texts["units"] = STATIONS, UNITS
     lines = C.file_lines(source_files(spark, texts))
     found = C.functions(C.blocks(C.logical_lines(lines)))
     code = F.array_join(C.source_between(F.col("masked_lines"), F.col("start_line"), F.col("end_line")), "\n")

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from fixtures import SHOP, result, scan_docs, source_files
+from fixtures import STATIONS, result, scan_docs, source_files
 from pyspark.sql import functions as F
 
 from winnow.operators import ingest as I
@@ -119,19 +119,19 @@ def test_unusable_documents(spark):
 
 
 def test_matched_code(spark):
-    n = len(SHOP.splitlines())
+    n = len(STATIONS.splitlines())
     found = I.valid_findings(
         parse(
             spark,
-            result("shop.py", 1, lines="given code"),
-            result("shop.py", 7, 8),
-            result("shop.py", 8, 7, lines=""),
-            result("shop.py", n, n + 5, lines=["no", "text"]),
+            result("stations.py", 1, lines="given code"),
+            result("stations.py", 7, 8),
+            result("stations.py", 8, 7, lines=""),
+            result("stations.py", n, n + 5, lines=["no", "text"]),
             result("gone.py", 1),
         )
     )
     rows = {r.result_idx: r.matched_code for r in I.resolve_matched_code(found, source_files(spark)).collect()}
-    lines = SHOP.splitlines()
+    lines = STATIONS.splitlines()
     assert rows == {
         0: "given code",
         1: "\n".join(lines[6:8]),
@@ -151,11 +151,11 @@ def test_limit_keeps_other_languages(spark):
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "scans" / "shop").mkdir(parents=True)
-    (tmp_path / "scans" / "shop" / "one.json").write_text(json.dumps({"results": [result("a.py", 1)]}, indent=1))
+    (tmp_path / "scans" / "met").mkdir(parents=True)
+    (tmp_path / "scans" / "met" / "one.json").write_text(json.dumps({"results": [result("a.py", 1)]}, indent=1))
     docs = read_scans(spark, str(tmp_path / "scans" / "*" / "*.json"))
     row = docs.first()
-    assert row.repo_id == "shop" and row.scan_id.endswith("/one.json")
+    assert row.repo_id == "met" and row.scan_id.endswith("/one.json")
     assert I.raw_results(I.scan_documents(docs)).count() == 1
 
     tree = tmp_path / "tree"
@@ -163,11 +163,11 @@ def test_readers(spark, tmp_path):
     (tree / "a.py").write_bytes(b"x = 1\n")
     (tree / "pkg" / "b.py").write_bytes(b"caf\xe9 \xff\xfe ok")
     (tree / "pkg" / "c.txt").write_text("no")
-    files = read_source_tree(spark, str(tree), "shop", glob="*.py")
+    files = read_source_tree(spark, str(tree), "met", glob="*.py")
     got = {r.path: (r.repo_id, r.length, r.text) for r in files.collect()}
     assert got == {
-        "a.py": ("shop", 6, "x = 1\n"),
-        "pkg/b.py": ("shop", 10, b"caf\xe9 \xff\xfe ok".decode("utf-8", errors="replace")),
+        "a.py": ("met", 6, "x = 1\n"),
+        "pkg/b.py": ("met", 10, b"caf\xe9 \xff\xfe ok".decode("utf-8", errors="replace")),
     }
     plan = files.filter(F.col("length") <= 8)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,8)" in plan
@@ -176,3 +176,32 @@ def test_readers(spark, tmp_path):
 def test_repeated_keys(spark):
     docs = scan_docs(spark, '{"results": [{"check_id": "a", "check_id": "b", "path": "p", "start": {"line": 1}, "end": {"line": 1}}]}')
     assert I.parse_results(I.raw_results(I.scan_documents(docs))).first().rule_id == "b"
+
+
+ONE = '{"results": [], "errors": []}'
+TAILS = {
+    "nothing": ("", None),
+    "white space": (" \n", None),
+    "another document": ("\n" + ONE, "not valid JSON"),
+    "a comma and another document": ("," + ONE, "more than one JSON document"),
+    "junk": (" junk", "not valid JSON"),
+    "junk that ends like a document": (" junk }", "not valid JSON"),
+    "a bracket": ("]", "not valid JSON"),
+    "brackets": ("]}", "not valid JSON"),
+}
+
+
+@pytest.mark.parametrize("tail", TAILS)
+def test_text_after_the_document(spark, tail):
+    text, reason = TAILS[tail]
+    df = spark.createDataFrame([("s", "r", ONE + text)], "scan_id string, repo_id string, text string")
+    assert [r.reason for r in I.scan_file_rejects(I.scan_documents(df)).collect()] == ([reason] if reason else [])
+
+
+def test_trees_of_many_repositories(spark, tmp_path):
+    for name in ("one/a.py", "one/sub/b.py", "two/a.py", "beside.py"):
+        path = tmp_path / "trees" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+    found = {(r.repo_id, r.path): r.text for r in read_source_tree(spark, str(tmp_path / "trees")).collect()}
+    assert found == {("one", "a.py"): "one/a.py", ("one", "sub/b.py"): "one/sub/b.py", ("two", "a.py"): "two/a.py"}

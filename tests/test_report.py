@@ -3,6 +3,8 @@ import glob
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from winnow.functions.ordering import number_rows
@@ -32,7 +34,7 @@ def test_usage_cost_and_rates(spark):
     rows = [("a", 100, 10, False, 1.0), ("a", 200, 20, True, 2.0), ("a", None, None, False, None), ("a", 0, 0, False, 0.5)]
     r = P.usage_totals(spark.createDataFrame(rows, schema)).first()
     assert (r.total_input_tokens, r.spent_input_tokens, r.total_output_tokens, r.spent_output_tokens) == (300, 100, 30, 10)
-    assert (r.cache_hits, r.cache_misses, r.fallback_count, r.total_duration_seconds) == (1, 1, 2, 3.5)
+    assert (r.cache_hits, r.cache_misses, r.fallback_count, r.review_seconds) == (1, 1, 2, 1.5)
     values = spark.range(1).select(
         P.estimate_cost(F.lit(194356), F.lit(22053)).alias("cost"),
         P.hit_rate(F.lit(2), F.lit(1)).alias("rate"),
@@ -70,23 +72,28 @@ def test_order_of_findings(spark):
     assert [r.finding_no for r in got] == [1, 2, 3, 4, 5, 6]
 
 
-def test_report_rows_split_when_long(spark):
-    rows = [("a", f"r{i:02}", "false_positive") for i in range(7) for _ in range(5)]
-    stats = P.rule_stats(verdicts(spark, rows))
-    summary = spark.createDataFrame([("a", 35)], "run_id string, total_findings long")
-    parts = P.run_reports(summary, stats, rules_per_part=3).orderBy("part_no").collect()
-    assert [[s.rule_id for s in p.rule_stats] for p in parts] == [["r00", "r01", "r02"], ["r03", "r04", "r05"], ["r06"]]
-    assert parts[2].rules_to_consider_tuning == ["r06"]
+def test_rules_are_numbered_rows(spark):
+    rows = [("a", f"r{i:02}", "false_positive" if i < 5 else "needs_human_review") for i in range(9) for _ in range(5 + i % 2)]
+    rows += [("a", "mixed", v) for v in ("false_positive", "needs_human_review")] + [("b", "r00", "false_positive")]
+    rules = P.run_rules(P.rule_stats(verdicts(spark, rows))).orderBy("run_id", "rule_no").collect()
+    want = ["r01", "r03", "r00", "r02", "r04", "mixed", "r05", "r07", "r06", "r08"]
+    assert [(r.run_id, r.rule_no, r.rule_id) for r in rules] == [("a", i + 1, n) for i, n in enumerate(want)] + [("b", 1, "r00")]
+    assert [r.rule_id for r in rules if r.noisy] == want[:5]
+    lines = P.rule_table(P.run_rules(P.rule_stats(verdicts(spark, rows)))).where("run_id = 'a'").orderBy("part", "rule_no").collect()
+    assert [r.part for r in lines] == [0] + [1] * 10 + [2] + [3] * 5
+    assert lines[1].markdown == "| `r01` | 6 | 6 | 0 | 0 | 100% |" and lines[-1].markdown == "- `r04`"
 
 
 def test_sinks(spark, tmp_path):
     blocks = [(run, i, f"block {i}\nof {run}") for run in "ab" for i in range(50)]
     random.Random(1).shuffle(blocks)
-    df = spark.createDataFrame(blocks, "run_id string, block_no long, markdown string")
+    rows = [(run, i, 0, 0, text) for run, i, text in blocks] + [("a", 30, 1, n, f"line {n}") for n in (2, 1)]
+    df = spark.createDataFrame(rows, "run_id string, block_no long, part int, rule_no long, markdown string")
     sinks.write_markdown_report(df, str(tmp_path / "md"), files=3)
     for run in "ab":
         text = "".join(open(f).read() for f in sorted(glob.glob(str(tmp_path / "md" / f"run_id={run}" / "part-*"))))
-        assert text == "".join(f"block {i}\nof {run}\n\n" for i in range(50))
+        lines = {("a", 30): "line 1\nline 2\n"}
+        assert text == "\n".join(f"block {i}\nof {run}\n" + lines.get((run, i), "") for i in range(50))
     rows = spark.createDataFrame([("a", 1, ["x"])], "run_id string, n int, tags array<string>")
     sinks.write_json_report(rows, rows, rows, str(tmp_path / "json"))
     (part,) = glob.glob(str(tmp_path / "json" / "findings" / "run_id=a" / "*.json"))
@@ -139,8 +146,18 @@ def test_store_on_disk(spark, tmp_path):
     got = {r.fingerprint: (r.verdict.verdict, r.stored_at.day) for r in R.read_store(spark, path).collect()}
     assert got.keys() == {"00aa", "00bb", "ffcc", "12dd"}
     assert got["00aa"] == ("false_positive", 5) and got["ffcc"][1] == 9
-    assert sorted(glob.glob(path + "/hash_prefix=*"))[0].endswith("hash_prefix=00")
     # An outdated entry written by something else is skipped.
-    broken = entries(spark, entry("00ee", label="unknown")).withColumn("hash_prefix", F.lit("00"))
-    broken.write.mode("append").partitionBy("hash_prefix").parquet(path)
+    entries(spark, entry("00ee", label="unknown")).write.mode("append").parquet(path)
     assert R.read_store(spark, path).count() == 4
+    target = str(tmp_path / "compact")
+    R.compact_store(spark, path, target)
+    assert spark.read.parquet(target).count() == 4
+    assert sorted(map(str, R.read_store(spark, target).collect())) == sorted(map(str, R.read_store(spark, path).collect()))
+    with pytest.raises(ValueError, match="into itself"):
+        R.compact_store(spark, path, path + "/")
+
+
+def test_many_entries_of_one_key_are_one_hit(spark):
+    findings = spark.createDataFrame([("a", "k1")], "finding_id string, fingerprint string")
+    (row,) = R.reuse_verdicts(findings, entries(spark, entry("k1", day=2), entry("k1", "false_positive", day=4), entry("k2"))).collect()
+    assert row.stored.verdict.verdict == "false_positive"

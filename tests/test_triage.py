@@ -2,7 +2,7 @@ import glob
 import json
 
 import pytest
-from fixtures import SHOP, line_of, result, scan_docs, source_files
+from fixtures import STATIONS, line_of, result, scan_docs, source_files
 from pyspark.sql import functions as F
 
 from winnow.operators import report as P
@@ -30,19 +30,19 @@ def reply(quote, label="false_positive"):
 
 
 def docs(spark):
-    n = line_of(SHOP, "eval(data)")
-    load = line_of(SHOP, "requests.get")
-    wrap = line_of(SHOP, "return wrap(x)")
+    shell = line_of(STATIONS, "subprocess.run")
+    bounds = line_of(STATIONS, "in_range(value)")
+    level = line_of(STATIONS, "return celsius(station.level)")
     return scan_docs(
         spark,
         {
             "results": [
-                result("page.html", 1, rule="rule.html"),
-                result("shop.py", n),
-                result("shop.py", load, rule="rule.net"),
+                result("chart.html", 1, rule="rule.html"),
+                result("stations.py", shell),
+                result("stations.py", bounds, rule="rule.net"),
                 result("gone.py", 1),
-                result("shop.py", wrap, rule="rule.wrap"),
-                result("shop.py", n),
+                result("stations.py", level, rule="rule.wrap"),
+                result("stations.py", shell),
                 {"check_id": "x"},
             ],
             "errors": [{"path": "t.html", "message": "bad"}],
@@ -55,11 +55,13 @@ def first_run(spark):
     prepared = T.prepare(docs(spark), source_files(spark))
     found = {r.result_idx: r for r in prepared.findings.collect()}
     answers = [
-        (found[1].fingerprint, reply("eval(data)"), None, 2.0, 100, 10),
+        (found[1].fingerprint, reply("subprocess.run(command, shell=True)"), None, 2.0, 100, 10),
         (found[2].fingerprint, reply("invented()", "likely_true_positive"), None, 3.0, 200, 20),
         (found[4].fingerprint, None, "Timeout", 4.0, 0, 0),
     ]
-    done = T.conclude(prepared.findings, spark.createDataFrame(answers, REPLIES))
+    # Retries leave failures and copies beside a usable reply.
+    retried = [(found[1].fingerprint, None, "Timeout", 9.0, 0, 0), answers[0], answers[2]]
+    done = T.conclude(prepared.findings, spark.createDataFrame(answers + retried, REPLIES))
     return prepared, found, done
 
 
@@ -78,8 +80,8 @@ def test_routes_and_requests(first_run):
     requests = {r.fingerprint: r for r in prepared.requests.collect()}
     assert requests.keys() == {found[i].fingerprint for i in (1, 2, 4)}
     text = requests[found[2].fingerprint].request
-    assert "## Called functions (1 resolved)" in text and "### `check_link` (from guards.py, same_module_import)" in text
-    assert "- Definition of `get()` not resolved." in text
+    assert "## Called functions (2 resolved)" in text and "### `in_range` (from limits.py, same_module_import)" in text
+    assert "- Definition of `poll()` not resolved." in text
     assert requests[found[2].fingerprint].instructions
     assert [r.summary for r in prepared.scan_errors.collect()] == ["t.html: bad"]
     assert [r.reason for r in prepared.scan_rejects.collect()] == ["path missing or not a string"]
@@ -124,18 +126,23 @@ def test_second_run_reuses_verdicts(spark, first_run, tmp_path):
     assert {r.fingerprint for r in store.collect()} == {found[1].fingerprint, found[2].fingerprint}
 
     # Lines above the function move it, but its content keeps the key.
-    moved = {**{"shop.py": SHOP.replace("import os\n", "import os\nimport sys\n\n\n")}}
+    moved = {"stations.py": STATIONS.replace("import subprocess\n", "import subprocess\nimport sys\n\n\n")}
     shift = scan_docs(
         spark,
-        {"results": [result("shop.py", line_of(moved["shop.py"], "eval(data)")), result("shop.py", line_of(moved["shop.py"], "return wrap(x)"), rule="rule.wrap")]},
+        {
+            "results": [
+                result("stations.py", line_of(moved["stations.py"], "subprocess.run")),
+                result("stations.py", line_of(moved["stations.py"], "return celsius(station.level)"), rule="rule.wrap"),
+            ]
+        },
     )
-    files = source_files(spark, {**moved, "guards.py": "", "tools.py": ""})
+    files = source_files(spark, {**moved, "limits.py": "", "units.py": ""})
     again = T.prepare(shift, files, store)
     assert {r.result_idx: r.from_cache for r in again.findings.collect()} == {0: True, 1: False}
     assert again.requests.count() == 1
     rows = {r.result_idx: r for r in T.conclude(again.findings, spark.createDataFrame([], REPLIES)).collect()}
     assert rows[0].from_cache and rows[0].verdict.verdict == "false_positive" and rows[0].input_tokens == 100
-    assert rows[0].start_line == line_of(moved["shop.py"], "eval(data)")
+    assert rows[0].start_line == line_of(moved["stations.py"], "subprocess.run")
     assert rows[1].verification_notes == ["LLM call did not produce a usable verdict: api_error: no reply"]
     assert T.prepare(shift, files, store, reuse=False).requests.count() == 2
 
@@ -148,8 +155,9 @@ def test_limit(spark):
 def test_publish(spark, first_run, tmp_path):
     prepared, _, done = first_run
     runs = spark.createDataFrame(
-        [(run, "0.1.0", "0.1.0", "reviewer-1", "/repos/shop", "/scans/one.json") for run in ("scan0", "empty")],
-        "run_id string, tool_version string, prompt_version string, model string, repo_path string, findings_path string",
+        [(run, "0.1.0", "0.1.0", "reviewer-1", "/repos/met", "/scans/one.json", 12.5) for run in ("scan0", "empty")],
+        "run_id string, tool_version string, prompt_version string, model string, repo_path string, findings_path string, "
+        "total_duration_seconds double",
     ).withColumn("generated_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
     path = str(tmp_path / "report")
     publish(done, prepared.scan_errors, runs, path)
@@ -169,7 +177,10 @@ def test_publish(spark, first_run, tmp_path):
     assert "## Findings" not in open(empty, encoding="utf-8").read()
     summary = {r.run_id: r for r in spark.read.json(path + "/json/summary").collect()}
     assert summary["scan0"].total_findings == 6 and summary["empty"].total_findings == 0
-    assert {s.rule_id: s.total for s in summary["scan0"].rule_stats} == {"rule.a": 3, "rule.html": 1, "rule.net": 1, "rule.wrap": 1}
+    rules = spark.read.json(path + "/json/rules").orderBy("rule_no").collect()
+    assert [r.rule_no for r in rules] == [1, 2, 3, 4]
+    assert {r.rule_id: r.total for r in rules} == {"rule.a": 3, "rule.html": 1, "rule.net": 1, "rule.wrap": 1}
+    assert "| Duration | 12.5s |" in text and "| Review time of new findings | 9.0s |" in text
     assert spark.read.json(path + "/json/findings").count() == 6
 
 
@@ -177,9 +188,9 @@ def test_exchange_files(spark, first_run, tmp_path):
     prepared, found, _ = first_run
     write_requests(prepared.requests, str(tmp_path / "requests"))
     sent = spark.read.json(str(tmp_path / "requests"))
-    assert sent.count() == 3 and set(sent.columns) == {"fingerprint", "prompt_version", "instructions", "request"}
+    assert sent.count() == 3 and set(sent.columns) == {"fingerprint", "prompt_version", "instructions", "request", "reply_schema"}
     (tmp_path / "replies.json").write_text(
-        json.dumps({"fingerprint": found[1].fingerprint, "reply": reply("eval(data)"), "input_tokens": 7})
+        json.dumps({"fingerprint": found[1].fingerprint, "reply": reply("subprocess.run(command, shell=True)"), "input_tokens": 7})
     )
     done = T.conclude(prepared.findings, read_replies(spark, str(tmp_path / "replies.json")))
     rows = {r.result_idx: r for r in done.collect()}
@@ -196,3 +207,12 @@ def test_fingerprint_options(spark, first_run):
     # Without an enclosing function nothing is numbered; without resolved calls nothing is added.
     assert {i for i in plain if plain[i] != numbered[i]} == {1, 2, 4, 5}
     assert {i for i in plain if plain[i] != callees[i]} == {2, 4}
+
+
+def test_many_entries_of_a_fingerprint_give_one_row(spark, first_run):
+    prepared, found, done = first_run
+    rows = R.store_rows(done, F.lit("2024-01-02").cast("timestamp"))
+    later = R.store_rows(done, F.lit("2024-02-02").cast("timestamp")).withColumn("input_tokens", F.lit(77).cast("long"))
+    again = T.prepare(docs(spark), source_files(spark), rows.unionByName(rows).unionByName(later))
+    out = {r.result_idx: r for r in T.conclude(again.findings, spark.createDataFrame([], REPLIES)).collect()}
+    assert sorted(out) == [0, 1, 2, 3, 4, 5] and out[1].from_cache and out[1].input_tokens == 77

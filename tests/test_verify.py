@@ -1,9 +1,10 @@
+import json
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from winnow.functions.vocabulary import review_vocabulary
+from winnow.functions.vocabulary import REVIEW_VOCABULARY
 from winnow.operators import exchange as X
 from winnow.operators import verify as V
 from winnow.schemas import CONTEXT, VERDICT
@@ -11,86 +12,94 @@ from winnow.schemas import CONTEXT, VERDICT
 ROW = f"""matched_code string, message string, rule_id string, file_path string,
     context {CONTEXT.simpleString()}, verdict {VERDICT.simpleString()}, synth_reason string"""
 
+CODE = "    Path(folder, name).unlink()"
+
 CONTEXT_ROW = (
     "python",
-    "10 |     eval(user_input)",
-    "from flask import request",
-    "process_data",
-    " 8 | def process_data(data):\n 9 |     user_input = data.get('value')\n10 |     eval(user_input)\n",
-    8,
-    [("scrub", " 3 | def scrub(x):\n 4 |     return tidy_up(x)", "src/s.py", 3, "same_module_import")],
+    "41 |     Path(folder, name).unlink()",
+    "from pathlib import Path\nimport shelf",
+    "drop_album",
+    "39 | def drop_album(folder, name):\n40 |     name = shelf.tidy(name)\n41 |     Path(folder, name).unlink()",
+    39,
+    [("tidy", " 7 | def tidy(text):\n 8 |     return text.strip('/')", "lib/shelf.py", 7, "same_module_import")],
     [],
 )
 
 
-def check(spark, label="likely_true_positive", reasoning="Default reasoning.", quotes=(), categories=(), reason=None, **options):
-    verdict = (label, "medium", reasoning, list(quotes), [], list(categories), "Act.")
-    row = ("    eval(user_input)", "Detected the use of eval()", "python.eval-detected", "src/app.py", CONTEXT_ROW, verdict, reason)
+def check(spark, label="likely_true_positive", reasoning="A file goes.", quotes=(), categories=(), reason=None, **options):
+    verdict = (label, "medium", reasoning, list(quotes), [], list(categories), "Look at it.")
+    row = (CODE, "A path from outside is removed", "files.unlink-outside", "lib/albums.py", CONTEXT_ROW, verdict, reason)
     return V.verify_replies(spark.createDataFrame([row], ROW), **options).first()
 
 
-@pytest.mark.parametrize(
-    "label,quotes,issues",
-    [
-        ("false_positive", ["eval(user_input)"], []),
-        ("false_positive", ["    eval(user_input)\n    "], []),
-        ("false_positive", ["    eval(user_input)"], []),
-        ("false_positive", ["return tidy_up(x)"], []),
-        ("false_positive", ["from flask import request"], []),
-        ("false_positive", ["clean(user_input)"], ["does not appear verbatim"]),
-        ("false_positive", ["eval(user_input)", "clean(value)"], ["clean(value)"]),
-        ("false_positive", [], ["no evidence_quotes"]),
-        ("needs_human_review", [], []),
-        ("likely_true_positive", [], []),
-        ("false_positive", ["", "eval(user_input)"], ["#1 is empty"]),
-        ("false_positive", [" \n", "nope"], ["#1 is empty", "#2 does not appear"]),
-    ],
-)
-def test_evidence_quotes(spark, label, quotes, issues):
-    row = check(spark, label, quotes=quotes)
+QUOTES = {
+    "the matched line": (["Path(folder, name).unlink()"], []),
+    "spaced otherwise": (["Path(folder,\tname).unlink()".replace("\t", " \n ")], []),
+    "two lines of the function": (["name = shelf.tidy(name)\n    Path(folder, name).unlink()"], []),
+    "with a line number, which is not code": (["40 |     name = shelf.tidy(name)"], ["#1 does not appear verbatim"]),
+    "a called function": (["return text.strip('/')"], []),
+    "an import": (["import shelf"], []),
+    "the message": (["A path from outside is removed"], []),
+    "made up": (["os.remove(name)"], ["#1 does not appear verbatim"]),
+    "one of three made up": (["import shelf", "shelf.clean(name)", "def tidy(text):"], ["#2 does not appear verbatim"]),
+    "blank": (["  \n"], ["#1 is empty"]),
+    "blank and made up": (["", "import os"], ["#1 is empty", "#2 does not appear"]),
+    "none": ([], ["no evidence_quotes"]),
+}
+
+
+@pytest.mark.parametrize("case", QUOTES)
+def test_quotes_of_a_false_positive(spark, case):
+    quotes, issues = QUOTES[case]
+    row = check(spark, "false_positive", quotes=quotes)
     assert len(row.verification_notes) == len(issues)
-    assert all(part in note for part, note in zip(issues, row.verification_notes))
+    assert all(part in note for part, note in zip(issues, row.verification_notes, strict=True))
     assert row.verification_passed == (not issues)
 
 
-@pytest.mark.parametrize(
-    "reasoning,tokens",
-    [
-        ("The function `process_data` calls `eval()` on user_input.", []),
-        ("The attacker can inject code via the user input. There is no validation, sanitization, or escaping in the request handling path.", []),
-        ("The code calls `clean_input()` before eval, which makes this safe.", ["clean_input"]),
-        ("The `check_link` helper handles this safely.", ["check_link"]),
-        ("The data comes from flask.request which is the request object.", []),
-        ("The `process_data` function evaluates user input.", []),
-        ("SHA1 is used here for cryptographic signatures and hashes. The algorithm is insecure due to collision attacks.", []),
-        ("It goes through os.path.join and MyParser then MyParser again.", ["os.path", "MyParser"]),
-        ("scrub (x) calls tidy_up", []),
-    ],
-)
-def test_grounding(spark, reasoning, tokens):
+@pytest.mark.parametrize("label", ["needs_human_review", "likely_true_positive"])
+def test_other_verdicts_need_no_quote(spark, label):
+    assert check(spark, label).verification_passed
+
+
+REASONING = {
+    "names of the code": ("`drop_album` hands `name` to unlink() after tidy(name).", []),
+    "words of the trade": ("The `input` reaches a `path` and there is no `validation`, so any `file` can go.", []),
+    "a helper that is not there": ("It is checked by `check_folder` and again in resolve_safe(name).", ["check_folder", "resolve_safe"]),
+    "each name once": ("`is_inside` first, is_inside(folder) again.", ["is_inside"]),
+    "dotted": ("It calls shelf.tidy and Path.unlink, not os.truncate there.", ["os.truncate"]),
+    "mixed case": ("AlbumStore wraps it.", ["AlbumStore"]),
+    "snake case": ("That keeps safe_root in place.", ["safe_root"]),
+    "plain words": ("Nothing stops a caller who sends two dots.", []),
+}
+
+
+@pytest.mark.parametrize("case", REASONING)
+def test_grounding(spark, case):
+    reasoning, tokens = REASONING[case]
     row = check(spark, reasoning=reasoning)
     assert [re.search("`(.*?)`", w).group(1) for w in row.advisory_warnings] == tokens
     # Advisory only: nothing is downgraded.
     assert row.verification_passed and row.verdict.verdict == "likely_true_positive"
 
 
-def test_empty_reasoning(spark):
-    assert check(spark, reasoning=" \n").advisory_warnings == ["Reasoning field is empty."]
+def test_no_reasoning(spark):
+    assert check(spark, reasoning="\t \n").advisory_warnings == ["Reasoning field is empty."]
 
 
 def test_own_vocabulary_and_code_only(spark):
-    assert check(spark, reasoning="`zebra`", vocabulary=["zebra"]).advisory_warnings == []
-    assert len(check(spark, reasoning="`collision`", vocabulary=["zebra"]).advisory_warnings) == 1
-    quote = ["Detected the use of eval()"]
+    assert check(spark, reasoning="`walrus`", vocabulary=["walrus"]).advisory_warnings == []
+    assert len(check(spark, reasoning="`input`", vocabulary=["walrus"]).advisory_warnings) == 1
+    quote = ["A path from outside is removed"]
     assert check(spark, "false_positive", quotes=quote).verification_passed
     assert not check(spark, "false_positive", quotes=quote, code_only=True).verification_passed
 
 
 def test_downgrade(spark):
-    row = check(spark, "false_positive", quotes=["made up"], categories=["other"])
+    row = check(spark, "false_positive", quotes=["rm -r"], categories=["other"])
     assert (row.verdict.verdict, row.verdict.confidence, row.verdict.fp_categories) == ("needs_human_review", "low", [])
-    assert (row.original_verdict, row.verdict.evidence_quotes) == ("false_positive", ["made up"])
-    flagged = check(spark, "needs_human_review", quotes=["made up"])
+    assert (row.original_verdict, row.verdict.evidence_quotes) == ("false_positive", ["rm -r"])
+    flagged = check(spark, "needs_human_review", quotes=["rm -r"])
     assert (flagged.verification_passed, flagged.original_verdict, flagged.verdict.confidence) == (False, None, "medium")
 
 
@@ -120,10 +129,8 @@ def test_tokens_match_the_runtime(spark):
     assert got == want
 
 
-def test_vocabulary():
-    words = review_vocabulary()
-    assert {"used", "using", "gets", "getting", "queries", "attacked", "hashes", "directories", "encoded"} <= set(words)
-    assert words == sorted(set(words))
+def test_vocabulary_is_plain():
+    assert len(set(REVIEW_VOCABULARY)) == len(REVIEW_VOCABULARY) and all(w.islower() for w in REVIEW_VOCABULARY)
 
 
 # -- replies ---------------------------------------------------------------------------------------
@@ -168,7 +175,28 @@ def test_route_fallbacks(spark):
     assert got.pop("review") is None
     assert all((v.verdict, v.confidence) == ("needs_human_review", "low") for v in got.values())
     assert [v.reasoning.split(":")[0].split(";")[0] for v in got.values()][:3] == [
-        "v0.1 supports Python files only",
-        "Extractor crashed before LLM call",
+        "Only Python files are reviewed",
+        "No context could be built",
         "Pipeline error",
     ]
+
+
+def test_error_text_is_kept_whole(spark):
+    df = spark.createDataFrame([("api_error: HTTP 429: rate limit: retry later",)], "reason string")
+    reasoning = df.select(X.reply_fallback(F.col("reason"))["reasoning"]).first()[0]
+    assert reasoning == "LLM call failed after retries: HTTP 429: rate limit: retry later"
+
+
+def test_one_reply_per_fingerprint(spark):
+    schema = "fingerprint string, reply string, error string, duration_seconds double, input_tokens long, output_tokens long"
+    rows = [("k", None, "Late", 9.0, 900, 90), ("k", GOOD, None, 1.0, 5, 1), ("k", GOOD, None, 2.0, 7, 2), ("k", GOOD, None, 2.0, 7, 2), ("m", None, None, 1.0, 1, 1)]
+    found = {r.fingerprint: r for r in X.single_replies(X.parse_reply(spark.createDataFrame(rows, schema))).collect()}
+    assert found["k"].verdict.verdict == "false_positive" and found["k"].output_tokens == 2
+    assert found["m"].synth_reason == "no_tool_use" and len(found) == 2
+
+
+def test_reply_schema_accepts_what_the_parser_does():
+    schema = json.loads(X.REPLY_SCHEMA)
+    good = json.loads(GOOD)
+    assert set(good) == set(schema["properties"]) and set(schema["required"]) <= set(good)
+    assert good["verdict"] in schema["properties"]["verdict"]["enum"]

@@ -1,9 +1,9 @@
 """Symbol tables of source files, built from lines.
 
 A file is read once, however many findings point into it. Strings and comments are masked with one
-regular expression over the file's text; everything else is windows over its lines. A file is at
-most ``MAX_FILE_BYTES`` long, which bounds every window here. All of them are keyed by
-(repo_id, path) or a longer key that starts with it, so one shuffle of the files serves them all.
+regular expression over the file's text; everything else is windows over its lines, keyed by
+(repo_id, path) or a longer key that starts with it. A file is one row before it is lines, so a window
+holds no more than a row does.
 
 Extents follow indentation; the result is best effort where a file does not parse.
 """
@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.schemas import MAX_FILE_BYTES
-
 FILE = ["repo_id", "path"]
 
 IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*"
@@ -150,10 +148,12 @@ def mask_code(text: Column) -> Column:
     return F.array_join(masked, "")
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """Per file the raw and the masked lines as arrays of equal length."""
-    small = files.filter((F.col("length") <= MAX_FILE_BYTES) & F.col("text").isNotNull())
-    return small.select(
+def file_lines(files: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
+    """Per file the raw and the masked lines as arrays of equal length; files above the limit stay out."""
+    readable = files.filter(F.col("text").isNotNull())
+    if max_file_bytes is not None:
+        readable = readable.filter(F.col("length") <= max_file_bytes)
+    return readable.select(
         *FILE,
         F.split("text", "\r?\n").alias("raw_lines"),
         F.split(mask_code(F.col("text")), "\r?\n").alias("masked_lines"),

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from winnow.functions.text import numbered, text_lines
 from winnow.operators import codeindex as C
 from winnow.operators.codeindex import FILE
-from winnow.schemas import CALLED_FUNCTION, CONTEXT, MAX_FILE_BYTES, SAME_FILE, SAME_MODULE_IMPORT, STRINGS
-from winnow.session import stage
+from winnow.schemas import CALLED_FUNCTION, CONTEXT, SAME_FILE, SAME_MODULE_IMPORT, STRINGS
+from winnow.session import few, stage
 
 FUNCTION = [*FILE, "function_start"]
 
@@ -141,10 +141,12 @@ class CodeIndex:
     exist in the tree. ``spans`` holds ``repo_id, path, start_line, end_line``.
     """
 
-    def __init__(self, spans: DataFrame, files: DataFrame, follow_alias: bool = False):
+    def __init__(
+        self, spans: DataFrame, files: DataFrame, follow_alias: bool = False, max_file_bytes: int | None = None
+    ):
         spans = spans.filter(F.col("path").endswith(".py"))
-        wanted = spans.select(*FILE).distinct()
-        self.lines = stage(C.file_lines(files.join(wanted, FILE, "left_semi")))
+        wanted = few(spans.select(*FILE))
+        self.lines = stage(C.file_lines(files.join(wanted, FILE, "left_semi"), max_file_bytes))
         self.logical = stage(C.logical_lines(self.lines))
         self.functions = stage(C.functions(C.blocks(self.logical)))
         statements = stage(C.import_statements(self.logical, self.lines))
@@ -161,7 +163,7 @@ class CodeIndex:
         modules = resolve_modules(called.select(*FILE, "module").distinct(), files)
         self.imports = stage(called.join(modules, [*FILE, "module"]))
         targets = self.imports.filter("target_path IS NOT NULL").select("repo_id", F.col("target_path").alias("path"))
-        self.target_lines = stage(C.file_lines(files.join(targets.distinct(), FILE, "left_semi")))
+        self.target_lines = stage(C.file_lines(files.join(few(targets), FILE, "left_semi"), max_file_bytes))
         target_functions = C.functions(C.blocks(C.logical_lines(self.target_lines)))
         elsewhere = stage(C.definitions(target_functions))
         self.calls = stage(resolve_calls(calls, C.definitions(self.functions), self.imports, elsewhere))
@@ -204,8 +206,11 @@ class CodeIndex:
         )
         # A function's calls are bounded by its length, so collecting them is.
         ordered = F.sort_array(F.collect_list(F.struct("call_no", callee.alias("callee"), note.alias("note"))))
+        # Most calls are unresolved; they meet no text, so they stay out of the join.
+        unresolved = self.calls.filter("def_path IS NULL").withColumn("source", F.lit(None).cast("string"))
         return (
-            self.calls.join(texts, ["repo_id", "def_path", "def_start"], "left")
+            found.join(texts, ["repo_id", "def_path", "def_start"], "left")
+            .unionByName(unresolved)
             .groupBy(*FUNCTION)
             .agg(ordered.alias("_calls"))
             .select(
@@ -229,15 +234,20 @@ class CodeIndex:
         return self.calls.filter(F.col("def_path").startswith("../")).select(*FUNCTION).distinct()
 
 
-def build_contexts(findings: DataFrame, files: DataFrame, follow_alias: bool = False) -> DataFrame:
+def build_contexts(
+    findings: DataFrame, files: DataFrame, follow_alias: bool = False, max_file_bytes: int | None = None
+) -> DataFrame:
     """Add ``context``, ``function_text`` and ``context_error`` to processable findings.
 
+    Files of every size are indexed unless ``max_file_bytes`` sets a limit; findings in a file above
+    it get a note instead, and calls into one stay unresolved.
+
     Findings are first reduced to distinct spans; all lookups work on spans, functions and names,
     and texts are attached to those. The findings themselves take part in a single left join, so
     they are shuffled once and each keeps exactly one row.
     """
     spans = findings.select("repo_id", F.col("file_path").alias("path"), "start_line", "end_line")
-    index = CodeIndex(spans, files, follow_alias)
+    index = CodeIndex(spans, files, follow_alias, max_file_bytes)
 
     known = (
         files.select(*FILE, "length")
@@ -257,7 +267,7 @@ def build_contexts(findings: DataFrame, files: DataFrame, follow_alias: bool = F
         .withColumnRenamed("path", "file_path")
     )
     out = findings.join(per_span, ["repo_id", "file_path", "start_line", "end_line"], "left")
-    too_large = F.col("length") > MAX_FILE_BYTES
+    too_large = F.lit(False) if max_file_bytes is None else F.col("length") > max_file_bytes
     readable = F.col("length").isNotNull() & ~too_large
     notes = F.concat(
         F.filter(

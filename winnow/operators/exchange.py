@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,22 +136,51 @@ FINDING_COLUMNS = [
 
 
 def build_requests(work: DataFrame, instruction_rows: DataFrame) -> DataFrame:
-    """One request per distinct fingerprint of the work list.
+    """One request per distinct fingerprint of the work list, with the JSON schema its reply must follow.
 
-    The instruction text is one row, so its broadcast has a fixed size.
+    Which finding speaks for a fingerprint is settled on narrow rows; only its text is rendered. The
+    instruction text is one row, so its broadcast has a fixed size.
     """
-    first = work.groupBy("fingerprint").agg(
-        F.min_by(F.struct("prompt_version", request_text().alias("request")), "finding_id").alias("_first")
-    )
+    first = work.groupBy("fingerprint").agg(F.min("finding_id").alias("finding_id"))
     return (
-        first.select("fingerprint", "_first.prompt_version", "_first.request")
+        work.join(first, ["fingerprint", "finding_id"], "left_semi")
+        .withColumn("request", request_text())
         .join(F.broadcast(instruction_rows), "prompt_version", "left")
-        .select("fingerprint", "prompt_version", "instructions", "request")
+        .select("fingerprint", "prompt_version", "instructions", "request", F.lit(REPLY_SCHEMA).alias("reply_schema"))
+    )
+
+
+def single_replies(parsed: DataFrame) -> DataFrame:
+    """One parsed reply per fingerprint: a usable one before a failed one, then the one that cost most.
+
+    Writers that retry leave several. What is still equal is settled by content, and an aggregate
+    merges copies before the shuffle.
+    """
+    reply = F.struct(*[c for c in parsed.columns if c != "fingerprint"])
+    order = F.struct(
+        F.col("synth_reason").isNull(), "output_tokens", "input_tokens", F.xxhash64(F.to_json(reply)).alias("content")
     )
+    return parsed.groupBy("fingerprint").agg(F.max_by(reply, order).alias("_reply")).select("fingerprint", "_reply.*")
+
+
+def _reply_schema() -> str:
+    """What :func:`parse_reply` accepts, as JSON schema text."""
+    text, texts = {"type": "string"}, {"type": "array", "items": {"type": "string"}}
+    properties = {
+        "verdict": text | {"enum": VERDICT_LABELS},
+        "confidence": text | {"enum": CONFIDENCES},
+        "reasoning": text,
+        "evidence_quotes": texts,
+        "missing_context": texts,
+        "fp_categories": {"type": "array", "items": text | {"enum": FP_CATEGORIES}},
+        "suggested_action": text,
+    }
+    return json.dumps({"type": "object", "properties": properties, "required": list(REPLY_TEXTS)})
 
 
 REPLY_TEXTS = ("verdict", "confidence", "reasoning", "suggested_action")
 REPLY_LISTS = ("evidence_quotes", "missing_context", "fp_categories")
+REPLY_SCHEMA = _reply_schema()
 
 
 def parse_reply(replies: DataFrame) -> DataFrame:
@@ -216,9 +247,10 @@ def review_verdict(reasoning: Column, missing: str, action: Column) -> Column:
 
 def reply_fallback(synth_reason: Column) -> Column:
     """Verdict for a reply that never came or cannot be used."""
-    api = F.substring_index(synth_reason, ": ", -1)
+    api = F.substr(synth_reason, F.lit(len("api_error: ") + 1))
+    # The reasoning per cause, and what is missing and to be done.
     reasoning = (
-        F.when(synth_reason.startswith("api_error"), F.concat(F.lit("LLM call failed after retries: "), api))
+        F.when(synth_reason.startswith("api_error: "), F.concat(F.lit("LLM call failed after retries: "), api))
         .when(synth_reason == "no_tool_use", F.lit("LLM did not call submit_verdict. Routing to human review."))
         .otherwise(F.lit("LLM returned malformed verdict. Routing to human review."))
     )
@@ -256,16 +288,16 @@ def route_fallback(route: Column, file_path: Column, error: Column) -> Column:
     # Per route the reasoning and the suggested action.
     texts = {
         "unsupported_language": (
-            F.concat(F.lit("v0.1 supports Python files only; "), file_path, F.lit(" requires manual review.")),
-            "Review manually. Multi-language support is planned for v0.2.",
+            F.concat(F.lit("Only Python files are reviewed; "), file_path, F.lit(" requires manual review.")),
+            "Review manually.",
         ),
         "context_failure": (
-            F.concat(F.lit("Extractor crashed before LLM call: "), cause),
-            "File a bug report with the rule_id and file_path.",
+            F.concat(F.lit("No context could be built: "), cause),
+            "Review manually; the rule_id and file_path tell which file to look at.",
         ),
         "pipeline_failure": (
             F.concat(F.lit("Pipeline error: "), cause),
-            "Re-run with --no-cache, or file a bug report if reproducible.",
+            "Run the finding again without reuse, or review it manually.",
         ),
         "degraded_context": (
             F.lit("Could not extract enough context (no containing function or called functions) to send to the LLM."),

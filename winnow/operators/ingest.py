@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from winnow.functions import variant as V
 from winnow.functions.text import line_slice, text_lines
 from winnow.schemas import DEFAULT_SEVERITY, SEVERITIES
+from winnow.session import few
 
 # What a scanner writes instead of code when the user is not logged in, and the
 # summary of a trace without any known part.
@@ -15,34 +16,42 @@ REDACTED = "requires login"
 UNKNOWN_TRACE = "Dataflow trace present (structure unrecognized)"
 
 
-DOCUMENT = "results array<variant>, errors array<variant>, malformed string"
+# The text goes into a list inside an object, so whatever follows the first value in it is parsed as
+# well: another document makes the list longer, anything else makes it invalid.
+WRAPPED = "documents array<struct<results array<variant>, errors array<variant>>>, end int, malformed string"
 
 
 def scan_documents(docs: DataFrame, on_error: str = "quarantine") -> DataFrame:
     """Parse ``text`` into ``doc``, lists of loosely typed results and errors.
 
     ``doc_error`` tells why a document is unusable; ``on_error='raise'`` fails the job at the first
-    such document instead. Only list elements become variants: a variant of a whole document would
+    such document instead. A text with anything after its document, another one included, is
+    unusable as a whole. Only list elements become variants: a variant of a whole document would
     end at 128 MiB and hold parts nobody reads.
     """
     if on_error not in ("quarantine", "raise"):
         raise ValueError(f"on_error must be 'quarantine' or 'raise', got {on_error!r}")
-    doc = F.from_json("text", DOCUMENT, {"columnNameOfCorruptRecord": "malformed"})
-    parsed = docs.select("scan_id", "repo_id", doc.alias("doc"), "text")
-    text = F.col("text")
-    whole = F.try_parse_json(text)
-    closed = F.rtrim(text, F.lit(" \t\r\n")).endswith("}")
+    wrapped = F.concat(F.lit('{"documents":['), "text", F.lit('],"end":1}'))
+    read = docs.select("scan_id", "repo_id", wrapped.alias("text")).withColumn(
+        "read", F.from_json("text", WRAPPED, {"columnNameOfCorruptRecord": "malformed"})
+    )
+    found = F.col("read.documents")
+    parsed = read.select("scan_id", "repo_id", F.get(found, F.lit(0)).alias("doc"), F.size(found).alias("n"), "read.end", "text")
+    whole = F.try_parse_json("text")
+    first = V.child(whole, "$.documents[0]")
     why = (
-        F.when(whole.isNull(), F.lit("not valid JSON"))
-        .when(~V.is_object(whole), F.lit("not a JSON object"))
-        .when(V.child(whole, "$.results").isNull(), F.lit("no top-level results"))
+        F.when(whole.isNull() | first.isNull() | V.child(whole, "$.end").isNull(), F.lit("not valid JSON"))
+        .when(V.child(whole, "$.documents[1]").isNotNull(), F.lit("more than one JSON document"))
+        .when(~V.is_object(first), F.lit("not a JSON object"))
+        .when(V.child(first, "$.results").isNull(), F.lit("no top-level results"))
         .otherwise(F.lit("results is not a list"))
     )
-    error = F.when(F.col("doc.results").isNull(), why).when(~closed, F.lit("not valid JSON"))
+    usable = F.col("doc.results").isNotNull() & (F.col("n") == 1) & (F.col("end") == 1)
+    error = F.when(~F.coalesce(usable, F.lit(False)), why)
     if on_error == "raise":
         message = F.concat(F.lit("scan "), F.col("scan_id"), F.lit(": "), error)
         error = F.when(error.isNotNull(), F.raise_error(message).cast("string"))
-    return parsed.withColumn("doc_error", error).drop("text")
+    return parsed.withColumn("doc_error", error).drop("text", "n", "end")
 
 
 def scan_file_rejects(parsed: DataFrame) -> DataFrame:
@@ -197,7 +206,7 @@ def resolve_matched_code(findings: DataFrame, files: DataFrame) -> DataFrame:
     file, span = ["repo_id", "file_path"], ["repo_id", "file_path", "start_line", "end_line"]
     spans = to_read.select(*span).distinct()
     named = files.withColumnRenamed("path", "file_path")
-    texts = named.join(spans.select(*file).distinct(), file, "left_semi").select(
+    texts = named.join(few(spans.select(*file)), file, "left_semi").select(
         *file, text_lines(F.col("text")).alias("_lines")
     )
     found = F.array_join(line_slice(F.col("_lines"), F.col("start_line"), F.col("end_line")), "\n")

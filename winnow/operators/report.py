@@ -32,7 +32,13 @@ ADVISORY = (
     "carefully._"
 )
 
-RULES_PER_PART = 10_000
+# Head of the rule table and what stands above the noisy rules.
+TABLE_HEAD = (
+    "## Per-rule statistics\n",
+    "| Rule | Total | FP | Likely TP | Review | FP rate |",
+    "|---|---:|---:|---:|---:|---:|",
+)
+TUNING_TITLE = "\n**Rules with high false-positive rates that may be worth tuning:**\n"
 
 
 def _count(condition: Column) -> Column:
@@ -82,7 +88,8 @@ def usage_totals(rows: DataFrame) -> DataFrame:
     """Per run: tokens, review time, reuse hits and misses.
 
     A miss is a finding that cost tokens; fallbacks without tokens are neither hit nor miss.
-    ``total_*`` counts reused findings' recorded tokens as well, ``spent_*`` only fresh ones.
+    ``total_*`` counts reused findings' recorded tokens as well, ``spent_*`` and
+    ``review_seconds`` only fresh ones.
     """
     cached = F.coalesce("from_cache", F.lit(False))
     tokens_in, tokens_out = F.coalesce("input_tokens", F.lit(0)), F.coalesce("output_tokens", F.lit(0))
@@ -91,7 +98,7 @@ def usage_totals(rows: DataFrame) -> DataFrame:
         F.sum(tokens_out).alias("total_output_tokens"),
         F.sum(F.when(~cached, tokens_in).otherwise(0)).alias("spent_input_tokens"),
         F.sum(F.when(~cached, tokens_out).otherwise(0)).alias("spent_output_tokens"),
-        F.sum(F.coalesce("duration_seconds", F.lit(0.0))).alias("total_duration_seconds"),
+        F.sum(F.when(~cached, F.coalesce("duration_seconds", F.lit(0.0))).otherwise(0.0)).alias("review_seconds"),
         _count(cached).alias("cache_hits"),
         _count(~cached & (tokens_in > 0)).alias("cache_misses"),
         _count(~cached & (tokens_in == 0)).alias("fallback_count"),
@@ -213,7 +220,7 @@ def run_summary(triaged: DataFrame, scan_errors: DataFrame, runs: DataFrame) ->
     """One row per run of ``runs``: metadata, counts, usage, cost, hit rate, scan errors.
 
     ``runs`` holds ``run_id, generated_at, tool_version, prompt_version, model, repo_path,
-    findings_path``; a run without findings still gets its row. ``scan_errors`` carries ``run_id``.
+    findings_path, total_duration_seconds`` (the run's wall time, NULL if unknown); a run without findings still gets its row. ``scan_errors`` carries ``run_id``.
     """
     labels = triaged.withColumn("verdict", F.col("verdict.verdict"))
     errors = scan_errors.groupBy("run_id").agg(F.count("*").alias("scan_error_count"))
@@ -226,7 +233,7 @@ def run_summary(triaged: DataFrame, scan_errors: DataFrame, runs: DataFrame) ->
         runs.join(verdict_counts(labels), "run_id", "left")
         .join(usage_totals(labels), "run_id", "left")
         .join(errors, "run_id", "left")
-        .fillna(0, subset=[*counts, "total_duration_seconds"])
+        .fillna(0, subset=[*counts, "review_seconds"])
     )
     return joined.withColumns(
         {
@@ -236,36 +243,32 @@ def run_summary(triaged: DataFrame, scan_errors: DataFrame, runs: DataFrame) ->
     )
 
 
-def run_reports(
-    summary: DataFrame,
-    stats: DataFrame,
-    min_findings: int = NOISY_MIN_FINDINGS,
-    min_fp_rate: float = NOISY_MIN_FP_RATE,
-    rules_per_part: int = RULES_PER_PART,
+def run_rules(
+    stats: DataFrame, min_findings: int = NOISY_MIN_FINDINGS, min_fp_rate: float = NOISY_MIN_FP_RATE
 ) -> DataFrame:
-    """The summary with the run's ``rule_stats`` and ``rules_to_consider_tuning`` nested in order.
+    """A row per run and rule: its number in the report's order, its statistics, and whether to consider tuning it.
 
-    A run is one row; one with more than ``rules_per_part`` rules goes on in further rows
-    (``part_no`` 1, 2, ...), so that no row grows without bound.
+    Rules of a run are numbered in chunks of equal false-positive counts, so a run with very many
+    rules is not one window.
     """
-    order = Window.partitionBy("run_id").orderBy(F.col("fp_rate").desc(), F.col("total").desc(), "rule_id")
     noisy = (F.col("total") >= min_findings) & (F.col("fp_rate") >= min_fp_rate)
-    fields = ["rule_id", "total", "false_positive", "likely_true_positive", "needs_human_review", "fp_rate"]
-    parts = (
-        stats.withColumn("rule_no", F.row_number().over(order))
-        .withColumn("part_no", F.floor((F.col("rule_no") - 1) / rules_per_part).cast("int"))
-        .groupBy("run_id", "part_no")
-        .agg(F.sort_array(F.collect_list(F.struct("rule_no", *fields, noisy.alias("noisy")))).alias("_rules"))
-        .select(
-            "run_id",
-            "part_no",
-            F.transform("_rules", lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("rule_stats"),
-            F.transform(F.filter("_rules", lambda r: r["noisy"]), lambda r: r["rule_id"]).alias(
-                "rules_to_consider_tuning"
-            ),
-        )
+    ranked = stats.withColumns(
+        {
+            "noisy": noisy,
+            "_rate": F.round(-F.col("fp_rate") * 1000).cast("int"),
+            "_order": F.struct((-F.col("fp_rate")).alias("a"), (-F.col("total")).alias("b"), F.col("rule_id").alias("c")),
+        }
+    )
+    before = Window.partitionBy("run_id").orderBy("_rate").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranked.groupBy("run_id", "_rate").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy("run_id", "_rate").orderBy("_order")
+    return (
+        ranked.withColumn("_in", F.row_number().over(within))
+        .join(sizes, ["run_id", "_rate"])
+        .withColumn("rule_no", F.col("_before") + F.col("_in"))
+        .drop("_rate", "_order", "_before", "_in")
     )
-    return summary.join(parts, "run_id", "left").fillna(0, subset=["part_no"])
 
 
 def report_blocks(
@@ -275,10 +278,10 @@ def report_blocks(
     min_findings: int = NOISY_MIN_FINDINGS,
     min_fp_rate: float = NOISY_MIN_FP_RATE,
 ) -> DataFrame:
-    """The Markdown report as ordered blocks ``run_id, block_no, markdown``.
+    """The Markdown report as ordered blocks ``run_id, block_no, part, rule_no, markdown``.
 
-    Blocks are separated by a blank line. A run's findings stay one row each and are never
-    gathered; only its rule table, one line per rule, is a single block.
+    Rows of one block (a rule table) follow each other by ``part`` and ``rule_no``; between blocks
+    stands a blank line. Findings and rules are one row each and are never gathered.
     """
 
     def block(number: Column, markdown: Column) -> Column:
@@ -297,12 +300,14 @@ def report_blocks(
         ),
     )
     sections = findings.select("run_id", (F.col("finding_no") + 2).alias("block_no"), "markdown")
+    texts = fixed.filter("markdown IS NOT NULL").unionByName(sections)
+    whole = texts.select("run_id", "block_no", F.lit(0).alias("part"), F.lit(0).cast("long").alias("rule_no"), "markdown")
     tables = (
-        rule_table(stats, min_findings, min_fp_rate)
+        rule_table(run_rules(stats, min_findings, min_fp_rate))
         .join(summary.select("run_id", "total_findings"), "run_id")
-        .select("run_id", (F.col("total_findings") + 3).alias("block_no"), "markdown")
+        .select("run_id", (F.col("total_findings") + 3).alias("block_no"), "part", "rule_no", "markdown")
     )
-    return fixed.filter("markdown IS NOT NULL").unionByName(sections).unionByName(tables)
+    return whole.unionByName(tables)
 
 
 def header_text() -> Column:
@@ -330,7 +335,8 @@ def summary_text() -> Column:
         row("False positive", F.col("false_positive_count")),
         row("Estimated cost", F.format_string("~$%.3f", F.col("estimated_cost"))),
         row("Tokens (in / out)", F.col("total_input_tokens"), " / ", F.col("total_output_tokens")),
-        row("Duration", F.format_string("%.1fs", F.col("total_duration_seconds"))),
+        row("Duration", F.coalesce(F.format_string("%.1fs", F.col("total_duration_seconds")), F.lit("unknown"))),
+        row("Review time of new findings", F.format_string("%.1fs", F.col("review_seconds"))),
         row("Cache", F.col("cache_hits"), " hits, ", F.col("cache_misses"), " misses", rate),
         row("Model", "`", F.col("model"), "`"),
         row("Prompt version", "`", F.col("prompt_version"), "`"),
@@ -356,39 +362,28 @@ def footer_text() -> Column:
     )
 
 
-def rule_table(
-    stats: DataFrame, min_findings: int = NOISY_MIN_FINDINGS, min_fp_rate: float = NOISY_MIN_FP_RATE
-) -> DataFrame:
-    """Per run the rule statistics as a Markdown table, noisy rules listed below it."""
+def rule_table(rules: DataFrame) -> DataFrame:
+    """The rule statistics of :func:`run_rules` as Markdown: ``run_id, part, rule_no, markdown``.
+
+    Part 0 is the table's head, part 1 a line per rule, part 2 the title of the noisy rules, part 3 a
+    line for each of those.
+    """
     line = F.concat(
         F.lit("| `"), F.col("rule_id"), F.lit("` | "),
         F.concat_ws(" | ", "total", "false_positive", "likely_true_positive", "needs_human_review"),
         F.lit(" | "), fp_percent(F.col("fp_rate")).cast("string"), F.lit("% |"),
     )
-    noisy = F.when(
-        (F.col("total") >= min_findings) & (F.col("fp_rate") >= min_fp_rate),
-        F.concat(F.lit("- `"), F.col("rule_id"), F.lit("`")),
-    )
-    entry = F.struct((-F.col("fp_rate")).alias("a"), (-F.col("total")).alias("b"), "rule_id", line.alias("line"), noisy.alias("noisy"))
-    tuned = F.filter(F.transform("_rules", lambda r: r["noisy"]), lambda text: text.isNotNull())
+
+    def part(rows: DataFrame, number: int, markdown: Column) -> DataFrame:
+        return rows.select("run_id", F.lit(number).alias("part"), "rule_no", markdown.alias("markdown"))
+
+    def title(rows: DataFrame, number: int, text: str) -> DataFrame:
+        return part(rows.select("run_id").distinct().withColumn("rule_no", F.lit(0).cast("long")), number, F.lit(text))
+
+    noisy = rules.where("noisy")
     return (
-        stats.groupBy("run_id")
-        .agg(F.sort_array(F.collect_list(entry)).alias("_rules"))
-        .select(
-            "run_id",
-            F.concat_ws(
-                "\n",
-                F.lit("## Per-rule statistics\n"),
-                F.lit("| Rule | Total | FP | Likely TP | Review | FP rate |"),
-                F.lit("|---|---:|---:|---:|---:|---:|"),
-                F.transform("_rules", lambda r: r["line"]),
-                F.when(
-                    F.size(tuned) > 0,
-                    F.concat(
-                        F.lit("\n**Rules with high false-positive rates that may be worth tuning:**\n"),
-                        F.array_join(tuned, "\n"),
-                    ),
-                ),
-            ).alias("markdown"),
-        )
+        title(rules, 0, "\n".join(TABLE_HEAD))
+        .unionByName(part(rules, 1, line))
+        .unionByName(title(noisy, 2, TUNING_TITLE))
+        .unionByName(part(noisy, 3, F.concat(F.lit("- `"), F.col("rule_id"), F.lit("`"))))
     )

@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from winnow.functions.text import fingerprint
 from winnow.schemas import CONFIDENCES, PROMPT_VERSION, STORED, VERDICT_LABELS
-from winnow.session import stage
-
-PREFIX = "hash_prefix"
 
 
 def add_fingerprint(
@@ -55,7 +51,9 @@ def latest_entries(store: DataFrame) -> DataFrame:
     """
     payload = [c for c in store.columns if c not in ("fingerprint", "stored_at")]
     entry = F.struct(*payload)
-    order = F.struct(F.col("stored_at"), F.xxhash64(*[F.to_json(F.struct(*payload))]))
+    # Findings that shared a request are stored each; the one that was charged speaks for them.
+    charged = F.coalesce("input_tokens", F.lit(-1).cast("long"))
+    order = F.struct("stored_at", charged.alias("charged"), F.xxhash64(F.to_json(entry)).alias("content"))
     return (
         store.groupBy("fingerprint")
         .agg(F.max_by(entry, order).alias("_entry"), F.max("stored_at").alias("stored_at"))
@@ -67,10 +65,14 @@ def latest_entries(store: DataFrame) -> DataFrame:
 def reuse_verdicts(findings: DataFrame, store: DataFrame) -> DataFrame:
     """Left join of findings with the store: ``from_cache`` and the stored outcome as ``stored``.
 
+    Of several entries for one fingerprint the latest counts, so a finding stays one row.
+
     The stored verdict meets the current finding, so line numbers in the result are current.
     """
     payload = [c for c in store.columns if c not in ("fingerprint", "stored_at")]
-    entries = store.select("fingerprint", F.struct(*payload).alias("stored"))
+    # Keys first: of the store's payload only what some finding asks for is moved.
+    asked = findings.select("fingerprint").distinct()
+    entries = latest_entries(store.join(asked, "fingerprint", "left_semi")).select("fingerprint", F.struct(*payload).alias("stored"))
     return findings.join(entries, "fingerprint", "left").withColumn("from_cache", F.col("stored").isNotNull())
 
 
@@ -92,34 +94,28 @@ def upsert(store: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The usable entries of a store; a store that was never written is empty."""
-    return _partitioned_store(spark, path).drop(PREFIX)
+    """The latest usable entry of every fingerprint; a store that was never written is empty."""
+    return latest_entries(_entries(spark, path))
 
 
 def write_store(spark: SparkSession, path: str, fresh: DataFrame) -> None:
-    """Upsert ``fresh`` into the Parquet store at ``path``.
+    """Append ``fresh`` to the Parquet store at ``path`` as one more delta.
 
-    The store is partitioned by the first two hex digits of the key. Only partitions that get new
-    entries are read and rewritten; Spark swaps them in when the job commits.
+    Nothing that is there is read or replaced, so runs at the same time keep each other's entries;
+    of several for one fingerprint the latest counts when the store is read.
     """
-    fresh = stage(fresh.withColumn(PREFIX, F.substring("fingerprint", 1, 2)))
-    # At most 256 prefixes exist, so this side has a fixed size bound.
-    touched = F.broadcast(fresh.select(PREFIX).distinct())
-    current = _partitioned_store(spark, path).join(touched, PREFIX, "left_semi")
-    merged = latest_entries(current.unionByName(fresh).drop(PREFIX))
-    (
-        merged.withColumn(PREFIX, F.substring("fingerprint", 1, 2))
-        .hint("rebalance", PREFIX)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PREFIX)
-        .parquet(path)
-    )
+    fresh.select(*STORED.fieldNames()).write.mode("append").parquet(path)
+
+
+def compact_store(spark: SparkSession, path: str, target: str) -> None:
+    """Write the latest entry of every fingerprint to ``target``, a new store that may replace ``path``."""
+    if path.rstrip("/") == target.rstrip("/"):
+        raise ValueError("a store cannot be compacted into itself")
+    read_store(spark, path).hint("rebalance").write.mode("errorifexists").parquet(target)
 
 
-def _partitioned_store(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*STORED.fields, T.StructField(PREFIX, T.StringType())])
+def _entries(spark: SparkSession, path: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    return usable_entries(spark.read.schema(schema).parquet(path))
+        return spark.createDataFrame([], STORED)
+    return usable_entries(spark.read.schema(STORED).parquet(path))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.text import let, no_strings, normalize_ws, strip_line_prefixes
-from winnow.functions.vocabulary import review_vocabulary
+from winnow.functions.vocabulary import REVIEW_VOCABULARY
 from winnow.schemas import FALSE_POSITIVE, NEEDS_HUMAN_REVIEW, VERDICT
 
 _START = r"(?<![\p{L}\p{N}_])"
@@ -147,7 +147,7 @@ def token_appears(token: Column, hay: Column) -> Column:
 
 def suspect_tokens(reasoning: Column, hay: Column, vocabulary: Sequence[str] | None = None) -> Column:
     """Cited tokens that are neither vocabulary nor anywhere in the text shown."""
-    words = review_vocabulary() if vocabulary is None else list(vocabulary)
+    words = REVIEW_VOCABULARY if vocabulary is None else list(vocabulary)
     return let(
         F.struct(cited_tokens(reasoning).alias("tokens"), hay.alias("hay")),
         lambda s: F.filter(

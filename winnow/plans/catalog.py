@@ -73,7 +73,14 @@ def scan_file_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = D.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("text"), "doc_id").alias("scan_id"), F.lit("texts").alias("repo_id"), "text"
     )
-    docs = props.unionByName(texts).unionByName(D.scan_docs(spark, sf_dir))
+    scans = D.scan_docs(spark, sf_dir)
+    twice = scans.select(
+        F.concat(F.lit("twice"), "scan_id").alias("scan_id"),
+        "repo_id",
+        F.concat("text", F.when(F.col("scan_id").rlike("[02468]$"), F.lit("\n")).otherwise(F.lit(",")), "text").alias("text"),
+    )
+    junk = scans.select(F.concat(F.lit("junk"), "scan_id").alias("scan_id"), "repo_id", F.concat("text", F.lit(" junk }")).alias("text"))
+    docs = props.unionByName(texts).unionByName(scans).unionByName(twice).unionByName(junk)
     return I.scan_file_rejects(I.scan_documents(docs))
 
 
@@ -200,7 +207,7 @@ def request_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests are made once per fingerprint, with the instruction text of their version."""
     rows = R.add_fingerprint(D.doc_findings(spark, sf_dir))
     requests = X.build_requests(rows, X.instructions(spark, "Decide."))
-    return requests.select("fingerprint", "prompt_version", "instructions", F.length("request").alias("request_length"))
+    return requests.select("fingerprint", "prompt_version", "instructions", "request")
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,32 +278,36 @@ def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of a conversation as a quote from the document of the same number."""
+    """Every turn of a conversation as a quote from the document of the same number; others quote themselves."""
     turns = D.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn", "text").agg(F.count("*").alias("copies"))
     docs = D.documents(spark, sf_dir).select("doc_id", F.col("text").alias("hay"))
-    return turns.join(docs, F.col("conv_id") == F.col("doc_id")).select(
+    found = docs.join(turns, F.col("conv_id") == F.col("doc_id"), "left")
+    found = found.withColumn("quote", F.coalesce("text", F.substring_index("hay", ".", 1)))
+    return found.select(
         "doc_id",
-        "turn",
-        "copies",
-        V.quote_statuses(F.array("text", F.substring_index("hay", ".", 2)), F.col("hay"))[0].alias("turn_status"),
+        F.coalesce("turn", F.lit(-1)).alias("turn"),
+        F.coalesce("copies", F.lit(0)).alias("copies"),
+        V.quote_statuses(F.array("quote", F.substring_index("hay", ".", 2)), F.col("hay"))[0].alias("turn_status"),
         V.quote_statuses(F.array(text.normalize_ws(F.col("hay"))), F.col("hay"))[0].alias("own_status"),
-        F.length(text.normalize_ws(F.col("text"))).alias("normalized_length"),
+        F.length(text.normalize_ws(F.col("quote"))).alias("normalized_length"),
     )
 
 
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page markup as reasoning, checked against the document of the same number.
+    """Markup of the page of the same number and names in backticks as reasoning about every document.
 
-    Letters outside ASCII are folded to ``e``, so that every engine sees the same word borders.
+    Spanish documents get none. Letters outside ASCII are folded to ``e``, so that every engine sees the same word borders.
     """
     pages = D.table(spark, sf_dir, "pages").select(
         "page_id", F.regexp_replace("html", r"[^\x00-\x7f]", "e").alias("reasoning")
     )
-    docs = D.documents(spark, sf_dir).select("doc_id", F.col("text").alias("hay"))
-    found = pages.join(docs, F.col("page_id") == F.col("doc_id"))
-    suspects = V.suspect_tokens(F.col("reasoning"), F.col("hay"))
+    docs = D.documents(spark, sf_dir).select("doc_id", "lang", F.col("text").alias("hay"))
+    names = F.concat(F.lit(" `made_up_"), F.length("hay").cast("string"), F.lit("` and `ref_x` and `the` "))
+    said = F.when(F.col("lang") == "es", "").otherwise(F.concat(F.coalesce("reasoning", F.lit("")), names))
+    found = docs.join(pages, F.col("page_id") == F.col("doc_id"), "left").withColumn("reasoning", said)
+    suspects = V.suspect_tokens(F.col("reasoning"), F.col("hay"), ["div", "class_name", "page_id", "example", "this", "ref_x"])
     return found.select(
-        "page_id",
+        "doc_id",
         F.size(V.cited_tokens(F.col("reasoning"))).alias("n_tokens"),
         F.array_join(F.sort_array(suspects), " ").alias("suspects"),
     )
@@ -336,7 +347,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reuse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = stage(R.latest_entries(R.usable_entries(D.stored_docs(spark, sf_dir))))
+    store = R.usable_entries(D.stored_docs(spark, sf_dir))
     found = R.reuse_verdicts(_current(spark, sf_dir), store)
     return found.select(
         "doc_id",
@@ -427,8 +438,8 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     totals = P.usage_totals(rows)
     return totals.select(
-        *[c for c in totals.columns if c != "total_duration_seconds"],
-        F.round("total_duration_seconds", 2).alias("total_duration_seconds"),
+        *[c for c in totals.columns if c != "review_seconds"],
+        F.round("review_seconds", 2).alias("review_seconds"),
     )
 
 
@@ -481,6 +492,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("reviewer-1").alias("model"),
         F.concat(F.lit("/repos/"), "run_id").alias("repo_path"),
         F.concat(F.lit("/scans/"), "run_id", F.lit(".json")).alias("findings_path"),
+        F.length("run_id").cast("double").alias("total_duration_seconds"),
     )
 
 
@@ -496,21 +508,19 @@ def _report_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return triaged, summary, stats
 
 
-REPORT_RENDERED = ("generated_at", "hit_rate_percent", "estimated_cost", "rule_stats", "rules_to_consider_tuning")
+REPORT_RENDERED = ("generated_at", "hit_rate_percent", "estimated_cost")
 
 
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of each run beside each of its rules."""
     _, summary, stats = _report_parts(spark, sf_dir)
-    report = P.run_reports(summary, stats, min_fp_rate=NOISY_RATE)
+    rules = P.run_rules(stats, min_fp_rate=NOISY_RATE)
+    report = summary.join(rules.select("run_id", "rule_no", "rule_id", "total", "false_positive", "noisy"), "run_id", "left")
     return report.select(
         *[c for c in report.columns if c not in REPORT_RENDERED],
         F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at"),
         F.coalesce("hit_rate_percent", F.lit(-1)).alias("hit_rate_percent"),
         F.round("estimated_cost", 6).alias("estimated_cost"),
-        F.array_join(
-            F.transform("rule_stats", lambda r: F.concat_ws(":", r["rule_id"], r["total"], r["false_positive"])), ";"
-        ).alias("rules"),
-        F.array_join("rules_to_consider_tuning", ";").alias("noisy"),
     )
 
 
@@ -520,8 +530,7 @@ def finding_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     triaged, summary, stats = _report_parts(spark, sf_dir)
-    blocks = P.report_blocks(summary, P.finding_markdown(triaged), stats, min_fp_rate=NOISY_RATE)
-    return blocks.filter(~F.col("markdown").startswith("### "))
+    return P.report_blocks(summary, P.finding_markdown(triaged), stats, min_fp_rate=NOISY_RATE)
 
 
 # -- whole runs ------------------------------------------------------------------------------------
@@ -576,7 +585,9 @@ def triage_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(100).cast("long").alias("input_tokens"),
         F.lit(10).cast("long").alias("output_tokens"),
     )
-    done = T.conclude(prepared.findings, answers)
+    # Writers that retry leave replies twice, and failures beside them.
+    failed = answers.withColumns({"reply": F.lit(None).cast("string"), "error": F.lit("Timeout: retry: later")})
+    done = T.conclude(prepared.findings, answers.unionByName(failed).unionByName(answers))
     return done.select(
         "scan_id",
         "result_idx",

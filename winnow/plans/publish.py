@@ -28,7 +28,6 @@ def publish(
     errors = scan_errors.withColumn("run_id", F.col("scan_id"))
     summary = stage(P.run_summary(triaged, errors, runs))
     stats = stage(P.rule_stats(triaged.withColumn("verdict", F.col("verdict.verdict"))))
-    reports = P.run_reports(summary, stats, min_findings, min_fp_rate)
-    sinks.write_json_report(reports, stats, triaged, f"{path}/json")
+    sinks.write_json_report(summary, P.run_rules(stats, min_findings, min_fp_rate), triaged, f"{path}/json")
     blocks = P.report_blocks(summary, P.finding_markdown(triaged), stats, min_findings, min_fp_rate)
     sinks.write_markdown_report(blocks, f"{path}/markdown")

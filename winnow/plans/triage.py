@@ -43,6 +43,7 @@ def prepare(
     limit: int | None = None,
     on_error: str = "quarantine",
     follow_alias: bool = False,
+    max_file_bytes: int | None = None,
 ) -> Prepared:
     """Scan documents and source files to routed findings and requests.
 
@@ -50,7 +51,8 @@ def prepare(
     processable findings of each scan.
     """
     spark = scan_docs.sparkSession
-    documents = I.scan_documents(scan_docs, on_error)
+    files = single_files(files)
+    documents = stage(I.scan_documents(scan_docs, on_error))
     parsed = stage(I.parse_results(I.raw_results(documents)))
     found = I.mark_processable(I.valid_findings(parsed))
     if limit is not None:
@@ -58,7 +60,7 @@ def prepare(
     found = stage(I.resolve_matched_code(found, files))
 
     nothing = F.lit(None).cast("string")
-    with_context = build_contexts(found.filter("processable"), files, follow_alias).withColumn(
+    with_context = build_contexts(found.filter("processable"), files, follow_alias, max_file_bytes).withColumn(
         "context",
         F.when(
             F.col("context_error").isNotNull(), X.failed_context(F.col("matched_code"), F.col("context_error"))
@@ -95,6 +97,22 @@ def prepare(
     )
 
 
+def single_files(files: DataFrame) -> DataFrame:
+    """One row per repository and path: of several, the first by length and text.
+
+    The paths that stand more than once are found without reading texts; only their rows are
+    merged, and where there are none the files are as they were given.
+    """
+    again = files.groupBy("repo_id", "path").agg(F.count("*").alias("copies")).where("copies > 1").select("repo_id", "path")
+    again = stage(again)
+    if again.isEmpty():
+        return files
+    rest = [c for c in files.columns if c not in ("repo_id", "path")]
+    merged = files.join(again, ["repo_id", "path"], "left_semi").groupBy("repo_id", "path").agg(F.min(F.struct(*rest)).alias("_file"))
+    once = files.join(again, ["repo_id", "path"], "left_anti")
+    return once.unionByName(merged.select("repo_id", "path", "_file.*"))
+
+
 def conclude(
     findings: DataFrame,
     replies: DataFrame,
@@ -108,7 +126,7 @@ def conclude(
     tokens and time count once, on the first of them.
     """
     sent = F.col("route").eqNullSafe("review") & ~F.col("from_cache")
-    answered = X.parse_reply(replies).withColumnRenamed("verdict", "reply_verdict")
+    answered = X.single_replies(X.parse_reply(replies)).withColumnRenamed("verdict", "reply_verdict")
     first = findings.filter(sent).groupBy("fingerprint").agg(F.min("finding_id").alias("first_id"))
     # Written first, so that both sides of the join below are plain scans: adaptive execution can
     # then split a fingerprint that many findings share.

@@ -36,7 +36,6 @@ VERDICT_RANK = {LIKELY_TRUE_POSITIVE: 0, NEEDS_HUMAN_REVIEW: 1, FALSE_POSITIVE:
 SEVERITY_RANK = {"CRITICAL": 0, "ERROR": 1, "WARNING": 2, "INFO": 3}
 
 # Limits and thresholds.
-MAX_FILE_BYTES = 2 * 1024 * 1024
 NOISY_MIN_FINDINGS = 5
 NOISY_MIN_FP_RATE = 0.8
 INPUT_USD_PER_MTOK = 3.0

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the plans rely on. The time zone is fixed so that report times are UTC; the others
 # let Spark re-plan joins whose key (a file, a fingerprint) turns out to be hot.
@@ -34,32 +37,45 @@ def stage(df: DataFrame) -> DataFrame:
 
     It goes below the shared folder the cluster names in ``spark.checkpoint.dir``, so it outlives
     executors; being Parquet, each branch reads only the columns it needs and joins know its size.
-    Where no folder is named, a local session takes a scratch folder of its own and a cluster
-    session keeps the plan whole, because a folder on one machine is not shared.
+    :func:`clear_stage` removes what a session has written.
     """
-    folder = staging_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/winnow-stage-{uuid.uuid4().hex}"
+    path = f"{staging_folder(df.sparkSession)}/winnow-stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def staging_folder(spark: SparkSession) -> str | None:
+def few(keys: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Distinct keys, written once, and sent to every task where they are at most ``rows`` rows.
+
+    Beyond that they are joined as any table is, by a shuffle of both sides.
+    """
+    keys = stage(keys.distinct())
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
+def staging_folder(spark: SparkSession) -> str:
+    """This session's folder below ``spark.checkpoint.dir``.
+
+    A cluster has to name that folder, because one on a single machine is not shared. A session
+    within one process that names none gets a scratch folder that goes when the process ends.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared:
-            context.setCheckpointDir(shared)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="winnow-stage-"))
+        if not shared:
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="winnow-stage-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a small input that a single file split would keep in one task.
-
-    Inputs that already have as many splits as the session has cores are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+def clear_stage(spark: SparkSession) -> None:
+    """Remove this session's staged tables; results that still read them must be written before."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "winnow-stage-*")) or []:
+            files.delete(found.getPath(), True)

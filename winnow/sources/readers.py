@@ -21,10 +21,11 @@ def read_scans(spark: SparkSession, paths: str | Sequence[str], repo_id: str | N
     return raw.select("scan_id", repo.alias("repo_id"), F.col("value").alias("text"))
 
 
-def read_source_tree(spark: SparkSession, root: str, repo_id: str, glob: str = "*") -> DataFrame:
+def read_source_tree(spark: SparkSession, root: str, repo_id: str | None = None, glob: str = "*") -> DataFrame:
     """Files below ``root``: ``repo_id, path, length, text``.
 
-    The file source prunes and pushes down: a plan that only needs paths reads no content, and a
+    With ``repo_id`` the root is that repository. Without, each folder in the root is one, named as
+    the folder, so one call reads the trees of many repositories; files beside them belong to none. The file source prunes and pushes down: a plan that only needs paths reads no content, and a
     filter on ``length`` keeps oversized files unread.
     """
     files = (
@@ -34,9 +35,16 @@ def read_source_tree(spark: SparkSession, root: str, repo_id: str, glob: str = "
         .load(root)
     )
     full = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    return files.select(
-        F.lit(repo_id).alias("repo_id"),
-        F.regexp_replace(full, "^" + _quoted(_without_scheme(root)) + "/*", "").alias("path"),
+    below = F.regexp_replace(full, "^" + _quoted(_without_scheme(root)) + "/*", "")
+    tree = files.withColumn("_below", below)
+    if repo_id is None:
+        tree = tree.where(F.contains("_below", F.lit("/")))
+        repo, path = F.substring_index("_below", "/", 1), F.regexp_replace("_below", "^[^/]*/+", "")
+    else:
+        repo, path = F.lit(repo_id), F.col("_below")
+    return tree.select(
+        repo.alias("repo_id"),
+        path.alias("path"),
         "length",
         F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
     )

@@ -22,16 +22,17 @@ def write_json_report(summary: DataFrame, rule_stats: DataFrame, triaged: DataFr
 
 
 def write_markdown_report(lines: DataFrame, path: str, files: int | None = None) -> None:
-    """Ordered report blocks ``run_id, block_no, markdown`` as text files below ``run_id=.../``.
+    """Ordered report blocks ``run_id, block_no, part, rule_no, markdown`` as text files below ``run_id=.../``.
 
     Rows are range-partitioned in reading order, so the name order of the part files of a run is
     the order of the report; a small report is a single file.
     """
-    spread = (F.col("run_id"), F.col("block_no"))
-    ranged = lines.repartitionByRange(files, *spread) if files else lines.repartitionByRange(*spread)
+    order = ("run_id", "block_no", "part", "rule_no")
+    ranged = lines.repartitionByRange(files, *order) if files else lines.repartitionByRange(*order)
+    blank = F.when((F.col("block_no") > 0) & (F.col("part") == 0), F.lit("\n")).otherwise(F.lit(""))
     (
-        ranged.sortWithinPartitions("run_id", "block_no")
-        .select("run_id", F.concat("markdown", F.lit("\n")).alias("value"))
+        ranged.sortWithinPartitions(*order)
+        .select("run_id", F.concat(blank, "markdown").alias("value"))
         .write.mode("overwrite")
         .partitionBy("run_id")
         .text(path)
