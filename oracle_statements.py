@@ -289,10 +289,10 @@ def status(quote: str, hay: str, hay_norm: str) -> str:
 
 
 LABELLED = f"""{FINDINGS},
-said AS (SELECT conv_id, text AS said FROM conversations WHERE turn = 0),
+said AS (SELECT conv_id, list(text ORDER BY turn) AS said FROM conversations GROUP BY conv_id),
 q AS (SELECT f.*, quality, toxic, quality IS NOT NULL AS has_label, {LABEL} AS label,
-    CASE WHEN quality IS NOT NULL AND n > 1 THEN list_filter([ls[1], replace(ls[2], ' ', ' ' || chr(9) || ' ') || {NL},
-        coalesce(said, CASE WHEN lang = 'fr' THEN '  ' END)], lambda x: x IS NOT NULL) ELSE [] END AS quotes,
+    CASE WHEN quality IS NOT NULL AND n > 1 THEN list_filter(list_concat([ls[1], replace(ls[2], ' ', ' ' || chr(9) || ' ') || {NL}],
+        ls[3:], coalesce(said, CASE WHEN lang = 'fr' THEN ['  '] ELSE [] END)), lambda x: x IS NOT NULL) ELSE [] END AS quotes,
     concat_ws({NL}, text, message, rule_id, path, text, CASE WHEN english THEN concat_ws({NL}, 'import ' || source, text,
         'doc_' || doc_id) END, CASE WHEN english AND n_chars > 1000 THEN concat_ws({NL}, 'def helper_' || source || '():',
         '    pass', 'helper_' || source) END) AS hay
@@ -372,8 +372,8 @@ WHERE fingerprint NOT IN (SELECT fingerprint FROM stored) GROUP BY fingerprint""
 STATEMENTS["store_upsert"] = f"""
 WITH {KEYED},
 fresh AS (SELECT k.fingerprint, {LABEL} AS label, c.text AS reasoning, length(c.text) AS input_tokens,
-    1800000000 + doc_id AS seconds, false AS passed
-    FROM k JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) c ON conv_id = doc_id LEFT JOIN labels USING (doc_id)),
+    1800000000 + doc_id * 100 + turn AS seconds, false AS passed
+    FROM k JOIN conversations c ON conv_id = doc_id LEFT JOIN labels USING (doc_id)),
 every AS (SELECT * FROM stored UNION ALL SELECT * FROM fresh)
 SELECT fingerprint, arg_max(label, seconds) AS verdict, arg_max(reasoning, seconds) AS reasoning,
     arg_max(passed, seconds) AS verification_passed, CAST(arg_max(input_tokens, seconds) AS BIGINT) AS input_tokens,

@@ -365,12 +365,8 @@ def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns of conversations as fresh verdicts on the documents of the same number."""
-    turns = (
-        D.table(spark, sf_dir, "conversations")
-        .filter("turn = 1")
-        .select(F.col("conv_id").alias("doc_id"), F.col("text").alias("said"))
-    )
+    """Turns of conversations as fresh verdicts on the documents of the same number, the last one wins."""
+    turns = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("said"))
     rows = R.add_fingerprint(D.labelled(spark, sf_dir)).join(turns, "doc_id")
     fresh = rows.select(
         "fingerprint",
@@ -382,7 +378,7 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(2.5).alias("duration_seconds"),
         F.length("said").cast("long").alias("input_tokens"),
         F.lit(1).cast("long").alias("output_tokens"),
-        F.timestamp_seconds(F.lit(1_800_000_000) + F.col("doc_id")).alias("stored_at"),
+        F.timestamp_seconds(F.lit(1_800_000_000) + F.col("doc_id") * 100 + F.col("turn")).alias("stored_at"),
     ).select(*STORED.fieldNames())
     return R.upsert(D.stored_docs(spark, sf_dir), fresh).select(
         "fingerprint",

@@ -84,11 +84,11 @@ def scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scanned files: every text but the Spanish ones, which are missing from the tree."""
-    path = F.concat_ws("/", "lang", "source", F.concat(F.lit("d"), "doc_id", extension(F.col("lang"))))
+    """The scanned files: every text, the Spanish ones at paths that no scan names."""
+    folder = F.when(F.col("lang") == "es", "moved").otherwise(F.col("lang"))
+    path = F.concat_ws("/", folder, "source", F.concat(F.lit("d"), "doc_id", extension(F.col("lang"))))
     return (
         table(spark, sf_dir, "documents")
-        .filter("lang <> 'es'")
         .select(
             F.lit(REPO).alias("repo_id"),
             path.alias("path"),
@@ -264,13 +264,14 @@ def doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document findings with a verdict from the labels; unlabelled ones ask for review.
 
-    A labelled document quotes its first line, its second one with other whitespace, and what a
-    user said in the conversation of the same number.
+    A labelled document of several lines quotes all of them, the second one with other whitespace, and
+    every turn of the conversation of the same number.
     """
     said = (
         table(spark, sf_dir, "conversations")
-        .filter("turn = 0")
-        .select(F.col("conv_id").alias("doc_id"), F.col("text").alias("said"))
+        .groupBy(F.col("conv_id").alias("doc_id"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+        .select("doc_id", F.transform("turns", lambda t: t["text"]).alias("said"))
     )
     joined = (
         doc_findings(spark, sf_dir)
@@ -280,8 +281,10 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     has_label = F.col("quality").isNotNull()
     several = F.size("lines") > 1
     second = F.concat(F.replace(F.try_element_at("lines", F.lit(2)), F.lit(" "), F.lit(" \t ")), F.lit("\n"))
+    silent = F.when(F.col("lang") == "fr", F.array(F.lit("  "))).otherwise(F.array().cast(STRINGS))
     quotes = F.filter(
-        F.array(F.element_at("lines", 1), second, F.coalesce("said", F.when(F.col("lang") == "fr", "  "))), lambda quote: quote.isNotNull()
+        F.concat(F.array(F.element_at("lines", 1), second), F.slice("lines", 3, F.size("lines")), F.coalesce("said", silent)),
+        lambda quote: quote.isNotNull(),
     )
     label = verdict_label()
     verdict = F.struct(
