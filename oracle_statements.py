@@ -514,3 +514,13 @@ SELECT 'scan' || doc_id AS scan_id, i AS result_idx, 'review' AS route,
     'Reasoning references `made_up_name` but this token does not appear in the code or context shown to the LLM.' AS advisory,
     CASE WHEN dotted THEN 'inner_' ELSE 'line_' END || i AS function_name FROM b
 UNION ALL SELECT 'scan' || doc_id, CAST(n AS INTEGER), 'unsupported_language', 'needs_human_review', NULL, true, '', NULL FROM c"""
+
+# -- files: the same results by way of a folder ----------------------------------------------------
+
+STATEMENTS["reply_files"] = STATEMENTS["reply_validate"]
+STATEMENTS["request_files"] = STATEMENTS["request_export"]
+STATEMENTS["store_runs"] = STATEMENTS["store_upsert"]
+STATEMENTS["source_tree"] = """
+SELECT 'source=' || source AS repo_id, 'lang=' || lang AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes,
+    CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines
+FROM documents GROUP BY source, lang"""

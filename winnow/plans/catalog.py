@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,9 @@ from winnow.operators.context import CodeIndex, build_contexts, enclosing_functi
 from winnow.plans import corpus as D
 from winnow.plans import triage as T
 from winnow.schemas import PROMPT_VERSION, REPLIES, STORED
-from winnow.session import stage
+from winnow.session import stage, staging_folder
+from winnow.sources.readers import read_replies, read_source_tree
+from winnow.sources.sinks import write_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -236,7 +239,43 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reply_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = X.parse_reply(replies(spark, sf_dir))
+    return _validated(replies(spark, sf_dir))
+
+
+def reply_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same replies by way of the JSON lines that a reviewer writes."""
+    folder = _folder(spark, "replies")
+    replies(spark, sf_dir).write.json(folder)
+    return _validated(read_replies(spark, folder))
+
+
+def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests by way of the JSON lines that a reviewer reads."""
+    folder = _folder(spark, "requests")
+    work = R.add_fingerprint(D.doc_findings(spark, sf_dir))
+    write_requests(X.build_requests(work, X.instructions(spark, "Decide.")), folder)
+    return spark.read.json(folder).select("fingerprint", "prompt_version", "instructions", "request")
+
+
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as the files of a tree, a repository for each source, and read as one."""
+    folder = _folder(spark, "tree")
+    docs = D.table(spark, sf_dir, "documents").select(F.col("source"), F.col("lang"), F.col("text").alias("value"))
+    docs.write.partitionBy("source", "lang").text(folder)
+    files = read_source_tree(spark, folder, glob="part-*")
+    return files.groupBy("repo_id", F.substring_index("path", "/", 1).alias("folder")).agg(
+        F.sum("length").alias("bytes"),
+        F.sum(F.length("text")).alias("chars"),
+        F.sum(F.size(F.split("text", "\n")) - 1).alias("lines"),
+    )
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{staging_folder(spark)}/winnow-stage-{name}-{uuid.uuid4().hex}"
+
+
+def _validated(given: DataFrame) -> DataFrame:
+    parsed = X.parse_reply(given)
     reason = F.col("synth_reason")
     verdict = F.coalesce("verdict", X.reply_fallback(reason))
     return parsed.select(
@@ -365,10 +404,23 @@ def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(R.upsert(D.stored_docs(spark, sf_dir), _fresh(spark, sf_dir)))
+
+
+def store_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of a store that two runs have written to and that was compacted then."""
+    folder = _folder(spark, "store")
+    R.write_store(spark, f"{folder}/runs", D.stored_docs(spark, sf_dir))
+    R.write_store(spark, f"{folder}/runs", _fresh(spark, sf_dir))
+    R.compact_store(spark, f"{folder}/runs", f"{folder}/compact")
+    return _shown(R.read_store(spark, f"{folder}/compact"))
+
+
+def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as fresh verdicts on the documents of the same number, the last one wins."""
     turns = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("said"))
     rows = R.add_fingerprint(D.labelled(spark, sf_dir)).join(turns, "doc_id")
-    fresh = rows.select(
+    return rows.select(
         "fingerprint",
         F.col("verdict").withField("reasoning", F.col("said")).alias("verdict"),
         F.lit(False).alias("verification_passed"),
@@ -380,7 +432,10 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("long").alias("output_tokens"),
         F.timestamp_seconds(F.lit(1_800_000_000) + F.col("doc_id") * 100 + F.col("turn")).alias("stored_at"),
     ).select(*STORED.fieldNames())
-    return R.upsert(D.stored_docs(spark, sf_dir), fresh).select(
+
+
+def _shown(store: DataFrame) -> DataFrame:
+    return store.select(
         "fingerprint",
         F.col("verdict.verdict").alias("verdict"),
         F.col("verdict.reasoning").alias("reasoning"),
@@ -621,6 +676,9 @@ QUERIES: dict[str, Query] = {
         request_text,
         request_export,
         reply_validate,
+        reply_files,
+        request_files,
+        source_tree,
         evidence_quotes,
         quote_checks,
         quote_search,
@@ -630,6 +688,7 @@ QUERIES: dict[str, Query] = {
         reuse_hits,
         work_list,
         store_upsert,
+        store_runs,
         usage,
         cost,
         actionable_order,
