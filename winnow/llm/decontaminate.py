@@ -11,8 +11,8 @@ that of an item of its length is a candidate. The number of repetitions is what
 recall at the largest distance allowed, measured on edited copies of the items themselves. Candidates
 are aligned exactly.
 
-Before it is embedded a window must hold the ``n - 1 - 2 * edits`` word pairs that every window within
-the distance shares with its item; that drops no match. Items are sent to the documents in blocks of
+Before it is embedded a window must hold the ``n - 1 - 2 * edits`` word pairs and ``n - 2 - 3 * edits``
+word triples that every window within the distance shares with its item; that drops no match. Items are sent to the documents in blocks of
 bounded size, one pass over the documents for each block, so a large benchmark costs passes, not memory.
 """
 
@@ -102,42 +102,80 @@ class _Index:
         for i, words in enumerate(hashes):
             self.by_length[len(words)].append(i)
         self.edits = {n: math.floor(max_edits * n) for n in self.by_length}
-        pairs = np.concatenate([_pairs(w) for w in hashes])
-        self.bits = max(16, math.ceil(math.log2(len(pairs))) + 7)
-        self.pairs = np.zeros(1 << self.bits, bool)
-        self.pairs[self._slot(pairs)] = True
+        self.bits = max(16, math.ceil(math.log2(sum(map(len, hashes)))) + 7)
+        self.runs = {}
+        for size in (2, 3):
+            self.runs[size] = np.zeros(1 << self.bits, bool)
+            self.runs[size][self._slot(np.concatenate([_runs(w, size) for w in hashes]))] = True
+        self.twice = {size: self._twice(size) for size in (2, 3)}
         self.repetitions = {n: _repetitions(self, n, recall) for n in self.by_length}
-        self.keys = {n: [self._item_keys(n, r) for r in range(self.repetitions[n])] for n in self.by_length}
-
-    def _slot(self, pairs: np.ndarray) -> np.ndarray:
-        return (pairs >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.keys = {n: self._item_keys(n) for n in self.by_length}
+
+    def _slot(self, runs: np.ndarray) -> np.ndarray:
+        return (runs >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _twice(self, size: int) -> np.ndarray:
+        """Runs that stand in some item right after themselves, as in one word many times over."""
+        runs = [_runs(w, size) for w in self.items]
+        return np.unique(np.concatenate([r[1:][r[1:] == r[:-1]] for r in runs]))
+
+    def _shared(self, n: int, size: int) -> int:
+        """Runs of ``size`` words that an ``n``-word window within the distance shares with its item, at least.
+
+        A run like the one before it is counted only if some item has it so. The first run of a window
+        may look like one, which costs one.
+        """
+        return n - size - size * self.edits[n]
+
+    def _marks(self, words: W.Words, size: int) -> np.ndarray:
+        """How many runs of ``size`` words before each position stand in some item."""
+        count = len(words.hash)
+        marks = np.zeros(count + 1, np.int32)
+        runs = _runs(words.hash, size)
+        found = self.runs[size][self._slot(runs)] & (words.row[size - 1 :] == words.row[: count - size + 1])
+        again = 1 + np.flatnonzero(found[1:] & (runs[1:] == runs[:-1]))
+        found[again[~np.isin(runs[again], self.twice[size])]] = False
+        np.cumsum(found, out=marks[1 : len(found) + 1])
+        marks[len(found) + 1 :] = marks[len(found)]
+        return marks
+
+    def _starts(self, words: W.Words, last: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each length of items the starts of windows that hold enough runs of some item.
+
+        Lengths that must share a triple are tried only where the longest window holds any as many.
+        """
+        count = len(words.hash)
+        pairs, triples = self._marks(words, 2), self._marks(words, 3)
+        need = [self._shared(n, 3) for n in self.edits if self._shared(n, 3) > 0]
+        reach = np.minimum(np.arange(count) + max(self.edits), count)
+        dense = np.flatnonzero(triples[reach] - triples[:-1] >= min(need)) if need else np.zeros(0, np.int64)
+        for n in self.edits:
+            start = dense if self._shared(n, 3) > 0 else np.arange(count)
+            start = start[start + n <= last[words.row[start]]]
+            for size, marks in ((3, triples), (2, pairs)):
+                start = start[marks[start + n - size + 1] - marks[start] >= self._shared(n, size)]
+            yield n, start
 
-    def _item_keys(self, n: int, repetition: int) -> tuple[np.ndarray, np.ndarray]:
-        table = np.stack([self.items[i] for i in self.by_length[n]])
-        keys = cgk_keys(table.ravel(), np.arange(len(table)) * n, n, repetition)
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.array(self.by_length[n])[order]
+    def _item_keys(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted keys of the items of a length, and whose they are, for each repetition."""
+        table, owners = np.concatenate([self.items[i] for i in self.by_length[n]]), np.array(self.by_length[n])
+        every = cgk_keys(table, np.arange(len(owners)) * n, n, self.repetitions[n])
+        orders = [np.argsort(keys, kind="stable") for keys in every]
+        return [(keys[order], owners[order]) for keys, order in zip(every, orders, strict=True)]
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item, start, edits) for every item found in every row of a column."""
         words = W.split(texts, lower=True, bare=True)
-        if len(words.hash) < 2:
+        if len(words.hash) < MIN_WORDS:
             return []
-        marks = np.zeros(len(words.hash) + 1, np.int32)
-        pairs = self.pairs[self._slot(_pairs(words.hash))] & (words.row[1:] == words.row[:-1])
-        np.cumsum(pairs, out=marks[1:-1])
-        marks[-1] = marks[-2]
         last = np.searchsorted(words.row, np.arange(len(texts)), side="right")
         first = np.searchsorted(words.row, np.arange(len(texts)), side="left")
         candidates: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for n, edits in self.edits.items():
-            if len(words.hash) < n:
+        for n, start in self._starts(words, last):
+            if not len(start):
                 continue
-            least = n - 1 - 2 * edits
-            start = np.flatnonzero(marks[n - 1 : len(marks) - 1] - marks[: len(marks) - n] >= max(least, 0))
-            start = start[start + n <= last[words.row[start]]]
-            for repetition, (keys, owners) in enumerate(self.keys[n] if len(start) else []):
-                own = cgk_keys(words.hash, start, n, repetition)
+            found = cgk_keys(words.hash, start, n, self.repetitions[n])
+            for own, (keys, owners) in zip(found, self.keys[n], strict=True):
                 low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
                 for i in np.flatnonzero(high > low):
                     for owner in owners[low[i] : high[i]]:
@@ -159,23 +197,35 @@ class _Index:
                 spans[-1][1] = high
             else:
                 spans.append([low, high])
-        found = [(distance, low + at) for low, high in spans for distance, at in [align(words, document[low:high])]]
-        best = min(found)
+        # An edit takes away one word of the item at most, so this many of them must be there.
+        held = [(low, high) for low, high in spans if np.isin(words, document[low:high]).sum() >= len(words) - edits]
+        found = [(distance, low + at) for low, high in held for distance, at in [align(words, document[low:high])]]
+        best = min(found, default=(edits + 1, 0))
         return best if best[0] <= edits else None
 
 
-def cgk_keys(words: np.ndarray, start: np.ndarray, n: int, repetition: int) -> np.ndarray:
-    """Key of each ``n``-word window: what its CGK walk writes at the sampled steps of a repetition."""
-    sampled = np.random.default_rng([repetition, n]).integers(0, 2 * n, SAMPLES)
-    at = np.zeros(len(start), np.int64)
-    key = np.zeros(len(start), np.uint64)
-    for step in range(int(sampled.max()) + 1):
-        word = np.where(at < n, words[start + np.minimum(at, n - 1)], np.uint64(0))
-        if step in sampled:
-            key = W.mix(key ^ word)
-        seed = np.uint64((repetition << 32 | step) * 0x9E3779B97F4A7C15 % (1 << 64))
-        at += (W.mix(word ^ seed) & np.uint64(1)).astype(np.int64)
-    return key
+def cgk_keys(words: np.ndarray, start: np.ndarray, n: int, repetitions: int) -> np.ndarray:
+    """For each repetition the key of each ``n``-word window: what its CGK walk writes at the sampled steps."""
+    sampled = np.array([np.random.default_rng([r, n]).integers(0, 2 * n, SAMPLES) for r in range(repetitions)])
+    longest = np.argsort(sampled.max(axis=1), kind="stable")
+    sampled = sampled[longest]
+    ends = sampled.max(axis=1)
+    # the walk moves on by the top bit of word times an odd number of the repetition and step
+    odd = W.mix(longest.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    at = np.zeros((repetitions, len(start)), np.int64)
+    keys = np.zeros((repetitions, len(start)), np.uint64)
+    for step in range(int(ends[-1]) + 1):
+        left = slice(int(np.searchsorted(ends, step)), None)
+        here = at[left]
+        word = words[start + np.minimum(here, n - 1)]
+        word[here >= n] = 0
+        for i in np.flatnonzero((sampled[left] == step).any(axis=1)):
+            keys[left][i] = W.mix(keys[left][i] ^ word[i])
+        factor = W.mix(odd[left] + np.uint64(step)) | np.uint64(1)
+        here += (word * factor[:, None] >> np.uint64(63)).astype(np.int64)
+    out = np.empty_like(keys)
+    out[longest] = keys
+    return out
 
 
 def align(item: np.ndarray, document: np.ndarray) -> tuple[int, int]:
@@ -194,8 +244,8 @@ def align(item: np.ndarray, document: np.ndarray) -> tuple[int, int]:
     return best // scale, best % scale
 
 
-def _pairs(words: np.ndarray) -> np.ndarray:
-    return W.mix(words[:-1] * np.uint64(3) + words[1:])
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    return W.window_hashes(words, np.arange(len(words) - size + 1), size)
 
 
 def _repetitions(index: _Index, n: int, recall: float) -> int:
@@ -208,12 +258,12 @@ def _repetitions(index: _Index, n: int, recall: float) -> int:
     copies = np.stack([_edited(index.items[o], edits, draw) for o in owners])
     originals = np.stack([index.items[o] for o in owners])
     at = np.arange(_TRIALS) * n
-    missed = np.ones(_TRIALS, bool)
-    for repetition in range(200):
-        missed &= cgk_keys(copies.ravel(), at, n, repetition) != cgk_keys(originals.ravel(), at, n, repetition)
-        if missed.mean() <= (1 - recall) / 2:
-            return repetition + 1
-    return 200
+    for most in (32, 256):
+        missed = np.cumprod(cgk_keys(copies.ravel(), at, n, most) != cgk_keys(originals.ravel(), at, n, most), axis=0)
+        enough = np.flatnonzero(missed.mean(axis=1) <= (1 - recall) / 2)
+        if len(enough):
+            return int(enough[0]) + 1
+    return 256
 
 
 def _edited(words: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndarray:
