@@ -89,8 +89,8 @@ STATEMENTS["language_route"] = f"""
 WITH {VALID}
 SELECT scan_id, result_idx, processable,
     CASE WHEN NOT processable THEN 'needs_human_review' END AS verdict,
-    CASE WHEN NOT processable THEN 'v0.1 supports Python files only; ' || file_path || ' requires manual review.' END AS reasoning,
-    CASE WHEN NOT processable THEN 'Review manually. Multi-language support is planned for v0.2.' END AS suggested_action
+    CASE WHEN NOT processable THEN 'Only Python files are reviewed; ' || file_path || ' requires manual review.' END AS reasoning,
+    CASE WHEN NOT processable THEN 'Review manually.' END AS suggested_action
 FROM v"""
 
 STATEMENTS["limit_per_scan"] = f"""
