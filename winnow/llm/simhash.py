@@ -16,6 +16,7 @@ its links, not the links themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ BITS = 64
 SHINGLE = 4
 MAX_BITS = 4
 BLOCK = 4096
+NODES_PER_TASK = 20_000
 _ALL = (1 << BITS) - 1
 
 
@@ -89,7 +91,9 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         return nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     masks = _masks(max_bits)
     slots = F.array(*[F.struct(F.lit(start).alias("start"), F.lit(_signed(mask)).alias("mask")) for start, mask in masks])
-    keyed = nodes.select("fp", F.explode(slots).alias("slot")).select(
+    # 64 keys come of each node, so the nodes are spread before, by their number.
+    spread = nodes.select("fp").repartition(max(1, math.ceil(nodes.count() / NODES_PER_TASK)), "fp")
+    keyed = spread.select("fp", F.explode(slots).alias("slot")).select(
         "fp",
         F.col("slot.start").alias("start"),
         F.xxhash64("slot.mask", F.col("fp").bitwiseAND(F.col("slot.mask"))).alias("key"),
