@@ -59,6 +59,24 @@ def test_finds_what_is_within_the_distance(spark, docs_of):
     assert kept == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_copies_that_lost_words_at_the_end_of_a_document(spark, docs_of):
+    draw = random.Random(12)
+    items = [[f"i{n}-{i}" for i in range(length)] for n, length in enumerate([59] * 120 + [5] * 10)]
+    rows = []
+    for n, item in enumerate(items):
+        for at, lost in enumerate((1, len(item) // 5)):
+            kept = [item[i] for i in sorted(draw.sample(range(len(item)), len(item) - lost))]
+            rows += [(8 * n + 2 * at, " ".join(kept)), (8 * n + 2 * at + 1, " ".join([f"x{i}" for i in range(90)] + kept))]
+    table = items_of(spark, [(n, " ".join(i), 0) for n, i in enumerate(items)])
+    got = {(r.doc_id, r.item_id) for r in D.matches(docs_of(rows), table).collect()}
+    assert got <= {(i, i // 8) for i, _ in rows}
+    for kind in range(4):
+        asked = {i for i, _ in rows if i % 4 == kind}
+        assert len({i for i, _ in got} & asked) >= 0.97 * len(asked)
+    alone = items_of(spark, [(1, "a b c d e", 0)])
+    assert [tuple(r) for r in D.matches(docs_of([(1, "a b d e")]), alone).collect()] == [(1, 1, 0, 1)]
+
+
 def test_blocks_of_items_give_the_same(spark, docs_of, monkeypatch):
     items = [f"{a} " + " ".join(f"{a}{i}" for i in range(10)) for a in ("p", "q", "r", "s", "t")]
     docs = docs_of([(1, "x " + items[0] + " y " + items[3]), (2, items[1]), (2, items[1]), (3, "nothing of that kind at all")])

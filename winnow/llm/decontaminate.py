@@ -7,9 +7,10 @@ item's ``n`` words.
 The CGK embedding walks over a window: step ``j`` writes the word at hand and moves on if a random bit
 of (step, word) says so. Windows at a small edit distance fall into step again and agree at most
 steps. Each repetition has bits of its own and samples a few steps as its key; a window whose key is
-that of an item of its length is a candidate. The number of repetitions is what reaches the target
-recall at the largest distance allowed, measured on edited copies of the items themselves. Candidates
-are aligned exactly.
+that of an item of its length is a candidate. Windows of ``n`` words run past the end of a document, on
+padding words that no text has, where a copy of ``n - edits`` words could end it. The number of repetitions
+is what reaches the target recall at the largest distance allowed, measured on copies of the items
+themselves, edited ones and ones at a document's end that only lost words. Candidates are aligned exactly.
 
 Before it is embedded a window must hold the ``n - 1 - 2 * edits`` word pairs and ``n - 2 - 3 * edits``
 word triples that every window within the distance shares with its item; that drops no match. Items are sent to the documents in blocks of
@@ -102,6 +103,7 @@ class _Index:
         for i, words in enumerate(hashes):
             self.by_length[len(words)].append(i)
         self.edits = {n: math.floor(max_edits * n) for n in self.by_length}
+        self.least = {n: max(1, n - edits) for n, edits in self.edits.items()}
         self.bits = max(16, math.ceil(math.log2(sum(map(len, hashes)))) + 7)
         self.runs = {}
         for size in (2, 3):
@@ -139,8 +141,19 @@ class _Index:
         marks[len(found) + 1 :] = marks[len(found)]
         return marks
 
+    def _padded(self, words: W.Words, length: np.ndarray) -> W.Words:
+        """The words with padding behind each row, as many as windows that hold enough of its words can run past it."""
+        lengths = sorted(self.edits)
+        least = np.array([self.least[n] for n in lengths])
+        longest = np.append(0, np.maximum.accumulate([n - self.least[n] for n in lengths]))
+        pads = longest[np.searchsorted(least, length, side="right")]
+        rows, last = np.arange(len(length)), np.cumsum(length)
+        behind = _padding(int(pads.max(initial=0)))[np.arange(pads.sum()) - np.repeat(np.cumsum(pads) - pads, pads)]
+        at = np.repeat(last, pads)
+        return words._replace(row=np.insert(words.row, at, np.repeat(rows, pads)), hash=np.insert(words.hash, at, behind))
+
     def _starts(self, words: W.Words, last: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each length of items the starts of windows that hold enough runs of some item.
+        """For each length of items the starts of windows that hold enough words, and runs of some item.
 
         Lengths that must share a triple are tried only where the longest window holds any as many.
         """
@@ -151,7 +164,7 @@ class _Index:
         dense = np.flatnonzero(triples[reach] - triples[:-1] >= min(need)) if need else np.zeros(0, np.int64)
         for n in self.edits:
             start = dense if self._shared(n, 3) > 0 else np.arange(count)
-            start = start[start + n <= last[words.row[start]]]
+            start = start[start + self.least[n] <= last[words.row[start]]]
             for size, marks in ((3, triples), (2, pairs)):
                 start = start[marks[start + n - size + 1] - marks[start] >= self._shared(n, size)]
             yield n, start
@@ -166,23 +179,27 @@ class _Index:
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item, start, edits) for every item found in every row of a column."""
         words = W.split(texts, lower=True, bare=True)
-        if len(words.hash) < MIN_WORDS:
+        length = words.counts(len(texts))
+        if length.max(initial=0) < min(self.least.values()):
             return []
-        last = np.searchsorted(words.row, np.arange(len(texts)), side="right")
-        first = np.searchsorted(words.row, np.arange(len(texts)), side="left")
+        last = np.cumsum(length)
+        first = last - length
+        padded = self._padded(words, length)
+        begin = np.searchsorted(padded.row, np.arange(len(texts)), side="left")
         candidates: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for n, start in self._starts(words, last):
+        for n, start in self._starts(padded, begin + length):
             if not len(start):
                 continue
-            found = cgk_keys(words.hash, start, n, self.repetitions[n])
+            found = cgk_keys(padded.hash, start, n, self.repetitions[n])
             for own, (keys, owners) in zip(found, self.keys[n], strict=True):
                 low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
                 for i in np.flatnonzero(high > low):
                     for owner in owners[low[i] : high[i]]:
-                        candidates[int(words.row[start[i]]), int(owner)].add(int(start[i]))
+                        row = int(padded.row[start[i]])
+                        candidates[row, int(owner)].add(int(start[i] - begin[row]))
         out = []
         for (row, owner), starts in sorted(candidates.items()):
-            best = self._verify(words.hash[first[row] : last[row]], owner, sorted(s - first[row] for s in starts))
+            best = self._verify(words.hash[first[row] : last[row]], owner, sorted(starts))
             if best:
                 out.append((row, owner, best[1], best[0]))
         return out
@@ -249,18 +266,19 @@ def _runs(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _repetitions(index: _Index, n: int, recall: float) -> int:
-    """Repetitions that reach the recall for copies with the most edits allowed, counted on trial copies."""
+    """Repetitions that reach the recall for each kind of copies with the most edits allowed, counted on trial copies."""
     edits = index.edits[n]
     if not edits:
         return 1
     draw = np.random.default_rng(n)
     owners = draw.choice(index.by_length[n], _TRIALS)
-    copies = np.stack([_edited(index.items[o], edits, draw) for o in owners])
+    trials = [np.stack([copy(index.items[o], edits, draw) for o in owners]) for copy in (_edited, _shortened)]
     originals = np.stack([index.items[o] for o in owners])
     at = np.arange(_TRIALS) * n
     for most in (32, 256):
-        missed = np.cumprod(cgk_keys(copies.ravel(), at, n, most) != cgk_keys(originals.ravel(), at, n, most), axis=0)
-        enough = np.flatnonzero(missed.mean(axis=1) <= (1 - recall) / 2)
+        keys = cgk_keys(originals.ravel(), at, n, most)
+        missed = [np.cumprod(cgk_keys(c.ravel(), at, n, most) != keys, axis=0).mean(axis=1) for c in trials]
+        enough = np.flatnonzero(np.max(missed, axis=0) <= (1 - recall) / 2)
         if len(enough):
             return int(enough[0]) + 1
     return 256
@@ -276,6 +294,17 @@ def _edited(words: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndar
     return np.array((out + fill)[: len(words)], np.uint64)
 
 
+def _shortened(words: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndarray:
+    """An item-sized window over a copy that lost random words and ends its document."""
+    kept = np.sort(draw.choice(len(words), len(words) - edits, replace=False))
+    return np.concatenate([words[kept], _padding(edits)])
+
+
+def _padding(count: int) -> np.ndarray:
+    """Hashes of distinct words that no text has, for the places past a document's end."""
+    return W.mix(np.arange(1, count + 1, dtype=np.uint64) << np.uint64(40))
+
+
 def _blocks(items: DataFrame, item: str, text: str, max_edits: float, recall: float) -> Iterator[_Index]:
     """The items in blocks of bounded number and size."""
     ship(items.sparkSession)
