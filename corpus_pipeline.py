@@ -22,7 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; it learns from the labelled documents of ``sf_dir``."""
+    """Documents that the classifier does not call toxic; it learns from the labelled documents of ``sf_dir``.
+
+    All documents, if their labels do not tell two classes apart.
+    """
     labelled = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.keep_clean(docs, toxicity.train(labelled, _table(spark, sf_dir, "labels")))
 

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline as P
+from winnow.llm import toxicity
 from winnow.llm.queries import QUERIES, STATEMENTS
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -33,6 +34,20 @@ def test_stages(spark):
     assert P.run(spark, SF_DIR).count() == before
 
 
+@pytest.mark.parametrize("labels", [[], [(i, 1, 1) for i in range(20)], [(99, 1, 1), (98, 1, 0)]])
+def test_labels_that_teach_nothing_reject_nothing(spark, docs_of, tmp_path, labels):
+    docs = docs_of([(i, f"text {i} of its own, with words {i * 7} {i * 11}") for i in range(20)] + [(20, None), (None, "")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = spark.createDataFrame([(1, "an item that no document holds at all")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = P.toxicity_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    found = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))).collect()
+    assert len(found) == 22 and {r.predicted for r in found} == {0}
+    assert P.run(spark, str(tmp_path)).count() > 0
+
+
 @needs_tables
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in STATEMENTS])
 def test_queries_beyond_sql_run_on_whole_tables(spark, name):

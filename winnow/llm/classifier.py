@@ -30,13 +30,20 @@ Fit = Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray], tuple[np.
 
 @dataclass(frozen=True)
 class Model:
-    """Weights per n-gram column with the ratios multiplied in, and the line from margin to log odds."""
+    """Weights per n-gram column with the ratios multiplied in, and the line from margin to log odds.
+
+    ``learnt`` is whether any n-gram tells the classes apart; without one every text has the same score.
+    """
 
     weights: np.ndarray
     bias: float
     slope: float
     intercept: float
 
+    @property
+    def learnt(self) -> bool:
+        return bool(self.weights.any())
+
     def score(self, columns: np.ndarray) -> float:
         margin = float(self.weights[columns].sum(dtype=np.float64)) + self.bias
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.intercept, -700, 700))))
