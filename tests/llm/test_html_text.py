@@ -44,6 +44,18 @@ def test_cases(weights, body, text):
     assert H.main_text(page(body), weights) == text
 
 
+def test_marks_are_whole_names_and_not_of_main_elements(weights):
+    want = "A title of five words 5 euro a share story"
+    body = "<div class='post-header'><h1>A title of five words</h1></div><div class=\"share-price\"><p>5 euro a share</p></div><p>story</p>"
+    assert H.main_text(page(body), weights) == want
+    whole = page(body).replace("<html>", "<html class='sidebar'>").replace("<article>", "<main id=nav><article class='post no-sidebar modal'>")
+    for attributes in ("class='has-sidebar'", "class=sidebar", "id='nav-target'"):
+        marked = whole.replace("<body>", f"<body {attributes}>")
+        assert H.main_text(marked, weights) == want
+        assert any(t.gold for t in H.tokenize(marked))
+    assert H.main_text(page(body + "<div class='x share'><p>on</p></div><p>end</p>"), weights) == f"{want} end"
+
+
 def test_region_is_the_best_one(weights):
     draw = random.Random(4)
     for _ in range(30):

@@ -34,7 +34,9 @@ HIDDEN = frozenset("head iframe math noembed noframes noscript object script sty
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 SECTIONS = frozenset("article aside body dialog div fieldset figure footer form header main menu nav section".split())
 BOILERPLATE = frozenset("aside button dialog fieldset footer form header menu nav select".split())
-# Words of class, id and role attributes that name a part as no main text.
+# Elements that hold a page or its main text, whatever their attributes say.
+UNMARKED = frozenset("article body html main".split())
+# Names in class, id and role attributes of a part that is no main text.
 MARKS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "footer header login menu modal nav navbar navigation newsletter notice pagination popup promo related share "
@@ -133,7 +135,7 @@ def tokenize(page: str) -> Iterator[Token]:
         if breaks:
             _end_paragraph(stack, name)
         if name not in VOID and not attributes.rstrip().endswith("/"):
-            marks = _marks(attributes) if attributes else ""
+            marks = _marks(attributes) if attributes and name not in UNMARKED else ""
             own = name in BOILERPLATE or bool(marks and name not in INLINE)
             if name in SECTIONS:
                 section = f"{name}.{marks}" if marks else name
@@ -197,11 +199,12 @@ def _features(token: Token) -> dict[str, int]:
 
 
 def _marks(attributes: str) -> str:
-    """The first word of ``MARKS`` in class, id or role."""
+    """The first name in class, id or role that is of ``MARKS``, or made up of them alone as in ``cookie-notice``."""
     for groups in _NAMES.findall(attributes):
-        for word in _SPLIT.split("".join(groups).lower()):
-            if word in MARKS:
-                return word
+        for name in "".join(groups).lower().split():
+            parts = [word for word in _SPLIT.split(name) if word]
+            if parts and MARKS.issuperset(parts):
+                return parts[0]
     return ""
 
 
