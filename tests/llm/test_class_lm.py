@@ -6,9 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from conftest_llm import words
 
 from winnow.llm import class_lm
+from winnow.llm import words as W
 
 
 def tokens(text):
@@ -57,6 +59,16 @@ def test_probabilities_of_one_token_texts_sum_to_one(docs_of):
     assert got[empty] > 0
 
 
+def test_core_counts_rare_words_whole(docs_of):
+    """More than 50,000 words about as rare, and one that each text holds once."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    docs = docs_of([(i, "Often " + " ".join(f"w{i}-{j}" for j in range(60_000))) for i in ids])
+    for core in (40, 0):
+        got = class_lm.score(docs, core=core, classes=8).collect()
+        assert [r.n_tokens for r in got] == [60_002] * 3 and all(math.isfinite(r.score) for r in got)
+    assert class_lm._core(docs, 1, 4).tolist() == W.split(pa.array(["often"])).hash.tolist()
+
+
 def test_exchange_raises_the_likelihood():
     draw = np.random.default_rng(0)
     groups = draw.integers(0, 3, 30)

@@ -33,7 +33,6 @@ CLASSES = 64
 PASSES = 12
 CHUNK_BYTES = 6_000_000
 SLICE_BYTES = 6_000_000
-CORE_SHARE = 1 / 50_000
 STRENGTH = 20.0
 _NONE = 255
 
@@ -54,7 +53,7 @@ def score(
     held = held_out("id", MODULUS, REMAINDER)
     training = docs.where(~held)
     training_texts = training.count()
-    core_words = _core(training, core)
+    core_words = _core(training, core, n_buckets)
     core_classes, around = _cluster(_core_bigrams(training, core_words), len(core_words), classes)
     vocabulary = stage(_vocabulary(training, core_words, core_classes, around, n_buckets))
     emission = _Emission(vocabulary, classes, training_texts)
@@ -66,17 +65,28 @@ def score(
 # -- classes ---------------------------------------------------------------------------------------
 
 
-def _core(training: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the most frequent words, ascending; a slice of text sends only words with a share of it."""
+def _core(training: DataFrame, size: int, buckets: int) -> np.ndarray:
+    """Hashes of the most frequent words, ascending: all words are counted by hash range, each sends its top ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in W.runs(batch.column(0), SLICE_BYTES):
-                hashes, count = np.unique(W.split(part, lower=True).hash, return_counts=True)
-                often = count >= count.sum() * CORE_SHARE
-                yield _batch(word=hashes[often].view(np.int64), n=count[often])
+                hashes, n = np.unique(W.split(part, lower=True).hash, return_counts=True)
+                cuts = C.slices(hashes, buckets)
+                filled = np.flatnonzero(np.diff(cuts))
+                packed = [[v[cuts[b] : cuts[b + 1]].tobytes() for b in filled] for v in (hashes, n.astype(np.uint32))]
+                yield pa.record_batch([pa.array(filled, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "words", "n"])
 
-    counted = training.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def merge(table: pa.Table) -> pa.Table:
+        words, n = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("words", np.uint64), ("n", np.uint32)))
+        words, number = np.unique(words, return_inverse=True)
+        counts = np.bincount(number, weights=n, minlength=len(words)).astype(np.int64)
+        names = words.view(np.int64)
+        top = np.lexsort((names, -counts))[:size]
+        return pa.table({"word": names[top], "n": counts[top]})
+
+    parts = training.select("text").mapInArrow(count, "bucket int, words binary, n binary")
+    counted = parts.groupBy("bucket").applyInArrow(merge, "word long, n long")
     top = counted.orderBy(F.desc("n"), "word").limit(size).toArrow()
     return np.sort(top["word"].to_numpy().view(np.uint64))
 
@@ -109,7 +119,7 @@ def _with_boundaries(words: W.Words, rows: int, core: np.ndarray, names: np.ndar
     known = core[np.minimum(at, len(core) - 1)] == words.hash if len(core) else np.zeros(len(at), bool)
     place = np.arange(len(words.hash)) + words.row + 1
     out = np.full(len(words.hash) + rows + 1, boundary, np.int64)
-    out[place] = np.where(known, names[np.minimum(at, len(names) - 1)], -1)
+    out[place] = np.where(known, names[np.minimum(at, len(names) - 1)], -1) if len(core) else -1
     return out, place
 
 
