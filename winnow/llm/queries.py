@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import bpe, chat, class_lm, decontaminate, html_text, mixing, quality, simhash, spelling, substring_dedup, topk, toxicity
+from winnow.llm import bpe, chat, class_lm, conversation_repair, decontaminate, html_text, mixing, quality
+from winnow.llm import simhash, spelling, substring_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,11 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.digests(conversation_repair.repair(conversation_repair.damage(rows)), rows)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_html_text": op10_html_text,
     "op11_bpe": op11_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
