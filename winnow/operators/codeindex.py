@@ -39,6 +39,11 @@ QUOTED = '"'
 OPEN = "\x01"
 
 HEADER = rf"^[ \t\f]*(?:async[ \t]+)?(def|class)[ \t]+({IDENTIFIER})"
+# Words, numbers, strings, brackets, dots, line ends, and runs of anything else; a joined line is one.
+TOKENS = (
+    rf"(?:[ \t\f]++|\\\r?\n)*+({IDENTIFIER}+|\p{{N}}[\p{{L}}\p{{N}}_.]*+|(?:{QUOTED}++|{OPEN}\n)++|[()\[\]{{}}.\n]"
+    rf"|[^\p{{L}}\p{{N}}_{QUOTED}{OPEN}()\[\]{{}}.\s\\]++|\S)"
+)
 IMPORT = r"^(?:import|from)(?![\p{L}\p{N}_])"
 
 # The language's keywords, which may stand before a bracket without being a call.
@@ -401,11 +406,84 @@ def imports_map(statements: DataFrame, follow_alias: bool = False) -> DataFrame:
 
 
 def call_names(masked: Column) -> Column:
-    """Names called in a masked piece of code, first-seen order, without keywords and builtins."""
-    not_calls = rf"{NOT_AFTER_WORD}(?:def|class)\s+{IDENTIFIER}|(?m:^[ \t]*case\s[^\n]*?(?:\sif\s|:[ \t]*$))"
-    bare = F.regexp_replace(masked, not_calls, " ")
-    found = F.regexp_extract_all(bare, F.lit(rf"{NOT_AFTER_WORD}({IDENTIFIER})[ \t]*\("), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda name: ~name.isin(KEYWORDS + KNOWN_BUILTINS)))
+    """Names called in a masked piece of code, as the syntax tree's pre-order meets them, each once.
+
+    A call comes before the calls in its callee and arguments: ``a.b(x()).c(y())`` calls c, b, x, y.
+    So calls go by where their expression begins, and of those that begin together the outermost, which is
+    the last in the text, goes first. Keywords and builtins are left out, and so are callees without a
+    name, as in ``f()()`` the second.
+    """
+    patterns = r"(?m:^[ \t]*case\s[^\n]*?(?:\sif\s|:[ \t]*$))"
+    tokens = F.regexp_extract_all(F.regexp_replace(masked, patterns, " "), F.lit(TOKENS), F.lit(1))
+    calls = F.aggregate(tokens, _no_calls(), _read_token, lambda state: state["calls"])
+    names = F.transform(F.sort_array(calls), lambda call: call["name"])
+    return F.array_distinct(F.filter(names, lambda name: ~name.isin(KNOWN_BUILTINS)))
+
+
+# What an expression so far ends with: a name that can be called, another value, the dot after one, a
+# string, the closing brace of an f-string's field, the head of a definition, or nothing to go on from.
+_NAME, _VALUE, _DOT, _TEXT, _FIELD, _HEAD, _NONE = "name", "value", "dot", "text", "field", "head", "none"
+_FRAME = "struct<start:int,last:string>"
+
+
+def _no_calls() -> Column:
+    return F.struct(
+        F.lit(0).alias("at"),
+        F.lit(-1).alias("start"),
+        F.lit(_NONE).alias("last"),
+        F.lit("").alias("name"),
+        F.array().cast(f"array<{_FRAME}>").alias("outer"),
+        F.array().cast("array<struct<start:int,before:int,name:string>>").alias("calls"),
+    )
+
+
+def _read_token(state: Column, token: Column) -> Column:
+    """One token further. ``start`` is where the expression at hand begins, ``outer`` those around open brackets."""
+    at, start, last, outer = state["at"], state["start"], state["last"], state["outer"]
+    opens, closes = token.isin("(", "[", "{"), token.isin(")", "]", "}")
+    word = token.rlike(r"^[\p{L}_]")
+    plain = word & ~token.isin(KEYWORDS)
+    text = token.startswith(QUOTED) | token.startswith(OPEN)
+    number = token.rlike(r"^\p{N}")
+    # inside brackets a line break means nothing
+    blank = (token == "\n") & (F.size(outer) > 0)
+    goes_on = last.isin(_NAME, _VALUE, _TEXT, _FIELD)
+    joined = (last == _DOT) | (text & last.isin(_TEXT, _FIELD))
+    field = (token == "{") & last.isin(_TEXT, _FIELD)
+    begun = F.when((token.isin("(", "[") | field | (token == ".")) & goes_on, start).otherwise(at)
+    around = F.try_element_at(outer, F.lit(-1))
+    new_start = (
+        F.when(blank, start)
+        .when(opens, -1)
+        .when(closes, F.coalesce(around["start"], F.lit(-1)))
+        .when(plain | text | number, F.when(joined, start).otherwise(at))
+        .when(token == ".", begun)
+        .otherwise(-1)
+    )
+    new_last = (
+        F.when(blank, last)
+        .when(opens, _NONE)
+        .when(closes, F.coalesce(around["last"], F.lit(_NONE)))
+        .when(plain, F.when(last == _HEAD, _VALUE).otherwise(_NAME))
+        .when(text, _TEXT)
+        .when(number, _VALUE)
+        .when(token == ".", _DOT)
+        .when(token.isin("def", "class"), _HEAD)
+        .otherwise(_NONE)
+    )
+    frame = F.struct(begun.alias("start"), F.when(field, _FIELD).otherwise(_VALUE).alias("last")).cast(_FRAME)
+    call = F.struct(start.alias("start"), (-at).alias("before"), state["name"].alias("name"))
+    return F.struct(
+        (at + 1).alias("at"),
+        new_start.alias("start"),
+        new_last.alias("last"),
+        F.when(plain, token).otherwise(state["name"]).alias("name"),
+        F.when(opens, F.array_append(outer, frame))
+        .when(closes & (F.size(outer) > 0), F.slice(outer, 1, F.size(outer) - 1))
+        .otherwise(outer)
+        .alias("outer"),
+        F.when((token == "(") & (last == _NAME), F.array_append(state["calls"], call)).otherwise(state["calls"]).alias("calls"),
+    )
 
 
 def source_between(lines: Column, start: Column, end: Column) -> Column:
