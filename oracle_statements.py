@@ -142,10 +142,11 @@ SELECT path, name, module, target FROM c CROSS JOIN fixed
 UNION ALL
 SELECT path, 'check_' || k, 'bench.b' || k, 'check_' || k FROM (SELECT path, unnest(lens) AS k FROM c)"""
 
-# Calls of every function: the outer ones have four, the inner ones one.
+# Calls of every function, in the order of the syntax tree: the outer ones have seven, the inner ones one.
 CALLS = f"""{CODE},
-outer_calls AS (SELECT *, unnest(['strip_' || i, CASE WHEN i > 0 THEN 'line_' || (i - 1) ELSE 'missing_' || n END,
-    'inner_' || i, 'check_' || length(line)]) AS name, CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS call_no FROM b)"""
+outer_calls AS (SELECT *, unnest(['strip_' || i, 'done_' || i, 'keep_' || i,
+    CASE WHEN i > 0 THEN 'line_' || (i - 1) ELSE 'missing_' || n END, 'inner_' || i, 'fold_' || i,
+    'check_' || length(line)]) AS name, CAST(unnest(range(7)) AS INTEGER) AS call_no FROM b)"""
 
 STATEMENTS["call_sites"] = f"""
 WITH {CALLS}
@@ -158,13 +159,13 @@ needed AS (
     UNION ALL SELECT path, fs + 1, 0, 'strip_' || i, i, fs, -1, doc_id FROM b WHERE dotted),
 resolved AS (
     SELECT needed.path, function_start, call_no, name, doc_id, i, fs, len,
-        CASE WHEN call_no = 1 AND i > 0 THEN needed.path WHEN call_no = 3 THEN items.path END AS def_path,
-        CAST(CASE WHEN call_no = 1 AND i > 0 THEN fs - 6 WHEN call_no = 3 AND items.path IS NOT NULL THEN 1 END AS INTEGER) AS def_start,
-        CAST(CASE WHEN call_no = 1 AND i > 0 THEN fs - 1 WHEN call_no = 3 THEN items.n + 2 END AS INTEGER) AS def_end,
-        CASE WHEN call_no = 1 AND i > 0 THEN 'same_file' WHEN call_no = 3 AND items.path IS NOT NULL THEN 'same_module_import' END
+        CASE WHEN call_no = 3 AND i > 0 THEN needed.path WHEN call_no = 6 THEN items.path END AS def_path,
+        CAST(CASE WHEN call_no = 3 AND i > 0 THEN fs - 6 WHEN call_no = 6 AND items.path IS NOT NULL THEN 1 END AS INTEGER) AS def_start,
+        CAST(CASE WHEN call_no = 3 AND i > 0 THEN fs - 1 WHEN call_no = 6 THEN items.n + 2 END AS INTEGER) AS def_end,
+        CASE WHEN call_no = 3 AND i > 0 THEN 'same_file' WHEN call_no = 6 AND items.path IS NOT NULL THEN 'same_module_import' END
             AS resolution_method,
         items.text AS item_text, items.item_id
-    FROM needed LEFT JOIN items ON needed.call_no = 3 AND items.item_id = needed.len)"""
+    FROM needed LEFT JOIN items ON needed.call_no = 6 AND items.item_id = needed.len)"""
 
 STATEMENTS["import_hop"] = f"""
 WITH {RESOLVED}
@@ -174,6 +175,11 @@ FROM resolved WHERE def_path IS NOT NULL"""
 STATEMENTS["unresolved_calls"] = f"""
 WITH {RESOLVED} SELECT path, function_start, call_no, name FROM resolved WHERE def_path IS NULL"""
 
+STATEMENTS["syntax_problems"] = f"""
+WITH {CODE}
+SELECT path, ['colon', 'string', 'dedent', 'bracket', 'block', 'indent'][doc_id % 7] AS problem FROM c WHERE doc_id % 7 <> 0"""
+
+SYNTAX = "CASE WHEN doc_id % 7 <> 0 THEN 'File contains syntax errors; extraction is best-effort and may be incomplete.;' ELSE '' END"
 MODULE_LEVEL = "Match is at module level (not inside any function or method); function context unavailable."
 
 
@@ -182,7 +188,7 @@ def function_lines(line: str, i: str, pad: str, n: str) -> str:
     return f"""['def line_' || {i} || '(self, text):', {pad} || '    def inner_' || {i} || '(t):',
         {pad} || '        return strip_' || {i} || '(t)', {pad} || '    # ' || {line},
         {pad} || '    seen = self.' || CASE WHEN {i} > 0 THEN 'line_' || ({i} - 1) ELSE 'missing_' || {n} END
-            || '(inner_' || {i} || '(text))',
+            || '(inner_' || {i} || '(text)).keep_' || {i} || '(fold_' || {i} || '(text)).done_' || {i} || '()',
         {pad} || '    return check_' || length({line}) || '(seen, "track(%s)" % len(text))']"""
 
 
@@ -194,12 +200,12 @@ g AS (SELECT f.*, items.item_id IS NOT NULL AS has_item,
     list_concat(['def check_' || items.item_id || '(text, *rest):'],
         list_concat(list_transform(string_split(items.text, {NL}), lambda x: '    # ' || x), ['    return text'])) AS item_body
     FROM f LEFT JOIN items ON items.item_id = length(f.line))
-SELECT doc_id || '#0' AS finding_id, '5 |     ' AS matched, CAST(length({IMPORTS}) AS INTEGER) AS imports_length,
+SELECT doc_id || '#0' AS finding_id, '5 |     ' AS matched, {IMPORTS} AS imports,
     CAST(NULL AS VARCHAR) AS function_name, CAST(NULL AS VARCHAR) AS function_source, CAST(0 AS INTEGER) AS function_start,
-    '' AS callees, '' AS callee_sources, '{MODULE_LEVEL}' AS notes
+    '' AS callees, '' AS callee_sources, {SYNTAX} || '{MODULE_LEVEL}' AS notes
 FROM c
 UNION ALL
-SELECT doc_id || '#' || (i + 1), (fs + 2) || ' |     ' || line, CAST(length({IMPORTS}) AS INTEGER),
+SELECT doc_id || '#' || (i + 1), (fs + 2) || ' |     ' || line, {IMPORTS},
     CASE WHEN dotted THEN 'inner_' ELSE 'line_' END || i,
     CASE WHEN dotted THEN {numbered("['def inner_' || i || '(t):', pad || '        return strip_' || i || '(t)']", '(fs + 1)')}
         ELSE {numbered('body', 'fs')} END,
@@ -208,10 +214,11 @@ SELECT doc_id || '#' || (i + 1), (fs + 2) || ' |     ' || line, CAST(length({IMP
         CASE WHEN has_item THEN 'check_' || length(line) || '@bench/b' || length(line) || '.py' END) END,
     CASE WHEN dotted THEN '' ELSE concat_ws({NL}, CASE WHEN i > 0 THEN {numbered('body_before', '(fs - 6)')} END,
         CASE WHEN has_item THEN {numbered('item_body', '1')} END) END,
-    CASE WHEN dotted THEN 'Definition of `strip_' || i || '()` not resolved.'
+    {SYNTAX} || CASE WHEN dotted THEN 'Definition of `strip_' || i || '()` not resolved.'
         ELSE concat_ws(';', 'Definition of `strip_' || i || '()` not resolved.',
+            'Definition of `done_' || i || '()` not resolved.', 'Definition of `keep_' || i || '()` not resolved.',
             CASE WHEN i = 0 THEN 'Definition of `missing_' || n || '()` not resolved.' END,
-            'Definition of `inner_' || i || '()` not resolved.',
+            'Definition of `inner_' || i || '()` not resolved.', 'Definition of `fold_' || i || '()` not resolved.',
             CASE WHEN NOT has_item THEN 'Definition of `check_' || length(line) || '()` not resolved.' END) END
 FROM g"""
 

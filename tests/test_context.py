@@ -145,6 +145,75 @@ def test_syntax_error_note(spark):
     assert c.extraction_notes[0].startswith("File contains syntax errors")
 
 
+PROBLEMS = {
+    "if x\n  y": "colon",
+    "def f(a)\n    pass\n": "colon",
+    "class A\n  pass": "colon",
+    "try\n": "colon",
+    "while (a and\n  b)\n  c\n": "colon",
+    "x = 'abc\ny = 1\n": "string",
+    '"""abc\n': "string",
+    "x = f'{y}\n": "string",
+    "def f():\n        a\n    b\n": "dedent",
+    "if x:\n\ta\n  b\n": "dedent",
+    "if x:\ny\n": "block",
+    "if x:": "block",
+    "match x:\ny\n": "block",
+    "a\n  b\n": "indent",
+    "  a\n": "indent",
+    "x = (1\n": "bracket",
+    "x = 1)\n": "bracket",
+    "x = (1]\n": "bracket",
+    "x = (1,\n\ndef f(a):\n    return g(a)\n": "bracket",
+    "": None,
+    "\n\n  # c\n": None,
+    "def f(): pass": None,
+    "if x: y\nelse: z\n": None,
+    "async def f(a: int = 1) -> {1: 2}:\n    pass\n": None,
+    "f = lambda x: (\n  x)\nwhile lambda: 1: pass\n": None,
+    "match x:\n  case 1:\n    y\n": None,
+    "x = {1:\n 2}\n": None,
+    "if (y := f(x)):\n  z\n": None,
+    "x = 'a\\\nb'\n": None,
+    "x = 1 + \\\n  2\n": None,
+    "x = f'{a!r:>{w}}'\n": None,
+    'if x:\n    """\ntext:\n  more\n"""\n    y\nelse:\r\n    z\r\n': None,
+    "lambdas = 1\nformat: int\nelsewhere = [a[1:2] for a in b if a]\n": None,
+}
+
+
+def test_syntax_problems(spark):
+    rows = spark.createDataFrame([(k,) for k in PROBLEMS], "code string")
+    found = rows.select("code", C.syntax_problem(C.mask_code(F.col("code"))).alias("problem")).collect()
+    assert {r.code: r.problem for r in found} == PROBLEMS
+    for code, problem in PROBLEMS.items():
+        if problem is None:
+            ast.parse(code)
+        else:
+            with pytest.raises(SyntaxError):
+                ast.parse(code)
+
+
+def test_no_problem_where_the_parser_has_none(spark):
+    root = sysconfig.get_path("stdlib")
+    texts = {}
+    for name in sorted(os.listdir(root)):
+        if name.endswith(".py"):
+            with open(os.path.join(root, name), encoding="utf-8") as f:
+                texts[name] = f.read()
+            ast.parse(texts[name])
+    found = C.file_lines(source_files(spark, texts).repartition(8)).filter("problem IS NOT NULL").select("path", "problem")
+    assert len(texts) > 100 and found.collect() == []
+
+
+@pytest.mark.parametrize("code", ["if x\n    pass\n", "s = 'open\n", "if x:\n        a\n    b\n"])
+def test_note_about_a_file_that_does_not_parse(spark, code):
+    text = "import os\n" + code + "def f(a):\n    return g(a)\n"
+    line = line_of(text, "return g(a)")
+    c = contexts(spark, [("k", "met", "bad.py", line, line, "return g(a)")], source_files(spark, {"bad.py": text}))["k"].context
+    assert c.extraction_notes == ["File contains syntax errors; extraction is best-effort and may be incomplete.", *not_resolved("g")]
+
+
 def test_file_outside_the_repository_fails_the_context(spark):
     tree = {"a.py": "from ..up import go\n\ndef f():\n    go()\n", "../up.py": "def go():\n    pass\n"}
     row = contexts(spark, [("k", "met", "a.py", 4, 4, "go()")], source_files(spark, tree))["k"]
@@ -186,14 +255,50 @@ MODULES = ["ast", "argparse", "dataclasses", "enum", "functools", "inspect", "pa
 
 
 def direct_calls(node):
+    """Names in the order in which a walk of the tree from the top meets the calls."""
     skip = {id(x) for d in node.decorator_list for x in ast.walk(d)}
-    names = set()
-    for call in ast.walk(node):
-        if isinstance(call, ast.Call) and id(call) not in skip:
-            name = getattr(call.func, "id", None) or getattr(call.func, "attr", None)
-            if name and name not in C.KNOWN_BUILTINS:
-                names.add(name)
-    return names
+    calls = [c for c in ast.walk(node) if isinstance(c, ast.Call) and id(c) not in skip]
+    calls.sort(key=lambda c: (c.lineno, c.col_offset, -c.end_lineno, -c.end_col_offset))
+    names = [getattr(c.func, "id", None) or getattr(c.func, "attr", None) for c in calls]
+    return list(dict.fromkeys(n for n in names if n and n not in C.KNOWN_BUILTINS))
+
+
+CHAINS = {
+    "a.b(x).c()": ["c", "b"],
+    "f(g(h()), k())": ["f", "g", "h", "k"],
+    "a.b(g(y)).c(h(z))": ["c", "b", "g", "h"],
+    "f()(g())": ["f", "g"],
+    "(a.b()).c()": ["c", "b"],
+    "table[f(1)].g()": ["g", "f"],
+    "await a.b().c(d())": ["c", "b", "d"],
+    "x = (q\n  .filter(p())  # first()\n  .order('by(x)')\n  .every())": ["every", "order", "filter", "p"],
+    "a.b() \\\n  .c()": ["c", "b"],
+    "'%s'.join(f()).strip()": ["strip", "join", "f"],
+    "f'{g(x)}{h(y)}'.upper()": ["upper", "g", "h"],
+    "'a' 'b'.title(t())": ["title", "t"],
+    "return f(x) if g(y) else -h(z)": ["f", "g", "h"],
+    "{a(): b()}.get(c())": ["get", "a", "b", "c"],
+    "def f(x=d()): return e(f(x))": ["d", "e", "f"],
+    "class K(base()): pass": ["base"],
+    "lambda: f()": ["f"],
+    "a.b(1.5.hex(), x) if y.z () else w": ["b", "hex", "z"],
+    "case(1)\nmatch.start()": ["case", "start"],
+    ")]} f(g(": ["f", "g"],
+    "": [],
+}
+
+
+def test_calls_in_the_order_of_the_tree(spark):
+    rows = spark.createDataFrame([(k,) for k in CHAINS], "code string")
+    got = {r.code: r.names for r in rows.select("code", C.call_names(C.mask_code(F.col("code"))).alias("names")).collect()}
+    assert got == CHAINS
+
+
+def test_a_long_function_with_many_calls(spark):
+    body = "".join(f"    a_{i}(b_{i}()).c_{i}()\n" for i in range(3000)) + '    """' + "text\n" * 20_000 + '"""\n'
+    code = spark.createDataFrame([("def f():\n" + body,)], "code string")
+    names = code.select(C.call_names(C.mask_code(F.col("code"))).alias("names")).first().names
+    assert names == [n for i in range(3000) for n in (f"c_{i}", f"a_{i}", f"b_{i}")]
 
 
 def test_functions_and_calls_match_the_parser(spark):
@@ -209,7 +314,7 @@ def test_functions_and_calls_match_the_parser(spark):
     found = C.functions(C.blocks(C.logical_lines(lines)))
     code = F.array_join(C.source_between(F.col("masked_lines"), F.col("start_line"), F.col("end_line")), "\n")
     rows = found.join(lines, C.FILE).select("path", "name", "start_line", "end_line", C.call_names(code).alias("calls"))
-    got = {(r.path, r.name, r.start_line, r.end_line): set(r.calls) for r in rows.collect()}
+    got = {(r.path, r.name, r.start_line, r.end_line): r.calls for r in rows.collect()}
     want = {}
     for path, text in texts.items():
         for node in ast.walk(ast.parse(text)):

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.functions.text import let
+
 FILE = ["repo_id", "path"]
 
 IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*"
@@ -21,22 +23,32 @@ NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
 
 # Possessive groups keep the matcher from recursing, however long a string literal is.
 _PREFIX = r"(?i:rb|br|rf|fr|rt|tr|r|b|u|f|t)"
-_STRINGS = "|".join(
-    [
-        r'"""(?:[^"\\]++|\\.|"(?!""))*+(?:"""|\z)',
-        r"'''(?:[^'\\]++|\\.|'(?!''))*+(?:'''|\z)",
-        r'"(?:[^"\\\n]++|\\.)*+(?:"|(?=\n)|\z)',
-        r"'(?:[^'\\\n]++|\\.)*+(?:'|(?=\n)|\z)",
-    ]
-)
+
+
+def _strings(triple: str, single: str) -> str:
+    """String literals of all four quotes, with what may follow the contents."""
+    return "|".join(
+        [
+            rf'"""(?:[^"\\]++|\\.|"(?!""))*+(?:"""{triple})',
+            rf"'''(?:[^'\\]++|\\.|'(?!''))*+(?:'''{triple})",
+            rf'"(?:[^"\\\n]++|\\.)*+(?:"{single})',
+            rf"'(?:[^'\\\n]++|\\.)*+(?:'{single})",
+        ]
+    )
+
+
+_STRINGS = _strings(r"|\z", r"|(?=\n)|\z")
 _STRING = rf"(?:{NOT_AFTER_WORD}{_PREFIX})?+(?:{_STRINGS})"
 _COMMENT = r"#[^\n]*+"
 _CODE = rf"(?:[^'\"#\p{{L}}\p{{N}}_]++|(?!{_PREFIX}['\"])[\p{{L}}\p{{N}}_]++)++"
+_CLOSED = rf"(?s)^{_PREFIX}?+(?:{_strings('', '')})\z"
 PIECES = rf"(?s)(?:{_STRING})|{_COMMENT}|(?:{_CODE})|."
 
-# Every character of a string becomes QUOTED, and a line that ends inside one gets OPEN behind it.
+# Every character of a string becomes QUOTED, and a line that ends inside one gets OPEN behind it; a string
+# that nothing closes ends with BROKEN.
 QUOTED = '"'
 OPEN = "\x01"
+BROKEN = "\x02"
 
 HEADER = rf"^[ \t\f]*(?:async[ \t]+)?(def|class)[ \t]+({IDENTIFIER})"
 # Words, numbers, strings, brackets, dots, line ends, and runs of anything else; a joined line is one.
@@ -44,6 +56,12 @@ TOKENS = (
     rf"(?:[ \t\f]++|\\\r?\n)*+({IDENTIFIER}+|\p{{N}}[\p{{L}}\p{{N}}_.]*+|(?:{QUOTED}++|{OPEN}\n)++|[()\[\]{{}}.\n]"
     rf"|[^\p{{L}}\p{{N}}_{QUOTED}{OPEN}()\[\]{{}}.\s\\]++|\S)"
 )
+# What the block structure hangs on: line starts with what they tell, brackets, colons and lambdas.
+_OPENERS = "def|class|if|elif|else|for|while|with|try|except|finally"
+LAYOUT = (
+    rf"(?::[ \t\f]*+|(?<![{OPEN}\\]))\n[ \t\f]*+(?:(?:async[ \t]++)?(?:{_OPENERS}){NOT_BEFORE_WORD})?+"
+    rf"|[()\[\]{{}}]|:=|:|{NOT_AFTER_WORD}lambda{NOT_BEFORE_WORD}"
+)
 IMPORT = r"^(?:import|from)(?![\p{L}\p{N}_])"
 
 # The language's keywords, which may stand before a bracket without being a call.
@@ -129,6 +147,9 @@ def mask_code(text: Column) -> Column:
     def blot(piece: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(piece, r"[^\n]", QUOTED), r"\n", OPEN + "\n")
 
+    def broken(piece: Column) -> Column:
+        return F.when(piece.rlike(_CLOSED), "").otherwise(BROKEN)
+
     def blot_fields(piece: Column) -> Column:
         parts = F.regexp_extract_all(
             F.regexp_replace(piece, r"\{\{|\}\}", QUOTED * 2), F.lit(r"(?s)\{[^{}\n]++\}|[^{]++|\{"), F.lit(0)
@@ -146,22 +167,93 @@ def mask_code(text: Column) -> Column:
     masked = F.transform(
         pieces,
         lambda piece: F.when(piece.startswith("#"), F.lit(""))
-        .when(piece.rlike(r"^(?i:f|t|rf|fr|rt|tr)['\"]"), blot_fields(piece))
-        .when(piece.rlike(rf"^{_PREFIX}?['\"]"), blot(piece))
+        .when(piece.rlike(r"^(?i:f|t|rf|fr|rt|tr)['\"]"), F.concat(blot_fields(piece), broken(piece)))
+        .when(piece.rlike(rf"^{_PREFIX}?['\"]"), F.concat(blot(piece), broken(piece)))
         .otherwise(piece),
     )
     return F.array_join(masked, "")
 
 
 def file_lines(files: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
-    """Per file the raw and the masked lines as arrays of equal length; files above the limit stay out."""
+    """Per file the raw and the masked lines as arrays of equal length, and its first syntax ``problem`` if it has one.
+
+    Files above the limit stay out.
+    """
     readable = files.filter(F.col("text").isNotNull())
     if max_file_bytes is not None:
         readable = readable.filter(F.col("length") <= max_file_bytes)
-    return readable.select(
-        *FILE,
-        F.split("text", "\r?\n").alias("raw_lines"),
-        F.split(mask_code(F.col("text")), "\r?\n").alias("masked_lines"),
+    told = let(
+        mask_code(F.col("text")),
+        lambda masked: F.struct(
+            F.split(F.translate(masked, BROKEN, ""), "\r?\n").alias("masked_lines"), syntax_problem(masked).alias("problem")
+        ),
+    )
+    read = readable.select(*FILE, F.split("text", "\r?\n").alias("raw_lines"), told.alias("told"))
+    return read.select(*FILE, "raw_lines", "told.masked_lines", "told.problem")
+
+
+def syntax_problem(masked: Column) -> Column:
+    """What keeps a masked file from being parsed, or null: the first of the problems that a line-wise reading can tell.
+
+    ``bracket``: one that is not opened or closed · ``colon``: a block's header without one · ``block``: a header
+    without an indented line after it · ``indent``: a line further in than it may be · ``dedent``: one that goes
+    back to no open block · ``string``: one that is not closed.
+    """
+    # Lines without code go; a line at the margin behind the last one closes what is open.
+    code = F.regexp_replace(F.translate(masked, "\r" + BROKEN, ""), r"\n[ \t\f]*+(?=\n|\z)", "")
+    tokens = F.regexp_extract_all(F.concat(F.lit("\n"), code, F.lit("\nend")), F.lit(LAYOUT), F.lit(0))
+    first = F.struct(
+        F.lit("").alias("brackets"),
+        F.array(F.lit(0)).alias("indents"),
+        F.lit(False).alias("header"),
+        F.lit(0).alias("lambdas"),
+        F.lit(None).cast("string").alias("problem"),
+    )
+    layout = F.aggregate(tokens, first, _read_layout, lambda state: F.coalesce(state["problem"], F.when(state["brackets"] != "", "bracket")))
+    return F.coalesce(layout, F.when(masked.contains(BROKEN), "string"))
+
+
+def _read_layout(state: Column, token: Column) -> Column:
+    """One token further; ``header`` is set while a block's header waits for its colon."""
+    brackets, indents, header = state["brackets"], state["indents"], state["header"]
+    line = token.contains("\n")
+    defines = token.rlike(r"(?:def|class)$")
+    # a definition cannot stand inside brackets: they were left open above
+    left_open = line & defines & (brackets != "")
+    starts = line & (defines | (brackets == ""))
+    lead = F.regexp_replace(F.regexp_extract(token, r"\n([ \t\f]*)", 1), r"^.*\f", "")
+    indent = F.length(F.regexp_replace(lead, "\t", " " * 8))
+    top = F.element_at(indents, -1)
+    # a line that ends with a colon opens a block, also after a word that is no keyword everywhere (match, case)
+    opens = token.startswith(":") & ~left_open
+    back = F.filter(indents, lambda level: level <= indent)
+    at_line = (
+        F.when(left_open, "bracket")
+        .when(header & ~opens, "colon")
+        .when(opens & (indent <= top), "block")
+        .when(~opens & (indent > top), "indent")
+        .when(~opens & (F.element_at(back, -1) != indent), "dedent")
+    )
+    opening, closing = token.isin("(", "[", "{"), token.isin(")", "]", "}")
+    matched = F.translate(F.right(brackets, F.lit(1)), "([{", ")]}") == token
+    flat = brackets == ""
+    return F.struct(
+        F.when(starts, "")
+        .when(opening, F.concat(brackets, token))
+        .when(closing, F.left(brackets, F.greatest(F.length(brackets) - 1, F.lit(0))))
+        .otherwise(brackets)
+        .alias("brackets"),
+        F.when(starts & (indent > top), F.array_append(indents, indent)).when(starts, back).otherwise(indents).alias("indents"),
+        F.when(starts, token.rlike(r"[a-z]$"))
+        .when(flat & (token == ":") & (state["lambdas"] == 0), False)
+        .otherwise(header)
+        .alias("header"),
+        F.when(starts, 0)
+        .when(flat & (token == "lambda"), state["lambdas"] + 1)
+        .when(flat & (token == ":"), F.greatest(state["lambdas"] - 1, F.lit(0)))
+        .otherwise(state["lambdas"])
+        .alias("lambdas"),
+        F.coalesce(state["problem"], F.when(starts, at_line).when(closing & ~matched, "bracket")).alias("problem"),
     )
 
 
@@ -170,8 +262,7 @@ def logical_lines(lines: DataFrame) -> DataFrame:
 
     ``ln`` first physical line · ``code`` its masked text · ``indent`` (a tab counts 8) ·
     ``prev_code_ln`` last physical line with code before it · ``last_code_ln`` the same for the
-    whole file · ``kind``/``name`` for ``def`` and ``class`` headers · ``suspect`` the file's
-    brackets do not balance.
+    whole file · ``kind``/``name`` for ``def`` and ``class`` headers.
     """
     # Whole files are shuffled, once; the windows over their lines then stay in place.
     physical = lines.select(*FILE, "masked_lines").repartition(*FILE).select(
@@ -202,10 +293,6 @@ def logical_lines(lines: DataFrame) -> DataFrame:
     code = (
         linked.withColumn("_depth", F.coalesce(F.sum("_brackets").over(in_section), F.lit(0)))
         .withColumn("last_code_ln", F.max("_code_ln").over(by_file))
-        .withColumn(
-            "suspect",
-            F.max(F.col("_depth") + F.col("_brackets") < 0).over(by_file) | (F.sum("_brackets").over(by_file) != 0),
-        )
         .filter(F.col("_is_code") & ~F.col("_in_string") & ~F.col("_joined") & (F.col("_depth") <= 0))
     )
     lead = F.regexp_extract("code", r"^[ \t\f]*", 0)
@@ -219,7 +306,6 @@ def logical_lines(lines: DataFrame) -> DataFrame:
         "last_code_ln",
         F.nullif(F.regexp_extract("code", HEADER, 1), F.lit("")).alias("kind"),
         F.nullif(F.regexp_extract("code", HEADER, 2), F.lit("")).alias("name"),
-        "suspect",
     )
 
 

@@ -169,7 +169,8 @@ class CodeIndex:
         self.calls = stage(resolve_calls(calls, C.definitions(self.functions), self.imports, elsewhere))
 
     def suspects(self) -> DataFrame:
-        return self.logical.filter("suspect").select(*FILE).distinct()
+        """Files that cannot be parsed as they stand."""
+        return self.lines.filter("problem IS NOT NULL").select(*FILE)
 
     def called_functions(self) -> DataFrame:
         """Per function its resolved calls with their source, and the notes about the others.

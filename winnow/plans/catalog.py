@@ -140,6 +140,10 @@ def enclosing_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def syntax_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).filter("problem IS NOT NULL").select("path", "problem")
+
+
 def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     return C.import_statements(C.logical_lines(lines), lines)
@@ -187,7 +191,7 @@ def code_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "finding_id",
         c["matched_code_with_lines"].alias("matched"),
-        F.length(c["imports"]).alias("imports_length"),
+        c["imports"].alias("imports"),
         c["containing_function_name"].alias("function_name"),
         c["containing_function_source"].alias("function_source"),
         F.coalesce(c["containing_function_start_line"], F.lit(0)).alias("function_start"),
@@ -667,6 +671,7 @@ QUERIES: dict[str, Query] = {
         numbered_lines,
         block_index,
         enclosing_block,
+        syntax_problems,
         imports_text,
         imports_map,
         call_sites,

@@ -101,6 +101,18 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- source tree -----------------------------------------------------------------------------------
 
 
+# How modules end, by document number: most with something that no parser takes.
+FAULTS = {
+    "none": "",
+    "colon": "if seen\n    stop()",
+    "string": "label = 'never closed",
+    "dedent": "if seen:\n        one = 1\n    two = 2",
+    "bracket": "rows = [(1, 2}",
+    "block": "class Empty:\nlast = 1",
+    "indent": "one = 1\n    two = 2",
+}
+
+
 def code_path() -> Column:
     return F.concat_ws("/", "source", F.concat(F.lit("d"), "doc_id", F.lit(".py")))
 
@@ -117,8 +129,8 @@ def code_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module per document and one per benchmark item.
 
     A document's module has a function per line with a nested one inside; it calls the function
-    before it, names nobody defines, and a check that another module holds if an item with that
-    number exists. English modules put the functions into a class.
+    before it in a chain of calls, names nobody defines, and a check that another module holds if an item
+    with that number exists. English modules put the functions into a class. Six of seven end in a fault.
     """
     docstring = F.concat(
         F.lit('"""Notes on '), "lang", F.lit(" "), "source", F.lit('.\ndef not_code(x):\n    call_nothing(x)\n"""')
@@ -140,7 +152,10 @@ def code_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("    def inner_"), no, F.lit("(t):")),
             F.concat(F.lit("        return strip_"), no, F.lit("(t)")),
             F.concat(F.lit("    # "), line),
-            F.concat(F.lit("    seen = self."), before, F.lit("(inner_"), no, F.lit("(text))")),
+            F.concat(
+                F.lit("    seen = self."), before, F.lit("(inner_"), no, F.lit("(text)).keep_"), no,
+                F.lit("(fold_"), no, F.lit("(text)).done_"), no, F.lit("()"),
+            ),
             F.concat(
                 F.lit("    return check_"), F.length(line).cast("string"), F.lit('(seen, "track(%s)" % len(text))')
             ),
@@ -154,6 +169,7 @@ def code_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(imports, "\n"),
         F.when(F.col("lang") == "en", "class Notes:").otherwise("# Notes"),
         F.array_join(F.transform("lines", function), "\n"),
+        F.element_at(F.array(*[F.lit(fault) for fault in FAULTS.values()]), (F.col("doc_id") % len(FAULTS)).cast("int") + 1),
     )
     modules = documents(spark, sf_dir).select(code_path().alias("path"), module.alias("text"))
     item = F.col("item_id").cast("string")
