@@ -70,9 +70,12 @@ def raw_results(parsed: DataFrame) -> DataFrame:
 
 def scan_errors(parsed: DataFrame) -> DataFrame:
     """What the scanner could not read: ``path: first line of the message`` per error object."""
-    errors = parsed.select(
-        "scan_id", "repo_id", F.posexplode("doc.errors").alias("error_idx", "error")
-    ).filter(V.is_object(F.col("error")))
+    return describe_errors(parsed.select("scan_id", "repo_id", F.posexplode("doc.errors").alias("error_idx", "error")))
+
+
+def describe_errors(errors: DataFrame) -> DataFrame:
+    """Path, first line of the message and both in one, for each entry that is an object."""
+    errors = errors.filter(V.is_object(F.col("error")))
     path = F.coalesce(V.display(V.child(F.col("error"), "$.path")), F.lit("<unknown>"))
     message = F.coalesce(V.display(V.child(F.col("error"), "$.message")), F.lit("Unknown error"))
     return errors.select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.schemas import REPLIES
+from winnow.session import stage
 
 
 def read_scans(spark: SparkSession, paths: str | Sequence[str], repo_id: str | None = None) -> DataFrame:
@@ -21,6 +22,33 @@ def read_scans(spark: SparkSession, paths: str | Sequence[str], repo_id: str | N
     return raw.select("scan_id", repo.alias("repo_id"), F.col("value").alias("text"))
 
 
+def read_scan_pieces(
+    spark: SparkSession, paths: str | Sequence[str], repo_id: str | None = None, chunk_bytes: int = 1 << 20
+) -> DataFrame:
+    """Scan documents of any size, cut at every comma: ``scan_id, repo_id, chunk, at, piece, file_size``.
+
+    Tasks read chunks of ``chunk_bytes`` of a file, so no task holds a document; ``chunk`` is where one begins, and
+    ``at`` orders its pieces. They are written once, so that the order stands.
+    """
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    raw = spark.read.option("lineSep", ",").text(paths).select(F.col("_metadata").alias("m"), F.col("value").alias("piece"))
+    repo = F.lit(repo_id) if repo_id is not None else F.element_at(F.split("m.file_path", "/"), -2)
+    pieces = raw.select(
+        F.col("m.file_path").alias("scan_id"),
+        repo.alias("repo_id"),
+        F.col("m.file_block_start").alias("chunk"),
+        F.monotonically_increasing_id().alias("at"),
+        "piece",
+        F.col("m.file_size").alias("file_size"),
+    )
+    spark.conf.set(size, str(chunk_bytes))
+    try:
+        return stage(pieces)
+    finally:
+        spark.conf.set(size, before)
+
+
 def read_source_tree(spark: SparkSession, root: str, repo_id: str | None = None, glob: str = "*") -> DataFrame:
     """Files below ``root``: ``repo_id, path, length, text``.
 
