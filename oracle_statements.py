@@ -59,6 +59,19 @@ SELECT scan_id, result_idx, 'rule.' || lang AS rule_id, file_path, i AS start_li
     CASE WHEN length(line) > 200 THEN 'HIGH' WHEN length(line) < 50 THEN 'LOW' END AS scanner_confidence
 FROM v"""
 
+STATEMENTS["scan_chunks"] = f"""
+WITH {LINES},
+a AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS INTEGER) AS result_idx FROM l)
+SELECT source, result_idx, 'rule.' || lang AS rule_id, file_path, i AS start_line, line AS message,
+    CASE WHEN length(line) < 40 THEN 'INFO' WHEN length(line) < 120 THEN 'WARNING'
+        WHEN length(line) < 240 THEN 'ERROR' WHEN length(line) < 400 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+    CASE WHEN contains(line, ',') THEN 'CWE-20' WHEN line LIKE '%.' THEN 'CWE-79;CWE-89' ELSE '' END AS cwe,
+    CASE WHEN line LIKE '%.' THEN line ELSE 'requires login' END AS embedded_lines,
+    CASE WHEN contains(line, ',') THEN
+        CASE WHEN split_part(line, ' ', 1) <> '' THEN 'Source: ' || split_part(line, ' ', 1) || ' | ' ELSE '' END
+        || 'Sink: ["sink","x"] | Intermediate steps: ' || len(string_split(line, ',')) END AS dataflow_trace_summary
+FROM a WHERE i >= 1 AND contains(line, ' ')"""
+
 STATEMENTS["finding_rejects"] = f"""
 WITH {LINES}
 SELECT scan_id, i AS result_idx,

@@ -26,12 +26,13 @@ def members(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def is_object(value: Column) -> Column:
-    return members(value).isNotNull()
+def members_of(value: Column, struct: str) -> Column:
+    """The members of an object that a struct type names, read at once; NULL for every other type."""
+    return F.try_variant_get(value, "$", struct)
 
 
-def is_array(value: Column) -> Column:
-    return items(value).isNotNull()
+def is_object(value: Column) -> Column:
+    return members(value).isNotNull()
 
 
 def is_null(value: Column) -> Column:
@@ -60,10 +61,11 @@ def whole_number(value: Column) -> Column:
 
 def string_list(value: Column) -> Column:
     """A string or a list becomes a list of strings; anything else an empty list."""
-    return (
-        F.when(is_string(value), F.array(F.try_variant_get(value, "$", "string")))
-        .when(is_array(value), F.try_variant_get(value, "$", "array<string>"))
-        .otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return F.coalesce(
+        F.when(is_string(value), F.array(F.try_variant_get(value, "$", "string"))),
+        F.try_variant_get(value, "$", "array<string>"),
+        none,
     )
 
 
@@ -74,9 +76,4 @@ def display(value: Column) -> Column:
 
 def is_truthy(value: Column) -> Column:
     """False for null, empty strings, lists and objects, zero and false."""
-    return F.coalesce(
-        F.size(members(value)) > 0,
-        F.size(items(value)) > 0,
-        ~F.to_json(value).isin('""', "0", "0.0", "false", "null"),
-        F.lit(False),
-    )
+    return F.coalesce(~F.to_json(value).isin("{}", "[]", '""', "0", "0.0", "false", "null"), F.lit(False))

@@ -29,8 +29,7 @@ def scan_documents(docs: DataFrame, on_error: str = "quarantine") -> DataFrame:
     unusable as a whole. Only list elements become variants: a variant of a whole document would
     end at 128 MiB and hold parts nobody reads.
     """
-    if on_error not in ("quarantine", "raise"):
-        raise ValueError(f"on_error must be 'quarantine' or 'raise', got {on_error!r}")
+    _check(on_error)
     wrapped = F.concat(F.lit('{"documents":['), "text", F.lit('],"end":1}'))
     read = docs.select("scan_id", "repo_id", wrapped.alias("text")).withColumn(
         "read", F.from_json("text", WRAPPED, {"columnNameOfCorruptRecord": "malformed"})
@@ -48,10 +47,21 @@ def scan_documents(docs: DataFrame, on_error: str = "quarantine") -> DataFrame:
     )
     usable = F.col("doc.results").isNotNull() & (F.col("n") == 1) & (F.col("end") == 1)
     error = F.when(~F.coalesce(usable, F.lit(False)), why)
-    if on_error == "raise":
-        message = F.concat(F.lit("scan "), F.col("scan_id"), F.lit(": "), error)
-        error = F.when(error.isNotNull(), F.raise_error(message).cast("string"))
-    return parsed.withColumn("doc_error", error).drop("text", "n", "end")
+    return raise_for_documents(parsed.withColumn("doc_error", error).drop("text", "n", "end"), on_error)
+
+
+def _check(on_error: str) -> None:
+    if on_error not in ("quarantine", "raise"):
+        raise ValueError(f"on_error must be 'quarantine' or 'raise', got {on_error!r}")
+
+
+def raise_for_documents(documents: DataFrame, on_error: str) -> DataFrame:
+    """The documents; ``on_error='raise'`` fails the job that reads an unusable one."""
+    _check(on_error)
+    if on_error == "quarantine":
+        return documents
+    message = F.concat(F.lit("scan "), F.col("scan_id"), F.lit(": "), F.col("doc_error"))
+    return documents.withColumn("doc_error", F.when(F.col("doc_error").isNotNull(), F.raise_error(message).cast("string")))
 
 
 def scan_file_rejects(parsed: DataFrame) -> DataFrame:
@@ -83,62 +93,57 @@ def describe_errors(errors: DataFrame) -> DataFrame:
     ).withColumn("summary", F.concat_ws(": ", "path", "message"))
 
 
+# One read of an object gives all its members that are looked at, each as it stands.
+RESULT = "struct<check_id variant, path variant, start variant, end variant, extra variant>"
+POSITION = "struct<line variant, col variant>"
+EXTRA = "struct<message variant, severity variant, lines variant, dataflow_trace variant, metadata variant>"
+METADATA = "struct<cwe variant, owasp variant, confidence variant>"
+TRACE = "struct<taint_source variant, taint_sink variant, intermediate_vars variant>"
+
+
 def parse_results(results: DataFrame) -> DataFrame:
     """Map raw results to the finding columns; ``reject_reason`` is set where a result is malformed."""
     r = F.col("result")
-    parts = results.withColumns({"extra": V.child(r, "$.extra")} | {
-        name: V.child(r, path)
-        for name, path in (
-            ("check", "$.check_id"),
-            ("raw_path", "$.path"),
-            ("from_line", "$.start.line"),
-            ("from_col", "$.start.col"),
-            ("to_line", "$.end.line"),
-            ("to_col", "$.end.col"),
-        )
-    }).withColumns(
+    parts = results.withColumn("r", V.members_of(r, RESULT))
+    parts = parts.withColumns({n: V.members_of(F.col(f"r.{n}"), POSITION) for n in ("start", "end")} | {"x": V.members_of(F.col("r.extra"), EXTRA)})
+    parts = parts.withColumns({"m": V.members_of(F.col("x.metadata"), METADATA), "t": V.members_of(F.col("x.dataflow_trace"), TRACE)})
+    strings = {"rule_id": "r.check_id", "raw_path": "r.path", "severity_text": "x.severity", "text": "x.message", "embedded_lines": "x.lines", "scanner_confidence": "m.confidence"}
+    numbers = {"start_line": "start.line", "end_line": "end.line", "start_col": "start.col", "end_col": "end.col"}
+    typed = parts.withColumns(
         {
-            name: V.child(F.col("extra"), f"$.{name}")
-            for name in ("metadata", "message", "severity", "lines", "dataflow_trace")
+            **{name: V.whole_number(F.col(value)) for name, value in numbers.items()},
+            **{name: V.string(F.col(value)) for name, value in strings.items()},
+            "traced": V.is_truthy(F.col("x.dataflow_trace")),
         }
-    ).withColumns(
-        {name: V.child(F.col("metadata"), f"$.{name}") for name in ("cwe", "owasp", "confidence")}
-    )
+    )
 
     def v(name: str) -> Column:
         return F.col(name)
 
-    def not_object(name: str) -> Column:
-        return V.is_null(v(name)) | (v(name).isNotNull() & ~V.is_object(v(name)))
+    def not_object(value: str, members: str) -> Column:
+        """Present, but no object."""
+        return v(value).isNotNull() & v(members).isNull()
 
-    def not_string(name: str) -> Column:
-        return ~V.is_absent(v(name)) & ~V.is_string(v(name))
+    def not_string(value: str, text: str) -> Column:
+        return ~V.is_absent(v(value)) & v(text).isNull()
 
-    numbers = {"start_line": v("from_line"), "end_line": v("to_line"), "start_col": v("from_col"), "end_col": v("to_col")}
-    typed = parts.withColumns(
-        {
-            **{name: V.whole_number(value) for name, value in numbers.items()},
-            "rule_id": V.string(v("check")),
-            "file_path": normalize_path(V.string(v("raw_path"))),
-            "severity_text": V.string(v("severity")),
-        }
-    )
+    severity = V.kind(v("x.severity"))
     checks: list[tuple[Column, str]] = [
-        (~V.is_object(r), "result is not an object"),
+        (v("r").isNull(), "result is not an object"),
         (v("rule_id").isNull(), "check_id missing or not a string"),
-        (v("file_path").isNull(), "path missing or not a string"),
-        (not_object("extra"), "extra is not an object"),
-        (not_object("metadata"), "metadata is not an object"),
+        (v("raw_path").isNull(), "path missing or not a string"),
+        (not_object("r.extra", "x"), "extra is not an object"),
+        (not_object("x.metadata", "m"), "metadata is not an object"),
         *[(v(name).isNull(), f"{name} missing or not a whole number") for name in ("start_line", "end_line")],
         *[(v(name) < 1, f"{name} below 1") for name in ("start_line", "end_line")],
         *[
-            (~V.is_absent(numbers[name]) & v(name).isNull(), f"{name} not a whole number")
+            (~V.is_absent(v(numbers[name])) & v(name).isNull(), f"{name} not a whole number")
             for name in ("start_col", "end_col")
         ],
-        (V.is_null(v("message")) | not_string("message"), "message not a string"),
-        (V.is_array(v("severity")) | V.is_object(v("severity")), "severity not a string"),
-        (not_string("confidence"), "confidence not a string"),
-        (V.is_truthy(v("dataflow_trace")) & ~V.is_object(v("dataflow_trace")), "dataflow_trace is not an object"),
+        (V.is_null(v("x.message")) | not_string("x.message", "text"), "message not a string"),
+        (severity.startswith("ARRAY") | severity.startswith("OBJECT"), "severity not a string"),
+        (not_string("m.confidence", "scanner_confidence"), "confidence not a string"),
+        (v("traced") & v("t").isNull(), "dataflow_trace is not an object"),
     ]
     reject = F.coalesce(*[F.when(condition, F.lit(reason)) for condition, reason in checks])
     return typed.withColumn("reject_reason", reject).select(
@@ -146,20 +151,20 @@ def parse_results(results: DataFrame) -> DataFrame:
         "repo_id",
         "result_idx",
         "rule_id",
-        "file_path",
+        normalize_path(v("raw_path")).alias("file_path"),
         "start_line",
         "end_line",
         "start_col",
         "end_col",
-        F.coalesce(V.string(v("message")), F.lit("")).alias("message"),
+        F.coalesce("text", F.lit("")).alias("message"),
         F.when(v("severity_text").isin(SEVERITIES), v("severity_text")).otherwise(DEFAULT_SEVERITY).alias("severity"),
-        F.coalesce("severity_text", F.when(~V.is_absent(v("severity")), F.to_json("severity"))).alias("severity_raw"),
-        V.string_list(v("cwe")).alias("cwe"),
-        V.string_list(v("owasp")).alias("owasp"),
-        V.string(v("lines")).alias("embedded_lines"),
-        (~V.is_absent(v("dataflow_trace"))).alias("has_dataflow_trace"),
-        summarize_trace(v("dataflow_trace")).alias("dataflow_trace_summary"),
-        V.string(v("confidence")).alias("scanner_confidence"),
+        F.coalesce("severity_text", F.when(~V.is_absent(v("x.severity")), F.to_json("x.severity"))).alias("severity_raw"),
+        V.string_list(v("m.cwe")).alias("cwe"),
+        V.string_list(v("m.owasp")).alias("owasp"),
+        "embedded_lines",
+        (~V.is_absent(v("x.dataflow_trace"))).alias("has_dataflow_trace"),
+        F.when(v("traced"), summarize_trace(v("t"))).alias("dataflow_trace_summary"),
+        "scanner_confidence",
         "reject_reason",
         F.when(v("reject_reason").isNotNull(), F.to_json(r)).alias("raw"),
     )
@@ -170,17 +175,21 @@ def normalize_path(path: Column) -> Column:
 
 
 def summarize_trace(trace: Column) -> Column:
-    """Source, sink and number of steps of a data-flow trace; NULL for an empty or absent trace."""
-    source, sink = V.child(trace, "$.taint_source"), V.child(trace, "$.taint_sink")
-    steps = V.child(trace, "$.intermediate_vars")
-    count = F.coalesce(F.size(V.items(steps)), F.size(V.members(steps)), F.length(V.string(steps)))
+    """Source, sink and number of steps of a data-flow trace, given as its ``TRACE`` members."""
+    source, sink, steps = trace["taint_source"], trace["taint_sink"], trace["intermediate_vars"]
+    kind = V.kind(steps)
+    count = (
+        F.when(kind == "STRING", F.length(F.try_variant_get(steps, "$", "string")))
+        .when(kind.startswith("ARRAY"), F.size(V.items(steps)))
+        .when(kind.startswith("OBJECT"), F.size(V.members(steps)))
+    )
     text = F.concat_ws(
         " | ",
         F.when(V.is_truthy(source), F.concat(F.lit("Source: "), V.display(source))),
         F.when(V.is_truthy(sink), F.concat(F.lit("Sink: "), V.display(sink))),
         F.when(V.is_truthy(steps), F.concat(F.lit("Intermediate steps: "), count.cast("string"))),
     )
-    return F.when(V.is_truthy(trace), F.coalesce(F.nullif(text, F.lit("")), F.lit(UNKNOWN_TRACE)))
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(UNKNOWN_TRACE))
 
 
 def valid_findings(parsed: DataFrame) -> DataFrame:

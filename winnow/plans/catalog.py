@@ -12,6 +12,7 @@ from winnow.functions import ordering, text
 from winnow.operators import codeindex as C
 from winnow.operators import exchange as X
 from winnow.operators import ingest as I
+from winnow.operators import large_scans as L
 from winnow.operators import report as P
 from winnow.operators import reuse as R
 from winnow.operators import verify as V
@@ -20,7 +21,7 @@ from winnow.plans import corpus as D
 from winnow.plans import triage as T
 from winnow.schemas import PROMPT_VERSION, REPLIES, STORED
 from winnow.session import stage, staging_folder
-from winnow.sources.readers import read_replies, read_source_tree
+from winnow.sources.readers import read_replies, read_scan_pieces, read_source_tree
 from winnow.sources.sinks import write_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,8 @@ REPORT_TIME = "2024-01-02 03:04:05"
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.parse_results(I.raw_results(I.scan_documents(D.scan_docs(spark, sf_dir))))
+    """Written once, as a run does: filters on what was parsed do not parse again."""
+    return stage(I.parse_results(I.raw_results(I.scan_documents(D.scan_docs(spark, sf_dir)))))
 
 
 def finding_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +60,26 @@ def finding_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of scan files that hold all documents of a source, read in chunks of 1 MB."""
+    folder = _folder(spark, "scans")
+    D.write_source_scans(spark, sf_dir, folder)
+    scans = L.assemble(read_scan_pieces(spark, folder, D.REPO))
+    found = I.valid_findings(stage(I.parse_results(scans.results)))
+    return found.select(
+        F.regexp_extract("scan_id", "source=([^/]*)", 1).alias("source"),
+        "result_idx",
+        "rule_id",
+        "file_path",
+        "start_line",
+        "message",
+        "severity",
+        F.array_join("cwe", ";").alias("cwe"),
+        "embedded_lines",
+        "dataflow_trace_summary",
+    )
+
+
 def finding_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.scan_rejects(_parsed(spark, sf_dir)).select("scan_id", "result_idx", "reason")
 
@@ -662,6 +684,7 @@ QUERIES: dict[str, Query] = {
         noisy_rules,
         verdict_counts,
         finding_parse,
+        scan_chunks,
         finding_rejects,
         scan_errors,
         scan_file_rejects,

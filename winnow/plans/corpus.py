@@ -32,57 +32,85 @@ def extension(lang: Column) -> Column:
 # -- scans -----------------------------------------------------------------------------------------
 
 
+def scan_result(line: Column, i: Column) -> Column:
+    dotted, comma = line.endswith("."), line.contains(",")
+    metadata = F.struct(
+        F.when(comma, F.lit("CWE-20")).alias("cwe_text"),
+        F.when(~comma & dotted, F.array(F.lit("CWE-79"), F.lit("CWE-89"))).alias("cwe_list"),
+        F.when(dotted, F.array(F.lit("A03:2021"))).alias("owasp"),
+        F.when(F.length(line) > 200, F.lit("HIGH")).when(F.length(line) < 50, F.lit("LOW")).alias("confidence"),
+    )
+    trace = F.struct(
+        F.substring_index(line, " ", 1).alias("taint_source"),
+        F.array(F.lit("sink"), F.lit("x")).alias("taint_sink"),
+        F.split(line, ",").alias("intermediate_vars"),
+    )
+    return F.struct(
+        F.when(line.contains(" "), F.concat(F.lit("rule."), F.col("lang"))).alias("check_id"),
+        F.concat_ws("\\", "lang", "source", F.concat(F.lit("d"), "doc_id", extension(F.col("lang")))).alias("path"),
+        F.struct(i.alias("line"), F.length(line).alias("col")).alias("start"),
+        F.struct((i + 1).alias("line")).alias("end"),
+        F.struct(
+            line.alias("message"),
+            F.when(F.length(line) < 40, "INFO")
+            .when(F.length(line) < 120, "WARNING")
+            .when(F.length(line) < 240, "ERROR")
+            .when(F.length(line) < 400, "CRITICAL")
+            .otherwise("EXPERIMENT")
+            .alias("severity"),
+            F.when(dotted, line).otherwise("requires login").alias("lines"),
+            metadata.alias("metadata"),
+            F.when(comma, trace).alias("dataflow_trace"),
+        ).alias("extra"),
+    )
+
+
+def scan_error() -> Column:
+    return F.struct(
+        F.when(F.col("lang") != "fr", F.col("source")).alias("path"),
+        F.when(F.col("lang") != "de", F.col("text")).alias("message"),
+    )
+
+
+def one_key(body: Column) -> Column:
+    """One key, two types: both spellings become the same key of the JSON text."""
+    return F.replace(F.replace(body, F.lit('"cwe_text":'), F.lit('"cwe":')), F.lit('"cwe_list":'), F.lit('"cwe":'))
+
+
 def scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan document per text: a result per line, with the quirks real scans have.
 
     Positions count from 0, so the first line's result is invalid; a line without a blank has no
     rule; severities, weakness lists, traces and embedded code vary with the line.
     """
-
-    def result(line: Column, i: Column) -> Column:
-        dotted, comma = line.endswith("."), line.contains(",")
-        metadata = F.struct(
-            F.when(comma, F.lit("CWE-20")).alias("cwe_text"),
-            F.when(~comma & dotted, F.array(F.lit("CWE-79"), F.lit("CWE-89"))).alias("cwe_list"),
-            F.when(dotted, F.array(F.lit("A03:2021"))).alias("owasp"),
-            F.when(F.length(line) > 200, F.lit("HIGH")).when(F.length(line) < 50, F.lit("LOW")).alias("confidence"),
-        )
-        trace = F.struct(
-            F.substring_index(line, " ", 1).alias("taint_source"),
-            F.array(F.lit("sink"), F.lit("x")).alias("taint_sink"),
-            F.split(line, ",").alias("intermediate_vars"),
-        )
-        return F.struct(
-            F.when(line.contains(" "), F.concat(F.lit("rule."), F.col("lang"))).alias("check_id"),
-            F.concat_ws("\\", "lang", "source", F.concat(F.lit("d"), "doc_id", extension(F.col("lang")))).alias("path"),
-            F.struct(i.alias("line"), F.length(line).alias("col")).alias("start"),
-            F.struct((i + 1).alias("line")).alias("end"),
-            F.struct(
-                line.alias("message"),
-                F.when(F.length(line) < 40, "INFO")
-                .when(F.length(line) < 120, "WARNING")
-                .when(F.length(line) < 240, "ERROR")
-                .when(F.length(line) < 400, "CRITICAL")
-                .otherwise("EXPERIMENT")
-                .alias("severity"),
-                F.when(dotted, line).otherwise("requires login").alias("lines"),
-                metadata.alias("metadata"),
-                F.when(comma, trace).alias("dataflow_trace"),
-            ).alias("extra"),
-        )
-
-    error = F.struct(
-        F.when(F.col("lang") != "fr", F.col("source")).alias("path"),
-        F.when(F.col("lang") != "de", F.col("text")).alias("message"),
-    )
-    body = F.to_json(F.struct(F.transform("lines", result).alias("results"), F.array(error).alias("errors")))
-    # One key, two types: both spellings become the same key of the JSON text.
-    body = F.replace(F.replace(body, F.lit('"cwe_text":'), F.lit('"cwe":')), F.lit('"cwe_list":'), F.lit('"cwe":'))
+    parts = F.struct(F.transform("lines", scan_result).alias("results"), F.array(scan_error()).alias("errors"))
     return documents(spark, sf_dir).select(
-        F.concat(F.lit("scan"), "doc_id").alias("scan_id"), F.lit(REPO).alias("repo_id"), body.alias("text")
+        F.concat(F.lit("scan"), "doc_id").alias("scan_id"), F.lit(REPO).alias("repo_id"), one_key(F.to_json(parts)).alias("text")
     )
 
 
+def write_source_scans(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """One scan file per source, with the results of all its documents one after the other.
+
+    Files are written line by line: what opens the document, the entries, what closes it.
+    """
+    docs = documents(spark, sf_dir)
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("first_id"))
+    comma = F.when(F.col("doc_id") == F.col("first_id"), "").otherwise(",")
+
+    def entries(values: Column, place: int) -> DataFrame:
+        listed = one_key(F.to_json(values))
+        inner = F.substring(listed, F.lit(2), F.length(listed) - 2)
+        return docs.join(F.broadcast(first), "source").select("source", F.lit(place).alias("place"), "doc_id", F.concat(comma, inner).alias("value"))
+
+    frame = {0: '{"version": "1, [{", "paths": {"scanned": ["a", "b,]"], "results": [1, 2]}, "results": [', 2: '], "errors": [', 4: "]}"}
+    parts = entries(F.transform("lines", scan_result), 1).unionByName(entries(F.array(scan_error()), 3))
+    for place, text in frame.items():
+        parts = parts.unionByName(first.select("source", F.lit(place).alias("place"), "first_id", F.lit(text).alias("value")).toDF("source", "place", "doc_id", "value"))
+    ordered = parts.repartition("source").sortWithinPartitions("source", "place", "doc_id")
+    ordered.select("source", "value").write.partitionBy("source").text(folder)
+
+
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scanned files: every text, the Spanish ones at paths that no scan names."""
     folder = F.when(F.col("lang") == "es", "moved").otherwise(F.col("lang"))

@@ -16,6 +16,7 @@ from winnow.operators import exchange as X
 from winnow.operators import ingest as I
 from winnow.operators import reuse as R
 from winnow.operators.context import build_contexts
+from winnow.operators.large_scans import Scans, scan_errors
 from winnow.operators.verify import verify_replies
 from winnow.schemas import CONTEXT, PROMPT_VERSION, STORED, STRINGS
 from winnow.session import stage
@@ -33,7 +34,7 @@ class Prepared:
 
 
 def prepare(
-    scan_docs: DataFrame,
+    scan_docs: DataFrame | Scans,
     files: DataFrame,
     store: DataFrame | None = None,
     *,
@@ -47,13 +48,20 @@ def prepare(
 ) -> Prepared:
     """Scan documents and source files to routed findings and requests.
 
+    Scans above the size of a string come from :func:`winnow.operators.large_scans.assemble`.
+
     ``reuse=False`` neither reads nor later writes the store. ``limit`` keeps the first so many
     processable findings of each scan.
     """
-    spark = scan_docs.sparkSession
+    spark = files.sparkSession
     files = single_files(files)
-    documents = stage(I.scan_documents(scan_docs, on_error))
-    parsed = stage(I.parse_results(I.raw_results(documents)))
+    if isinstance(scan_docs, Scans):
+        documents, errors = I.raise_for_documents(scan_docs.documents, on_error), scan_errors(scan_docs)
+        parsed = stage(I.parse_results(scan_docs.results))
+    else:
+        documents = stage(I.scan_documents(scan_docs, on_error))
+        errors = I.scan_errors(documents)
+        parsed = stage(I.parse_results(I.raw_results(documents)))
     found = I.mark_processable(I.valid_findings(parsed))
     if limit is not None:
         found = I.limit_per_scan(found, limit)
@@ -91,7 +99,7 @@ def prepare(
     return Prepared(
         findings=findings,
         requests=X.build_requests(work, X.instructions(spark, instructions, prompt_version)),
-        scan_errors=I.scan_errors(documents),
+        scan_errors=errors,
         scan_rejects=I.scan_rejects(parsed),
         file_rejects=I.scan_file_rejects(documents),
     )
