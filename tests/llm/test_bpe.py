@@ -40,6 +40,9 @@ def test_ids_and_texts_like_the_library(spark, docs_of, library, monkeypatch):
     ids = [(t, library.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
     want = sorted((t or "", i, library.decode(i, skip_special_tokens=False)) for t, i in ids)
     assert sorted((r.text or "", r.ids, r.decoded) for r in got.collect()) == want
+    once = bpe.encode(docs, PATH, keep=["text"], decoded="back")
+    assert once.columns == ["text", "ids", "back"]
+    assert sorted((r.text or "", r.ids, r.back) for r in once.collect()) == want
     digests = {r.doc_id: r for r in bpe.digests(docs, PATH).collect()}
     assert digests[0].n_tokens == 0 and digests[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
     text = " ".join(map(str, ids[4][1]))
@@ -48,6 +51,7 @@ def test_ids_and_texts_like_the_library(spark, docs_of, library, monkeypatch):
     monkeypatch.setattr(bpe, "_SLICE_CHARS", 7)
     monkeypatch.setattr(bpe, "_BLOCK_IDS", 3)
     monkeypatch.setattr(bpe, "_CACHED", 2)
+    assert [x.tolist() for x in codec.encode_all([t or "" for t, _ in ids])] == [i for _, i in ids]
     for text, i in ids:
         assert codec.encode(text or "").tolist() == i
         assert codec.decode(np.array(i, np.int32)) == library.decode(i, skip_special_tokens=False)
@@ -88,6 +92,11 @@ def test_stable_tokens_are_those_of_the_whole_word(seed):
         word = "".join(draw.choices(letters, k=length))
         assert list(machine.word(word)) == [t.id for t in library.tokenize(word)]
     assert list(machine.word("")) == []
+    words = ["".join(draw.choices(letters, k=draw.randint(1, 64))) for _ in range(60)]
+    table = bpe.Table(list_, {c: vocab[c] for c in letters}, {c: vocab[c + "$"] for c in letters})
+    flat, counts = table.apply(words)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [[t.id for t in library.tokenize(w)] for w in words]
+    assert len(table.apply([])[0]) == 0
 
 
 def test_lookahead_is_the_heaviest_chain():

@@ -31,9 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from winnow.llm import words as W
 from winnow.llm.shipping import ship
 
 _CACHED = 1 << 18  # pieces whose ids a worker keeps
+_TOGETHER = 200  # pieces normalized in one call
+_SHORT = 64  # symbols up to which pairs are looked through one by one
+_LETTERS = 1 << 18  # of words that are merged side by side
+_RUN_BYTES = 2_000_000
 _CACHED_CHARS = 64
 _SLICE_CHARS = 1 << 20
 _BLOCK_IDS = 1 << 16
@@ -43,8 +48,12 @@ _ONLY_PYTHON_SPLITS = re.compile("[\x1c-\x1f]")
 _tokenizers: dict[str, Codec] = {}
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The table with a column of token ids of each whole text; null and empty texts have none.
+def encode(
+    docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None
+) -> DataFrame:
+    """The table, or its columns ``keep``, with token ids of each whole text; null and empty texts have none.
+
+    With ``decoded`` a column of that name has what :func:`decode` makes of the ids, in the same pass.
 
     ``path`` is a tokenizer file that the driver can read: a BPE model whose pre-tokenizer drops white
     space. Other files raise ``ValueError``. An input column named ``ids`` is replaced. Texts are
@@ -54,21 +63,22 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     codec = _broadcast(docs, path)
     if not Codec.of(codec.value).drops_space:
         raise ValueError("the pre-tokenizer keeps white space")
-    docs = docs.drop(ids)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids, decoded)]
+    fields = [*docs.select(kept).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))]
+    schema = T.StructType([*fields, T.StructField(decoded, T.StringType())] if decoded else fields)
 
-    def run(batches: Iterator[pa.RecordBatch], at: int = docs.columns.index(text)) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codec.of(codec.value)
         for batch in batches:
-            low, parts, total = 0, [], 0
-            for i, value in enumerate(batch.column(at).cast(pa.large_binary())):
-                parts.append(own.encode((value.as_py() or b"").decode("utf-8", "replace")))
-                total += len(parts[-1])
-                if total >= _BATCH_IDS or i + 1 == batch.num_rows:
-                    yield _with_column(batch.slice(low, len(parts)), _lists(parts), schema.names)
-                    low, parts, total = i + 1, [], 0
+            *others, texts = batch.columns
+            for low, part in W.runs(texts, _RUN_BYTES):
+                lists = own.encode_all([(b or b"").decode("utf-8", "replace") for b in part.cast(pa.large_binary()).to_pylist()])
+                columns = [*[c.slice(low, len(part)) for c in others], _lists(lists)]
+                if decoded:
+                    columns.append(pa.array([own.decode(x) for x in lists], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -92,7 +102,8 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
             while low < batch.num_rows:
                 high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + _BATCH_IDS, side="right")) - 1)
                 texts = [own.decode(row.values.to_numpy(zero_copy_only=False) if row.is_valid else ()) for row in lists[low:high]]
-                yield _with_column(batch.slice(low, high - low), pa.array(texts, pa.string()), schema.names)
+                columns = [*batch.slice(low, high - low).columns, pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
                 low = high
 
     return tokens.mapInArrow(run, schema)
@@ -100,7 +111,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256)`` of every text encoded and decoded again."""
-    back = decode(encode(docs.select(key, text), path, text).drop(text), path)
+    back = encode(docs, path, text, keep=[key], decoded="decoded")
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
     return back.select(
         key,
@@ -123,10 +134,6 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
 
 
-def _with_column(batch: pa.RecordBatch, column: pa.Array, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, column], names)
-
-
 class Merges:
     """A merge list over byte symbols: ranks of pairs, and the lookahead that suffices."""
 
@@ -152,8 +159,26 @@ class Merges:
 
     def apply(self, symbols: list[int]) -> list[int]:
         """Merge neighbours, least rank first and leftmost among equals, until none can be."""
-        if len(symbols) < 2:
-            return symbols
+        return self._apply_short(symbols) if len(symbols) <= _SHORT else self._apply_long(symbols)
+
+    def _apply_short(self, symbols: list[int]) -> list[int]:
+        rank, made, none = self.rank.get, self.made, len(self.made)
+        token = list(symbols)
+        ranks = [rank(pair, none) for pair in zip(token, token[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            token[i : i + 2] = [made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((token[i - 1], token[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((token[i], token[i + 1]), none)
+        return token
+
+    def _apply_long(self, symbols: list[int]) -> list[int]:
         token, after = list(symbols), list(range(1, len(symbols) + 1))
         before = list(range(-1, len(symbols) - 1))
         queue = [(rank, i) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if (rank := self.rank.get(pair)) is not None]
@@ -175,6 +200,84 @@ class Merges:
         return [t for t in token if t >= 0]
 
 
+class Table:
+    """A merge list as arrays: the words of a table are merged side by side, one pair of each at a time."""
+
+    def __init__(self, merges: Merges, inner: dict[str, int], last: dict[str, int]):
+        self.made = np.array(merges.made, np.int32)
+        self.none = len(self.made)
+        self.inner, self.last = (_by_letter(letters) for letters in (inner, last))
+        pairs = np.array(list(merges.rank), np.int64).reshape(-1, 2)
+        keys, ranks = (pairs[:, 0] << 32) + pairs[:, 1], np.array(list(merges.rank.values()), np.int32)
+        self.shift = np.uint64(61 - max(1, len(keys)).bit_length())  # an eighth of the slots are taken at most
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, self.none, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # those that find their slot taken go on to the next
+            free = self.keys[slot[left]] < 0
+            _, first = np.unique(slot[left][free], return_index=True)
+            placed = left[free][first]
+            self.keys[slot[placed]], self.ranks[slot[placed]] = keys[placed], ranks[placed]
+            left = np.setdiff1d(left, placed)
+            slot[left] = (slot[left] + 1) % size
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens; ``none`` where they do not merge or the right one is missing."""
+        keys = (left.astype(np.int64) << 32) + right
+        slot = self._slot(keys)
+        found, out = self.keys[slot], self.ranks[slot]
+        out[found != keys] = self.none
+        open_ = np.flatnonzero((found != keys) & (found >= 0) & (right >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.keys)
+            at = slot[open_]
+            hit = self.keys[at] == keys[open_]
+            out[open_[hit]] = self.ranks[at[hit]]
+            open_ = open_[~hit & (self.keys[at] >= 0)]
+        out[right < 0] = self.none
+        return out
+
+    def apply(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words, least rank first and leftmost among equals, and how many each has."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(length.max(initial=0))
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        column = np.arange(width)
+        inside = column < length[:, None]
+        token = np.full((len(words), width + 1), -1, np.int32)
+        token[:, :width][inside] = self.inner[letters]
+        rows = np.arange(len(words))
+        token[rows, length - 1] = self.last[letters[np.cumsum(length) - 1]]
+        rank = np.full((len(words), width), self.none, np.int32)
+        rank[inside] = self._rank(token[:, :width][inside], token[:, 1:][inside])
+        after = np.tile(np.arange(1, width + 2, dtype=np.int16), (len(words), 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int16), (len(words), 1))
+        while len(rows):
+            at = rank[rows].argmin(axis=1)
+            best = rank[rows, at]
+            rows, at, best = rows[best < self.none], at[best < self.none], best[best < self.none]
+            gone = after[rows, at]
+            behind = np.minimum(after[rows, gone], width)
+            token[rows, at], token[rows, gone] = self.made[best], -1
+            rank[rows, gone] = self.none
+            after[rows, at] = behind
+            before[rows, np.minimum(behind, width - 1)] = at
+            rank[rows, at] = self._rank(token[rows, at], token[rows, behind])
+            ahead = before[rows, at]
+            some = ahead >= 0
+            rank[rows[some], ahead[some]] = self._rank(token[rows[some], ahead[some]], token[rows[some], at[some]])
+        return token[token >= 0], (token >= 0).sum(axis=1)
+
+
+def _by_letter(letters: dict[str, int]) -> np.ndarray:
+    out = np.full(max(map(ord, letters), default=0) + 1, -1, np.int32)
+    out[[ord(c) for c in letters]] = list(letters.values())
+    return out
+
+
 class Transducer:
     """Reads a word symbol by symbol and puts out tokens once nothing that follows can change them."""
 
@@ -182,7 +285,16 @@ class Transducer:
         self.merges, self.inner, self.last, self.size = merges, inner, last, size
         self.window = max(window or 0, 4 * merges.lookahead + merges.longest + 1)
 
-    def word(self, symbols: str) -> Iterator[int]:
+    def word(self, symbols: str) -> Iterable[int]:
+        """The tokens of a word, as they become stable; all at once where the window holds the word."""
+        if len(symbols) <= self.window:
+            return self._end(symbols)
+        return self._stream(symbols)
+
+    def _end(self, held: str) -> list[int]:
+        return self.merges.apply([*[self.inner[s] for s in held[:-1]], self.last[held[-1]]]) if held else []
+
+    def _stream(self, symbols: str) -> Iterator[int]:
         held = ""
         for low in range(0, len(symbols), self.window):
             held += symbols[low : low + self.window]
@@ -195,8 +307,7 @@ class Transducer:
                 done += self.size[token]
                 yield token
             held = held[done:]
-        if held:
-            yield from self.merges.apply([*[self.inner[s] for s in held[:-1]], self.last[held[-1]]])
+        yield from self._end(held)
 
 
 class ByteToText:
@@ -228,9 +339,9 @@ class Codec:
     """A tokenizer file's own parts, and ids of pieces between white space met so far."""
 
     def __init__(self, content: str):
-        self.file = json.loads(content)
-        model = self.file["model"]
-        plain = not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in self.file["added_tokens"])
+        file = json.loads(content)
+        model = file["model"]
+        plain = not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"])
         if model["type"] != "BPE" or not plain or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError("not a plain BPE tokenizer")
         whole = Tokenizer.from_str(content)
@@ -241,12 +352,15 @@ class Codec:
         merges = Merges(vocab, [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]], end)
         letters = {t: i for t, i in vocab.items() if len(t) == 1}
         size = {i: len(merges._bare(t)) for t, i in vocab.items()}
-        self.transducer = Transducer(merges, letters, {t: vocab.get(t + end, i) for t, i in letters.items()}, size)
-        self.special = {t["content"]: t["id"] for t in self.file["added_tokens"]}
+        last = {t: vocab.get(t + end, i) for t, i in letters.items()}
+        self.transducer = Transducer(merges, letters, last, size)
+        self.table = Table(merges, letters, last)
+        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.at_special = re.compile(f"({'|'.join(names)})") if names else None
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self._bytes = self._token_bytes({**{i: t for t, i in vocab.items()}, **{i: t for t, i in self.special.items()}})
+        self.cache: dict[str, int] = {}
+        self.known = Ragged()
+        self._bytes = self._token_bytes(file.get("decoder"), {**{i: t for t, i in vocab.items()}, **{i: t for t, i in self.special.items()}})
 
     @staticmethod
     def of(content: str) -> Codec:
@@ -260,21 +374,84 @@ class Codec:
         return [p for p, _ in pieces] == ["a", "a"]
 
     def encode(self, text: str) -> np.ndarray:
-        parts = []
-        for part in _slices(text):
-            pieces = _SPACE.split(part) if _ONLY_PYTHON_SPLITS.search(part) else part.split()
-            parts.append(np.fromiter(chain.from_iterable(map(self._piece, pieces)), np.int32))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        known = self.cache.get(piece)
-        if known is None:
-            known = tuple(self._tokens(piece))
-            if len(piece) <= _CACHED_CHARS:
-                if len(self.cache) >= _CACHED:
-                    self.cache.clear()
-                self.cache[piece] = known
-        return known
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Short texts are looked up together, long ones slice by slice."""
+        whole = [self._pieces(t) if len(t) <= _SLICE_CHARS else None for t in texts]
+        short = iter(self._ids([pieces for pieces in whole if pieces is not None]))
+        out = []
+        for text, pieces in zip(texts, whole, strict=True):
+            if pieces is not None:
+                out.append(next(short))
+            else:
+                out.append(np.concatenate([self._ids([self._pieces(part)])[0] for part in _slices(text)]))
+        return out
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        if _ONLY_PYTHON_SPLITS.search(text):
+            return [p for p in _SPACE.split(text) if p]
+        return text.split()
+
+    def _ids(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if len(self.cache) >= _CACHED:
+            self.cache.clear()
+            self.known = Ragged()
+        new = set().union(*texts) - self.cache.keys()
+        long = [p for p in new if len(p) > _CACHED_CHARS]
+        self._learn(list(new.difference(long)))
+        held = self.known.mark()
+        for p in long:
+            self._learn_one(p)
+        out = [self.known.take(np.fromiter(map(self.cache.__getitem__, pieces), np.int64, len(pieces))) for pieces in texts]
+        for p in long:
+            del self.cache[p]
+        self.known.cut(held)
+        return out
+
+    def _learn_one(self, piece: str) -> None:
+        self.cache[piece] = self.known.add(*_one(self._tokens(piece)))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of short pieces; those without special tokens are normalized and cut many at a time."""
+        plain, owners, found = [], [], []
+        for low in range(0, len(pieces), _TOGETHER):
+            part = pieces[low : low + _TOGETHER]
+            normal = "" if self.at_special and self.at_special.search(" ".join(part)) else self._normal(" ".join(part))
+            ends = [m.start() for m in re.finditer(" ", normal)]
+            if len(ends) + 1 != len(part) or not normal:
+                for p in part:
+                    self._learn_one(p)
+                continue
+            at, ends = 0, [*ends, len(normal)]
+            for word, (_, end) in self.words.pre_tokenize_str(normal):
+                while end > ends[at]:
+                    at += 1
+                found.append(word)
+                owners.append(len(plain) + at)
+            plain += part
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(w, len(number)) for w in found], np.int64)
+        words = self._words(list(number))
+        sizes = np.bincount(np.array(owners, np.int64), weights=words.count(which), minlength=len(plain)).astype(np.int64)
+        first = self.known.add(words.take(which), sizes)
+        self.cache.update(zip(plain, range(first, first + len(plain)), strict=True))
+
+    def _words(self, words: list[str]) -> Ragged:
+        """Tokens of distinct words, in their order: short ones side by side, long ones through the transducer."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(length, kind="stable")
+        out, place = Ragged(), np.empty(len(words), np.int64)
+        for low, high in _by_length(length[order]):
+            part = order[low:high]
+            place[part] = out.add(*self.table.apply([words[i] for i in part.tolist()])) + np.arange(len(part))
+        for i in order[np.searchsorted(length[order], _SHORT, side="right") :].tolist():
+            place[i] = out.add(*_one(self.transducer.word(words[i])))
+        return out.ordered(place)
+
+    def _normal(self, text: str) -> str:
+        return self.normalizer.normalize_str(text) if self.normalizer else text
 
     def _tokens(self, piece: str) -> Iterator[int]:
         """Ids of a text without white space: special tokens first, then normalized words."""
@@ -282,12 +459,11 @@ class Codec:
             if part in self.special:
                 yield self.special[part]
             elif part:
-                normal = self.normalizer.normalize_str(part) if self.normalizer else part
-                for word, _ in self.words.pre_tokenize_str(normal):
+                for word, _ in self.words.pre_tokenize_str(self._normal(part)):
                     yield from self.transducer.word(word)
 
-    def _token_bytes(self, tokens: dict[int, str]) -> dict[int, bytes]:
-        decoder = (self.file.get("decoder") or {}).get("type")
+    def _token_bytes(self, decoder: dict | None, tokens: dict[int, str]) -> dict[int, bytes]:
+        decoder = decoder["type"] if decoder else None
         self.between = b" " if decoder is None else b""
         if decoder not in (None, "ByteLevel"):
             raise ValueError(f"decoder {decoder}")
@@ -312,6 +488,66 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in printable}, **{b: chr(0x100 + i) for i, b in enumerate(others)}}
 
 
+def _by_length(length: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of alike and not too great lengths, of a bounded number of letters; ``length`` ascends."""
+    low, short = 0, int(np.searchsorted(length, _SHORT, side="right"))
+    while low < short:
+        most = min(_SHORT, 2 * max(4, int(length[low])))
+        high = min(low + max(1, _LETTERS // most), int(np.searchsorted(length, most, side="right")))
+        yield low, high
+        low = high
+
+
+def _one(tokens: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.fromiter(tokens, np.int32)
+    return flat, np.array([len(flat)])
+
+
+class Ragged:
+    """Lists of ids, one after the other in arrays that double when they are full."""
+
+    def __init__(self):
+        self.flat, self.ends = np.zeros(1 << 10, np.int32), np.zeros(1 << 8, np.int64)
+        self.size = 0
+
+    def mark(self) -> int:
+        return self.size
+
+    def cut(self, size: int) -> None:
+        self.size = size
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> int:
+        """Lists of given sizes behind the others; the number of the first."""
+        first, start = self.size, int(self.ends[self.size])
+        self.flat, self.ends = _room(self.flat, start + len(flat)), _room(self.ends, first + len(sizes) + 1)
+        self.flat[start : start + len(flat)] = flat
+        self.ends[first + 1 : first + len(sizes) + 1] = start + np.cumsum(sizes)
+        self.size += len(sizes)
+        return first
+
+    def count(self, which: np.ndarray) -> np.ndarray:
+        return self.ends[which + 1] - self.ends[which]
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        """The lists of given numbers, joined."""
+        sizes = self.count(which)
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[which] - ends + sizes, sizes)]
+
+    def ordered(self, which: np.ndarray) -> Ragged:
+        out = Ragged()
+        out.add(self.take(which), self.count(which))
+        return out
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(array):
+        return array
+    out = np.zeros(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 def _slices(text: str) -> Iterator[str]:
     """A text in slices of about ``_SLICE_CHARS`` characters, cut at white space."""
     low = 0
