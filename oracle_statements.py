@@ -504,6 +504,19 @@ SELECT summary.* EXCLUDE (estimated_cost, hit_rate_percent, generated_at), strft
     coalesce(hit_rate_percent, -1) AS hit_rate_percent, round(estimated_cost, 6) AS estimated_cost, rule_no, rule_id, total, fp AS false_positive, noisy
 FROM summary JOIN numbered USING (run_id)"""
 
+STATEMENTS["json_report"] = f"""
+WITH {TRIAGED},
+r AS (SELECT run_id, string_agg(rule_id || ':' || total, ';' ORDER BY rule_no) AS rules,
+    coalesce(string_agg(rule_id, ';' ORDER BY rule_no) FILTER (noisy), '') AS tuning FROM numbered GROUP BY run_id),
+e AS (SELECT source AS run_id, string_agg(text, {NL} ORDER BY doc_id) AS texts FROM documents WHERE lang = 'es' GROUP BY source)
+SELECT run_id, total_findings, rules, tuning, sha256(coalesce(texts, '')) AS errors,
+    CAST(row_number() OVER (PARTITION BY run_id ORDER BY doc_id) - 1 AS INTEGER) AS place,
+    CAST(doc_id AS VARCHAR) AS finding_id, message, verdict,
+    CASE WHEN has_label THEN array_to_string(quotes, {NL}) ELSE '' END AS quotes,
+    CASE WHEN NOT has_label THEN 'LLM call did not produce a usable verdict: no_tool_use'
+        ELSE array_to_string(issues, {NL}) END AS notes
+FROM t JOIN runs USING (run_id) JOIN r USING (run_id) LEFT JOIN e USING (run_id)"""
+
 STATEMENTS["report_markdown"] = f"""
 WITH {TRIAGED}, texts AS (
 SELECT run_id, CAST(0 AS BIGINT) AS block_no,

@@ -100,6 +100,31 @@ def test_sinks(spark, tmp_path):
     assert json.loads(open(part).read()) == {"n": 1, "tags": ["x"]}
 
 
+def test_nested_report_of_many_files(spark, tmp_path):
+    runs = spark.createDataFrame([("a", 3, None), ("b", 0, 0.5), ("c", 1, 0.5)], "run_id string, total long, rate double")
+    rules = spark.createDataFrame([("a", "r,1", 1, 2, True), ("a", 'r"2', 2, 1, False), ("c", "x", 1, 1, False)], "run_id string, rule_id string, rule_no long, total long, noisy boolean")
+    errors = spark.createDataFrame([("a", i, f"line\n{i}, [") for i in (2, 1)], "run_id string, error_idx int, summary string")
+    rows = [("a", f"f{i}", i, ["q]", None] if i % 2 else [], None) for i in range(40)] + [("c", "only", 7, [], "é")]
+    found = spark.createDataFrame(rows, "run_id string, finding_id string, input_idx long, quotes array<string>, note string")
+    sinks.write_report_documents(P.report_fragments(runs, rules, errors, found), str(tmp_path / "doc"), files=5)
+    got = {}
+    for run in "abc":
+        parts = sorted(glob.glob(str(tmp_path / "doc" / f"run_id={run}" / "part-*")))
+        got[run] = json.loads("".join(open(f, encoding="utf-8").read() for f in parts))
+    assert len(glob.glob(str(tmp_path / "doc" / "run_id=a" / "part-*"))) > 1
+    empty = {"rule_stats": [], "rules_to_consider_tuning": [], "scan_errors": [], "triaged_findings": []}
+    assert got["b"] == {"total": 0, "rate": 0.5, **empty}
+    assert got["a"] == {
+        "total": 3,
+        "rate": None,
+        "rule_stats": [{"rule_id": "r,1", "total": 2}, {"rule_id": 'r"2', "total": 1}],
+        "rules_to_consider_tuning": ["r,1"],
+        "scan_errors": ["line\n1, [", "line\n2, ["],
+        "triaged_findings": [{"finding_id": f"f{i}", "input_idx": i, "quotes": ["q]", None] if i % 2 else [], "note": None} for i in range(40)],
+    }
+    assert got["c"]["triaged_findings"] == [{"finding_id": "only", "input_idx": 7, "quotes": [], "note": "é"}]
+
+
 # -- verdict store ---------------------------------------------------------------------------------
 
 

@@ -271,6 +271,51 @@ def run_rules(
     )
 
 
+def report_fragments(summary: DataFrame, rules: DataFrame, scan_errors: DataFrame, triaged: DataFrame) -> DataFrame:
+    """A run's whole report as the pieces of one JSON document: ``run_id, part, place, json``.
+
+    Read in the order of ``part`` and ``place`` they make an object: the run's summary, its ``rule_stats``, the
+    ``rules_to_consider_tuning``, its ``scan_errors`` as texts, and its ``triaged_findings`` in the order of the scan.
+    So a report of any number of findings is one document, and none of it is ever one value.
+    """
+    head = F.to_json(F.struct(*[c for c in summary.columns if c != "run_id"]), {"ignoreNullFields": "false"})
+    lists = {
+        "rule_stats": rules.select("run_id", _place("rule_no", "rule_id"), _element(rules, "run_id", "rule_no", "noisy")),
+        "rules_to_consider_tuning": rules.filter("noisy").select("run_id", _place("rule_no", "rule_id"), _text("rule_id")),
+        "scan_errors": scan_errors.select("run_id", _place("error_idx", "summary"), _text("summary")),
+        "triaged_findings": triaged.select("run_id", _place("input_idx", "finding_id"), _element(triaged, "run_id")),
+    }
+    runs = summary.select("run_id", F.struct(F.lit(0).cast("long").alias("no"), F.lit("").alias("id")).alias("place"), F.left(head, F.length(head) - 1).alias("head"))
+    pieces, elements = [], []
+    for i, (name, rows) in enumerate(lists.items()):
+        opening = F.lit(f',"{name}":[' if i == 0 else f'],"{name}":[')
+        pieces.append(runs.select("run_id", F.lit(2 * i).alias("part"), "place", (F.concat("head", opening) if i == 0 else opening).alias("json")))
+        elements.append(rows.select("run_id", F.lit(2 * i + 1).alias("part"), "place", "json"))
+    pieces.append(runs.select("run_id", F.lit(2 * len(lists)).alias("part"), "place", F.lit("]}").alias("json")))
+    every = elements[0]
+    for rows in elements[1:]:
+        every = every.unionByName(rows)
+    first = every.groupBy("run_id", "part").agg(F.min("place").alias("first"))
+    comma = F.when(F.col("place") == F.col("first"), "").otherwise(",")
+    out = every.join(first, ["run_id", "part"]).select("run_id", "part", "place", F.concat(comma, "json").alias("json"))
+    for rows in pieces:
+        out = out.unionByName(rows)
+    return out
+
+
+def _place(no: str, key: str) -> Column:
+    return F.struct(F.col(no).cast("long").alias("no"), F.col(key).cast("string").alias("id")).alias("place")
+
+
+def _text(name: str) -> Column:
+    listed = F.to_json(F.array(name))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2).alias("json")
+
+
+def _element(rows: DataFrame, *without: str) -> Column:
+    return F.to_json(F.struct(*[c for c in rows.columns if c not in without]), {"ignoreNullFields": "false"}).alias("json")
+
+
 def report_blocks(
     summary: DataFrame,
     findings: DataFrame,

@@ -22,7 +22,7 @@ from winnow.plans import triage as T
 from winnow.schemas import PROMPT_VERSION, REPLIES, STORED
 from winnow.session import stage, staging_folder
 from winnow.sources.readers import read_replies, read_scan_pieces, read_source_tree
-from winnow.sources.sinks import write_requests
+from winnow.sources.sinks import write_report_documents, write_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -601,6 +601,40 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested report of each run, written as files and parsed back: a row per finding."""
+    triaged, summary, stats = _report_parts(spark, sf_dir)
+    rules = stage(P.run_rules(stats, min_fp_rate=NOISY_RATE))
+    errors = D.table(spark, sf_dir, "documents").filter("lang = 'es'")
+    errors = errors.select(F.col("source").alias("run_id"), F.col("doc_id").alias("error_idx"), F.col("text").alias("summary"))
+    kept = triaged.select("run_id", "finding_id", "input_idx", "rule_id", "message", "verdict", "verification_notes")
+    folder = _folder(spark, "report")
+    write_report_documents(P.report_fragments(summary, rules, errors, kept), folder, files=7)
+    files = spark.read.text(folder, wholetext=True).select("run_id", F.col("_metadata.file_name").alias("name"), "value")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "value"))), lambda f: f["value"]), "")
+    shape = (
+        "total_findings long, rule_stats array<struct<rule_id string, total long>>, rules_to_consider_tuning array<string>, "
+        "scan_errors array<string>, triaged_findings array<struct<finding_id string, message string, "
+        "verdict struct<verdict string, evidence_quotes array<string>>, verification_notes array<string>>>"
+    )
+    parsed = files.groupBy("run_id").agg(whole.alias("text")).select("run_id", F.from_json("text", shape, {"mode": "FAILFAST"}).alias("r"))
+    return parsed.select(
+        "run_id",
+        F.col("r.total_findings"),
+        F.array_join(F.transform("r.rule_stats", lambda r: F.concat_ws(":", r["rule_id"], r["total"])), ";").alias("rules"),
+        F.array_join("r.rules_to_consider_tuning", ";").alias("tuning"),
+        F.sha2(F.array_join("r.scan_errors", "\n"), 256).alias("errors"),
+        F.posexplode("r.triaged_findings").alias("place", "f"),
+    ).select(
+        "run_id", "total_findings", "rules", "tuning", "errors", "place",
+        "f.finding_id",
+        "f.message",
+        F.col("f.verdict.verdict"),
+        F.array_join("f.verdict.evidence_quotes", "\n").alias("quotes"),
+        F.array_join("f.verification_notes", "\n").alias("notes"),
+    )
+
+
 def finding_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.finding_markdown(_triaged(spark, sf_dir))
 
@@ -722,6 +756,7 @@ QUERIES: dict[str, Query] = {
         actionable_order,
         row_numbers,
         run_report,
+        json_report,
         finding_markdown,
         report_markdown,
         triage_run,

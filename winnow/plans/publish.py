@@ -19,7 +19,8 @@ def publish(
     min_findings: int = NOISY_MIN_FINDINGS,
     min_fp_rate: float = NOISY_MIN_FP_RATE,
 ) -> None:
-    """Write the JSON and Markdown reports of all runs below ``path/json`` and ``path/markdown``.
+    """Write the reports of all runs: JSON lines below ``path/json``, one nested document per run below ``path/document``,
+    Markdown below ``path/markdown``.
 
     ``triaged`` and ``scan_errors`` come from a triage run, ``runs`` holds the metadata that
     :func:`winnow.operators.report.run_summary` names.
@@ -28,6 +29,8 @@ def publish(
     errors = scan_errors.withColumn("run_id", F.col("scan_id"))
     summary = stage(P.run_summary(triaged, errors, runs))
     stats = stage(P.rule_stats(triaged.withColumn("verdict", F.col("verdict.verdict"))))
-    sinks.write_json_report(summary, P.run_rules(stats, min_findings, min_fp_rate), triaged, f"{path}/json")
+    rules = stage(P.run_rules(stats, min_findings, min_fp_rate))
+    sinks.write_json_report(summary, rules, triaged, f"{path}/json")
+    sinks.write_report_documents(P.report_fragments(summary, rules, errors, triaged), f"{path}/document")
     blocks = P.report_blocks(summary, P.finding_markdown(triaged), stats, min_findings, min_fp_rate)
     sinks.write_markdown_report(blocks, f"{path}/markdown")

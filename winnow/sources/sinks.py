@@ -21,6 +21,14 @@ def write_json_report(summary: DataFrame, rule_stats: DataFrame, triaged: DataFr
         rows.hint("rebalance", "run_id").write.mode("overwrite").partitionBy("run_id").json(f"{path}/{part}")
 
 
+def write_report_documents(fragments: DataFrame, path: str, files: int | None = None) -> None:
+    """The pieces ``run_id, part, place, json`` of nested reports as text files below ``run_id=.../``.
+
+    As with :func:`write_markdown_report` the part files of a run, by name, make up its document.
+    """
+    _write_in_order(fragments.select("run_id", "part", "place", F.col("json").alias("value")), ("run_id", "part", "place"), path, files)
+
+
 def write_markdown_report(lines: DataFrame, path: str, files: int | None = None) -> None:
     """Ordered report blocks ``run_id, block_no, part, rule_no, markdown`` as text files below ``run_id=.../``.
 
@@ -28,12 +36,10 @@ def write_markdown_report(lines: DataFrame, path: str, files: int | None = None)
     the order of the report; a small report is a single file.
     """
     order = ("run_id", "block_no", "part", "rule_no")
-    ranged = lines.repartitionByRange(files, *order) if files else lines.repartitionByRange(*order)
     blank = F.when((F.col("block_no") > 0) & (F.col("part") == 0), F.lit("\n")).otherwise(F.lit(""))
-    (
-        ranged.sortWithinPartitions(*order)
-        .select("run_id", F.concat(blank, "markdown").alias("value"))
-        .write.mode("overwrite")
-        .partitionBy("run_id")
-        .text(path)
-    )
+    _write_in_order(lines.select(*order, F.concat(blank, "markdown").alias("value")), order, path, files)
+
+
+def _write_in_order(rows: DataFrame, order: tuple[str, ...], path: str, files: int | None) -> None:
+    ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).select("run_id", "value").write.mode("overwrite").partitionBy("run_id").text(path)
