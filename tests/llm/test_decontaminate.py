@@ -3,9 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from conftest_llm import words
 
 from winnow.llm import decontaminate as D
+from winnow.llm import words as W
 
 
 def fewest_edits(item, text):
@@ -77,6 +80,30 @@ def test_copies_that_lost_words_at_the_end_of_a_document(spark, docs_of):
     assert [tuple(r) for r in D.matches(docs_of([(1, "a b d e")]), alone).collect()] == [(1, 1, 0, 1)]
 
 
+@pytest.mark.parametrize(("length", "count"), [(15, 100), (59, 100), (150, 100), (400, 15)])
+def test_recall_of_shortened_copies(length, count):
+    """Copies that lost as many words as they may: alone, behind other words at the end, and inside."""
+    draw = random.Random(length)
+    items = [[f"i{n}-{i}" for i in range(length)] for n in range(count)]
+    index = D._Index(list(range(count)), [W.split(pa.array([" ".join(i)]), lower=True, bare=True).hash for i in items], D.MAX_EDITS)
+    index.complete({n: D._repetitions(index, n, D.RECALL) for n in index.edits})
+    around = [f"x{i}" for i in range(length)]
+    for before, after in (([], []), (around, []), (around, around)):
+        texts = []
+        for item in items:
+            kept = sorted(draw.sample(range(length), length - length // 5))
+            texts.append(" ".join([*before, *[item[i] for i in kept], *after]))
+        found = {(row, owner) for row, owner, _, _ in index.search(pa.array(texts))}
+        assert found <= {(n, n) for n in range(count)} and len(found) >= (count if not before else 0.97 * count)
+
+
+def test_items_of_few_words_are_found_whole(spark, docs_of):
+    table = items_of(spark, [(1, "alpha", 0), (2, "beta gamma", 0), (3, "a b c d", 0), (4, "...", 0), (5, "", 0), (6, "beta gamma", 0)])
+    docs = docs_of([(1, "x Alpha, y alpha"), (2, "beta delta gamma"), (3, "Beta gamma."), (4, "a b c x d"), (5, "z a b c d e"), (6, "alphabet"), (7, "beta"), (8, "gamma")])
+    got = sorted(tuple(r) for r in D.matches(docs, table).collect())
+    assert got == [(1, 1, 1, 0), (3, 2, 0, 0), (3, 6, 0, 0), (5, 3, 1, 0)]
+
+
 def test_blocks_of_items_give_the_same(spark, docs_of, monkeypatch):
     items = [f"{a} " + " ".join(f"{a}{i}" for i in range(10)) for a in ("p", "q", "r", "s", "t")]
     docs = docs_of([(1, "x " + items[0] + " y " + items[3]), (2, items[1]), (2, items[1]), (3, "nothing of that kind at all")])
