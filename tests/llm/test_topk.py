@@ -9,15 +9,12 @@ from winnow.llm import topk
 
 
 def brute(rows, wanted, k):
-    vectors = sorted({(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
-    queries = {}
-    for i, v in vectors:
-        if wanted(i):
-            queries.setdefault(i, v)
+    vectors = [(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in queries.items():
-        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in vectors if i != q)
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    for q, v in vectors:
+        if wanted(q):
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in vectors if i != q)
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -43,6 +40,19 @@ def test_like_all_products(spark, monkeypatch):
     assert search(spark, full, 4) == want
 
 
+def test_repeated_rows_like_the_sql(spark, tmp_path):
+    import duckdb
+
+    from winnow.llm.queries import STATEMENTS, op5_exact_topk
+
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [2.0, 1.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [0.0, 3.0]), (100, [1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in op5_exact_topk(spark, str(tmp_path)).collect())
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(sql.execute(STATEMENTS["op5_exact_topk"]).fetchall()) and len(got) == 3 * 4 + 6
+
+
 def test_few_rows_and_none(spark):
     assert search(spark, [(0, [1.0], 0, True, ""), (1, [2.0], 0, True, "")]) == [(0, 1, 1, 2 * 1024 * 1024)]
     assert search(spark, [(0, [1.0], 0, True, "")]) == []

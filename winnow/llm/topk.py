@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.llm.shipping import ship
+from winnow.session import stage
 
 SCALE = 1024
 QUERY_BLOCK = 2048
@@ -32,17 +33,18 @@ def search(
     """``(query_id, rank, vec_id, score)``: the ``k`` highest inner products of each row that ``queries`` picks.
 
     Candidates are all rows but those with the query's own id; ties go to the smaller id. Rows whose
-    id or vector is null, or whose vector holds null or non-finite components, take no part. Rows that
-    repeat an id and vector count once; of different vectors under one id each is a candidate, and
-    the query is the smallest. Places past the end of a shorter vector weigh nothing. Products are
+    id or vector is null, or whose vector holds null or non-finite components, take no part. Every row
+    counts, also where rows repeat an id or a whole row: each is a candidate, and each that is picked has a list of
+    its own. Places past the end of a shorter vector weigh nothing. Products are
     64-bit, so weights should stay below 2^28. No rows, no result.
     """
     ship(rows.sparkSession)
     weights = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(x))
     valid = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite)
-    wide = valid.select(F.col(key).cast("long").alias("id"), weights.alias("w"), queries.alias("query")).distinct()
-    asked = wide.where("query").groupBy("id").agg(F.min("w").alias("w"))
+    wide = valid.select(F.col(key).cast("long").alias("id"), weights.alias("w"), queries.alias("query"))
+    # numbered and written, so that a list keeps its row
+    asked = stage(wide.where("query").select("id", "w", F.monotonically_increasing_id().alias("row")))
     counts = wide.agg(F.count("*"), F.count_if("query")).first()
     row_blocks = max(1, math.ceil(counts[0] / ROW_BLOCK))
     query_blocks = max(1, math.ceil(counts[1] / QUERY_BLOCK))
@@ -54,11 +56,11 @@ def search(
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     candidates = wide.select("id", "w", block(row_blocks).alias("row_block"), every(query_blocks).alias("query_block"))
-    asked = asked.select("id", "w", every(row_blocks).alias("row_block"), block(query_blocks).alias("query_block"))
+    asked = asked.select("id", "w", "row", every(row_blocks).alias("row_block"), block(query_blocks).alias("query_block"))
     pair = ("row_block", "query_block")
 
     def best(asked: pa.Table, found: pa.Table) -> pa.Table:
-        q_ids, q_terms = _sparse(asked)
+        (q_ids, q_terms), q_rows = _sparse(asked), asked["row"].to_pylist()
         ids, terms = _sparse(found.sort_by("id"))
         postings = _postings(*terms, len(ids))
         lists = []
@@ -66,14 +68,14 @@ def search(
         for low in range(0, len(q_ids) if len(ids) else 0, step):
             part = slice(low, low + step)
             scores = _accumulate(q_terms, range(low, min(low + step, len(q_ids))), postings, len(ids))
-            lists += [_select(q, row, ids, k) for q, row in zip(q_ids[part], scores, strict=True)]
-        columns = [np.concatenate(c) if lists else np.zeros(0, np.int64) for c in (zip(*lists, strict=True) if lists else [[]] * 3)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+            lists += [_select(q, n, row, ids, k) for q, n, row in zip(q_ids[part], q_rows[part], scores, strict=True)]
+        columns = [np.concatenate(c) if lists else np.zeros(0, np.int64) for c in (zip(*lists, strict=True) if lists else [[]] * 4)]
+        return pa.table(dict(zip(("query_id", "row", "vec_id", "score"), columns, strict=True)))
 
     local = (
-        asked.groupBy(*pair).cogroup(candidates.groupBy(*pair)).applyInArrow(best, "query_id long, vec_id long, score long")
+        asked.groupBy(*pair).cogroup(candidates.groupBy(*pair)).applyInArrow(best, "query_id long, row long, vec_id long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     merged = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return merged.select("query_id", "rank", "vec_id", "score")
 
@@ -114,7 +116,7 @@ def _accumulate(terms: tuple, queries: range, postings: dict[int, tuple], rows:
     return scores
 
 
-def _select(query: int, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _select(query: int, row: int, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The k best rows of a block, smaller ids first among equals; ``ids`` ascend."""
     own = slice(*np.searchsorted(ids, (query, query + 1)))
     others = np.ones(len(ids), bool)
@@ -125,4 +127,4 @@ def _select(query: int, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np
         above, equal = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
         kept = np.concatenate([above, equal[: k - len(above)]])
         scores, ids = scores[kept], ids[kept]
-    return np.full(len(ids), query), ids, scores
+    return np.full(len(ids), query), np.full(len(ids), row), ids, scores
