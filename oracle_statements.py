@@ -548,6 +548,38 @@ SELECT 'scan' || doc_id AS scan_id, i AS result_idx, 'review' AS route,
     CASE WHEN dotted THEN 'inner_' ELSE 'line_' END || i AS function_name FROM b
 UNION ALL SELECT 'scan' || doc_id, CAST(n AS INTEGER), 'unsupported_language', 'needs_human_review', NULL, true, '', NULL FROM c"""
 
+LEAVES = "from ...shared.tools import go\n\ndef f(x):\n    return go(x)\n"
+STAYS = "def f(x):\n    return go(x)\n"
+NO_CONTEXT = "Could not extract enough context (no containing function or called functions) to send to the LLM."
+TOO_LARGE = "'File too large to parse (' || size || ' bytes); skipping AST-based extraction.'"
+
+STATEMENTS["triage_faults"] = f"""
+WITH {DOCS},
+s AS (SELECT doc_id, ls[1] AS message, strlen(text) + 2 * n AS size FROM d),
+f AS (
+    SELECT doc_id, message, 0 AS result_idx, 'degraded_context' AS route, size,
+        CASE WHEN size > 2000 THEN {TOO_LARGE} ELSE '{MODULE_LEVEL}' END AS notes FROM s
+    UNION ALL
+    SELECT doc_id, message, 1, CASE WHEN size > 2000 THEN 'degraded_context' ELSE 'context_failure' END, size,
+        CASE WHEN size > 2000 THEN {TOO_LARGE} ELSE 'Extractor crashed: ValueError' END
+        FROM (SELECT doc_id, message, size + {len(LEAVES)} AS size FROM s)
+    UNION ALL
+    SELECT doc_id, message, 2, CASE WHEN size > 2000 THEN 'degraded_context' ELSE 'review' END, size,
+        CASE WHEN size > 2000 THEN {TOO_LARGE} ELSE 'Definition of `go()` not resolved.' END
+        FROM (SELECT doc_id, message, size + {len(STAYS)} AS size FROM s)
+    UNION ALL
+    SELECT doc_id, message, 3, 'degraded_context', size, 'Source file not found: gone/d' || doc_id || '.py' FROM s
+    UNION ALL
+    SELECT doc_id, message, 4, 'unsupported_language', size, 'Language not yet supported (file: page' || doc_id || '.html).' FROM s)
+SELECT 'scan' || doc_id AS scan_id, CAST(result_idx AS INTEGER) AS result_idx, route, false AS from_cache,
+    'needs_human_review' AS verdict, CASE route WHEN 'degraded_context' THEN '{NO_CONTEXT}'
+        WHEN 'context_failure' THEN 'No context could be built: ValueError'
+        WHEN 'review' THEN 'LLM call failed after retries: no reply'
+        ELSE 'Only Python files are reviewed; page' || doc_id || '.html requires manual review.' END AS reasoning,
+    CASE WHEN route = 'review' THEN 'LLM verdict could not be obtained' ELSE 'Verdict synthesized; LLM was not called.' END AS missing,
+    notes, CASE WHEN route = 'review' THEN 'f' END AS function_name, message
+FROM f"""
+
 # -- files: the same results by way of a folder ----------------------------------------------------
 
 STATEMENTS["reply_files"] = STATEMENTS["reply_validate"]

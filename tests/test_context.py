@@ -220,6 +220,16 @@ def test_file_outside_the_repository_fails_the_context(spark):
     assert row.context_error == "ValueError"
 
 
+def test_import_from_a_repository_beside_this_one(spark):
+    mine = {"pkg/a.py": "from ...other.m import go\nfrom ...gone.m import far\n\ndef f():\n    go()\n\ndef g():\n    far()\n"}
+    beside = source_files(spark, {"m.py": "def go():\n    pass\n"}, repo_id="other")
+    files = source_files(spark, mine).unionByName(beside)
+    rows = [("k", "met", "pkg/a.py", 5, 5, "go()"), ("l", "met", "pkg/a.py", 8, 8, "far()")]
+    got = contexts(spark, rows, files)
+    assert got["k"].context_error == "ValueError" and got["l"].context_error is None
+    assert got["l"].context.extraction_notes == not_resolved("far")
+
+
 @pytest.mark.parametrize(
     "path,module,expected",
     [

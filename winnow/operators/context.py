@@ -86,6 +86,23 @@ def resolve_modules(modules: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("target_path", F.coalesce("_as_file", "_as_package")).drop("_as_file", "_as_package")
 
 
+def borrowed_files(modules: DataFrame, files: DataFrame) -> DataFrame:
+    """Files of other repositories of the tree that relative imports reach, at the paths these give them.
+
+    Repositories are folders side by side, so ``../other/m.py`` from one root is ``m.py`` of ``other``. Few
+    imports do that; the files are found by them, not the other way round.
+    """
+    candidates = F.array(*module_candidates(F.col("path"), F.col("module")).values())
+    asked = modules.select("repo_id", F.explode(candidates).alias("_as")).filter(F.col("_as").rlike(r"^\.\./[^/.][^/]*/")).distinct()
+    outside = asked.select(
+        F.col("repo_id").alias("_asker"),
+        "_as",
+        F.regexp_extract("_as", r"^\.\./([^/]+)/(.*)$", 1).alias("repo_id"),
+        F.regexp_extract("_as", r"^\.\./([^/]+)/(.*)$", 2).alias("path"),
+    )
+    return files.join(outside, FILE).select(F.col("_asker").alias("repo_id"), F.col("_as").alias("path"), "length", "text")
+
+
 def call_sites(functions: DataFrame, lines: DataFrame) -> DataFrame:
     """Names each function calls: ``function_start, call_no, name``, deduped, in first-seen order."""
     masked = F.array_join(C.source_between(F.col("masked_lines"), F.col("function_start"), F.col("function_end")), "\n")
@@ -160,7 +177,11 @@ class CodeIndex:
         imported = C.imports_map(statements, follow_alias)
         # Only names that are called can lead to another file.
         called = imported.join(calls.select(*FILE, "name").distinct(), [*FILE, "name"], "left_semi")
-        modules = resolve_modules(called.select(*FILE, "module").distinct(), files)
+        modules = stage(called.select(*FILE, "module").distinct())
+        borrowed = stage(borrowed_files(modules, files))
+        if not borrowed.isEmpty():
+            files = files.select(*FILE, "length", "text").unionByName(borrowed)
+        modules = resolve_modules(modules, files)
         self.imports = stage(called.join(modules, [*FILE, "module"]))
         targets = self.imports.filter("target_path IS NOT NULL").select("repo_id", F.col("target_path").alias("path"))
         self.target_lines = stage(C.file_lines(files.join(few(targets), FILE, "left_semi"), max_file_bytes))

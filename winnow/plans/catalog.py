@@ -711,6 +711,24 @@ def triage_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def triage_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run without a store over files that give little or no context; nobody replies."""
+    prepared = T.prepare(D.faulty_scans(spark, sf_dir), D.faulty_tree(spark, sf_dir), reuse=False, max_file_bytes=D.FAULTY_BYTES)
+    done = T.conclude(prepared.findings, spark.createDataFrame([], REPLIES))
+    return done.select(
+        "scan_id",
+        "result_idx",
+        "route",
+        "from_cache",
+        F.col("verdict.verdict").alias("verdict"),
+        F.col("verdict.reasoning").alias("reasoning"),
+        F.array_join("verdict.missing_context", ";").alias("missing"),
+        F.array_join("context.extraction_notes", ";").alias("notes"),
+        F.col("context.containing_function_name").alias("function_name"),
+        "message",
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -760,5 +778,6 @@ QUERIES: dict[str, Query] = {
         finding_markdown,
         report_markdown,
         triage_run,
+        triage_faults,
     )
 }

@@ -215,6 +215,46 @@ def code_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(tree)
 
 
+FAULTY_BYTES = 2000
+
+
+def faulty_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document a file without code, one that imports from another repository, and one that may be too large."""
+    docs = documents(spark, sf_dir)
+    said = F.array_join(F.transform("lines", lambda line: F.concat(F.lit("# "), line)), "\n")
+    name = F.concat(F.lit("d"), "doc_id", F.lit(".py"))
+    kinds = {
+        "plain": said,
+        "leave": F.concat(F.lit("from ...shared.tools import go\n\ndef f(x):\n    return go(x)\n"), said),
+        "large": F.concat(F.lit("def f(x):\n    return go(x)\n"), said),
+    }
+    rows = docs.select(F.explode(F.array(*[F.struct(F.concat(F.lit(k + "/"), name).alias("path"), t.alias("text")) for k, t in kinds.items()])).alias("f"))
+    tree = rows.select(F.lit(REPO).alias("repo_id"), "f.path", "f.text")
+    item = table(spark, sf_dir, "benchmark").agg(F.min("item_id").cast("string").alias("id"))
+    shared = item.select(F.lit("shared").alias("repo_id"), F.lit("tools.py").alias("path"), F.concat(F.lit("def go(x):\n    return "), "id").alias("text"))
+    both = tree.unionByName(shared)
+    return stage(both.select("repo_id", "path", F.octet_length("text").cast("long").alias("length"), "text"))
+
+
+def faulty_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan per document with a finding in each of these files, in one that is not there and on a page."""
+
+    def found(path: Column, line: int) -> Column:
+        return F.struct(
+            F.lit("rule.fault").alias("check_id"),
+            path.alias("path"),
+            F.struct(F.lit(line).alias("line")).alias("start"),
+            F.struct(F.lit(line).alias("line")).alias("end"),
+            F.struct(F.element_at("lines", 1).alias("message"), F.lit("ERROR").alias("severity"), F.lit("x = 1").alias("lines"), F.struct(F.lit("LOW").alias("confidence")).alias("metadata")).alias("extra"),
+        )
+
+    name = F.concat(F.lit("d"), "doc_id", F.lit(".py"))
+    places = {"plain/": 1, "leave/": 4, "large/": 2, "gone/": 1}
+    results = [found(F.concat(F.lit(k), name), line) for k, line in places.items()] + [found(F.concat(F.lit("page"), "doc_id", F.lit(".html")), 1)]
+    body = F.to_json(F.struct(F.array(*results).alias("results")))
+    return documents(spark, sf_dir).select(F.concat(F.lit("scan"), "doc_id").alias("scan_id"), F.lit(REPO).alias("repo_id"), body.alias("text"))
+
+
 def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document a finding on its imports and one per line.
 
