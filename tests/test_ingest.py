@@ -205,3 +205,18 @@ def test_trees_of_many_repositories(spark, tmp_path):
         path.write_text(name)
     found = {(r.repo_id, r.path): r.text for r in read_source_tree(spark, str(tmp_path / "trees")).collect()}
     assert found == {("one", "a.py"): "one/a.py", ("one", "sub/b.py"): "one/sub/b.py", ("two", "a.py"): "two/a.py"}
+
+
+def test_size_guard_reaches_the_files(spark, tmp_path):
+    from winnow.operators import codeindex as C
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "small.py").write_text("x = 1\n")
+    (tmp_path / "r" / "large.py").write_text("y = 2\n" * 1000)
+    files = read_source_tree(spark, str(tmp_path))
+    lines = C.file_lines(files, max_file_bytes=100)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,100)" in plan
+    assert [r.path for r in lines.select("path").collect()] == ["small.py"]
+    paths = files.select("path", "length")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in paths

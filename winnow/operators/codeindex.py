@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.functions.text import let
-
 FILE = ["repo_id", "path"]
 
 IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*"
@@ -182,14 +180,14 @@ def file_lines(files: DataFrame, max_file_bytes: int | None = None) -> DataFrame
     readable = files.filter(F.col("text").isNotNull())
     if max_file_bytes is not None:
         readable = readable.filter(F.col("length") <= max_file_bytes)
-    told = let(
-        mask_code(F.col("text")),
-        lambda masked: F.struct(
-            F.split(F.translate(masked, BROKEN, ""), "\r?\n").alias("masked_lines"), syntax_problem(masked).alias("problem")
-        ),
-    )
-    read = readable.select(*FILE, F.split("text", "\r?\n").alias("raw_lines"), told.alias("told"))
-    return read.select(*FILE, "raw_lines", "told.masked_lines", "told.problem")
+    # The masked text is a column of its own: it is read more than once, and a plan without the problem does not look for it.
+    read = readable.select(*FILE, F.split("text", "\r?\n").alias("raw_lines"), mask_code(F.col("text")).alias("_masked"))
+    return read.select(
+        *FILE,
+        "raw_lines",
+        F.split(F.translate("_masked", BROKEN, ""), "\r?\n").alias("masked_lines"),
+        syntax_problem(F.col("_masked")).alias("problem"),
+    )
 
 
 def syntax_problem(masked: Column) -> Column:
