@@ -161,7 +161,9 @@ def _elements(placed: DataFrame) -> DataFrame:
     body = F.when(F.col("is_key"), F.regexp_replace(body, r"^\[", "")).otherwise(body)
     body = F.when(F.col("end.after") == 0, F.regexp_replace(body, r"\s*+\}\s*+\z", "")).otherwise(body)
     body = F.when(F.col("end.after") <= 1, F.regexp_replace(body, r"\]\s*+\z", "")).otherwise(body)
-    return grouped.select(
+    # a row per file and top-level key, found among the pieces that begin one
+    latest = known.filter("is_key").groupBy(*SCAN, F.col("of.key").alias("key")).agg(F.max("of.no").alias("last_no"))
+    return grouped.join(latest, [*SCAN, "key"]).select(
         *SCAN,
         "key",
         "key_no",
@@ -172,7 +174,7 @@ def _elements(placed: DataFrame) -> DataFrame:
         F.when(F.col("is_key"), F.col("text").rlike(_KEY) & (F.col("text").rlike(r"^\s*+\{") == (F.col("depth") == 0)))
         .otherwise(True)
         .alias("formed"),
-        (F.col("key_no") == F.max("key_no").over(Window.partitionBy(*SCAN, "key"))).alias("counts"),
+        (F.col("key_no") == F.col("last_no")).alias("counts"),
         "depth",
         "end",
         "bad",
