@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from winnow.llm import ngrams as N
 from winnow.llm.shipping import ship
+from winnow.session import stage
 
 SAMPLE = 4096
 MIN_COUNT = 5
@@ -75,7 +76,7 @@ def train(
     known = known.groupBy(key).agg(F.min(label).alias("__y"), F.max(label).alias("__max")).where("__y = __max")
     known = known.select(F.col(key), F.col("__y").cast("int").alias("__y"))
     small = known.count() <= BROADCAST_LABELS
-    counts = _counts(_with_labels(docs.select(key, text), known, key, small).select("__y", text), features)
+    counts = stage(_counts(_with_labels(docs.select(key, text), known, key, small).select("__y", text), features))
     totals = counts.where("column < 0").first()
     negative, positive = (totals.zeros, totals.ones) if totals else (0, 0)
     if not negative or not positive:
@@ -86,7 +87,8 @@ def train(
         known.where(F.col("__y") == y).orderBy(F.xxhash64(key), key).limit(sample).select(key, "__y") for y in (0, 1)
     ]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select(key, text).join(chosen, key).select("__y", text)
+    # of the rows that repeat an id the first by text
+    rows = docs.select(key, text).join(chosen, key).groupBy(key).agg(F.min("__y").alias("__y"), F.min(text).alias(text)).select("__y", text)
     return _fitted(rows, features, ratio, fit, (negative, positive), sample)
 
 

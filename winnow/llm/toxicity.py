@@ -22,10 +22,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: L.Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, held_out, score, predicted)`` per row; repeated rows keep a row each.
 
-    A model that learnt nothing to tell the classes apart, as from no labels or those of one class, calls no row toxic.
+    A model that learnt nothing to tell the classes apart, as from no labels or those of one class, scores every row alike.
     """
     found = L.scored(docs, model, N.character_ngrams, text, [key])
-    return found.select(key, L.held_out(key, MODULUS, REMAINDER).alias("held_out"), "score", _toxic(model).cast("int").alias("predicted"))
+    predicted = (F.col("score") >= THRESHOLD).cast("int")
+    return found.select(key, L.held_out(key, MODULUS, REMAINDER).alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: L.Model, text: str = "text") -> DataFrame:
@@ -34,11 +35,7 @@ def keep_clean(docs: DataFrame, model: L.Model, text: str = "text") -> DataFrame
     All rows, where the model learnt nothing to tell the classes apart.
     """
     found = L.scored(docs, model, N.character_ngrams, text, docs.columns, "__toxicity")
-    return found.where(~_toxic(model, "__toxicity")).drop("__toxicity")
-
-
-def _toxic(model: L.Model, name: str = "score"):
-    return F.lit(model.learnt) & (F.col(name) >= THRESHOLD)
+    return found.where(~(F.lit(model.learnt) & (F.col("__toxicity") >= THRESHOLD))).drop("__toxicity")
 
 
 def logistic(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
