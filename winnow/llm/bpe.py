@@ -21,7 +21,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
