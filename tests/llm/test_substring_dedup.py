@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from conftest_llm import words
 
+from winnow.llm import chunks as C
 from winnow.llm import substring_dedup
 from winnow.llm import words as W
 
@@ -78,3 +80,15 @@ def test_hashes_do_not_depend_on_what_stands_around():
     assert found.hash[1] == found.hash[3] == found.hash[4] != found.hash[0] == found.hash[5]
     lowered = W.split(pa.array(["Ab ab AB. Äb äb"]), lower=True, bare=True).hash
     assert lowered[0] == lowered[1] == lowered[2] and lowered[3] != lowered[4]
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 100, 100_000, 2**31 - 1])
+def test_what_a_chunk_sends_goes_by_its_keys_however_many_buckets(buckets):
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 500, np.uint64))
+    keys = np.concatenate([[np.uint64(0)], keys, [np.uint64(2**64 - 1)]])
+    filled, cuts = C.slices(keys, buckets)
+    assert len(filled) == len(cuts) - 1 <= min(buckets, len(keys))
+    assert (filled[0], filled[-1]) == (0, buckets - 1) and (np.diff(filled) > 0).all()
+    for bucket, low, high in zip(filled.tolist(), cuts[:-1], cuts[1:], strict=True):
+        assert {((int(k) >> 32) * buckets) >> 32 for k in keys[low:high]} == {bucket}
+    assert C.slices(keys[:0], buckets)[0].tolist() == [] and C.slices(keys[:0], buckets)[1].tolist() == [0]

@@ -31,10 +31,14 @@ def chunked(docs: DataFrame, key: str, chunks: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)).alias(CHUNK), *docs.columns)
 
 
-def slices(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of the sorted 64-bit ``keys`` begins, and the end."""
-    edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def slices(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that get any of the sorted 64-bit ``keys``, and where the keys of each begin, and the end.
+
+    A bucket is a range of hashes. Work and result go by the keys alone, however many buckets there are.
+    """
+    number = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    filled, cuts = np.unique(number, return_index=True)
+    return filled.astype(np.int64), np.append(cuts, len(keys))
 
 
 def in_order(rows: list[dict], field: str) -> list[bytes]:

@@ -72,9 +72,8 @@ def _core(training: DataFrame, size: int, buckets: int) -> np.ndarray:
         for batch in batches:
             for _, part in W.runs(batch.column(0), SLICE_BYTES):
                 hashes, n = np.unique(W.split(part, lower=True).hash, return_counts=True)
-                cuts = C.slices(hashes, buckets)
-                filled = np.flatnonzero(np.diff(cuts))
-                packed = [[v[cuts[b] : cuts[b + 1]].tobytes() for b in filled] for v in (hashes, n.astype(np.uint32))]
+                filled, cuts = C.slices(hashes, buckets)
+                packed = [[v[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for v in (hashes, n.astype(np.uint32))]
                 yield pa.record_batch([pa.array(filled, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "words", "n"])
 
     def merge(table: pa.Table) -> pa.Table:
@@ -197,10 +196,10 @@ def _vocabulary(
                     use = (named[place] < 0) & (beside >= 0)
                     seen.append(number[use] * slots + side * (boundary + 1) + beside[use])
                 pair, times = np.unique(np.concatenate(seen), return_counts=True)
-                cuts, ends = C.slices(hashes, buckets), np.searchsorted(pair, np.arange(len(hashes) + 1) * slots)
+                filled, cuts = C.slices(hashes, buckets)
+                ends = np.searchsorted(pair, np.arange(len(hashes) + 1) * slots)
                 rows = []
-                for b in np.flatnonzero(np.diff(cuts)):
-                    low, high = cuts[b], cuts[b + 1]
+                for b, low, high in zip(filled, cuts[:-1], cuts[1:], strict=True):
                     near = slice(ends[low], ends[high])
                     values = (hashes[low:high], n[low:high].astype(np.uint32), np.diff(ends[low : high + 1]).astype(np.uint16))
                     values += ((pair[near] % slots).astype(np.uint16), times[near].astype(np.uint32))
@@ -285,13 +284,12 @@ def _class_texts(docs: DataFrame, vocabulary: DataFrame, emission: _Emission, ch
 
     def ask(table: pa.Table) -> pa.Table:
         hashes = np.unique(W.split(table["text"], lower=True).hash)
-        cuts = C.slices(hashes, buckets)
-        filled = np.flatnonzero(np.diff(cuts))
+        filled, cuts = C.slices(hashes, buckets)
         return pa.table(
             {
                 "bucket": pa.array(filled, pa.int32()),
                 "chunk": pa.array([table[C.CHUNK][0].as_py()] * len(filled), pa.int64()),
-                "words": pa.array([hashes[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary()),
+                "words": pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
             }
         )
 

@@ -167,11 +167,10 @@ class _Part:
 def _send(chunk: int, keys: np.ndarray, *more) -> pa.Table:
     """One row per bucket that gets keys: the keys alone, or with more hash bits and ids."""
     *extra, buckets = more
-    cuts = C.slices(keys, buckets)
-    filled = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    filled, cuts = C.slices(keys, buckets)
     packed = []
-    for b in filled:
-        part = slice(cuts[b], cuts[b + 1])
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        part = slice(low, high)
         packed.append(_pack(keys[part], *[x[part] for x in extra[0]]) if extra else keys[part].tobytes())
     return pa.table(
         {
