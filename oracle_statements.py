@@ -585,6 +585,9 @@ FROM f"""
 STATEMENTS["reply_files"] = STATEMENTS["reply_validate"]
 STATEMENTS["request_files"] = STATEMENTS["request_export"]
 STATEMENTS["store_runs"] = STATEMENTS["store_upsert"]
+STATEMENTS["store_lookup"] = f"""
+SELECT * FROM ({STATEMENTS["store_upsert"]})
+WHERE fingerprint IN (WITH {KEYED} SELECT k.fingerprint FROM k JOIN documents d USING (doc_id) WHERE d.lang = 'fr')"""
 STATEMENTS["source_tree"] = """
 SELECT 'source=' || source AS repo_id, 'lang=' || lang AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes,
     CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines

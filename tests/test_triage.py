@@ -1,3 +1,4 @@
+import datetime
 import glob
 import json
 
@@ -9,6 +10,7 @@ from winnow.operators import report as P
 from winnow.operators import reuse as R
 from winnow.plans import triage as T
 from winnow.plans.publish import publish
+from winnow.schemas import STORED
 from winnow.sources.readers import read_replies
 from winnow.sources.sinks import write_requests
 
@@ -216,3 +218,73 @@ def test_many_entries_of_a_fingerprint_give_one_row(spark, first_run):
     again = T.prepare(docs(spark), source_files(spark), rows.unionByName(rows).unionByName(later))
     out = {r.result_idx: r for r in T.conclude(again.findings, spark.createDataFrame([], REPLIES)).collect()}
     assert sorted(out) == [0, 1, 2, 3, 4, 5] and out[1].from_cache and out[1].input_tokens == 77
+
+
+def store_entry(number, at="2024-01-02", tokens=1):
+    return {
+        "fingerprint": f"{number:02x}" + "0" * 14,
+        "verdict": {"verdict": "false_positive", "confidence": "high", "reasoning": "r", "suggested_action": "a"},
+        "input_tokens": tokens,
+        "stored_at": datetime.datetime.fromisoformat(at),
+    }
+
+
+def store_table(spark, *entries):
+    return spark.createDataFrame([{**dict.fromkeys(STORED.fieldNames()), **e} for e in entries], STORED)
+
+
+def findings_of(spark, *numbers):
+    return spark.createDataFrame([(None if n is None else f"{n:02x}" + "0" * 14,) for n in numbers], "fingerprint string")
+
+
+def compacted(spark, tmp_path):
+    runs, target = str(tmp_path / "runs"), tmp_path / "compact"
+    R.write_store(spark, runs, store_table(spark, *[store_entry(n) for n in range(256)]))
+    R.compact_store(spark, runs, str(target), folder_entries=16)
+    return target
+
+
+def test_lookup_reads_only_the_folders_of_its_fingerprints(spark, tmp_path):
+    store = compacted(spark, tmp_path)
+    assert sorted(p.name for p in store.glob("part=*")) == [f"part={d}" for d in "0123456789abcdef"]
+    R.write_store(spark, str(store), store_table(spark, store_entry(0x21, "2024-03-01", 9), store_entry(0x22, "2023-01-01", 9)))
+    # Files that are no Parquet fail whoever reads them.
+    for folder in store.glob("part=?"):
+        if folder.name not in ("part=2", "part=e"):
+            for file in folder.iterdir():
+                file.write_bytes(b"no Parquet")
+    asked = findings_of(spark, 0x21, 0x21, 0x22, 0xE0, None)
+    found = {r.fingerprint[:2]: r.input_tokens for r in R.lookup_store(spark, str(store), asked).collect()}
+    assert found == {"21": 9, "22": 1, "e0": 1}
+    with pytest.raises(Exception, match="part="):
+        R.read_store(spark, str(store)).collect()
+
+
+def test_lookup_agrees_with_a_read_of_the_whole_store(spark, tmp_path):
+    store = str(compacted(spark, tmp_path))
+    asked = findings_of(spark, *range(0, 256, 3), 999)
+    found = {r.fingerprint for r in R.lookup_store(spark, store, asked).collect()}
+    assert found == {f"{n:02x}" + "0" * 14 for n in range(0, 256, 3)}
+    assert R.read_store(spark, store).count() == 256
+    assert R.lookup_store(spark, store, findings_of(spark)).count() == 0
+    # A store that was never compacted, one of loose files, and none at all.
+    appended, loose, none = (str(tmp_path / name) for name in ("appended", "loose", "none"))
+    R.write_store(spark, appended, store_table(spark, store_entry(1), store_entry(2)))
+    store_table(spark, store_entry(1), store_entry(3)).write.parquet(loose)
+    R.write_store(spark, loose, store_table(spark, store_entry(1, "2024-05-05", 5)))
+    for path, want in ((appended, {1: 1, 2: 1}), (loose, {1: 5, 3: 1}), (none, {})):
+        found = R.lookup_store(spark, path, findings_of(spark, 1, 2, 3)).collect()
+        assert {int(r.fingerprint[:2], 16): r.input_tokens for r in found} == want
+        assert R.read_store(spark, path).count() == len(want)
+    with pytest.raises(ValueError, match="into itself"):
+        R.compact_store(spark, loose, loose + "/")
+
+
+def test_a_run_takes_the_path_of_a_store(spark, first_run, tmp_path):
+    _, found, done = first_run
+    R.write_store(spark, str(tmp_path / "runs"), R.store_rows(done, F.current_timestamp()))
+    R.compact_store(spark, str(tmp_path / "runs"), str(tmp_path / "store"))
+    by_path = T.prepare(docs(spark), source_files(spark), str(tmp_path / "store"))
+    by_table = T.prepare(docs(spark), source_files(spark), R.read_store(spark, str(tmp_path / "store")))
+    seen = [{r.result_idx: r.stored for r in p.findings.collect()} for p in (by_path, by_table)]
+    assert seen[0] == seen[1] and any(seen[0].values())

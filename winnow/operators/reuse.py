@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from winnow.functions.text import fingerprint
 from winnow.schemas import CONFIDENCES, PROMPT_VERSION, STORED, VERDICT_LABELS
+from winnow.session import stage
+
+# The column that names an entry's folder in a store: the first digits of its fingerprint, or, for
+# what runs have appended since the store was compacted, one name for all.
+PART = "part"
+APPENDED = "appended"
+MAX_DIGITS = 4
 
 
 def add_fingerprint(
@@ -95,7 +105,25 @@ def upsert(store: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The latest usable entry of every fingerprint; a store that was never written is empty."""
-    return latest_entries(_entries(spark, path))
+    return latest_entries(_entries(spark, path).drop(PART))
+
+
+def lookup_store(spark: SparkSession, path: str, findings: DataFrame) -> DataFrame:
+    """The latest usable entries of the fingerprints of ``findings``, as :func:`read_store` has them.
+
+    Of a compacted store only the folders that these fingerprints begin with are read, besides what
+    runs have appended since: the wanted folders prune the scan when it starts, and a list of them is
+    never longer than there are folders. Findings that ask for every folder read the whole store.
+    """
+    asked = stage(findings.select("fingerprint").distinct())
+    entries = _entries(spark, path)
+    digits = _digits(spark, path)
+    if digits:
+        # The comparison also drops null keys; a filter on this side is what lets Spark prune the other.
+        wanted = asked.where("fingerprint > ''").select(F.substring("fingerprint", 1, digits).alias(PART)).distinct()
+        wanted = wanted.unionByName(spark.range(1).select(F.lit(APPENDED).alias(PART)))
+        entries = entries.join(F.broadcast(wanted), PART, "left_semi")
+    return latest_entries(entries.drop(PART).join(asked, "fingerprint", "left_semi"))
 
 
 def write_store(spark: SparkSession, path: str, fresh: DataFrame) -> None:
@@ -104,18 +132,52 @@ def write_store(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     Nothing that is there is read or replaced, so runs at the same time keep each other's entries;
     of several for one fingerprint the latest counts when the store is read.
     """
-    fresh.select(*STORED.fieldNames()).write.mode("append").parquet(path)
+    fresh.select(*STORED.fieldNames()).write.mode("append").parquet(f"{path.rstrip('/')}/{PART}={APPENDED}")
+
 
+def compact_store(spark: SparkSession, path: str, target: str, folder_entries: int = 100_000) -> None:
+    """Write the latest entry of every fingerprint to ``target``, a new store that may replace ``path``.
 
-def compact_store(spark: SparkSession, path: str, target: str) -> None:
-    """Write the latest entry of every fingerprint to ``target``, a new store that may replace ``path``."""
+    Entries go into folders by the first digits of their fingerprint, as many (4 at most, 65,536
+    folders) as give folders of about ``folder_entries``, which is what lets a lookup leave the
+    others unread. Tasks write ranges of fingerprints, so a folder is not one task.
+    """
     if path.rstrip("/") == target.rstrip("/"):
         raise ValueError("a store cannot be compacted into itself")
-    read_store(spark, path).hint("rebalance").write.mode("errorifexists").parquet(target)
+    latest = stage(read_store(spark, path))
+    folders = latest.count() / folder_entries
+    digits = next((d for d in range(1, MAX_DIGITS) if 16**d >= folders), MAX_DIGITS)
+    (
+        latest.withColumn(PART, F.substring("fingerprint", 1, digits))
+        .repartitionByRange("fingerprint")
+        .sortWithinPartitions(PART, "fingerprint")
+        .write.mode("errorifexists")
+        .partitionBy(PART)
+        .parquet(target)
+    )
 
 
 def _entries(spark: SparkSession, path: str) -> DataFrame:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], STORED)
-    return usable_entries(spark.read.schema(STORED).parquet(path))
+    """All usable entries, with the folder they stand in: appended rows, compacted ones, and files without a folder."""
+    path = path.rstrip("/")
+    schema = T.StructType([*STORED.fields, T.StructField(PART, T.StringType())])
+    parts = [spark.createDataFrame([], schema)]
+    if _folders(spark, f"{path}/{PART}=*"):
+        parts = [spark.read.schema(schema).option("basePath", path).parquet(f"{path}/{PART}=*")]
+    if _folders(spark, f"{path}/*.parquet"):
+        loose = spark.read.schema(STORED).parquet(f"{path}/*.parquet")
+        parts.append(loose.withColumn(PART, F.lit(APPENDED)))
+    return usable_entries(reduce(DataFrame.unionByName, parts))
+
+
+def _digits(spark: SparkSession, path: str) -> int:
+    """How many digits of a fingerprint name a folder of the store, 0 where it has none such."""
+    for digits in range(1, MAX_DIGITS + 1):
+        if _folders(spark, f"{path.rstrip('/')}/{PART}=" + "[0-9a-f]" * digits):
+            return digits
+    return 0
+
+
+def _folders(spark: SparkSession, pattern: str) -> int:
+    found = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return len(found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or [])

@@ -442,6 +442,15 @@ def store_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(R.read_store(spark, f"{folder}/compact"))
 
 
+def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over the French documents finds in a compacted store that another run has appended to."""
+    folder = _folder(spark, "store")
+    R.write_store(spark, f"{folder}/runs", D.stored_docs(spark, sf_dir))
+    R.compact_store(spark, f"{folder}/runs", f"{folder}/compact", folder_entries=1000)
+    R.write_store(spark, f"{folder}/compact", _fresh(spark, sf_dir))
+    return _shown(R.lookup_store(spark, f"{folder}/compact", _current(spark, sf_dir).where("lang = 'fr'")))
+
+
 def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as fresh verdicts on the documents of the same number, the last one wins."""
     turns = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("said"))
@@ -769,6 +778,7 @@ QUERIES: dict[str, Query] = {
         work_list,
         store_upsert,
         store_runs,
+        store_lookup,
         usage,
         cost,
         actionable_order,

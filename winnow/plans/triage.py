@@ -36,7 +36,7 @@ class Prepared:
 def prepare(
     scan_docs: DataFrame | Scans,
     files: DataFrame,
-    store: DataFrame | None = None,
+    store: DataFrame | str | None = None,
     *,
     prompt_version: str = PROMPT_VERSION,
     instructions: str = X.DEFAULT_INSTRUCTIONS,
@@ -50,7 +50,8 @@ def prepare(
 
     Scans above the size of a string come from :func:`winnow.operators.large_scans.assemble`.
 
-    ``reuse=False`` neither reads nor later writes the store. ``limit`` keeps the first so many
+    ``store`` is a table of entries, or the path of a store, of which a run reads only the folders
+    that its fingerprints fall in. ``reuse=False`` neither reads nor later writes the store. ``limit`` keeps the first so many
     processable findings of each scan.
     """
     spark = files.sparkSession
@@ -86,7 +87,9 @@ def prepare(
     if reuse and store is not None:
         # Findings without a context of their own are never looked up.
         may_reuse = F.col("route").isin("review", "degraded_context")
-        looked_up = R.reuse_verdicts(keyed.filter(may_reuse), R.usable_entries(store))
+        asking = keyed.filter(may_reuse)
+        entries = R.lookup_store(spark, store, asking) if isinstance(store, str) else R.usable_entries(store)
+        looked_up = R.reuse_verdicts(asking, entries)
         none = F.lit(None).cast(looked_up.schema["stored"].dataType)
         rest = keyed.filter(~may_reuse).withColumn("stored", none).withColumn("from_cache", F.lit(False))
         findings = stage(looked_up.unionByName(rest))
