@@ -131,6 +131,21 @@ def test_conversations_over_many_segments_and_partitions(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_the_first_of_rows_that_are_alike_stays(spark):
+    """Also where the join that tells copies apart deals the rows anew."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{t}.") for c in range(200) for t in range(4) for _ in range(1 + (c + t) % 3)]
+    rows += [(None, None, "user", "null.")] * 5
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        check(spark, rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_cheapest_by_trying_all_edits():
     """The search that the other tests trust, against every sequence of edits of short conversations."""
     inserts = ["".join(p) for n in range(4) for p in itertools.product("ua", repeat=n)]

@@ -84,7 +84,8 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     told = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(n) for c, n in ((role, "role"), (text, "text"))]
     rows = stage(rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), *told, F.monotonically_increasing_id().alias("uid")))
     sortable = ["conv", "turn", "role", F.left("text", F.lit(64))]
-    dealt = _flagged(rows).repartitionByRange(*sortable).sortWithinPartitions("conv", "turn", "role", "text")
+    # of rows that are alike the one that counts as seen first goes first, wherever the join has put it
+    dealt = _flagged(rows).repartitionByRange(*sortable).sortWithinPartitions("conv", "turn", "role", "text", "again")
     kind = rows.schema["conv"].dataType
     cut = dealt.select(F.spark_partition_id().alias("part"), "conv", "turn", "role", "text", "again")
     wide = _segment_schema(kind, rows.schema["turn"].dataType)
