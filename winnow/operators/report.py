@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from winnow.functions.ordering import number_rows
 from winnow.functions.text import WS
@@ -303,6 +308,30 @@ def report_fragments(summary: DataFrame, rules: DataFrame, scan_errors: DataFram
     return out
 
 
+def hash_in_order(rows: DataFrame, name: str) -> DataFrame:
+    """Per run the SHA-256 of the texts ``said`` by ``order``, one to a line; nulls are left out.
+
+    A run's texts are read one after the other, so they are never one value.
+    """
+    ordered = rows.filter("said IS NOT NULL").repartition("run_id").sortWithinPartitions("run_id", "order").select("run_id", "said")
+
+    def hashed(batches):
+        known, digest, out = None, None, []
+        for batch in batches:
+            for run, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or run != known:
+                    out += [] if digest is None else [(known, digest.hexdigest())]
+                    known, digest = run, hashlib.sha256(said.encode())
+                else:
+                    digest.update(b"\n" + said.encode())
+        out += [] if digest is None else [(known, digest.hexdigest())]
+        yield pa.RecordBatch.from_pydict({"run_id": pa.array([r for r, _ in out], runs), name: pa.array([h for _, h in out], pa.string())})
+
+    schema = T.StructType([rows.schema["run_id"], T.StructField(name, T.StringType())])
+    runs = to_arrow_type(schema["run_id"].dataType)
+    return ordered.mapInArrow(hashed, schema)
+
+
 def _place(no: str, key: str) -> Column:
     return F.struct(F.col(no).cast("long").alias("no"), F.col(key).cast("string").alias("id")).alias("place")
 

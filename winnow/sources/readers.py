@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winnow.schemas import REPLIES
@@ -49,6 +50,43 @@ def read_scan_pieces(
         spark.conf.set(size, before)
 
 
+class ReportPieces(NamedTuple):
+    """``head``: run_id, json, what stands before a run's first list; ``elements``: run_id, key, order, place,
+    json, a row per list element, ``place`` from 0 within its list; ``order`` is that of the document."""
+
+    head: DataFrame
+    elements: DataFrame
+
+
+def read_report_documents(spark: SparkSession, path: str) -> ReportPieces:
+    """Nested reports as :func:`winnow.sources.sinks.write_report_documents` leaves them, a piece per line.
+
+    No task holds a document. A line that opens a list says what the lines behind it are; there are few. In other
+    lines ``at`` goes up by one, so an element's place follows from the first of its list in the same block of the file and from
+    the numbers of those in the blocks before.
+    """
+    raw = spark.read.text(path)
+    m = F.col("_metadata")
+    order = F.struct(m["file_name"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = stage(raw.select("run_id", order.alias("order"), F.col("value").alias("line")))
+    opens = F.col("line").startswith("]") | (F.col("line").startswith("{") & F.col("line").endswith("["))
+    opening = lines.filter(opens)
+    key = F.regexp_extract("line", r'"([^"]*)":\[$', 1)
+    lists = opening.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("order", key.alias("key")))).alias("lists"))
+    of = F.element_at(F.filter("lists", lambda o: o["order"] < F.col("order")), -1)["key"]
+    told = lines.filter(~opens).join(F.broadcast(stage(lists)), "run_id")
+    told = told.select("run_id", of.alias("key"), "order", "order.file", "order.block", "order.at", F.regexp_replace("line", "^,", "").alias("json"))
+    whole = ["run_id", "key"]
+    splits = told.groupBy(*whole, "file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy(*whole).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = stage(splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+    placed = told.join(splits, [*whole, "file", "block"])
+    return ReportPieces(
+        opening.filter("line LIKE '{%'").select("run_id", F.col("line").alias("json")),
+        placed.select(*whole, "order", (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("place"), "json"),
+    )
+
+
 def read_source_tree(spark: SparkSession, root: str, repo_id: str | None = None, glob: str = "*") -> DataFrame:
     """Files below ``root``: ``repo_id, path, length, text``.
 
