@@ -105,3 +105,10 @@ def test_one_document_over_many_tasks(spark, tmp_path):
     found = I.valid_findings(I.parse_results(L.assemble(pieces).results))
     assert found.agg(F.count("*"), F.sum("start_line"), F.max("result_idx")).first()[:] == (3000, 3000 * 3001 // 2, 2999)
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "50000"
+
+
+def test_texts_stay_out_of_the_sums(spark, tmp_path):
+    """What is staged and sorted on the way to the entries holds no piece of a text."""
+    folder = written(tmp_path, {"a": json.dumps({"results": [result("a.py", 1, rule="r")], "errors": []})})
+    measured = L._measured(read_scan_pieces(spark, folder, "r"))
+    assert not {"piece", "file_size"} & {*measured.columns, *L._placed(measured).columns}

@@ -40,7 +40,7 @@ def assemble(pieces: DataFrame) -> Scans:
     where an entry of ``results`` or ``errors`` is not JSON; values of other keys are not looked into. Of
     a key that stands twice the last counts. No files, no rows.
     """
-    elements = stage(_elements(_placed(stage(_measured(pieces)))))
+    elements = stage(_elements(_placed(stage(_measured(pieces))), pieces))
     documents = stage(_documents(pieces, elements))
     usable = documents.filter("doc_error IS NULL").select(*SCAN)
     entries = elements.filter("counts AND (NOT is_key OR entry != '')").select(*SCAN, "key", "idx", F.try_parse_json("entry").alias("value"))
@@ -53,8 +53,9 @@ def assemble(pieces: DataFrame) -> Scans:
 
 
 def _measured(pieces: DataFrame) -> DataFrame:
-    """Each piece with its brackets, read as if it began outside a string and as if inside one.
+    """Each piece with its brackets, read as if it began outside a string and as if inside one, and the key it may begin with.
 
+    The texts stay where they were written: windows and sums take these numbers only.
     ``odd`` tells that strings begin or end an odd number of times in it. In valid JSON no bracket opens behind
     one that closes without a comma between them.
     """
@@ -70,6 +71,7 @@ def _measured(pieces: DataFrame) -> DataFrame:
             "outside": skeleton(F.col("piece")),
             "inside": skeleton(F.regexp_replace("piece", _REST_OF_STRING, "")),
             "odd": F.length(F.regexp_replace("piece", r'(?s)[^"\\]++|\\.', "")) % 2,
+            "named": F.regexp_extract("piece", _KEY, 1),
         }
     )
     return read.withColumns(
@@ -79,7 +81,7 @@ def _measured(pieces: DataFrame) -> DataFrame:
             "bad_outside": F.col("outside").rlike(r"[\]}].*[\[{]"),
             "bad_inside": F.col("inside").rlike(r"[\]}].*[\[{]"),
         }
-    ).drop("outside", "inside")
+    ).drop("outside", "inside", "piece", "file_size")
 
 
 def _before(order: Column | str, keys: list[str]):
@@ -109,7 +111,7 @@ def _placed(measured: DataFrame) -> DataFrame:
     return local.join(chunks, CHUNK).select(
         *CHUNK,
         "at",
-        "piece",
+        "named",
         quoted.alias("quoted"),
         depth.alias("depth"),
         (depth + F.when(first, F.col("deeper0")).otherwise(F.col("deeper1"))).alias("after"),
@@ -118,7 +120,7 @@ def _placed(measured: DataFrame) -> DataFrame:
     )
 
 
-def _elements(placed: DataFrame) -> DataFrame:
+def _elements(placed: DataFrame, pieces: DataFrame) -> DataFrame:
     """One row per entry of a top-level list and per other top-level key: its text, and what is wrong with its pieces.
 
     Marks are the pieces that begin a key's value or an entry. They are counted within chunks, and the
@@ -128,7 +130,7 @@ def _elements(placed: DataFrame) -> DataFrame:
     marked = placed.withColumn("is_key", top).withColumn("mark", (top | (~F.col("quoted") & (F.col("depth") == 2))).cast("long"))
     so_far = Window.partitionBy(*CHUNK).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("no", F.sum("mark").over(so_far))
-    name = F.when(F.col("is_key"), F.struct(F.regexp_extract("piece", _KEY, 1).alias("key"), F.col("no").alias("no")))
+    name = F.when(F.col("is_key"), F.struct(F.col("named").alias("key"), F.col("no").alias("no")))
     marked = stage(marked.withColumn("name", F.last(name, ignorenulls=True).over(so_far)))
 
     chunks = marked.groupBy(*CHUNK).agg(F.sum("mark").alias("marks"), F.max_by("name", "at").alias("name"))
@@ -139,12 +141,14 @@ def _elements(placed: DataFrame) -> DataFrame:
 
     own = F.struct(F.col("name.key"), (F.col("name.no") + F.col("offset")).alias("no"))
     known = marked.join(chunks, CHUNK).withColumn("of", F.when(F.col("name").isNotNull(), own).otherwise(F.col("carried")))
+    # texts come back once, by the number that every piece has
+    texts = known.join(pieces.select("at", "piece"), "at")
     ordered = F.sort_array(F.collect_list(F.struct("chunk", "at", "piece")))
     # an entry's text is needed only of lists that are read
     wanted = F.col("of.key").isin("results", "errors")
     text = F.when(wanted, F.col("piece")).otherwise("")
     grouped = (
-        known.withColumn("piece", F.when(F.col("is_key") | wanted, F.col("piece")).otherwise(text))
+        texts.withColumn("piece", F.when(F.col("is_key") | wanted, F.col("piece")).otherwise(text))
         .groupBy(*SCAN, (F.col("offset") + F.col("no")).alias("no"), F.col("of.no").alias("key_no"), F.col("of.key").alias("key"))
         .agg(
             F.array_join(F.transform(ordered, lambda p: p["piece"]), ",").alias("text"),
