@@ -75,15 +75,18 @@ def read_report_documents(spark: SparkSession, path: str) -> ReportPieces:
     lists = opening.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("order", key.alias("key")))).alias("lists"))
     of = F.element_at(F.filter("lists", lambda o: o["order"] < F.col("order")), -1)["key"]
     told = lines.filter(~opens).join(F.broadcast(stage(lists)), "run_id")
-    told = told.select("run_id", of.alias("key"), "order", "order.file", "order.block", "order.at", F.regexp_replace("line", "^,", "").alias("json"))
+    told = told.select("run_id", of.alias("key"), "order", "order.file", "order.block", "order.at", F.col("line").startswith(",").alias("comma"), F.regexp_replace("line", "^,", "").alias("json"))
     whole = ["run_id", "key"]
     splits = told.groupBy(*whole, "file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy(*whole).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     splits = stage(splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
     placed = told.join(splits, [*whole, "file", "block"])
+    place = F.col("at") - F.col("first") + F.col("before")
+    # a comma stands before every element but the first
+    apart = (place > 0) == F.col("comma")
     return ReportPieces(
         opening.filter("line LIKE '{%'").select("run_id", F.col("line").alias("json")),
-        placed.select(*whole, "order", (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("place"), "json"),
+        placed.select(*whole, "order", place.cast("int").alias("place"), F.when(apart, F.col("json")).otherwise(F.raise_error(F.lit("not valid JSON"))).alias("json")),
     )
 
 
