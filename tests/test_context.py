@@ -334,3 +334,10 @@ def test_functions_and_calls_match_the_parser(spark):
     different = [key for key in want if got[key] != want[key]]
     # Nested quotes inside f-string fields are the known gap.
     assert len(different) <= len(want) // 500, different
+
+
+def test_lines_are_dealt_by_their_number(spark):
+    """Masked lines shrink so much in a shuffle that its bytes say little about what a task sorts."""
+    rows = [("r", f"{i}.py", 69_000, "x = 1\n" * 11_500) for i in range(90)]
+    lines = C.file_lines(spark.createDataFrame(rows, "repo_id string, path string, length long, text string"))
+    assert C.logical_lines(lines).groupBy(F.spark_partition_id()).count().count() == 6

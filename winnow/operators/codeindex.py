@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.session import tasks_for
+
 FILE = ["repo_id", "path"]
 
 IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*"
@@ -262,8 +264,10 @@ def logical_lines(lines: DataFrame) -> DataFrame:
     ``prev_code_ln`` last physical line with code before it · ``last_code_ln`` the same for the
     whole file · ``kind``/``name`` for ``def`` and ``class`` headers.
     """
-    # Whole files are shuffled, once; the windows over their lines then stay in place.
-    physical = lines.select(*FILE, "masked_lines").repartition(*FILE).select(
+    # Whole files are shuffled, once; the windows over their lines then stay in place. Masked lines take many times less
+    # room in a shuffle than in a task, so partitions go by the number of lines.
+    total = lines.agg(F.sum(F.size("raw_lines").cast("long"))).first()[0] or 0
+    physical = lines.select(*FILE, "masked_lines").repartition(tasks_for(lines.sparkSession, total), *FILE).select(
         *FILE, F.posexplode("masked_lines").alias("pos", "line")
     )
     by_file = Window.partitionBy(*FILE)

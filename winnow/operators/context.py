@@ -9,7 +9,7 @@ from winnow.functions.text import numbered, text_lines
 from winnow.operators import codeindex as C
 from winnow.operators.codeindex import FILE
 from winnow.schemas import CALLED_FUNCTION, CONTEXT, SAME_FILE, SAME_MODULE_IMPORT, STRINGS
-from winnow.session import few, stage
+from winnow.session import few, stage, tasks_for
 
 FUNCTION = [*FILE, "function_start"]
 
@@ -33,6 +33,8 @@ def enclosing_functions(spans: DataFrame, functions: DataFrame) -> DataFrame:
     )
     # At equal lines the header comes first: a function covers its own first line.
     order = Window.partitionBy(*FILE).orderBy("start_line", F.col("end_line").asc_nulls_first())
+    # Chains take many times less room in a shuffle than in a task, so partitions go by the number of rows.
+    events = events.repartition(tasks_for(spans.sparkSession, events.count()), *FILE)
     around = F.last("chain", ignorenulls=True).over(order)
     return (
         events.withColumn("_around", around)

@@ -53,6 +53,11 @@ def few(keys: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= rows else keys
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int = 200_000) -> int:
+    """In how many partitions to deal ``rows`` rows so that a task sorts about ``each`` of them, however many there are."""
+    return max(rows // each + 1, min(spark.sparkContext.defaultParallelism, rows // 10_000 + 1))
+
+
 def staging_folder(spark: SparkSession) -> str:
     """This session's folder below ``spark.checkpoint.dir``.
 
