@@ -341,3 +341,11 @@ def test_lines_are_dealt_by_their_number(spark):
     rows = [("r", f"{i}.py", 69_000, "x = 1\n" * 11_500) for i in range(90)]
     lines = C.file_lines(spark.createDataFrame(rows, "repo_id string, path string, length long, text string"))
     assert C.logical_lines(lines).groupBy(F.spark_partition_id()).count().count() == 6
+
+
+def test_tokens_are_read_in_a_loop(spark):
+    """No expression that is interpreted anew for every token."""
+    files = spark.createDataFrame([("r", "a.py", 9, "def f(x):\n    return g(x)\n")], "repo_id string, path string, length long, text string")
+    read = C.file_lines(files).select("problem", C.call_names(F.array_join("masked_lines", "\n")).alias("names"))
+    assert "aggregate(" not in read._jdf.queryExecution().toString()
+    assert [tuple(r) for r in read.collect()] == [(None, ["g"])]

@@ -10,6 +10,9 @@ Extents follow indentation; the result is best effort where a file does not pars
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,59 +205,60 @@ def syntax_problem(masked: Column) -> Column:
     # Lines without code go; a line at the margin behind the last one closes what is open.
     code = F.regexp_replace(F.translate(masked, "\r" + BROKEN, ""), r"\n[ \t\f]*+(?=\n|\z)", "")
     tokens = F.regexp_extract_all(F.concat(F.lit("\n"), code, F.lit("\nend")), F.lit(LAYOUT), F.lit(0))
-    first = F.struct(
-        F.lit("").alias("brackets"),
-        F.array(F.lit(0)).alias("indents"),
-        F.lit(False).alias("header"),
-        F.lit(0).alias("lambdas"),
-        F.lit(None).cast("string").alias("problem"),
-    )
-    layout = F.aggregate(tokens, first, _read_layout, lambda state: F.coalesce(state["problem"], F.when(state["brackets"] != "", "bracket")))
-    return F.coalesce(layout, F.when(masked.contains(BROKEN), "string"))
-
-
-def _read_layout(state: Column, token: Column) -> Column:
-    """One token further; ``header`` is set while a block's header waits for its colon."""
-    brackets, indents, header = state["brackets"], state["indents"], state["header"]
-    line = token.contains("\n")
-    defines = token.rlike(r"(?:def|class)$")
-    # a definition cannot stand inside brackets: they were left open above
-    left_open = line & defines & (brackets != "")
-    starts = line & (defines | (brackets == ""))
-    lead = F.regexp_replace(F.regexp_extract(token, r"\n([ \t\f]*)", 1), r"^.*\f", "")
-    indent = F.length(F.regexp_replace(lead, "\t", " " * 8))
-    top = F.element_at(indents, -1)
-    # a line that ends with a colon opens a block, also after a word that is no keyword everywhere (match, case)
-    opens = token.startswith(":") & ~left_open
-    back = F.filter(indents, lambda level: level <= indent)
-    at_line = (
-        F.when(left_open, "bracket")
-        .when(header & ~opens, "colon")
-        .when(opens & (indent <= top), "block")
-        .when(~opens & (indent > top), "indent")
-        .when(~opens & (F.element_at(back, -1) != indent), "dedent")
-    )
-    opening, closing = token.isin("(", "[", "{"), token.isin(")", "]", "}")
-    matched = F.translate(F.right(brackets, F.lit(1)), "([{", ")]}") == token
-    flat = brackets == ""
-    return F.struct(
-        F.when(starts, "")
-        .when(opening, F.concat(brackets, token))
-        .when(closing, F.left(brackets, F.greatest(F.length(brackets) - 1, F.lit(0))))
-        .otherwise(brackets)
-        .alias("brackets"),
-        F.when(starts & (indent > top), F.array_append(indents, indent)).when(starts, back).otherwise(indents).alias("indents"),
-        F.when(starts, token.rlike(r"[a-z]$"))
-        .when(flat & (token == ":") & (state["lambdas"] == 0), False)
-        .otherwise(header)
-        .alias("header"),
-        F.when(starts, 0)
-        .when(flat & (token == "lambda"), state["lambdas"] + 1)
-        .when(flat & (token == ":"), F.greatest(state["lambdas"] - 1, F.lit(0)))
-        .otherwise(state["lambdas"])
-        .alias("lambdas"),
-        F.coalesce(state["problem"], F.when(starts, at_line).when(closing & ~matched, "bracket")).alias("problem"),
-    )
+    return F.coalesce(_layout_problem()(tokens), F.when(masked.contains(BROKEN), "string"))
+
+
+def _layout_problem() -> Callable[[Column], Column]:
+    """The first problem of a file's layout tokens.
+
+    A loop over the tokens of one file, as a lambda of ``F.aggregate`` is interpreted anew for every token. A function inside
+    this one reaches the workers by value, so they need no package.
+    """
+
+    def problem(tokens: list[str] | None) -> str | None:
+        # ``header`` is set while a block's header waits for its colon
+        brackets, indents, header, lambdas = [], [0], False, 0
+        for token in tokens or ():
+            if "\n" in token:
+                defines = token.endswith(("def", "class"))
+                # a definition cannot stand inside brackets: they were left open above
+                if brackets:
+                    if defines:
+                        return "bracket"
+                    continue
+                begun = token[token.index("\n") + 1 :]
+                lead = begun[: len(begun) - len(begun.lstrip(" \t\f"))]
+                indent = len(lead[lead.rfind("\f") + 1 :].replace("\t", " " * 8))
+                # a line that ends with a colon opens a block, also after a word that is no keyword everywhere (match, case)
+                opens = token[0] == ":"
+                if header and not opens:
+                    return "colon"
+                if opens and indent <= indents[-1]:
+                    return "block"
+                if not opens and indent > indents[-1]:
+                    return "indent"
+                if opens:
+                    indents.append(indent)
+                else:
+                    while indents[-1] > indent:
+                        indents.pop()
+                    if indents[-1] != indent:
+                        return "dedent"
+                header, lambdas = "a" <= token[-1] <= "z", 0
+            elif token in "([{":
+                brackets.append(token)
+            elif token in ")]}":
+                if not brackets or brackets.pop() + token not in ("()", "[]", "{}"):
+                    return "bracket"
+            elif not brackets:
+                if token == "lambda":
+                    lambdas += 1
+                elif token == ":":
+                    header = header and lambdas > 0
+                    lambdas = max(lambdas - 1, 0)
+        return "bracket" if brackets else None
+
+    return F.udf(problem, "string", useArrow=True)
 
 
 def logical_lines(lines: DataFrame) -> DataFrame:
@@ -503,75 +507,53 @@ def call_names(masked: Column) -> Column:
     """
     patterns = r"(?m:^[ \t]*case\s[^\n]*?(?:\sif\s|:[ \t]*$))"
     tokens = F.regexp_extract_all(F.regexp_replace(masked, patterns, " "), F.lit(TOKENS), F.lit(1))
-    calls = F.aggregate(tokens, _no_calls(), _read_token, lambda state: state["calls"])
-    names = F.transform(F.sort_array(calls), lambda call: call["name"])
-    return F.array_distinct(F.filter(names, lambda name: ~name.isin(KNOWN_BUILTINS)))
+    return _called_names()(tokens)
 
 
 # What an expression so far ends with: a name that can be called, another value, the dot after one, a
 # string, the closing brace of an f-string's field, the head of a definition, or nothing to go on from.
 _NAME, _VALUE, _DOT, _TEXT, _FIELD, _HEAD, _NONE = "name", "value", "dot", "text", "field", "head", "none"
-_FRAME = "struct<start:int,last:string>"
-
-
-def _no_calls() -> Column:
-    return F.struct(
-        F.lit(0).alias("at"),
-        F.lit(-1).alias("start"),
-        F.lit(_NONE).alias("last"),
-        F.lit("").alias("name"),
-        F.array().cast(f"array<{_FRAME}>").alias("outer"),
-        F.array().cast("array<struct<start:int,before:int,name:string>>").alias("calls"),
-    )
 
 
-def _read_token(state: Column, token: Column) -> Column:
-    """One token further. ``start`` is where the expression at hand begins, ``outer`` those around open brackets."""
-    at, start, last, outer = state["at"], state["start"], state["last"], state["outer"]
-    opens, closes = token.isin("(", "[", "{"), token.isin(")", "]", "}")
-    word = token.rlike(r"^[\p{L}_]")
-    plain = word & ~token.isin(KEYWORDS)
-    text = token.startswith(QUOTED) | token.startswith(OPEN)
-    number = token.rlike(r"^\p{N}")
-    # inside brackets a line break means nothing
-    blank = (token == "\n") & (F.size(outer) > 0)
-    goes_on = last.isin(_NAME, _VALUE, _TEXT, _FIELD)
-    joined = (last == _DOT) | (text & last.isin(_TEXT, _FIELD))
-    field = (token == "{") & last.isin(_TEXT, _FIELD)
-    begun = F.when((token.isin("(", "[") | field | (token == ".")) & goes_on, start).otherwise(at)
-    around = F.try_element_at(outer, F.lit(-1))
-    new_start = (
-        F.when(blank, start)
-        .when(opens, -1)
-        .when(closes, F.coalesce(around["start"], F.lit(-1)))
-        .when(plain | text | number, F.when(joined, start).otherwise(at))
-        .when(token == ".", begun)
-        .otherwise(-1)
-    )
-    new_last = (
-        F.when(blank, last)
-        .when(opens, _NONE)
-        .when(closes, F.coalesce(around["last"], F.lit(_NONE)))
-        .when(plain, F.when(last == _HEAD, _VALUE).otherwise(_NAME))
-        .when(text, _TEXT)
-        .when(number, _VALUE)
-        .when(token == ".", _DOT)
-        .when(token.isin("def", "class"), _HEAD)
-        .otherwise(_NONE)
-    )
-    frame = F.struct(begun.alias("start"), F.when(field, _FIELD).otherwise(_VALUE).alias("last")).cast(_FRAME)
-    call = F.struct(start.alias("start"), (-at).alias("before"), state["name"].alias("name"))
-    return F.struct(
-        (at + 1).alias("at"),
-        new_start.alias("start"),
-        new_last.alias("last"),
-        F.when(plain, token).otherwise(state["name"]).alias("name"),
-        F.when(opens, F.array_append(outer, frame))
-        .when(closes & (F.size(outer) > 0), F.slice(outer, 1, F.size(outer) - 1))
-        .otherwise(outer)
-        .alias("outer"),
-        F.when((token == "(") & (last == _NAME), F.array_append(state["calls"], call)).otherwise(state["calls"]).alias("calls"),
-    )
+def _called_names() -> Callable[[Column], Column]:
+    """Names called in the tokens of a piece of code; like :func:`_layout_problem` a loop that goes by value."""
+    keywords, builtins, quotes = frozenset(KEYWORDS), frozenset(KNOWN_BUILTINS), (QUOTED, OPEN)
+    goes_on, texts = (_NAME, _VALUE, _TEXT, _FIELD), (_TEXT, _FIELD)
+    name_, value_, dot_, text_, field_, head_, none_ = _NAME, _VALUE, _DOT, _TEXT, _FIELD, _HEAD, _NONE
+
+    def names(tokens: list[str] | None) -> list[str] | None:
+        if tokens is None:
+            return None
+        # ``start`` is where the expression at hand begins, ``outer`` those around open brackets
+        start, last, name, outer, calls = -1, none_, "", [], []
+        for at, token in enumerate(tokens):
+            if token in ("(", "[", "{"):
+                field = token == "{" and last in texts
+                if token == "(" and last == name_:
+                    calls.append((start, -at, name))
+                begun = start if (token != "{" or field) and last in goes_on else at
+                outer.append((begun, field_ if field else value_))
+                start, last = -1, none_
+            elif token in (")", "]", "}"):
+                start, last = outer.pop() if outer else (-1, none_)
+            elif token == ".":
+                start, last = start if last in goes_on else at, dot_
+            elif token == "\n" and outer:
+                # inside brackets a line break means nothing
+                continue
+            else:
+                kind = unicodedata.category(token[0])[0]
+                if (kind == "L" or token[0] == "_") and token not in keywords:
+                    start, last, name = start if last == dot_ else at, value_ if last == head_ else name_, token
+                elif token.startswith(quotes):
+                    start, last = start if last == dot_ or last in texts else at, text_
+                elif kind == "N":
+                    start, last = start if last == dot_ else at, value_
+                else:
+                    start, last = -1, head_ if token in ("def", "class") else none_
+        return [n for n in dict.fromkeys(name for _, _, name in sorted(calls)) if n not in builtins]
+
+    return F.udf(names, "array<string>", useArrow=True)
 
 
 def source_between(lines: Column, start: Column, end: Column) -> Column:
