@@ -220,3 +220,18 @@ def test_size_guard_reaches_the_files(spark, tmp_path):
     assert [r.path for r in lines.select("path").collect()] == ["small.py"]
     paths = files.select("path", "length")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in paths
+
+
+def test_rejects_parse_each_text_once(spark):
+    texts = [("a", '{"results": []}'), ("b", "junk"), ("c", '{"results": []},{"results": []}'), ("d", "[1]"), ("e", "{}"), ("f", '{"results": 1}')]
+    df = spark.createDataFrame([(i, "r", t) for i, t in texts], "scan_id string, repo_id string, text string")
+    found = I.scan_file_rejects(I.scan_documents(df))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("parseJson") == 1
+    assert {r.scan_id: r.reason for r in found.collect()} == {
+        "b": "not valid JSON",
+        "c": "more than one JSON document",
+        "d": "not a JSON object",
+        "e": "no top-level results",
+        "f": "results is not a list",
+    }

@@ -36,8 +36,10 @@ def scan_documents(docs: DataFrame, on_error: str = "quarantine") -> DataFrame:
     )
     found = F.col("read.documents")
     parsed = read.select("scan_id", "repo_id", F.get(found, F.lit(0)).alias("doc"), F.size(found).alias("n"), "read.end", "text")
-    whole = F.try_parse_json("text")
-    first = V.child(whole, "$.documents[0]")
+    usable = F.coalesce(F.col("doc.results").isNotNull() & (F.col("n") == 1) & (F.col("end") == 1), F.lit(False))
+    # Columns of their own: an unusable text is parsed once more, not once for every question that is asked about it.
+    asked = parsed.withColumn("whole", F.when(~usable, F.try_parse_json("text"))).withColumn("first", V.child(F.col("whole"), "$.documents[0]"))
+    whole, first = F.col("whole"), F.col("first")
     why = (
         F.when(whole.isNull() | first.isNull() | V.child(whole, "$.end").isNull(), F.lit("not valid JSON"))
         .when(V.child(whole, "$.documents[1]").isNotNull(), F.lit("more than one JSON document"))
@@ -45,9 +47,8 @@ def scan_documents(docs: DataFrame, on_error: str = "quarantine") -> DataFrame:
         .when(V.child(first, "$.results").isNull(), F.lit("no top-level results"))
         .otherwise(F.lit("results is not a list"))
     )
-    usable = F.col("doc.results").isNotNull() & (F.col("n") == 1) & (F.col("end") == 1)
-    error = F.when(~F.coalesce(usable, F.lit(False)), why)
-    return raise_for_documents(parsed.withColumn("doc_error", error).drop("text", "n", "end"), on_error)
+    error = F.when(~usable, why)
+    return raise_for_documents(asked.withColumn("doc_error", error).drop("text", "n", "end", "whole", "first"), on_error)
 
 
 def _check(on_error: str) -> None:
@@ -65,7 +66,9 @@ def raise_for_documents(documents: DataFrame, on_error: str) -> DataFrame:
 
 
 def scan_file_rejects(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("doc_error IS NOT NULL").select("scan_id", "repo_id", F.col("doc_error").alias("reason"))
+    """Unusable documents with the reason; as in :func:`raw_results` no filter that would parse every text twice."""
+    reasons = F.when(F.col("doc_error").isNotNull(), F.array("doc_error"))
+    return parsed.select("scan_id", "repo_id", F.explode(reasons).alias("reason"))
 
 
 def raw_results(parsed: DataFrame) -> DataFrame:

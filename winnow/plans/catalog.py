@@ -98,15 +98,17 @@ def scan_file_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = D.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("text"), "doc_id").alias("scan_id"), F.lit("texts").alias("repo_id"), "text"
     )
-    scans = D.scan_docs(spark, sf_dir)
-    twice = scans.select(
-        F.concat(F.lit("twice"), "scan_id").alias("scan_id"),
-        "repo_id",
-        F.concat("text", F.when(F.col("scan_id").rlike("[02468]$"), F.lit("\n")).otherwise(F.lit(",")), "text").alias("text"),
+    # Each scan is made once; what becomes of it as "twice" and "junk" is put together per row.
+    kinds = F.explode(F.array(*[F.lit(kind) for kind in ("", "twice", "junk")])).alias("kind")
+    scans = D.scan_docs(spark, sf_dir).select("scan_id", "repo_id", "text", kinds)
+    between = F.when(F.col("scan_id").rlike("[02468]$"), F.lit("\n")).otherwise(F.lit(","))
+    body = (
+        F.when(F.col("kind") == "twice", F.concat("text", between, "text"))
+        .when(F.col("kind") == "junk", F.concat("text", F.lit(" junk }")))
+        .otherwise(F.col("text"))
     )
-    junk = scans.select(F.concat(F.lit("junk"), "scan_id").alias("scan_id"), "repo_id", F.concat("text", F.lit(" junk }")).alias("text"))
-    docs = props.unionByName(texts).unionByName(scans).unionByName(twice).unionByName(junk)
-    return I.scan_file_rejects(I.scan_documents(docs))
+    scans = scans.select(F.concat("kind", "scan_id").alias("scan_id"), "repo_id", body.alias("text"))
+    return I.scan_file_rejects(I.scan_documents(props.unionByName(texts).unionByName(scans)))
 
 
 def matched_code(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +169,9 @@ def syntax_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    return C.import_statements(C.logical_lines(lines), lines)
+    # Written once: the few lines that are needed are read twice, the files they come from are masked once.
+    heads = stage(C.import_heads(_lines(spark, sf_dir)))
+    return C.import_statements(C.logical_lines(heads), heads)
 
 
 def imports_text(spark: SparkSession, sf_dir: str) -> DataFrame:
