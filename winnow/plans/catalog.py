@@ -351,12 +351,13 @@ def quote_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = D.documents(spark, sf_dir).select("doc_id", F.col("text").alias("hay"))
     found = docs.join(turns, F.col("conv_id") == F.col("doc_id"), "left")
     found = found.withColumn("quote", F.coalesce("text", F.substring_index("hay", ".", 1)))
+    found = found.withColumn("normalized", text.normalize_texts(F.col("hay")))
     return found.select(
         "doc_id",
         F.coalesce("turn", F.lit(-1)).alias("turn"),
         F.coalesce("copies", F.lit(0)).alias("copies"),
-        V.quote_statuses(F.array("quote", F.substring_index("hay", ".", 2)), F.col("hay"))[0].alias("turn_status"),
-        V.quote_statuses(F.array(text.normalize_ws(F.col("hay"))), F.col("hay"))[0].alias("own_status"),
+        V.quote_statuses(F.array("quote", F.substring_index("hay", ".", 2)), F.col("hay"), F.col("normalized"))[0].alias("turn_status"),
+        V.quote_statuses(F.array("normalized"), F.col("hay"), F.col("normalized"))[0].alias("own_status"),
         F.length(text.normalize_ws(F.col("quote"))).alias("normalized_length"),
     )
 
