@@ -83,3 +83,18 @@ def test_random_whitespace_edits_keep_the_fingerprint(spark):
         body = "".join(w + rng.choice([" ", "  ", "\n", "\t", "\r\n    "]) for w in words)
         rows.append(("0.1.0", "r", "p", body, body))
     assert len(set(fingerprints(spark, rows))) == 1
+
+
+def test_whole_texts_are_normalized_alike(spark):
+    points = [chr(c) for c in range(1, 0x3100)]
+    texts = [f" a{c}{c}b{c}" for c in points] + ["", " ", "\n", "a b", " a\t\n b  c ", None]
+    whole = column(spark, texts, X.normalize_texts)
+    assert whole == column(spark, texts, X.normalize_ws)
+    assert whole[: len(points)] == [" ".join(t.split()) for t in texts[: len(points)]] and whole[-1] is None
+    assert column(spark, texts, X.is_blank) == [None if t is None else not t.strip() for t in texts]
+
+
+def test_fingerprints_take_no_pattern_over_whole_texts(spark):
+    df = spark.createDataFrame([tuple("vrpmf")], "v string, r string, p string, m string, f string")
+    plan = df.select(X.fingerprint(*[F.col(c) for c in "vrpmf"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan

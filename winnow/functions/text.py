@@ -114,7 +114,7 @@ def fingerprint(
         prompt_version,
         rule_id,
         file_path,
-        normalize_ws(matched_code),
-        normalize_ws(F.coalesce(function_source, F.lit(""))),
+        normalize_texts(matched_code),
+        normalize_texts(F.coalesce(function_source, F.lit(""))),
     )
     return F.substring(F.sha2(key.cast("binary"), 256), 1, 16)
