@@ -349,3 +349,32 @@ def test_tokens_are_read_in_a_loop(spark):
     read = C.file_lines(files).select("problem", C.call_names(F.array_join("masked_lines", "\n")).alias("names"))
     assert "aggregate(" not in read._jdf.queryExecution().toString()
     assert [tuple(r) for r in read.collect()] == [(None, ["g"])]
+
+
+HEADS = {
+    "top": ("import os\nx = 1\n\ndef f():\n    import re\n    return re\n", 4),
+    "none": ("def f():\n    import re\n", 0),
+    "late": ("def f():\n    pass\nfrom a import (\n    b,\n)\n# def\nclass C:\n    pass\nlast = 1\n", 7),
+    "last": ("def f():\n    pass\nimport a; import b", 3),
+    "string": ('import a, b  # c\nx = """\ndef f():\n"""\ny = 1\ndef g(): pass\nz = 2', 6),
+    "joined": ("from a import b as \\\ndef c\ny = 1\n\fimport d\n  def g(): pass\nz = 2", 5),
+    "open": ("import a\nx = (1,\nimport b\nasync def f():\n    pass\n", 4),
+    "word": ("important = 1\nimport a\nimported = 2\nx = 3\n", 5),
+}
+
+
+def test_imports_of_the_lines_that_can_tell(spark):
+    files = [("r", path, code) for path, (code, _) in HEADS.items()] + [("r", "twice", HEADS["top"][0])] * 2
+    df = spark.createDataFrame(files, "repo_id string, path string, text string")
+    lines = C.file_lines(df)
+    heads = C.import_heads(lines)
+    kept = {r.path: r.n for r in heads.select("path", F.size("raw_lines").alias("n")).collect()}
+    assert kept == {path: n for path, (_, n) in HEADS.items()} | {"twice": 7}
+    assert heads.filter("size(raw_lines) != size(masked_lines)").count() == 0
+
+    def found(given):
+        rows = C.import_statements(C.logical_lines(given), given).collect()
+        return sorted((r.path, r.ln, r.part, r.statement) for r in rows)
+
+    assert found(heads) == found(lines)
+    assert len(found(heads)) > 9

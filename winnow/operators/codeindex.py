@@ -16,7 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.session import tasks_for
+from winnow.functions.text import let
+from winnow.session import few, tasks_for
 
 FILE = ["repo_id", "path"]
 
@@ -186,15 +187,20 @@ def file_lines(files: DataFrame, max_file_bytes: int | None = None) -> DataFrame
     if max_file_bytes is not None:
         readable = readable.filter(F.col("length") <= max_file_bytes)
     # The masked text is a column of its own: it is read more than once, and a plan without the problem does not look for it.
-    read = readable.select(*FILE, F.split("text", "\r?\n").alias("raw_lines"), mask_code(F.col("text")).alias("_masked"))
+    read = readable.select(*FILE, _split_lines(F.col("text")).alias("raw_lines"), mask_code(F.col("text")).alias("_masked"))
     return read.select(
         *FILE,
         "raw_lines",
-        F.split(F.translate("_masked", BROKEN, ""), "\r?\n").alias("masked_lines"),
+        _split_lines(F.replace("_masked", F.lit(BROKEN), F.lit(""))).alias("masked_lines"),
         syntax_problem(F.col("_masked")).alias("problem"),
     )
 
 
+def _split_lines(text: Column) -> Column:
+    """Lines that end with ``\\n`` or ``\\r\\n``; most texts have the former only, which takes no pattern."""
+    return F.when(F.contains(text, F.lit("\r")), F.split(text, "\r?\n")).otherwise(F.split(text, "\n"))
+
+
 def syntax_problem(masked: Column) -> Column:
     """What keeps a masked file from being parsed, or null: the first of the problems that a line-wise reading can tell.
 
@@ -451,6 +457,34 @@ def import_statements(logical: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def import_heads(lines: DataFrame) -> DataFrame:
+    """``raw_lines`` and ``masked_lines`` of each file as far as :func:`import_statements` needs them.
+
+    A statement ends before the next logical line. Behind the last line that may be an import at the margin the first
+    ``def`` or ``class`` that no string and no backslash reaches into is one, whatever stands above it, so what comes
+    after it tells nothing about imports. Files without such a line keep all their lines, and so do files that share
+    their path, as their lines are read as those of one file.
+    """
+    again = few(lines.groupBy(*FILE).agg(F.count("*").alias("n")).filter("n > 1").select(*FILE)).withColumn("_again", F.lit(True))
+    masked = F.col("masked_lines")
+
+    def may_import(line: Column) -> Column:
+        return line.contains("import") & ~line.rlike(rf"^[ \t]+[^ \t\f{OPEN}]")
+
+    def begins(line: Column, above: Column) -> Column:
+        header = (line.contains("def") | line.contains("class")) & line.rlike(HEADER)
+        return header & ~above.endswith(OPEN) & ~F.rtrim(F.translate(above, OPEN, "")).endswith("\\")
+
+    def until(last: Column) -> Column:
+        behind = F.transform(masked, lambda line, i: F.when((i >= last) & begins(line, F.get(masked, i - 1)), i + 1))
+        return F.when(last.isNull(), 0).otherwise(F.coalesce(F.array_min(behind), F.size(masked)))
+
+    last = F.array_max(F.transform(masked, lambda line, i: F.when(may_import(line), i + 1)))
+    until_line = F.when(F.col("_again"), F.size(masked)).otherwise(let(last, until))
+    kept = lines.join(again, FILE, "left").select(*FILE, "raw_lines", "masked_lines", until_line.alias("_until"))
+    return kept.select(*FILE, *[F.slice(c, F.lit(1), F.col("_until")).alias(c) for c in ("raw_lines", "masked_lines")])
+
+
 def imports_text(statements: DataFrame) -> DataFrame:
     """Per file its import statements as one text; files without any have no row."""
     ordered = F.sort_array(F.collect_list(F.struct("ln", "part", "statement")))
