@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline as P
-from winnow.llm import toxicity
+from winnow.llm import simhash, toxicity
 from winnow.llm.queries import QUERIES, STATEMENTS
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -48,6 +48,15 @@ def test_labels_that_teach_nothing_reject_nothing(spark, docs_of, tmp_path, labe
     assert P.run(spark, str(tmp_path)).count() > 0
 
 
+def test_near_duplicates_send_no_keys_to_every_task(spark, docs_of, monkeypatch):
+    seen, whole = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda links: seen.append(links) or whole(links))
+    docs = docs_of([(i, f"text {i // 2} of its own, with words {i // 2 * 7} {i // 2 * 11}") for i in range(20)])
+    assert P.near_duplicate_stage(spark, docs, "").count() == 10
+    seen[0].collect()
+    assert "Broadcast" not in seen[0]._jdf.queryExecution().toString()
+
+
 @needs_tables
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in STATEMENTS])
 def test_queries_beyond_sql_run_on_whole_tables(spark, name):

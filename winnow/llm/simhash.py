@@ -98,11 +98,12 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         F.col("slot.start").alias("start"),
         F.xxhash64("slot.mask", F.col("fp").bitwiseAND(F.col("slot.mask"))).alias("key"),
     )
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Spark takes the size of the nodes for that of their keys, 64 times as many, and would send those to every task.
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("merge")
     block = F.pmod(F.xxhash64("fp"), "blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     groups = (
-        keyed.join(shared, "key")
+        keyed.hint("merge").join(shared, "key")
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK))
         .select("fp", "start", "key", block.alias("block"), other.alias("other"))
         .withColumn("unit", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
