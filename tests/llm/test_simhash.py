@@ -88,6 +88,15 @@ def test_no_link_is_lost(spark):
             assert [find(i) for i in range(len(prints))] == reach(prints, max_bits)
 
 
+def test_keys_of_nodes_are_sent_to_no_task(spark):
+    """64 keys come of a node, which Spark does not count: a table of nodes far below the broadcast limit is one beyond it."""
+    nodes = spark.createDataFrame([(i * 7919,) for i in range(50)], "fp long")
+    for frame in (nodes, nodes.distinct()):
+        found = simhash.links(frame)
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 160)]
