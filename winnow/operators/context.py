@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from winnow.functions.text import numbered, text_lines
 from winnow.operators import codeindex as C
 from winnow.operators.codeindex import FILE
 from winnow.schemas import CALLED_FUNCTION, CONTEXT, SAME_FILE, SAME_MODULE_IMPORT, STRINGS
-from winnow.session import few, stage, tasks_for
+from winnow.session import TEXTS, few, stage, tasks_for, unstage
 
 FUNCTION = [*FILE, "function_start"]
 
@@ -105,14 +107,32 @@ def borrowed_files(modules: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(outside, FILE).select(F.col("_asker").alias("repo_id"), F.col("_as").alias("path"), "length", "text")
 
 
+def cut_out(places: DataFrame, lines: DataFrame, name: str, cut: Callable[[Column, Column], Column]) -> DataFrame:
+    """``places`` (repo_id, path and more) with ``name``, what ``cut`` makes of the ``lines`` of their file and of the place.
+
+    ``lines`` has one column beside the file. The places of a file meet its lines in one row, and leave it with their own part:
+    rows that held a file's lines for every place in it would fill the disk wherever Spark keeps rows. Lines take many times
+    less room as written than in a task, so Spark must not take them for small.
+    """
+    (text,) = [c for c in lines.columns if c not in FILE]
+    fields = [c for c in places.columns if c not in FILE]
+    together = places.groupBy(*FILE).agg(F.collect_list(F.struct(*fields)).alias("_places"))
+
+    def part(place: Column) -> Column:
+        return F.struct(*[place[c].alias(c) for c in fields], cut(F.col(text), place).alias(name))
+
+    met = together.hint("merge").join(lines.hint("merge"), FILE)
+    return met.select(*FILE, F.explode(F.transform("_places", part)).alias("_part")).select(*FILE, "_part.*")
+
+
 def call_sites(functions: DataFrame, lines: DataFrame) -> DataFrame:
     """Names each function calls: ``function_start, call_no, name``, deduped, in first-seen order."""
-    masked = F.array_join(C.source_between(F.col("masked_lines"), F.col("function_start"), F.col("function_end")), "\n")
-    return (
-        functions.select(*FUNCTION, "function_end")
-        .join(lines.select(*FILE, "masked_lines"), FILE)
-        .select(*FUNCTION, F.posexplode(C.call_names(masked)).alias("call_no", "name"))
-    )
+
+    def masked(text: Column, f: Column) -> Column:
+        return F.array_join(C.source_between(text, f["function_start"], f["function_end"]), "\n")
+
+    code = cut_out(functions.select(*FUNCTION, "function_end"), lines.select(*FILE, "masked_lines"), "_code", masked)
+    return code.select(*FUNCTION, F.posexplode(C.call_names(F.col("_code"))).alias("call_no", "name"))
 
 
 def resolve_calls(
@@ -165,7 +185,7 @@ class CodeIndex:
     ):
         spans = spans.filter(F.col("path").endswith(".py"))
         wanted = few(spans.select(*FILE))
-        self.lines = stage(C.file_lines(files.join(wanted, FILE, "left_semi"), max_file_bytes))
+        self.lines = stage(C.file_lines(files.join(wanted, FILE, "left_semi"), max_file_bytes), TEXTS)
         self.logical = stage(C.logical_lines(self.lines))
         self.functions = stage(C.functions(C.blocks(self.logical)))
         statements = stage(C.import_statements(self.logical, self.lines))
@@ -186,7 +206,7 @@ class CodeIndex:
         modules = resolve_modules(modules, files)
         self.imports = stage(called.join(modules, [*FILE, "module"]))
         targets = self.imports.filter("target_path IS NOT NULL").select("repo_id", F.col("target_path").alias("path"))
-        self.target_lines = stage(C.file_lines(files.join(few(targets), FILE, "left_semi"), max_file_bytes))
+        self.target_lines = stage(C.file_lines(files.join(few(targets), FILE, "left_semi"), max_file_bytes), TEXTS)
         target_functions = C.functions(C.blocks(C.logical_lines(self.target_lines)))
         elsewhere = stage(C.definitions(target_functions))
         self.calls = stage(resolve_calls(calls, C.definitions(self.functions), self.imports, elsewhere))
@@ -207,13 +227,10 @@ class CodeIndex:
         lines = self.lines.select(*FILE, "raw_lines").unionByName(
             self.target_lines.join(self.lines.select(*FILE), FILE, "left_anti").select(*FILE, "raw_lines")
         )
-        texts = definitions.join(lines, FILE).select(
-            "repo_id",
-            F.col("path").alias("def_path"),
-            "def_start",
-            numbered(C.source_between(F.col("raw_lines"), F.col("def_start"), F.col("def_end")), F.col("def_start"))
-            .alias("source"),
-        )
+        # Of most files nothing is shown here.
+        lines = lines.join(few(definitions.select(*FILE)), FILE, "left_semi")
+        shown = cut_out(definitions, lines, "source", lambda text, d: numbered(C.source_between(text, d["def_start"], d["def_end"]), d["def_start"]))
+        texts = shown.select("repo_id", F.col("path").alias("def_path"), "def_start", "source")
         callee = F.when(
             F.col("def_path").isNotNull(),
             F.struct(
@@ -245,13 +262,17 @@ class CodeIndex:
         )
 
     def function_texts(self) -> DataFrame:
-        """Per needed function its numbered and its raw text."""
-        raw = C.source_between(F.col("raw_lines"), F.col("function_start"), F.col("function_end"))
-        return self.needed.join(self.lines.select(*FILE, "raw_lines"), FILE).select(
-            *FUNCTION,
-            numbered(raw, F.col("function_start")).alias("function_source"),
-            F.array_join(raw, "\n").alias("function_text"),
-        )
+        """Per needed function its raw text."""
+
+        def raw(text: Column, f: Column) -> Column:
+            return F.array_join(C.source_between(text, f["function_start"], f["function_end"]), "\n")
+
+        needed = self.needed.select(*FUNCTION, "function_end")
+        return cut_out(needed, self.lines.select(*FILE, "raw_lines"), "function_text", raw).select(*FUNCTION, "function_text")
+
+    def release(self) -> None:
+        """Remove the lines of the files, when all that is read of them has been written."""
+        unstage(self.lines, self.target_lines, self.logical)
 
     def leaving_repository(self) -> DataFrame:
         """Functions with a call defined in a file outside the repository, which fails the context."""
@@ -273,21 +294,26 @@ def build_contexts(
     spans = findings.select("repo_id", F.col("file_path").alias("path"), "start_line", "end_line")
     index = CodeIndex(spans, files, follow_alias, max_file_bytes)
 
+    # Texts are written here, so that the files' lines and their shuffles are gone before the findings are moved.
+    texts = stage(index.function_texts(), TEXTS)
+    per_function = stage(
+        texts.join(index.called_functions(), FUNCTION, "left")
+        .join(index.leaving_repository().withColumn("_leaves", F.lit(True)), FUNCTION, "left"),
+        TEXTS,
+    )
+    suspects = stage(index.suspects())
+    unstage(texts)
+    index.release()
     known = (
         files.select(*FILE, "length")
         .join(spans.select(*FILE).distinct(), FILE, "left_semi")
-        .join(index.suspects().withColumn("_suspect", F.lit(True)), FILE, "left")
+        .join(suspects.withColumn("_suspect", F.lit(True)), FILE, "left")
         .join(index.imports_text, FILE, "left")
     )
-    per_function = (
-        index.function_texts()
-        .join(index.called_functions(), FUNCTION, "left")
-        .join(index.leaving_repository().withColumn("_leaves", F.lit(True)), FUNCTION, "left")
-    )
     per_span = (
         index.spans.drop("function_end")
-        .join(per_function, FUNCTION, "left")
         .join(known, FILE, "left")
+        .join(per_function, FUNCTION, "left")
         .withColumnRenamed("path", "file_path")
     )
     out = findings.join(per_span, ["repo_id", "file_path", "start_line", "end_line"], "left")
@@ -312,12 +338,14 @@ def build_contexts(
         ),
         F.coalesce("call_notes", F.array().cast(STRINGS)),
     )
+    # Numbers are put in front here: a function's text is moved once, without them.
+    function_source = F.when(F.col("function_text").isNotNull(), numbered(F.split("function_text", "\n"), F.col("function_start")))
     context = F.struct(
         F.lit("python").alias("language"),
         numbered(text_lines(F.col("matched_code")), F.col("start_line")).alias("matched_code_with_lines"),
         F.col("imports"),
         F.col("function_name").alias("containing_function_name"),
-        F.col("function_source").alias("containing_function_source"),
+        function_source.alias("containing_function_source"),
         F.col("function_start").alias("containing_function_start_line"),
         F.coalesce("called_functions", F.array().cast(f"array<{CALLED_FUNCTION.simpleString()}>")).alias("called_functions"),
         notes.alias("extraction_notes"),

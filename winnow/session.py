@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,18 +34,52 @@ def build_session(app_name: str = "winnow", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
-def stage(df: DataFrame) -> DataFrame:
+# Shuffle files of an execution go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Tables written meanwhile leave no shuffle files behind: nothing reads those but the execution that made them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def stage(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write a table that several branches of a plan read, and go on from the written copy.
 
     It goes below the shared folder the cluster names in ``spark.checkpoint.dir``, so it outlives
     executors; being Parquet, each branch reads only the columns it needs and joins know its size.
-    :func:`clear_stage` removes what a session has written.
+    Tables of whole texts are written with ``codec`` ``TEXTS``. :func:`clear_stage` removes what a session has
+    written, :func:`unstage` one table.
     """
     path = f"{staging_folder(df.sparkSession)}/winnow-stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Texts take about half the room of Spark's default.
+TEXTS = "zstd"
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for table in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            remove(table.sparkSession, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that a query has written below the staging folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def few(keys: DataFrame, rows: int = 500_000) -> DataFrame:
     """Distinct keys, written once, and sent to every task where they are at most ``rows`` rows.
 
