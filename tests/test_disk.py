@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from winnow.operators import codeindex as C
 from winnow.operators import context as X
 from winnow.session import stage, staging_folder, unstage
 
@@ -52,6 +53,17 @@ def test_a_staged_table_leaves_no_shuffle_files(spark):
     assert len(staged(spark)) == len(folders) - 1
 
 
+def test_calls_are_looked_for_in_a_function_without_the_lines_of_its_file(spark):
+    """Rows that wait for Python are kept on disk; a file's lines beside each of its functions grow with the square of them."""
+    text = "def f(x):\n    return g(x) + h(x)\ndef g(x):\n    return k(x)\n"
+    lines = stage(C.file_lines(spark.createDataFrame([("r", "a.py", len(text), text)], FILES)))
+    spans = [("r", "a.py", 1, 2), ("r", "a.py", 3, 4)]
+    found = X.call_sites(spark.createDataFrame(spans, "repo_id string, path string, function_start int, function_end int"), lines)
+    assert sorted((r.function_start, r.call_no, r.name) for r in found.collect()) == [(1, 0, "g"), (1, 1, "h"), (3, 0, "k")]
+    waiting = [n.children().apply(0) for n in nodes_of(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "ArrowEvalPython"]
+    assert waiting and not any("masked_lines" in names_of(n) for n in waiting)
+
+
 def test_findings_meet_no_lines(spark):
     """What findings are joined with was written before, and the lines of files are gone by then."""
     text = "import os\n\ndef f(x):\n    return g(x) + len(x)\n\ndef g(x):\n    return os.k(x)\n"
