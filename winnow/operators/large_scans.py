@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.operators import ingest as I
-from winnow.session import stage
+from winnow.session import TEXTS, stage, unstage
 
 SCAN = ["scan_id", "repo_id"]
 CHUNK = [*SCAN, "chunk"]
@@ -40,7 +40,12 @@ def assemble(pieces: DataFrame) -> Scans:
     where an entry of ``results`` or ``errors`` is not JSON; values of other keys are not looked into. Of
     a key that stands twice the last counts. No files, no rows.
     """
-    elements = stage(_elements(_placed(stage(_measured(pieces))), pieces))
+    measured = stage(_measured(pieces))
+    placed = _placed(measured)
+    unstage(measured)
+    parts = stage(_parts(placed))
+    unstage(placed)
+    elements = stage(_elements(parts, pieces), TEXTS)
     documents = stage(_documents(pieces, elements))
     usable = documents.filter("doc_error IS NULL").select(*SCAN)
     entries = elements.filter("counts AND (NOT is_key OR entry != '')").select(*SCAN, "key", "idx", F.try_parse_json("entry").alias("value"))
@@ -97,6 +102,8 @@ def _placed(measured: DataFrame) -> DataFrame:
     for begins, (even, odd) in ways.items():
         local = local.withColumn(f"deeper{begins}", F.when(F.col("turned") == 0, F.col(even)).otherwise(F.col(odd)))
     local = local.withColumns({f"local{b}": F.coalesce(F.sum(f"deeper{b}").over(here), F.lit(0)) for b in ways})
+    # what pieces keep their place by among those of their chunk
+    local = local.withColumn("place", F.row_number().over(Window.partitionBy(*CHUNK).orderBy("at")))
     local = stage(local.drop("deeper_outside", "deeper_inside"))
 
     chunks = local.groupBy(*CHUNK).agg(F.sum("odd").alias("odd"), *[F.sum(f"deeper{b}").alias(f"deeper{b}") for b in ways])
@@ -111,6 +118,7 @@ def _placed(measured: DataFrame) -> DataFrame:
     return local.join(chunks, CHUNK).select(
         *CHUNK,
         "at",
+        "place",
         "named",
         quoted.alias("quoted"),
         depth.alias("depth"),
@@ -120,53 +128,85 @@ def _placed(measured: DataFrame) -> DataFrame:
     )
 
 
-def _elements(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """One row per entry of a top-level list and per other top-level key: its text, and what is wrong with its pieces.
+def _parts(placed: DataFrame) -> DataFrame:
+    """One row per chunk and entry or top-level key with pieces in it: where they begin, how many they are and what they tell.
 
-    Marks are the pieces that begin a key's value or an entry. They are counted within chunks, and the
-    chunks' counts are summed per file, as is the last key of each.
+    Marks are the pieces that begin a key's value or an entry. ``no`` counts those of a chunk so far, ``name`` is the
+    last key of the chunk with its number.
     """
     top = ~F.col("quoted") & (F.col("depth") <= 1)
     marked = placed.withColumn("is_key", top).withColumn("mark", (top | (~F.col("quoted") & (F.col("depth") == 2))).cast("long"))
     so_far = Window.partitionBy(*CHUNK).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("no", F.sum("mark").over(so_far))
     name = F.when(F.col("is_key"), F.struct(F.col("named").alias("key"), F.col("no").alias("no")))
-    marked = stage(marked.withColumn("name", F.last(name, ignorenulls=True).over(so_far)))
+    marked = marked.withColumn("name", F.last(name, ignorenulls=True).over(so_far))
+    return marked.groupBy(*CHUNK, "no", "name").agg(
+        F.min("place").alias("place"),
+        F.count("*").cast("int").alias("n"),
+        F.max("is_key").alias("is_key"),
+        F.min("depth").alias("depth"),
+        F.max_by(F.struct("after", "quoted", "odd"), "at").alias("end"),
+        F.max(F.col("bad") | (F.least("depth", "after") < 0)).alias("bad"),
+        F.max("at").alias("at"),
+    )
+
+
+def _elements(parts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """One row per entry of a top-level list and per other top-level key: its text, and what is wrong with its pieces.
 
-    chunks = marked.groupBy(*CHUNK).agg(F.sum("mark").alias("marks"), F.max_by("name", "at").alias("name"))
+    Marks are counted within chunks, and the chunks' counts are summed per file, as is the last key of each. An element's
+    pieces of one chunk are put together there, where a chunk's texts and the places of its elements meet in one row; then
+    what several chunks hold of it.
+    """
+    chunks = parts.groupBy(*CHUNK).agg(F.max("no").alias("marks"), F.max_by("name", "at").alias("name"))
     earlier = _before("chunk", SCAN)
     chunks = chunks.withColumn("offset", F.coalesce(F.sum("marks").over(earlier), F.lit(0)))
     shifted = F.when(F.col("name").isNotNull(), F.struct(F.col("name.key"), (F.col("name.no") + F.col("offset")).alias("no")))
-    chunks = chunks.withColumn("carried", F.last(shifted, ignorenulls=True).over(earlier)).select(*CHUNK, "offset", "carried")
+    chunks = chunks.withColumn("carried", F.last(shifted, ignorenulls=True).over(earlier)).select(*CHUNK, "marks", "offset", "carried")
 
     own = F.struct(F.col("name.key"), (F.col("name.no") + F.col("offset")).alias("no"))
-    known = marked.join(chunks, CHUNK).withColumn("of", F.when(F.col("name").isNotNull(), own).otherwise(F.col("carried")))
-    # texts come back once, by the number that every piece has
-    texts = known.join(pieces.select("at", "piece"), "at")
-    ordered = F.sort_array(F.collect_list(F.struct("chunk", "at", "piece")))
-    # an entry's text is needed only of lists that are read
-    wanted = F.col("of.key").isin("results", "errors")
-    text = F.when(wanted, F.col("piece")).otherwise("")
-    grouped = (
-        texts.withColumn("piece", F.when(F.col("is_key") | wanted, F.col("piece")).otherwise(text))
-        .groupBy(*SCAN, (F.col("offset") + F.col("no")).alias("no"), F.col("of.no").alias("key_no"), F.col("of.key").alias("key"))
-        .agg(
-            F.array_join(F.transform(ordered, lambda p: p["piece"]), ",").alias("text"),
-            F.max("is_key").alias("is_key"),
-            F.min("depth").alias("depth"),
-            F.max_by(F.struct("after", "quoted", "odd"), F.struct("chunk", "at")).alias("end"),
-            F.max(F.col("bad") | (F.least("depth", "after") < 0)).alias("bad"),
-            F.max(F.struct("chunk", "at")).alias("last"),
-        )
+    known = parts.join(chunks, CHUNK).withColumn("of", F.when(F.col("name").isNotNull(), own).otherwise(F.col("carried")))
+    # a row per file and top-level key, found among the parts that begin one
+    latest = known.filter("is_key").groupBy(*SCAN, F.col("of.key").alias("key")).agg(F.max("of.no").alias("last_no"))
+
+    told = ["place", "n", "is_key", "depth", "end", "bad", "at"]
+    element = [*SCAN, "no", "of"]
+    known = known.withColumn("cut", (F.col("no") == 0) | (F.col("no") == F.col("marks")))
+    known = known.withColumn("no", F.col("offset") + F.col("no"))
+    ordered = F.sort_array(F.collect_list(F.struct("at", "piece")))
+    texts = pieces.groupBy(*CHUNK).agg(ordered.alias("pieces")).select(*CHUNK, F.col("pieces.piece").alias("texts"))
+
+    def with_text(part: Column) -> Column:
+        # an entry's text is needed only of lists that are read, and of other keys the piece that begins them
+        wanted = F.coalesce(part["of"]["key"].isin("results", "errors"), F.lit(False))
+        n = F.when(wanted, part["n"]).when(part["is_key"], 1).otherwise(0)
+        text = F.array_join(F.slice("texts", part["place"], n), ",")
+        return F.struct(*[part[c].alias(c) for c in ("no", "of", *told)], text.alias("text"))
+
+    def put_together(these: DataFrame) -> DataFrame:
+        places = these.select(*CHUNK, F.struct("no", "of", *told).alias("part")).groupBy(*CHUNK).agg(F.collect_list("part").alias("parts"))
+        # Texts take many times less room as written than in a task, so Spark must not take them for small.
+        met = places.hint("merge").join(texts.hint("merge"), CHUNK)
+        return met.select(*CHUNK, F.explode(F.transform("parts", with_text)).alias("p")).select(*CHUNK, "p.*")
+
+    # only the first and the last element of a chunk can have pieces in another one: the others' texts are not moved again
+    ordered = F.sort_array(F.collect_list(F.struct("chunk", "text")))
+    over_chunks = put_together(known.filter("cut")).groupBy(*element).agg(
+        F.array_join(F.transform(ordered, lambda p: p["text"]), ",").alias("text"),
+        F.max("is_key").alias("is_key"),
+        F.min("depth").alias("depth"),
+        F.max_by("end", F.struct("chunk", "at")).alias("end"),
+        F.max("bad").alias("bad"),
+        F.max(F.struct("chunk", "at")).alias("last"),
     )
+    within = put_together(known.filter("NOT cut")).withColumn("last", F.struct("chunk", "at"))
+    grouped = within.select(*over_chunks.columns).unionByName(over_chunks).withColumns({"key_no": F.col("of.no"), "key": F.col("of.key")})
     # behind the last entry stand the list's bracket and, at the end, the document's
     body = F.when(F.col("is_key"), F.regexp_replace("text", _KEY, "")).otherwise(F.col("text"))
     listed = body.startswith("[") | ~F.col("is_key")
     body = F.when(F.col("is_key"), F.regexp_replace(body, r"^\[", "")).otherwise(body)
     body = F.when(F.col("end.after") == 0, F.regexp_replace(body, r"\s*+\}\s*+\z", "")).otherwise(body)
     body = F.when(F.col("end.after") <= 1, F.regexp_replace(body, r"\]\s*+\z", "")).otherwise(body)
-    # a row per file and top-level key, found among the pieces that begin one
-    latest = known.filter("is_key").groupBy(*SCAN, F.col("of.key").alias("key")).agg(F.max("of.no").alias("last_no"))
     return grouped.join(latest, [*SCAN, "key"]).select(
         *SCAN,
         "key",

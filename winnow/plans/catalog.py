@@ -20,7 +20,7 @@ from winnow.operators.context import CodeIndex, build_contexts, enclosing_functi
 from winnow.plans import corpus as D
 from winnow.plans import triage as T
 from winnow.schemas import PROMPT_VERSION, REPLIES, STORED
-from winnow.session import stage, staging_folder
+from winnow.session import TEXTS, remove, stage, staging_folder
 from winnow.sources.readers import read_replies, read_report_documents, read_scan_pieces, read_source_tree
 from winnow.sources.sinks import write_report_documents, write_requests
 
@@ -64,8 +64,11 @@ def scan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of scan files that hold all documents of a source, read in chunks of 1 MB."""
     folder = _folder(spark, "scans")
     D.write_source_scans(spark, sf_dir, folder)
-    scans = L.assemble(read_scan_pieces(spark, folder, D.REPO))
-    found = I.valid_findings(stage(I.parse_results(scans.results)))
+    pieces = read_scan_pieces(spark, folder, D.REPO)
+    # The files were made for this query, and have been read.
+    remove(spark, folder)
+    scans = L.assemble(pieces)
+    found = I.valid_findings(stage(I.parse_results(scans.results), TEXTS))
     return found.select(
         F.regexp_extract("scan_id", "source=([^/]*)", 1).alias("source"),
         "result_idx",

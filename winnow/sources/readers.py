@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winnow.schemas import REPLIES
-from winnow.session import stage
+from winnow.session import TEXTS, stage
 
 
 def read_scans(spark: SparkSession, paths: str | Sequence[str], repo_id: str | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def read_scan_pieces(
     )
     spark.conf.set(size, str(chunk_bytes))
     try:
-        return stage(pieces)
+        return stage(pieces, TEXTS)
     finally:
         spark.conf.set(size, before)
 
