@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from winnow.operators import codeindex as C
 from winnow.operators import context as X
 from winnow.operators import large_scans as L
+from winnow.plans import triage as T
 from winnow.session import stage, staging_folder, unstage
 from winnow.sources.readers import read_scan_pieces
 
@@ -95,3 +96,18 @@ def test_pieces_of_scans_are_written_once(spark, tmp_path):
     new = [folder for folder in staged(spark) if folder not in before]
     assert all(spark.read.parquet(folder).count() < pieces.count() / 5 for folder in new) and pieces.count() > 1000
     assert found.results.count() == 50 and found.documents.first().doc_error is None
+
+
+def test_a_run_keeps_no_parsed_scans(spark):
+    text = "def f(x):\n    return g(x)\n"
+    files = spark.createDataFrame([("r", "a.py", len(text), text)], FILES)
+    good = {"results": [result("a.py", 2, rule="r"), {"check_id": 5}], "errors": [{"path": "x.py", "message": "no"}]}
+    scans = spark.createDataFrame([("s1", "r", json.dumps(good)), ("s2", "r", "{")], "scan_id string, repo_id string, text string")
+    before = staged(spark)
+    prepared = T.prepare(scans, files)
+    new = [columns for folder, columns in staged(spark).items() if folder not in before]
+    assert not any({"doc", "raw"} & columns and {"doc_error", "reject_reason"} & columns for columns in new)
+    assert [r.summary for r in prepared.scan_errors.collect()] == ["x.py: no"]
+    assert [r.reason for r in prepared.scan_rejects.collect()] == ["check_id missing or not a string"]
+    assert [(r.scan_id, r.reason) for r in prepared.file_rejects.collect()] == [("s2", "not valid JSON")]
+    assert prepared.findings.count() == 1

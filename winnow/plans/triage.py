@@ -19,7 +19,7 @@ from winnow.operators.context import build_contexts
 from winnow.operators.large_scans import Scans, scan_errors
 from winnow.operators.verify import verify_replies
 from winnow.schemas import CONTEXT, PROMPT_VERSION, STORED, STRINGS
-from winnow.session import stage
+from winnow.session import TEXTS, stage, unstage
 
 
 @dataclass
@@ -57,16 +57,21 @@ def prepare(
     spark = files.sparkSession
     files = single_files(files)
     if isinstance(scan_docs, Scans):
-        documents, errors = I.raise_for_documents(scan_docs.documents, on_error), scan_errors(scan_docs)
-        parsed = stage(I.parse_results(scan_docs.results))
+        documents = I.raise_for_documents(scan_docs.documents, on_error)
+        errors, file_rejects = scan_errors(scan_docs), I.scan_file_rejects(documents)
+        parsed = stage(I.parse_results(scan_docs.results), TEXTS)
     else:
-        documents = stage(I.scan_documents(scan_docs, on_error))
-        errors = I.scan_errors(documents)
-        parsed = stage(I.parse_results(I.raw_results(documents)))
+        documents = stage(I.scan_documents(scan_docs, on_error), TEXTS)
+        errors, file_rejects = stage(I.scan_errors(documents)), stage(I.scan_file_rejects(documents))
+        parsed = stage(I.parse_results(I.raw_results(documents)), TEXTS)
+        unstage(documents)
     found = I.mark_processable(I.valid_findings(parsed))
     if limit is not None:
         found = I.limit_per_scan(found, limit)
-    found = stage(I.resolve_matched_code(found, files))
+    found = stage(I.resolve_matched_code(found, files), TEXTS)
+    # What findings were made of goes before their contexts are; of it only the rejects are asked for again.
+    rejects = stage(I.scan_rejects(parsed))
+    unstage(parsed)
 
     nothing = F.lit(None).cast("string")
     with_context = build_contexts(found.filter("processable"), files, follow_alias, max_file_bytes).withColumn(
@@ -82,7 +87,7 @@ def prepare(
         nothing.alias("context_error"),
     )
     routed = X.route_findings(with_context.unionByName(others))
-    keyed = stage(R.add_fingerprint(routed, prompt_version))
+    keyed = stage(R.add_fingerprint(routed, prompt_version), TEXTS)
 
     if reuse and store is not None:
         # Findings without a context of their own are never looked up.
@@ -92,7 +97,7 @@ def prepare(
         looked_up = R.reuse_verdicts(asking, entries)
         none = F.lit(None).cast(looked_up.schema["stored"].dataType)
         rest = keyed.filter(~may_reuse).withColumn("stored", none).withColumn("from_cache", F.lit(False))
-        findings = stage(looked_up.unionByName(rest))
+        findings = stage(looked_up.unionByName(rest), TEXTS)
     else:
         payload = [f for f in STORED.fields if f.name not in ("fingerprint", "stored_at")]
         none = F.lit(None).cast("struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in payload) + ">")
@@ -103,8 +108,8 @@ def prepare(
         findings=findings,
         requests=X.build_requests(work, X.instructions(spark, instructions, prompt_version)),
         scan_errors=errors,
-        scan_rejects=I.scan_rejects(parsed),
-        file_rejects=I.scan_file_rejects(documents),
+        scan_rejects=rejects,
+        file_rejects=file_rejects,
     )
 
 
