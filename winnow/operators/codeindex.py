@@ -57,7 +57,7 @@ BROKEN = "\x02"
 HEADER = rf"^[ \t\f]*(?:async[ \t]+)?(def|class)[ \t]+({IDENTIFIER})"
 # Words, numbers, strings, brackets, dots, line ends, and runs of anything else; a joined line is one.
 TOKENS = (
-    rf"(?:[ \t\f]++|\\\r?\n)*+({IDENTIFIER}+|\p{{N}}[\p{{L}}\p{{N}}_.]*+|(?:{QUOTED}++|{OPEN}\n)++|[()\[\]{{}}.\n]"
+    rf"(?:[ \t\f]++|\\\r?\n)*+({IDENTIFIER}+|\p{{N}}[\p{{L}}\p{{N}}_]*+(?:\.\p{{N}}[\p{{L}}\p{{N}}_]*+)?+|(?:{QUOTED}++|{OPEN}\n)++|[()\[\]{{}}.\n]"
     rf"|[^\p{{L}}\p{{N}}_{QUOTED}{OPEN}()\[\]{{}}.\s\\]++|\S)"
 )
 # What the block structure hangs on: line starts with what they tell, brackets, colons and lambdas.
